@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import mixing, neardup, pii
+from riskloom.llm import mixing, neardup, pii, toxicity
 from riskloom.llm.common import documents
 
 
@@ -22,5 +22,9 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_mixing, op7_neardup)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_mixing, op7_neardup, op9_toxicity)}
 ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}
