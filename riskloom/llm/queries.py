@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import mixing, neardup, packing, pii, toxicity
+from riskloom.llm import mixing, neardup, packing, pii, tiff, toxicity, wrappers
 from riskloom.llm.common import documents
 
 #: Where the vocabulary of the packing query lies; a parameter of the operator.
@@ -22,6 +22,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(documents(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), TOKENIZER)
 
@@ -30,9 +34,13 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digest(documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_mixing, op6_packing, op7_neardup, op9_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_mixing, op5_html, op6_packing, op7_neardup, op8_media, op9_toxicity)}
 ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}

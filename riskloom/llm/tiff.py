@@ -255,7 +255,7 @@ def encode(docs: DataFrame, scheme: int = DEFLATE) -> DataFrame:
     def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [len(x) for x in raw], "media": [store(x, scheme) for x in raw]})
+            yield pd.DataFrame({"doc_id": list(batch["doc_id"]), "n_bytes": [len(x) for x in raw], "media": [store(x, scheme) for x in raw]})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(files, "doc_id long, n_bytes long, media binary")
 
