@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import mixing, neardup, packing, pii, tiff, toxicity, wrappers
+from riskloom.llm import ann, mixing, neardup, packing, pii, tiff, toxicity, wrappers
 from riskloom.llm.common import documents
 
 #: Where the vocabulary of the packing query lies; a parameter of the operator.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(documents(spark, sf_dir))
 
@@ -42,5 +47,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_mixing, op5_html, op6_packing, op7_neardup, op8_media, op9_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ann, op2_pii, op3_mixing, op5_html, op6_packing, op7_neardup, op8_media, op9_toxicity)}
 ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}
