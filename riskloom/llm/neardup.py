@@ -6,9 +6,9 @@ about one of 200,000 such pairs, and more rarely for nearer ones. Pairs with MAT
 K - MATCHES + 1 rarest of either (prefix merging); elements of one document are skipped. Candidates are then confirmed on
 the full shingle sets.
 
-Only components are asked for, so no group's pairs are all emitted. First every list ties its documents to one hub;
-confirmed links give components. Then pairs inside a list are looked for only between different components, in blocks
-of bounded size; any pair left out is inside a component already.
+Only components are asked for, so no group's pairs are all emitted. First every list ties its documents to the most
+central one, its hub; confirmed links give components. Then pairs inside a list are compared only between different
+components, in blocks of bounded size that hold the full sets; any pair left out is inside a component already.
 """
 
 from __future__ import annotations
@@ -118,26 +118,49 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _across(cell: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block: sides that agree in MATCHES coordinates, of sizes that allow the similarity, of different components."""
-    left, right = cell[cell["side"] == 0], cell[cell["side"] == 1]
-    out = []
+    """Links of one block between different components; each pair is looked at in its first common list only.
+
+    A link found makes two components one for the rest of the block, so at most as many links as components come out.
+    """
+    left, right = cell[cell["left"]], cell[cell["right"]]
+    out, joined = [], {}
+
+    def root(c: int) -> int:
+        while (up := joined.get(c, c)) != c:
+            c = up
+        return c
+
     if len(left) and len(right):
-        sig, n, comp, rep, dom = np.stack(right["sig"]), right["n"].to_numpy(), right["component"].to_numpy(), right["rep"].to_numpy(), right["dominant"].to_numpy()
-        for s, m, c, r in zip(left["sig"], left["n"], left["component"], left["rep"], strict=True):
-            fits = (comp != c) & (dom | (rep > r)) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
-            at = np.flatnonzero(fits)
+        element = cell["element"].iloc[0]
+        sig, n, rep, rest = np.stack(right["sig"]), right["n"].to_numpy(), right["rep"].to_numpy(), ~right["dominant"].to_numpy()
+        comps, lists, sets = list(right["component"]), list(right["prefix"]), list(right["hashes"])
+        for s, m, c, r, prefix, own in left[["sig", "n", "component", "rep", "prefix", "hashes"]].itertuples(index=False):
+            at = np.flatnonzero((100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & ~(rest & (rep <= r)))
             at = at[(sig[at] == s).sum(1) >= MATCHES]
-            out += [(min(r, x), max(r, x)) for x in rep[at]]
+            own, seen = np.frombuffer(own, np.uint64), set(prefix)
+            for j in at:
+                if root(comps[j]) == root(c) or next(e for e in lists[j] if e in seen) != element:
+                    continue
+                other = np.frombuffer(sets[j], np.uint64)
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if 100 * both >= PERCENT * (len(own) + len(other) - both):
+                    out.append((r, rep[j]))
+                    joined[root(c)] = root(comps[j])
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, tables: Tables, name: str) -> DataFrame:
+def _sets_of(ids: DataFrame, docs: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """id, hashes: the full sets of the documents in ``ids`` (id)."""
+    some = docs.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return tables.put(some.mapInPandas(_sets, "id long, hashes binary"), name)
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
     """The pairs whose full sets are near enough; sets are computed for documents in a pair only."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = tables.put(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(_sets, "id long, hashes binary"), f"{name}-sets")
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, tables, "sets")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("hashes").alias(f"hashes_{c}"))
-    links = tables.put(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_linked, "a long, b long"), f"{name}-links")
-    tables.drop(f"{name}-sets")
+    links = tables.put(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_linked, "a long, b long"), "confirmed")
+    tables.drop("sets")
     return links
 
 
@@ -158,31 +181,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     elements = reps.select("rep", F.posexplode("sig").alias("place", "value")).select("rep", (F.shiftleft(F.col("place").cast("long"), 32) + F.col("value")).alias("element"))
     shared = elements.groupBy("element").agg(F.count("*").alias("size")).where("size > 1")
     ranked = elements.join(shared, "element").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("size", "element"))).alias("all"))
-    # Elements of one document come first in the prefix and have no list to post to.
-    prefix = ranked.withColumn("left", F.size("all") - F.lit(MATCHES - 1)).where("left > 0").select("rep", F.slice("all", F.lit(1), F.col("left")).alias("all"))
-    posted = tables.put(prefix.join(reps.select("rep", "n", "sig"), "rep").select("rep", "n", "sig", F.explode("all").alias("x")).select("rep", "n", "sig", F.col("x.element").alias("element")), "posted")
-
-    hubs = posted.groupBy("element").agg(F.min("rep").alias("hub"), F.min_by(F.struct("n", "sig"), "rep").alias("h"), F.count("*").alias("size")).where("size > 1")
-    near = "rep <> hub AND 100 * least(n, h.n) >= %d * greatest(n, h.n)" % PERCENT
-    stars = posted.join(hubs, "element").where(near).select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("h.sig").alias("sig_a"))
-    stars = tables.put(stars.mapInPandas(_agreeing, "a long, b long").distinct(), "stars")
-    links = _confirmed(stars, docs, tables, "stars")
+    # Elements of one document come first in the prefix and have no list to post to. The more a document's elements are
+    # shared, the nearer it stands to the middle of its group, and the better a hub it is.
+    central = F.aggregate("all", F.lit(0.0), lambda acc, x: acc + F.log2(x["size"].cast("double"))).alias("central")
+    prefix = ranked.withColumn("left", F.size("all") - F.lit(MATCHES - 1)).where("left > 0").select("rep", central, F.transform(F.slice("all", F.lit(1), F.col("left")), lambda x: x["element"]).alias("prefix"))
+    heads = tables.put(prefix.join(reps.select("rep", "n", "sig"), "rep"), "heads")
+    posted = heads.withColumn("element", F.explode("prefix"))
+
+    hubs = posted.groupBy("element").agg(F.max_by(F.struct("rep", "n", "sig"), F.struct("central", F.negate("rep"))).alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
+    near = "rep <> hub.rep AND 100 * least(n, hub.n) >= %d * greatest(n, hub.n)" % PERCENT
+    stars = posted.drop("prefix").join(hubs, "element").where(near).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("hub.sig").alias("sig_a"))
+    stars = tables.put(stars.mapInPandas(_agreeing, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
+    links = _confirmed(stars, docs, tables)
     first = tables.put(components(links, tables, "first"), "first")
 
-    named = posted.join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    lists = named.groupBy("element").agg(F.min_by("component", "rep").alias("top"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high AND size > 2").select("element", "top")
-    open_ = tables.put(named.join(lists, "element").withColumn("dominant", F.col("component") == F.col("top")).drop("top"), "open")
-    blocks = open_.groupBy("element").agg(F.ceil(F.sum((~F.col("dominant")).cast("long")) / BLOCK).alias("rows"), F.ceil(F.count("*") / BLOCK).alias("cols"))
-    grid = open_.join(blocks, "element")
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
-    data = ["element", "rep", "n", "sig", "component", "dominant"]
-    left = grid.where("NOT dominant").select(*data, F.lit(0).alias("side"), own("rows").alias("row"), spread("cols").alias("col"))
-    right = grid.select(*data, F.lit(1).alias("side"), own("cols").alias("col"), spread("rows").alias("row"))
-    more = left.unionByName(right).groupBy("element", "row", "col").applyInPandas(_across, "a long, b long").distinct()
-    more = tables.put(more.join(stars, ["a", "b"], "left_anti"), "across")
-    links = tables.put(links.unionByName(_confirmed(more, docs, tables, "across")), "links")
-    final = components(links, tables, "final")
+    named = heads.join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("rep", "component", "central", "prefix")
+    lists = named.withColumn("element", F.explode("prefix")).groupBy("element").agg(F.max_by("component", F.struct("central", F.negate("rep"))).alias("top"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high AND size > 2")
+    lists = lists.select("element", "top", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    open_ = tables.put(named.withColumn("element", F.explode("prefix")).join(lists, "element").select("element", "rep", "component", (F.col("component") == F.col("top")).alias("dominant"), "blocks"), "open")
+    sets = _sets_of(open_.select(F.col("rep").alias("id")), docs, tables, "open-sets")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    rows = F.when(F.col("dominant"), F.array().cast("array<struct<row:bigint,col:bigint>>")).otherwise(F.transform(every, lambda i: F.struct(F.col("block").alias("row"), i.alias("col"))))
+    cols = F.transform(every, lambda i: F.struct(i.alias("row"), F.col("block").alias("col")))
+    cells = open_.withColumn("block", block).withColumn("cell", F.explode(F.array_distinct(F.concat(rows, cols)))).select("element", "rep", "component", "dominant", "cell", ((F.col("cell.row") == F.col("block")) & ~F.col("dominant")).alias("left"), (F.col("cell.col") == F.col("block")).alias("right"))
+    full = cells.join(heads.select("rep", "n", "sig", "prefix").join(sets.withColumnRenamed("id", "rep"), "rep"), "rep")
+    more = tables.put(full.groupBy("element", "cell").applyInPandas(_across, "a long, b long"), "across")
+    tables.drop("open-sets")
+    final = components(links.unionByName(more), tables, "final")
 
     labels = reps.drop("sig").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("n", "mark1", "mark2", F.coalesce("component", "rep").alias("component_id"))
     alone = signed.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
