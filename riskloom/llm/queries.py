@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import ann, mixing, neardup, packing, pii, tiff, toxicity, wrappers
+from riskloom.llm import ann, licenses, mixing, neardup, packing, pii, tiff, toxicity, wrappers
 from riskloom.llm.common import documents
 
 #: Where the vocabulary of the packing query lies; a parameter of the operator.
@@ -47,5 +47,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ann, op2_pii, op3_mixing, op5_html, op6_packing, op7_neardup, op8_media, op9_toxicity)}
-ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ann, op2_pii, op3_mixing, op5_html, op6_packing, op7_neardup, op8_media, op9_toxicity, op10_licenses)}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op10_licenses": licenses.ORACLE}
