@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import ann, licenses, mixing, neardup, packing, pii, tiff, toxicity, wrappers
+from riskloom.llm import ann, licenses, mixing, neardup, packing, pii, suffixes, tiff, toxicity, wrappers
 from riskloom.llm.common import documents
 
 #: Where the vocabulary of the packing query lies; a parameter of the operator.
@@ -27,6 +27,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir))
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_text(documents(spark, sf_dir, "pages"))
 
@@ -51,5 +55,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ann, op2_pii, op3_mixing, op5_html, op6_packing, op7_neardup, op8_media, op9_toxicity, op10_licenses)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ann, op2_pii, op3_mixing, op4_suffixes, op5_html, op6_packing, op7_neardup, op8_media, op9_toxicity, op10_licenses)}
 ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op10_licenses": licenses.ORACLE}
