@@ -1,0 +1,244 @@
+"""Binning and encoding of predictors: fits are small tables from one aggregation, transforms are Column expressions."""
+
+from __future__ import annotations
+
+import json
+import math
+from collections.abc import Sequence
+from dataclasses import asdict, dataclass, field
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from riskloom.functions.expressions import bin_index, ratio, woe
+from riskloom.operators.metrics import quantile_edges
+
+#: Distinct values a tree is grown on; more are first counted in so many quantile ranges, which then bound the edges.
+VALUES = 10_000
+
+
+@dataclass
+class Bins:
+    """Fitted bins of one predictor: inner edges or groups of categories, and the weight of evidence of each."""
+
+    column: str
+    edges: list[float] | None = None
+    groups: list[list[str]] | None = None
+    woes: list[float] = field(default_factory=list)
+    nan_woe: float = 0.0
+    unknown_woe: float = 0.0
+
+    def index(self) -> Column:
+        """Bin number; null and unknown values come after the last."""
+        c = F.col(self.column)
+        if self.edges is not None:
+            return F.coalesce(bin_index(c, self.edges), F.lit(len(self.edges) + 1))
+        out = F
+        for i, g in enumerate(self.groups):
+            out = out.when(c.cast("string").isin(*g), F.lit(i))
+        return out.otherwise(F.lit(len(self.groups)))
+
+    def woe(self) -> Column:
+        i, c, out = self.index(), F.col(self.column), F
+        for k, w in enumerate(self.woes):
+            out = out.when(i == k, F.lit(float(w)))
+        return out.when(c.isNull(), F.lit(float(self.nan_woe))).otherwise(F.lit(float(self.unknown_woe)))
+
+    def names(self) -> list[str]:
+        if self.groups is not None:
+            return [", ".join(g)[:40] for g in self.groups]
+        ends = [-math.inf, *self.edges, math.inf]
+        return [f"[{a:.3f}, {b:.3f})" for a, b in zip(ends, ends[1:], strict=False)]
+
+    def short_name(self) -> Column:
+        i, out = self.index(), F
+        for k, n in enumerate(self.names()):
+            out = out.when(i == k, F.lit(n))
+        return out.otherwise(F.lit("NaN"))
+
+    def dummies(self) -> list[Column]:
+        i, n = self.index(), len(self.names())
+        return [(i == k).cast("int").alias(f"{self.column}_DMY_{k}") for k in range(n)] + [(i == n).cast("int").alias(f"{self.column}_DMY_NaN")]
+
+    def sql(self) -> str:
+        """The transform as a CASE expression."""
+        c = self.column
+        if self.groups is not None:
+            arms = [f"WHEN {c} IN ({', '.join(repr(x) for x in g)}) THEN {w!r}" for g, w in zip(self.groups, self.woes, strict=True)]
+        else:
+            arms = [f"WHEN {c} < {e!r} THEN {w!r}" for e, w in zip(self.edges, self.woes, strict=False)] + [f"WHEN {c} IS NOT NULL THEN {self.woes[-1]!r}"]
+        return f"CASE WHEN {c} IS NULL THEN {self.nan_woe!r} {' '.join(arms)} ELSE {self.unknown_woe!r} END AS {c}_WOE"
+
+
+def save(bins: Sequence[Bins]) -> str:
+    return json.dumps([asdict(b) for b in bins])
+
+
+def load(text: str) -> list[Bins]:
+    return [Bins(**b) for b in json.loads(text)]
+
+
+def grow(table: Sequence[tuple[float, float, float]], leaves: int, least: float) -> list[float]:
+    """Edges of a best-first tree over (value, weight, bads) in order of value: the split that lowers the Gini impurity most
+    comes first, until there are so many leaves. Edges lie midway between values."""
+    n = len(table)
+    w, b = [0.0], [0.0]
+    for _, x, y in table:
+        w.append(w[-1] + x)
+        b.append(b[-1] + y)
+    impurity = lambda i, j: 0.0 if w[j] <= w[i] else 2 * (b[j] - b[i]) * (1 - (b[j] - b[i]) / (w[j] - w[i]))
+
+    def split(i: int, j: int) -> tuple[float, int]:
+        fits = [k for k in range(i + 1, j) if w[k] - w[i] >= least and w[j] - w[k] >= least]
+        return max(((impurity(i, j) - impurity(i, k) - impurity(k, j), -k) for k in fits), default=(0.0, 0))
+
+    open_, edges = {(0, n): split(0, n)}, []
+    while len(edges) + 1 < leaves and open_:
+        (i, j), (gain, k) = max(open_.items(), key=lambda x: (x[1][0], -x[0][0]))
+        if gain <= 1e-12:
+            break
+        k = -k
+        edges.append((table[k - 1][0] + table[k][0]) / 2)
+        del open_[i, j]
+        open_[i, k], open_[k, j] = split(i, k), split(k, j)
+    return sorted(edges)
+
+
+def value_table(rows: DataFrame, column: str, target: str, weight: str | None = None) -> list[tuple[float, float, float]]:
+    """(value, weight, bads) in order, at most VALUES rows: beyond them values are counted at the top of quantile ranges."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    v = F.col(column).cast("double")
+    known = rows.where(v.isNotNull() & F.col(target).isNotNull())
+    t = known.groupBy(v.alias("v")).agg(F.sum(w).alias("w"), F.sum(w * F.col(target)).alias("b"))
+    if known.agg(F.approx_count_distinct(v)).first()[0] > VALUES * 0.9:
+        cuts = t.approxQuantile("v", [i / 1000 for i in range(1, 1000)], 0.0005)
+        t = t.groupBy(F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda e: F.col("v") > e)).alias("g")).agg(F.max("v").alias("v"), F.sum("w").alias("w"), F.sum("b").alias("b"))
+    return [(r["v"], r["w"], r["b"]) for r in t.select("v", "w", "b").orderBy("v").collect()]
+
+
+def bin_table(rows: DataFrame, index: Column, target: str, weight: str | None = None, smooth: float = 0.001) -> DataFrame:
+    """Per bin: rows, bads, rate, share, shares of goods and bads, weight of evidence, information value."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    known = rows.where(F.col(target).isNotNull())
+    t = known.groupBy(index.alias("bin")).agg(F.sum(w).alias("n"), F.sum(w * F.col(target)).alias("bads"))
+    one = Window.partitionBy(F.lit(0))
+    n, b = F.sum("n").over(one), F.sum("bads").over(one)
+    t = t.withColumn("_n", n).withColumn("_b", b)
+    good, bad = ratio(F.col("n") - F.col("bads"), F.col("_n") - F.col("_b")), ratio(F.col("bads"), F.col("_b"))
+    iv = F.when((good > 0) & (bad > 0), (good - bad) * F.log(good / bad)).otherwise(0.0)
+    return t.select("bin", "n", "bads", ratio(F.col("bads"), F.col("n")).alias("rate"), ratio(F.col("n"), F.col("_n")).alias("share"), good.alias("dist_good"), bad.alias("dist_bad"), woe(F.col("bads"), F.col("n"), F.col("_b"), F.col("_n"), smooth).alias("woe"), iv.alias("iv"))
+
+
+def with_woes(rows: DataFrame, bins: Bins, target: str, weight: str | None = None, smooth: float = 0.001) -> Bins:
+    """The bins with weights of evidence from these rows; nulls get their own."""
+    t = {r["bin"]: r["woe"] for r in bin_table(rows, bins.index(), target, weight, smooth).collect()}  # one row a bin
+    n = len(bins.names())
+    bins.woes = [float(t.get(i, 0.0)) for i in range(n)]
+    bins.nan_woe = float(t.get(n, 0.0))
+    return bins
+
+
+def fit_numeric(rows: DataFrame, column: str, target: str, groups: int = 5, least: float = 1, weight: str | None = None, smooth: float = 0.001, edges: Sequence[float] | None = None) -> Bins:
+    found = list(edges) if edges is not None else grow(value_table(rows, column, target, weight), groups, least)
+    return with_woes(rows, Bins(column, edges=found), target, weight, smooth)
+
+
+def fit_categorical(rows: DataFrame, column: str, target: str, groups: int = 5, least: float = 1, weight: str | None = None, smooth: float = 0.001, most: int = 100) -> Bins:
+    """Categories by their event rate; those below ``least`` rows are pooled and share a rate; then a tree over the rates."""
+    c = F.col(column).cast("string")
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    t = rows.where(c.isNotNull() & F.col(target).isNotNull()).groupBy(c.alias("c")).agg(F.sum(w).alias("w"), F.sum(w * F.col(target)).alias("b")).limit(most + 1).collect()
+    if len(t) > most:
+        raise ValueError(f"{column} has more than {most} categories")
+    rare = [r for r in t if r["w"] < least]
+    pooled = sum(r["b"] for r in rare) / sum(r["w"] for r in rare) if rare else 0.0
+    rate = {r["c"]: pooled if r["w"] < least else r["b"] / r["w"] for r in t}
+    by: dict[float, list[float]] = {}
+    for r in t:
+        x = by.setdefault(rate[r["c"]], [0.0, 0.0])
+        x[0] += r["w"]
+        x[1] += r["b"]
+    edges = grow(sorted((v, *x) for v, x in by.items()), groups, least)
+    found: dict[int, list[str]] = {}
+    for cat in sorted(rate):
+        found.setdefault(sum(rate[cat] >= e for e in edges), []).append(cat)
+    return with_woes(rows, Bins(column, groups=[found[k] for k in sorted(found)]), target, weight, smooth)
+
+
+def fit(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str, **settings) -> list[Bins]:
+    return [fit_numeric(rows, c, target, **settings) for c in numeric] + [fit_categorical(rows, c, target, **settings) for c in categorical]
+
+
+def transform(rows: DataFrame, bins: Sequence[Bins], to: str = "woe") -> DataFrame:
+    """Adds <column>_WOE, _GRP, _RNG or dummies for every fitted predictor; one projection, no shuffle."""
+    made = {"woe": lambda b: [b.woe().alias(f"{b.column}_WOE")], "group_number": lambda b: [b.index().alias(f"{b.column}_GRP")], "shortnames": lambda b: [b.short_name().alias(f"{b.column}_RNG")], "dummy": lambda b: b.dummies()}[to]
+    return rows.select("*", *[c for b in bins for c in made(b)])
+
+
+def fit_stable(rows: DataFrame, column: str, target: str, month: str, most: int = 6, least: float = 1) -> Bins:
+    """Of trees with 2 to ``most`` leaves, the largest whose bins keep their rank by rate in every month; else two leaves."""
+    from riskloom.operators.metrics import rank_stability
+
+    table, best = value_table(rows, column, target), None
+    for n in range(2, most + 1):
+        b = Bins(column, edges=grow(table, n, least))
+        steady = rank_stability(rows.withColumn("_bin", b.index()), "_bin", month, target).first()["rsi"]
+        if best is None or (steady or 0) >= 1 - 1e-9:
+            best = b
+    return with_woes(rows, best, target)
+
+
+def net_woe(rows: DataFrame, index: Column, target: str, treated: str) -> DataFrame:
+    """Weight of evidence of the treated less that of the others, with one added to the counts."""
+    cell = lambda t, y: F.sum(((F.col(treated) == t) & (F.col(target) == y)).cast("double")).alias(f"c{t}{y}")
+    t = rows.groupBy(index.alias("bin")).agg(*[cell(a, b) for a in (0, 1) for b in (0, 1)])
+    one = Window.partitionBy(F.lit(0))
+    side = lambda t: F.log((F.col(f"c{t}0") + 1) / (F.sum(f"c{t}0").over(one) + 1)) - F.log((F.col(f"c{t}1") + 1) / (F.sum(f"c{t}1").over(one) + 1))
+    return t.select("bin", (side(1) - side(0)).alias("nwoe"))
+
+
+def woe_encoder(rows: DataFrame, column: str, target: str, smooth: float = 0.001, cap: float = 5.0) -> DataFrame:
+    """value, woe capped to +-cap."""
+    return bin_table(rows, F.col(column), target, smooth=smooth).select(F.col("bin").alias("value"), F.greatest(F.lit(-cap), F.least(F.lit(cap), F.col("woe"))).alias("woe"))
+
+
+def mean_encoder(rows: DataFrame, column: str, target: str, strength: float = 0.01, weight: str | None = None, as_logit: bool = False) -> DataFrame:
+    """value, (sum of targets + mean x strength x all weight) / (weight + strength x all weight); null values are a value."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    t = rows.groupBy(F.col(column).alias("value")).agg(F.sum(w).alias("w"), F.sum(w * F.col(target)).alias("y"))
+    one = Window.partitionBy(F.lit(0))
+    everything, mean = F.sum("w").over(one), F.sum("y").over(one) / F.sum("w").over(one)
+    p = (F.col("y") + mean * strength * everything) / (F.col("w") + strength * everything)
+    return t.select("value", (F.log(p / (1 - p)) if as_logit else p).alias("encoded"))
+
+
+def odds_encoder(rows: DataFrame, column: str, target: str) -> DataFrame:
+    """value, the share of goods over the share of bads with one added to each count; no logarithm."""
+    t = rows.groupBy(F.col(column).alias("value")).agg(F.sum(1 - F.col(target)).alias("g"), F.sum(target).alias("b"))
+    one = Window.partitionBy(F.lit(0))
+    return t.select("value", (((F.col("g") + 1) / F.sum(F.col("g") + 1).over(one)) / ((F.col("b") + 1) / F.sum(F.col("b") + 1).over(one))).alias("encoded"))
+
+
+def merge_rare(rows: DataFrame, column: str, least: int, rare: str = "RARE") -> DataFrame:
+    """Categories of fewer rows become one; the counts are joined, so no category is gathered in one task."""
+    few = rows.groupBy(column).count().where(F.col("count") < least).select(F.col(column).alias("_few"))
+    return rows.join(few, rows[column].eqNullSafe(few["_few"]), "left").withColumn(column, F.when(F.col("_few").isNotNull(), F.lit(rare)).otherwise(F.col(column))).drop("_few")
+
+
+def discretize(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """Adds <column>_BIN: quantile bins, left closed."""
+    return rows.withColumn(f"{column}_BIN", bin_index(F.col(column), quantile_edges(rows, column, n)))
+
+
+def two_way(rows: DataFrame, a: Column, b: Column, target: str) -> DataFrame:
+    """Rows, bads and rate of each pair of bins."""
+    return rows.groupBy(a.alias("row_bin"), b.alias("col_bin")).agg(F.count("*").alias("n"), F.sum(target).cast("long").alias("bads"), F.avg(F.col(target).cast("double")).alias("rate"))
+
+
+def weighted_quantiles(rows: DataFrame, column: str, weight: str, shares: Sequence[float]) -> DataFrame:
+    """The least value at which the running weight reaches each share of the total."""
+    from riskloom.operators.cumulative import running
+
+    t = running(rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.sum(F.col(weight).cast("double")).alias("w")), (), "v", ("w",))
+    picks = [F.min(F.when(F.col("cum_w") >= F.lit(s) * F.col("all_w") - 1e-9, F.col("v"))).alias(str(s)) for s in shares]
+    return t.agg(*picks).unpivot([], [str(s) for s in shares], "share", "value").withColumn("share", F.col("share").cast("double"))
