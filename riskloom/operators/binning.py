@@ -240,5 +240,6 @@ def weighted_quantiles(rows: DataFrame, column: str, weight: str, shares: Sequen
     from riskloom.operators.cumulative import running
 
     t = running(rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.sum(F.col(weight).cast("double")).alias("w")), (), "v", ("w",))
-    picks = [F.min(F.when(F.col("cum_w") >= F.lit(s) * F.col("all_w") - 1e-9, F.col("v"))).alias(str(s)) for s in shares]
-    return t.agg(*picks).unpivot([], [str(s) for s in shares], "share", "value").withColumn("share", F.col("share").cast("double"))
+    picks = [F.min(F.when(F.col("cum_w") >= F.lit(s) * F.col("all_w") - 1e-9, F.col("v")))for s in shares]
+    made = F.array(*[F.struct(F.lit(s).alias("share"), p.alias("value")) for s, p in zip(shares, picks, strict=True)])
+    return t.agg(made.alias("x")).select(F.explode("x").alias("x")).select("x.*")

@@ -60,8 +60,8 @@ def lift_levels(rows: DataFrame, score: str, target: str, percents: Sequence[int
 def information_value(rows: DataFrame, predictor: str, target: str) -> DataFrame:
     """Sum over values of (share of goods - share of bads) ln of their ratio, with one added to every count."""
     t = rows.groupBy(predictor).agg(F.sum(F.col(target)).cast("double").alias("b"), F.sum(1 - F.col(target)).cast("double").alias("g"))
-    total = t.agg(F.sum(F.col("b") + 1).alias("B"), F.sum(F.col("g") + 1).alias("G"))
-    pg, pb = (F.col("g") + 1) / F.col("G"), (F.col("b") + 1) / F.col("B")
+    total = t.agg(F.sum(F.col("b") + 1).alias("all_b"), F.sum(F.col("g") + 1).alias("all_g"))
+    pg, pb = (F.col("g") + 1) / F.col("all_g"), (F.col("b") + 1) / F.col("all_b")
     return t.crossJoin(F.broadcast(total)).agg(F.sum((pg - pb) * F.log(pg / pb)).alias("iv"))
 
 

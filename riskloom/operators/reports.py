@@ -128,8 +128,8 @@ def expected_approval(rows: DataFrame, score: str, rates: Sequence[float], subse
     """Approval rate of a subset at the cutoffs that give ``rates`` overall."""
     cuts = rows.agg(F.percentile(score, F.array(*[F.lit(r) for r in rates])).alias("_cuts"))
     inside = rows.where(F.expr(subset)).crossJoin(F.broadcast(cuts))
-    wide = inside.agg(*[F.avg((F.col(score) <= F.col("_cuts")[i]).cast("double")).alias(str(r)) for i, r in enumerate(rates)])
-    return wide.unpivot([], [str(r) for r in rates], "rate", "subset_rate").withColumn("rate", F.col("rate").cast("double"))
+    made = F.array(*[F.struct(F.lit(r).alias("rate"), F.avg((F.col(score) <= F.col("_cuts")[i]).cast("double")).alias("subset_rate")) for i, r in enumerate(rates)])
+    return inside.agg(made.alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 def performance(rows: DataFrame, scores: Sequence[str], target: str, by: Sequence[str] = (), percent: float = 10) -> DataFrame:

@@ -1,11 +1,35 @@
-"""All registered queries of the library, with the SQL they are held against."""
+"""All registered queries of the library, with the SQL they are held against.
+
+Names begin with the inventory's op IDs. Float columns are rounded to six decimals on both sides, as sums
+depend on order; a small shift keeps exact halves from falling apart.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "features_fused"
+FLAGSHIP = "A01_A02_features_fused"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def register(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None, floats: str = "") -> None:
+    """``floats``: the columns to round, on both sides."""
+    columns = floats.split()
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(spark, sf_dir).withColumns({c: F.round(F.col(c).cast("double") + F.lit(1.23e-8), 6) + F.lit(0.0) for c in columns})
+
+    QUERIES[name] = run
+    if sql:
+        ORACLES[name] = f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE) + 1.23e-8, 6) + 0.0 AS {c}' for c in columns)}) FROM ({sql}) AS q" if columns else sql
+
+
+from riskloom.plans import feature_queries, scoring_queries  # noqa: E402, F401  they register themselves

@@ -7,6 +7,7 @@ group-by, so the events are scanned and shuffled once however many features ther
 
 from __future__ import annotations
 
+import datetime
 import itertools
 import re
 from collections.abc import Iterable, Sequence
@@ -34,19 +35,20 @@ def clean_name(name: str, limit: int | None = None) -> str:
 
 @dataclass(frozen=True)
 class Entity:
-    """Roles: id, event time, reference time (a column or a literal), unit of ranges."""
+    """Roles: id, event time, reference time (a column or a naive time), unit of ranges."""
 
     id: str
     time: str
-    reference: str | Column
+    reference: str | Column | datetime.datetime
     unit: str = "days"
 
     def age(self) -> Column:
         """Units back from the reference: 1 is the last unit."""
-        end = F.col(self.reference) if isinstance(self.reference, str) else self.reference
-        return times.order_units(F.col(self.time), end, self.unit)
+        return times.order_units(F.col(self.time), self.end(), self.unit)
 
     def end(self) -> Column:
+        if isinstance(self.reference, datetime.datetime):
+            return F.lit(self.reference).cast("timestamp_ntz")
         return F.col(self.reference) if isinstance(self.reference, str) else self.reference
 
 
