@@ -27,6 +27,8 @@ WIDTH, PERCENT = 5, 75
 K, MATCHES = 32, 13
 #: Rows of one side of a block of a long posting list.
 BLOCK = 1000
+#: Ids of documents to confirm that are sent to every task; beyond it they are joined.
+IDS = 2_000_000
 
 _U = np.uint64
 _STEP, _BACK = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -151,7 +153,10 @@ def _across(cell: pd.DataFrame) -> pd.DataFrame:
 
 def _sets_of(ids: DataFrame, docs: DataFrame, tables: Tables, name: str) -> DataFrame:
     """id, hashes: the full sets of the documents in ``ids`` (id)."""
-    some = docs.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    ids = tables.put(ids.select(F.col("id").alias("doc_id")).distinct(), f"{name}-ids")
+    few = ids.count() <= IDS  # else the texts have to move
+    some = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    some = some.dropDuplicates(["doc_id"])
     return tables.put(some.mapInPandas(_sets, "id long, hashes binary"), name)
 
 
