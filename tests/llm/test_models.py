@@ -66,14 +66,14 @@ def test_toxicity_held_out(spark, docs, nothing):
 
 
 def page(i, extra=""):
-    body = "".join(f"<p>para {i} {k} some words &eacute; here   and\n there</p>" for k in range(3 + i % 3))
+    body = "".join(f"<p>para {i} {k} some words &eacute; here   and\n there</p>" for k in range(6 + i % 3))
     return f"""<html><head><title>x{i}</title></head><body><div id=top class="site-header"><a href=/>Home</a></div><div class="menu"><ul><li><a>A<li><a>B</ul></div>
 <div class="content-{i}"><h1>Title {i}</h1><div class="ad">buy now</div>{body}{extra}<p>All rights to you, reader of this site</p></div><div class="sidebar"><p>side {i}</p></div>
 <div class="comments"><article class="comment"><p>great {i}</p></article></div><form><input><p>subscribe</p></form><footer>f {i}</footer></body></html>"""
 
 
 def text_of(i, extra=""):
-    return f"Title {i} " + " ".join(f"para {i} {k} some words é here and there" for k in range(3 + i % 3)) + extra
+    return f"Title {i} " + " ".join(f"para {i} {k} some words é here and there" for k in range(6 + i % 3)) + extra
 
 
 def test_wrappers_of_one_host(spark):
