@@ -61,13 +61,13 @@ class Bins:
         return [(i == k).cast("int").alias(f"{self.column}_DMY_{k}") for k in range(n)] + [(i == n).cast("int").alias(f"{self.column}_DMY_NaN")]
 
     def sql(self) -> str:
-        """The transform as a CASE expression."""
-        c = self.column
+        """The transform as a CASE expression; numbers in scientific form, which SQL reads as doubles."""
+        c, n = self.column, "{:.17e}".format
         if self.groups is not None:
-            arms = [f"WHEN {c} IN ({', '.join(repr(x) for x in g)}) THEN {w!r}" for g, w in zip(self.groups, self.woes, strict=True)]
+            arms = [f"WHEN {c} IN ({', '.join(repr(x) for x in g)}) THEN {n(w)}" for g, w in zip(self.groups, self.woes, strict=True)]
         else:
-            arms = [f"WHEN {c} < {e!r} THEN {w!r}" for e, w in zip(self.edges, self.woes, strict=False)] + [f"WHEN {c} IS NOT NULL THEN {self.woes[-1]!r}"]
-        return f"CASE WHEN {c} IS NULL THEN {self.nan_woe!r} {' '.join(arms)} ELSE {self.unknown_woe!r} END AS {c}_WOE"
+            arms = [f"WHEN {c} < {n(e)} THEN {n(w)}" for e, w in zip(self.edges, self.woes, strict=False)] + [f"WHEN {c} IS NOT NULL THEN {n(self.woes[-1])}"]
+        return f"CASE WHEN {c} IS NULL THEN {n(self.nan_woe)} {' '.join(arms)} ELSE {n(self.unknown_woe)} END AS {c}_WOE"
 
 
 def save(bins: Sequence[Bins]) -> str:

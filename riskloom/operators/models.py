@@ -150,7 +150,7 @@ class ScoreCard:
 
     def sql(self, table: str) -> str:
         inner = ", ".join(b.sql() for b in self.bins)
-        linear = " + ".join([repr(self.model.intercept), *(f"{beta!r} * {b.column}_WOE" for b, beta in zip(self.bins, self.model.coefficients, strict=True))])
+        linear = " + ".join([f"{self.model.intercept:.17e}", *(f"{beta:.17e} * {b.column}_WOE" for b, beta in zip(self.bins, self.model.coefficients, strict=True))])
         return f"SELECT *, 1 / (1 + exp(-({linear}))) AS score FROM (SELECT *, {inner} FROM {table})"
 
 

@@ -11,19 +11,24 @@ def read_stream(spark: SparkSession, path: str, schema, files: int = 10) -> Data
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """Watermarks need session-zone times; naive ones are read in the session's zone."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def tumbling(events: DataFrame, key: str, time: str, value: str, width: str, late: str) -> DataFrame:
     """Count, sum, least and largest value per entity and window; rows later than ``late`` behind the newest are dropped.
 
     The windows stand on the clock, not on each entity's reference time as batch slices do.
     """
     w = F.window(time, width)
-    out = events.withWatermark(time, late).groupBy(w.alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("most"))
+    out = _timed(events, time, late).groupBy(w.alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("most"))
     return out.select(key, F.col("w.start").alias("window_start"), "n", "total", "least", "most")
 
 
 def sessions(events: DataFrame, key: str, time: str, gap: str, late: str) -> DataFrame:
     """Runs of events with no pause longer than ``gap``."""
-    out = events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n"))
+    out = _timed(events, time, late).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n"))
     return out.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
