@@ -147,32 +147,32 @@ def _runs(places: np.ndarray) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of ``docs``; other columns are ignored.
 
-    Null text: empty. Of equal texts the smallest doc_id is looked at; the others go whole from 50 bytes on. Rows with one
-    doc_id and several texts count as documents of equal rank, and rows without a doc_id come after all others. Empty
-    tables give no rows.
+    Null text: empty. Of equal texts one row with the smallest doc_id is looked at; the others go whole from 50 bytes
+    on, so of a row that is repeated one stays. Rows with one doc_id and several texts take nothing from each other. Rows
+    without a doc_id come after all others. Empty tables give no rows.
     """
     spark = docs.sparkSession
     tables = Tables(spark)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc.alias("doc"), whole().alias("text")).withColumn("mark", F.md5("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc.alias("doc"), F.monotonically_increasing_id().alias("row"), whole().alias("text")).withColumn("mark", F.md5("text"))
     total = base.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     texts, parts = max(4, -(-total // TEXT_BYTES)), max(8, -(-total // (14 * STRETCHES)))
 
-    name = f"riskloom_texts_{uuid.uuid4().hex}"  # bucketed by document, so that no later join moves a text
-    base.write.bucketBy(texts, "doc").saveAsTable(name)
+    name = f"riskloom_texts_{uuid.uuid4().hex}"  # bucketed by row, so that no later join moves a text
+    base.write.bucketBy(texts, "row").saveAsTable(name)
     base = spark.table(name)
-    kept = tables.put(base.groupBy("mark").agg(F.min("doc").alias("doc")), "kept")
-    some = base.join(kept.select("doc", F.col("mark").alias("own")), "doc").where("mark = own").dropDuplicates(["doc", "mark"]).select("doc", "text")
+    kept = tables.put(base.groupBy("mark").agg(F.min(F.struct("doc", "row"))["row"].alias("row")), "kept")
+    some = base.select("doc", "row", "text").join(kept.select("row"), "row")
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for d, text in zip(batch["doc"], batch["text"], strict=True):
+            for d, row, text in zip(batch["doc"], batch["row"], batch["text"], strict=True):
                 _, _, anchor, mark = stretches(_bytes(text))
-                found.append((np.full(len(anchor), d), anchor, mark))
+                found.append((np.full(len(anchor), d), np.full(len(anchor), row), anchor, mark))
             if not found:
                 continue
-            d, anchor, mark = (np.concatenate(x) for x in zip(*found, strict=True))
+            d, row, anchor, mark = (np.concatenate(x) for x in zip(*found, strict=True))
             part = _part(anchor, parts)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
@@ -180,13 +180,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for p in range(parts):
                 if cuts[p] < cuts[p + 1]:
                     at = order[cuts[p] : cuts[p + 1]]
-                    heads = np.flatnonzero(np.concatenate(([True], d[at][1:] != d[at][:-1])))
-                    rows.append((p, d[at][heads].tobytes(), np.diff(np.concatenate((heads, [len(at)]))).astype(np.uint32).tobytes(), anchor[at].tobytes(), mark[at].tobytes()))
-            yield pd.DataFrame(rows, columns=["part", "docs", "counts", "anchors", "marks"])
+                    heads = np.flatnonzero(np.concatenate(([True], row[at][1:] != row[at][:-1])))
+                    rows.append((p, d[at][heads].tobytes(), row[at][heads].tobytes(), np.diff(np.concatenate((heads, [len(at)]))).astype(np.uint32).tobytes(), anchor[at].tobytes(), mark[at].tobytes()))
+            yield pd.DataFrame(rows, columns=["part", "docs", "rows", "counts", "anchors", "marks"])
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
-        """1 for a stretch that a smaller document has, 2 for one to compare, in the order of a document's stretches."""
-        ids, counts = (np.concatenate([np.frombuffer(x, t) for x in group[c]]).astype(np.int64) for c, t in (("docs", np.int64), ("counts", np.uint32)))
+        """1 for a stretch that a smaller document has, 2 for one to compare, in the order of a row's stretches."""
+        ids, own, counts = (np.concatenate([np.frombuffer(x, t) for x in group[c]]).astype(np.int64) for c, t in (("docs", np.int64), ("rows", np.int64), ("counts", np.uint32)))
         anchor, mark = (np.concatenate([np.frombuffer(x, np.uint64) for x in group[c]]) for c in ("anchors", "marks"))
         d = np.repeat(ids, counts)
         order = np.lexsort((d, mark, anchor))
@@ -200,15 +200,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         ends = np.cumsum(counts)
         busy = np.flatnonzero(np.add.reduceat(act > 0, ends - counts) > 0) if len(ends) else ends
         acts = [act[ends[i] - counts[i] : ends[i]].tobytes() for i in busy]
-        return pd.DataFrame({"doc": ids[busy], "part": np.repeat(group["part"].iloc[0], len(busy)), "acts": acts}) if len(busy) else pd.DataFrame({"doc": np.empty(0, np.int64), "part": np.empty(0, np.int64), "acts": []}, copy=False).astype({"acts": object})
+        return pd.DataFrame({"row": own[busy], "part": np.repeat(group["part"].iloc[0], len(busy)), "acts": acts}) if len(busy) else pd.DataFrame({"row": np.empty(0, np.int64), "part": np.empty(0, np.int64), "acts": []}, copy=False).astype({"acts": object})
 
-    acts = tables.put(some.mapInPandas(gather, "part long, docs binary, counts binary, anchors binary, marks binary").groupBy("part").applyInPandas(settle, "doc long, part long, acts binary"), "acts")
+    acts = tables.put(some.mapInPandas(gather, "part long, docs binary, rows binary, counts binary, anchors binary, marks binary").groupBy("part").applyInPandas(settle, "row long, part long, acts binary"), "acts")
     spark._jvm.System.gc()  # lets Spark drop the files of the shuffle that is over
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for d, text, acts_ in zip(batch["doc"], batch["text"], batch["acts"], strict=True):
+            for d, row, text, acts_ in zip(batch["doc"], batch["row"], batch["text"], batch["acts"], strict=True):
                 b = _bytes(text)
                 first, count, anchor, _ = stretches(b)
                 part, act = _part(anchor, parts), np.zeros(len(anchor), np.uint8)
@@ -218,14 +218,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 lo, hi = first[covered], first[covered] + count[covered] + LENGTH - 1
                 joins = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1]))) if len(lo) else lo
                 if len(lo):
-                    out.append((d, np.stack([lo[joins], np.concatenate((hi[joins[1:] - 1], hi[-1:]))], 1).ravel().astype(np.int64).tobytes(), None, 0, None))
+                    out.append((d, row, np.stack([lo[joins], np.concatenate((hi[joins[1:] - 1], hi[-1:]))], 1).ravel().astype(np.int64).tobytes(), None, 0, None))
                 for i in np.flatnonzero(act == 2):
-                    out.append((d, None, int(anchor[i].view(np.int64)), int(first[i]), b[first[i] : first[i] + count[i] + LENGTH - 1].tobytes()))
-            yield pd.DataFrame(out, columns=["doc", "covered", "anchor", "first", "string"]).astype({"anchor": "Int64"})
+                    out.append((d, row, None, int(anchor[i].view(np.int64)), int(first[i]), b[first[i] : first[i] + count[i] + LENGTH - 1].tobytes()))
+            yield pd.DataFrame(out, columns=["doc", "row", "covered", "anchor", "first", "string"]).astype({"anchor": "Int64"})
 
-    grouped = acts.groupBy("doc").agg(F.collect_list(F.struct("part", "acts")).alias("acts"))
-    found = tables.put(some.join(grouped, "doc").mapInPandas(locate, "doc long, covered binary, anchor long, first long, string binary"), "found")
-    open_ = found.where("string IS NOT NULL").select("doc", "anchor", "first", "string")
+    grouped = acts.groupBy("row").agg(F.collect_list(F.struct("part", "acts")).alias("acts"))
+    found = tables.put(some.join(grouped, "row").mapInPandas(locate, "doc long, row long, covered binary, anchor long, first long, string binary"), "found")
+    open_ = found.where("string IS NOT NULL").select("doc", "row", "anchor", "first", "string")
     hot = open_.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.octet_length("string") + 1).alias("b"))
     hot = tables.put(hot, "anchors")
     buckets = max(8, -(-(hot.where(F.col("n") <= HOT).agg(F.sum("b")).first()[0] or 0) // BUCKET_BYTES))
@@ -233,25 +233,25 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(group):
-            for d, f, places in zip(group["doc"], group["first"], repeated(list(group["string"]), group["doc"].to_numpy()), strict=True):
-                out += [(d, f + lo, f + hi) for lo, hi in _runs(places)]
-        return pd.DataFrame(out, columns=["doc", "lo", "hi"], dtype="int64")
+            for row, f, places in zip(group["row"], group["first"], repeated(list(group["string"]), group["doc"].to_numpy()), strict=True):
+                out += [(row, f + lo, f + hi) for lo, hi in _runs(places)]
+        return pd.DataFrame(out, columns=["row", "lo", "hi"], dtype="int64")
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for d, f, s in zip(batch["doc"], batch["first"], batch["string"], strict=True):
+            for d, row, f, s in zip(batch["doc"], batch["row"], batch["first"], batch["string"], strict=True):
                 n = len(s) - LENGTH + 1
-                yield pd.DataFrame({"doc": [d] * n, "lo": range(f, f + n), "own": [s[i : i + LENGTH] for i in range(n)]})
+                yield pd.DataFrame({"doc": [d] * n, "row": [row] * n, "lo": range(f, f + n), "own": [s[i : i + LENGTH] for i in range(n)]})
 
     cold = open_.join(hot.where(F.col("n") <= HOT).select("anchor"), "anchor").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    marks = cold.groupBy("bucket").applyInPandas(compare, "doc long, lo long, hi long")
+    marks = cold.groupBy("bucket").applyInPandas(compare, "row long, lo long, hi long")
     busy = hot.where(F.col("n") > HOT).select("anchor")
     if busy.limit(1).count():
-        alone = open_.join(busy, "anchor").mapInPandas(spread, "doc long, lo long, own binary").select("doc", "lo", F.md5("own").alias("own"))
+        alone = open_.join(busy, "anchor").mapInPandas(spread, "doc long, row long, lo long, own binary").select("doc", "row", "lo", F.md5("own").alias("own"))
         firsts = alone.groupBy("own").agg(F.min("doc").alias("least"))
-        marks = marks.unionByName(alone.join(firsts, "own").where("doc > least").select("doc", "lo", (F.col("lo") + LENGTH).alias("hi")))
-    marks = tables.put(marks.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")), "marks")
-    covered = found.where("covered IS NOT NULL").select("doc", "covered")
+        marks = marks.unionByName(alone.join(firsts, "own").where("doc > least").select("row", "lo", (F.col("lo") + LENGTH).alias("hi")))
+    marks = tables.put(marks.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")), "marks")
+    covered = found.where("covered IS NOT NULL").select("row", "covered")
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -272,7 +272,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 out.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(b[~gone].tobytes()).hexdigest()))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
 
-    owners = kept.select(F.col("doc"), F.col("mark").alias("own"), F.lit(True).alias("is_own"))
-    done = base.join(owners, (base["doc"] == owners["doc"]) & (base["mark"] == owners["own"]), "left").drop(owners["doc"]).drop("own")
-    done = done.join(covered, "doc", "left").join(marks, "doc", "left").select("doc_id", "text", F.col("is_own").isNull().alias("copy"), "covered", "marks")
-    return tables.put(done.mapInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "out")
+    owners = kept.select("row", F.lit(True).alias("own"))
+    done = base.select("doc_id", "row", "text").join(owners, "row", "left").join(covered, "row", "left").join(marks, "row", "left").select("doc_id", "text", F.col("own").isNull().alias("copy"), "covered", "marks")
+    out = tables.put(done.mapInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "out")
+    spark.sql(f"DROP TABLE {name}")
+    for table in ("kept", "acts", "found", "anchors", "marks"):
+        tables.drop(table)
+    return out
