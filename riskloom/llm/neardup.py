@@ -214,6 +214,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = tables.put(full.groupBy("element", "cell").applyInPandas(_across, "a long, b long"), "across")
     tables.drop("open-sets")
     final = components(links.unionByName(more), tables, "final")
+    for name in ("heads", "stars", "confirmed", "first", "open", "across"):
+        tables.drop(name)
 
     labels = reps.drop("sig").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("n", "mark1", "mark2", F.coalesce("component", "rep").alias("component_id"))
     alone = signed.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
