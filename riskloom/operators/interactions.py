@@ -1,0 +1,57 @@
+"""Two-way interactions: cells of binned pairs, groups of cells, and which pairs are worth it."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from riskloom.functions.expressions import bin_index
+from riskloom.operators.metrics import discrimination, quantile_edges
+
+
+def group_of(groups: Sequence[Sequence[tuple[Column, Column]]]) -> Column:
+    """Number of the group whose (row, column) condition holds; later groups overwrite earlier ones; -1 for none."""
+    out: Column = F.lit(-1)
+    for k, pairs in enumerate(groups):
+        for a, b in pairs:
+            out = F.when(a & b, F.lit(k)).otherwise(out)
+    return out
+
+
+def group_sql(name: str, groups: Sequence[Sequence[tuple[str, str]]]) -> str:
+    """The same over conditions as text; CASE takes the first arm, so the last group comes first."""
+    arms = [f"WHEN {a} AND {b} THEN {k}" for k, pairs in reversed(list(enumerate(groups))) for a, b in reversed(list(pairs))]
+    return f"CASE {' '.join(arms)} ELSE -1 END AS {name}"
+
+
+def pair_power(rows: DataFrame, columns: Sequence[str], target: str, bins: int = 5) -> DataFrame:
+    """Gini of the cell rates of every pair of binned columns, one aggregation a pair."""
+    index = {c: bin_index(F.col(c), quantile_edges(rows, c, bins)) for c in columns}
+    binned = rows.select(target, *[i.alias(c) for c, i in index.items()])
+    out = None
+    for a, b in combinations(columns, 2):
+        cells = binned.groupBy(a, b).agg(F.avg(F.col(target).cast("double")).alias("rate"), F.sum(target).cast("double").alias("bad"), F.sum(1 - F.col(target)).cast("double").alias("good"))
+        both = cells.select("rate", F.explode(F.array(F.struct(F.lit(1).alias("y"), F.col("bad").alias("w")), F.struct(F.lit(0).alias("y"), F.col("good").alias("w")))).alias("x")).select("rate", "x.*")
+        part = discrimination(both, "rate", "y", "w").select(F.lit(a).alias("a"), F.lit(b).alias("b"), "gini")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def potential(rows: DataFrame, column: str, moderator: str, target: str, bins: int = 10) -> DataFrame:
+    """By bin of a column: the rate below and above the moderator's mean, and their difference."""
+    mean = rows.agg(F.avg(moderator).alias("_mean"))
+    i = bin_index(F.col(column), quantile_edges(rows, column, bins))
+    t = rows.crossJoin(F.broadcast(mean)).groupBy(i.alias("bin")).agg(*[F.avg(F.when((F.col(moderator) > F.col("_mean")) == F.lit(v), F.col(target).cast("double"))).alias(n) for v, n in ((False, "rate_below"), (True, "rate_above"))])
+    return t.withColumn("difference", F.col("rate_above") - F.col("rate_below"))
+
+
+def largest_leap(rows: DataFrame, bin_: str, month: str, target: str) -> DataFrame:
+    """Per bin: the largest change of its rate between months in which its rank changes."""
+    t = rows.groupBy(month, bin_).agg(F.avg(F.col(target).cast("double")).alias("rate"))
+    t = t.withColumn("rank", F.dense_rank().over(Window.partitionBy(month).orderBy(F.col("rate").desc())))
+    w = Window.partitionBy(bin_).orderBy(month)
+    leap = F.when(F.col("rank") != F.lead("rank").over(w), F.abs(F.col("rate") - F.lead("rate").over(w)))
+    return t.withColumn("_leap", leap).groupBy(F.col(bin_).alias("bin")).agg(F.max("_leap").alias("leap"))
