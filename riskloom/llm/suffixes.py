@@ -25,7 +25,9 @@ from riskloom.llm.neardup import _mixed, _power
 
 LENGTH, PIECE = 50, 24
 #: Bytes of text that a bucket of the text table holds, stretches that a bucket of anchors holds, bytes a bucket of strings and a shard hold.
-TEXT_BYTES, STRETCHES, BUCKET_BYTES, SHARD_BYTES = 8 << 20, 1 << 19, 4 << 20, 1 << 20
+TEXT_BYTES, STRETCHES, BUCKET_BYTES, SHARD_BYTES = 8 << 20, 1 << 18, 1 << 20, 1 << 18
+#: Stretches a task holds before it sends them on.
+HELD = 1 << 18
 #: Stretches with one anchor from which it no longer goes to one task; its strings are then spread by their own hashes.
 HOT = 20_000
 
@@ -96,7 +98,7 @@ def _transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave of shards, and where a group of suffixes with ``depth`` common letters begins in it."""
     shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
-    group = np.zeros(len(shard), np.int64)
+    group = np.zeros(len(shard), np.int32)
     letters = np.empty(len(shard), np.uint16)
     for _ in range(depth):
         place = np.argsort(shard, kind="stable")  # the i-th place of a shard reads its i-th letter
@@ -104,7 +106,7 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
         order = np.argsort(letters, kind="stable")
         now, was = letters[order], group[order]
         border = np.concatenate(([False], (now[1:] != now[:-1]) | (was[1:] != was[:-1])))
-        shard, group = shard[order], np.cumsum(border)
+        shard, group = shard[order], np.cumsum(border, dtype=np.int32)
     return shard, group
 
 
@@ -164,25 +166,32 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     kept = tables.put(base.groupBy("mark").agg(F.min(F.struct("doc", "row"))["row"].alias("row")), "kept")
     some = base.select("doc", "row", "text").join(kept.select("row"), "row")
 
+    def packed(found: list) -> pd.DataFrame:
+        """A row for each bucket of anchors: documents, rows, how many stretches of each, anchors, hashes."""
+        d, row, anchor, mark = (np.concatenate(x) for x in zip(*found, strict=True))
+        part = _part(anchor, parts)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = []
+        for p in range(parts):
+            if cuts[p] < cuts[p + 1]:
+                at = order[cuts[p] : cuts[p + 1]]
+                heads = np.flatnonzero(np.concatenate(([True], row[at][1:] != row[at][:-1])))
+                rows.append((p, d[at][heads].tobytes(), row[at][heads].tobytes(), np.diff(np.concatenate((heads, [len(at)]))).astype(np.uint32).tobytes(), anchor[at].tobytes(), mark[at].tobytes()))
+        return pd.DataFrame(rows, columns=["part", "docs", "rows", "counts", "anchors", "marks"])
+
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
+            found, held = [], 0
             for d, row, text in zip(batch["doc"], batch["row"], batch["text"], strict=True):
                 _, _, anchor, mark = stretches(_bytes(text))
                 found.append((np.full(len(anchor), d), np.full(len(anchor), row), anchor, mark))
-            if not found:
-                continue
-            d, row, anchor, mark = (np.concatenate(x) for x in zip(*found, strict=True))
-            part = _part(anchor, parts)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = []
-            for p in range(parts):
-                if cuts[p] < cuts[p + 1]:
-                    at = order[cuts[p] : cuts[p + 1]]
-                    heads = np.flatnonzero(np.concatenate(([True], row[at][1:] != row[at][:-1])))
-                    rows.append((p, d[at][heads].tobytes(), row[at][heads].tobytes(), np.diff(np.concatenate((heads, [len(at)]))).astype(np.uint32).tobytes(), anchor[at].tobytes(), mark[at].tobytes()))
-            yield pd.DataFrame(rows, columns=["part", "docs", "rows", "counts", "anchors", "marks"])
+                held += len(anchor)
+                if held >= HELD:
+                    yield packed(found)
+                    found, held = [], 0
+            if found:
+                yield packed(found)
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         """1 for a stretch that a smaller document has, 2 for one to compare, in the order of a row's stretches."""
@@ -205,23 +214,29 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     acts = tables.put(some.mapInPandas(gather, "part long, docs binary, rows binary, counts binary, anchors binary, marks binary").groupBy("part").applyInPandas(settle, "row long, part long, acts binary"), "acts")
     spark._jvm.System.gc()  # lets Spark drop the files of the shuffle that is over
 
+    def located(rows: Iterator[tuple]) -> list[tuple]:
+        out = []
+        for d, row, text, acts_ in rows:
+            b = _bytes(text)
+            first, count, anchor, _ = stretches(b)
+            part, act = _part(anchor, parts), np.zeros(len(anchor), np.uint8)
+            for x in acts_:
+                act[part == x["part"]] = np.frombuffer(x["acts"], np.uint8)
+            covered = np.flatnonzero(act == 1)
+            lo, hi = first[covered], first[covered] + count[covered] + LENGTH - 1
+            if len(lo):
+                joins = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1])))
+                out.append((d, row, np.stack([lo[joins], np.concatenate((hi[joins[1:] - 1], hi[-1:]))], 1).ravel().astype(np.int64).tobytes(), None, 0, None))
+            for i in np.flatnonzero(act == 2):
+                out.append((d, row, None, int(anchor[i].view(np.int64)), int(first[i]), b[first[i] : first[i] + count[i] + LENGTH - 1].tobytes()))
+        return out
+
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for d, row, text, acts_ in zip(batch["doc"], batch["row"], batch["text"], batch["acts"], strict=True):
-                b = _bytes(text)
-                first, count, anchor, _ = stretches(b)
-                part, act = _part(anchor, parts), np.zeros(len(anchor), np.uint8)
-                for x in acts_:
-                    act[part == x["part"]] = np.frombuffer(x["acts"], np.uint8)
-                covered = np.flatnonzero(act == 1)
-                lo, hi = first[covered], first[covered] + count[covered] + LENGTH - 1
-                joins = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1]))) if len(lo) else lo
-                if len(lo):
-                    out.append((d, row, np.stack([lo[joins], np.concatenate((hi[joins[1:] - 1], hi[-1:]))], 1).ravel().astype(np.int64).tobytes(), None, 0, None))
-                for i in np.flatnonzero(act == 2):
-                    out.append((d, row, None, int(anchor[i].view(np.int64)), int(first[i]), b[first[i] : first[i] + count[i] + LENGTH - 1].tobytes()))
-            yield pd.DataFrame(out, columns=["doc", "row", "covered", "anchor", "first", "string"]).astype({"anchor": "Int64"})
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                out = located(zip(part["doc"], part["row"], part["text"], part["acts"], strict=True))
+                yield pd.DataFrame(out, columns=["doc", "row", "covered", "anchor", "first", "string"]).astype({"anchor": "Int64"})
 
     grouped = acts.groupBy("row").agg(F.collect_list(F.struct("part", "acts")).alias("acts"))
     found = tables.put(some.join(grouped, "row").mapInPandas(locate, "doc long, row long, covered binary, anchor long, first long, string binary"), "found")
