@@ -243,3 +243,43 @@ def weighted_quantiles(rows: DataFrame, column: str, weight: str, shares: Sequen
     picks = [F.min(F.when(F.col("cum_w") >= F.lit(s) * F.col("all_w") - 1e-9, F.col("v")))for s in shares]
     made = F.array(*[F.struct(F.lit(s).alias("share"), p.alias("value")) for s, p in zip(shares, picks, strict=True)])
     return t.agg(made.alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def grow_uplift(table: Sequence[tuple[float, float, float, float, float]], leaves: int, least: float) -> list[float]:
+    """Edges of a best-first tree over (value, treated rows, their targets, other rows, their targets): the split that sets
+    the uplifts of its sides furthest apart comes first."""
+    n = len(table)
+    sums = [[0.0] * 4]
+    for row in table:
+        sums.append([a + b for a, b in zip(sums[-1], row[1:], strict=True)])
+
+    def split(i: int, j: int) -> tuple[float, int]:
+        best = (0.0, 0)
+        for k in range(i + 1, j):
+            sides = [[b - a for a, b in zip(sums[x], sums[y], strict=True)] for x, y in ((i, k), (k, j))]
+            if all(s[0] >= least and s[2] >= least for s in sides):
+                up = [s[1] / s[0] - s[3] / s[2] for s in sides]
+                size = [s[0] + s[2] for s in sides]
+                best = max(best, ((up[0] - up[1]) ** 2 * size[0] * size[1] / sum(size), -k))
+        return best
+
+    open_, edges = {(0, n): split(0, n)}, []
+    while len(edges) + 1 < leaves and open_:
+        (i, j), (gain, k) = max(open_.items(), key=lambda x: (x[1][0], -x[0][0]))
+        if gain <= 1e-12:
+            break
+        edges.append((table[-k - 1][0] + table[-k][0]) / 2)
+        del open_[i, j]
+        open_[i, -k], open_[-k, j] = split(i, -k), split(-k, j)
+    return sorted(edges)
+
+
+def fit_uplift(rows: DataFrame, column: str, target: str, treated: str, groups: int = 4, least: float = 1) -> list[float]:
+    """Edges for uplift from the values' counts; at most VALUES distinct values."""
+    cell = lambda t: [F.sum((F.col(treated) == t).cast("double")), F.sum(F.when(F.col(treated) == t, F.col(target)).otherwise(0).cast("double"))]
+    names = ("n1", "y1", "n0", "y0")
+    t = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(*[c.alias(n) for n, c in zip(names, [*cell(1), *cell(0)], strict=True)])
+    found = t.orderBy("v").limit(VALUES + 1).collect()
+    if len(found) > VALUES:
+        raise ValueError(f"{column} has more than {VALUES} values; bin it first")
+    return grow_uplift([(r["v"], r["n1"], r["y1"], r["n0"], r["y0"]) for r in found], groups, least)

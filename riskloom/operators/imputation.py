@@ -63,3 +63,22 @@ def impute_target(rows: DataFrame, target: str, probability: str, mode: str = "w
     else:
         drawn = (p >= cutoff).cast("int")
     return rows.withColumn(target, F.when(unknown, drawn).otherwise(F.col(target))).withColumn("weight", F.lit(1.0))
+
+
+def quantile_imputer(rows: DataFrame, score: str, target: str, bins: int = 20) -> float | None:
+    """Mean score of the quantile bin whose rate, made to rise with the score, is nearest to that of rows without a score."""
+    i = bin_index(F.col(score), quantile_edges(rows, score, bins))
+    t = rows.where(F.col(target).isNotNull()).groupBy(i.alias("bin")).agg(F.count("*").alias("n"), F.avg(F.col(target).cast("double")).alias("rate"), F.avg(F.col(score).cast("double")).alias("mean")).collect()  # one row a bin
+    missing = next((r["rate"] for r in t if r["bin"] is None), None)
+    known = sorted((r for r in t if r["bin"] is not None), key=lambda r: r["bin"])
+    if missing is None or not known:
+        return None
+    rising = isotonic([(r["rate"], r["n"]) for r in known])
+    return known[min(range(len(known)), key=lambda k: (abs(rising[k] - missing), k))]["mean"]
+
+
+def by_correlation(rows: DataFrame, column: str, target: str) -> DataFrame:
+    """One row: the mean of a column times the ratio of rates, inverted where the column falls with the target."""
+    has, y = F.col(column).isNotNull(), F.col(target).cast("double")
+    r = ratio(F.avg(F.when(~has, y)), F.avg(y))
+    return rows.agg((F.avg(column) * F.when(F.corr(column, target) >= 0, r).otherwise(ratio(F.lit(1.0), r))).alias("imputed"))

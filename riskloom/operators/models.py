@@ -168,3 +168,16 @@ def partial_dependence(rows: DataFrame, model: Logit, column: str, points: Seque
             linear = linear + F.lit(b) * (F.lit(float(p)) if c == column else F.col(c))
         made.append(F.struct(F.lit(float(p)).alias("point"), F.avg(expit(linear)).alias("mean_score")))
     return rows.agg(F.array(*made).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def bootstrap_logit(rows: DataFrame, columns: Sequence[str], target: str, key: str, replicates: int = 5, seed: int = 1) -> Logit:
+    """Mean coefficients of fits on Poisson-weighted rows; weights come from a hash of the key."""
+    fits = []
+    for i in range(replicates):
+        u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(i)), F.lit(10**9)) + 0.5) / 1e9
+        w = F.lit(0.0)
+        for cut in (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941):
+            w = w + (u > cut).cast("double")
+        fits.append(fit_logit(rows.withColumn("_w", w).where("_w > 0"), columns, target, "_w"))
+    mean = lambda xs: float(np.mean(xs))
+    return Logit(list(columns), [mean([f.coefficients[k] for f in fits]) for k in range(len(columns))], mean([f.intercept for f in fits]))

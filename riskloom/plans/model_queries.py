@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators import binning, collections, models
+from riskloom.operators import binning, collections, imputation, models
 from riskloom.plans.catalogue import register, table
 from riskloom.plans.scoring_queries import POP, population
 from riskloom.sources import tables
@@ -86,3 +86,9 @@ def selected(s: SparkSession, d: str) -> DataFrame:
 register("L01_stepwise", selected)
 register("R25_R27_partial_dependence", lambda s, d: models.partial_dependence(population(s, d), models.Logit(["l_quantity", "l_discount"], [0.01, -2.0], 0.1), "l_quantity", [1, 25, 50]), POP + ", k AS (SELECT unnest([1.0::DOUBLE, 25.0::DOUBLE, 50.0::DOUBLE]) AS point) SELECT point, avg(1 / (1 + exp(-(0.1 + 0.01 * point - 2.0 * l_discount)))) AS mean_score FROM p, k GROUP BY point", "point mean_score")
 register("L07_variable_clusters", lambda s, d: s.createDataFrame(sorted(models.cluster_variables(population(s, d), ["l_quantity", "l_discount", "l_extendedprice"], 0.5).items()), "column string, cluster int"))
+register("C02_bootstrap_impact", lambda s, d: collections.bootstrap_impact(population(s, d), "yr", "l_quantity", "treated", "l_orderkey", 10))
+register("C04_W13_trajectories", lambda s, d: collections.trajectories(population(s, d), "yr", "seg", "l_extendedprice", 5))
+register("I05_by_correlation", lambda s, d: imputation.by_correlation(population(s, d).withColumn("x", F.when(F.col("l_quantity") > 10, F.col("l_discount"))), "x", "y"))
+register("I03_quantile_imputer", lambda s, d: s.createDataFrame([(imputation.quantile_imputer(population(s, d).withColumn("x", F.when(F.col("l_quantity") > 10, F.col("l_extendedprice"))), "x", "y"),)], "imputed double"))
+register("L05_bootstrap_logit", lambda s, d: population(s, d).select("l_orderkey", "l_linenumber", models.bootstrap_logit(population(s, d), ["l_quantity", "l_discount"], "y", "l_orderkey", 2).score().alias("score")))
+register("B06_uplift_binning", lambda s, d: binning.net_woe(population(s, d), binning.bin_index(F.col("l_quantity"), binning.fit_uplift(population(s, d), "l_quantity", "y", "treated", 3, 50)), "y", "treated"))
