@@ -2,7 +2,7 @@
 
 Every document has K MinHash coordinates; each (coordinate, value) pair is an element with a posting list. Two sets with
 a similarity of 0.75 agree in a coordinate with a chance of 0.75, so fewer than MATCHES agreements of K come about in
-about one of 200,000 such pairs, and more rarely for nearer ones. Pairs with MATCHES agreements share an element among the
+about one of 125,000 such pairs, and more rarely for nearer ones. Pairs with MATCHES agreements share an element among the
 K - MATCHES + 1 rarest of either (prefix merging); elements of one document are skipped. Candidates are then confirmed on
 the full shingle sets.
 
