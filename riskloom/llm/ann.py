@@ -120,7 +120,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id"
     known = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & _usable("v"))
     copies = Window.partitionBy(F.md5(F.concat_ws(",", F.transform("v", lambda c: (c + 0.0).cast("string"))))).orderBy("id")
     index = tables.put(known(rows).withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1).drop("_n"), "index")
-    sample = index.orderBy(F.md5(F.col("id").cast("string"))).limit(SAMPLE).select("v").toPandas()["v"]
+    sample = index.orderBy(F.md5(F.col("id").cast("string"))).limit(SAMPLE).select("v").toArrow().to_pandas()["v"]
     found = "query_id long, rank int, vec_id long, score double"
     if not len(sample):
         return spark.createDataFrame([], found)
