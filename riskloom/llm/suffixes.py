@@ -25,7 +25,7 @@ from riskloom.llm.neardup import _mixed, _power
 
 LENGTH, PIECE = 50, 24
 #: Bytes of text that a bucket of the text table holds, stretches that a bucket of anchors holds, bytes a bucket of strings and a shard hold.
-TEXT_BYTES, STRETCHES, BUCKET_BYTES, SHARD_BYTES = 8 << 20, 1 << 18, 1 << 20, 1 << 18
+TEXT_BYTES, STRETCHES, BUCKET_BYTES, SHARD_BYTES = 8 << 20, 1 << 18, 1 << 19, 1 << 17
 #: Stretches a task holds before it sends them on.
 HELD = 1 << 18
 #: Stretches with one anchor from which it no longer goes to one task; its strings are then spread by their own hashes.
@@ -226,9 +226,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             lo, hi = first[covered], first[covered] + count[covered] + LENGTH - 1
             if len(lo):
                 joins = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1])))
-                out.append((d, row, np.stack([lo[joins], np.concatenate((hi[joins[1:] - 1], hi[-1:]))], 1).ravel().astype(np.int64).tobytes(), None, 0, None))
+                out.append((d, row, np.stack([lo[joins], np.concatenate((hi[joins[1:] - 1], hi[-1:]))], 1).ravel().astype(np.int64).tobytes(), None, None, None))
+            places: dict[tuple[int, bytes], list[int]] = {}  # a stretch that a row repeats is compared once
             for i in np.flatnonzero(act == 2):
-                out.append((d, row, None, int(anchor[i].view(np.int64)), int(first[i]), b[first[i] : first[i] + count[i] + LENGTH - 1].tobytes()))
+                places.setdefault((int(anchor[i].view(np.int64)), b[first[i] : first[i] + count[i] + LENGTH - 1].tobytes()), []).append(int(first[i]))
+            out += [(d, row, None, a, np.array(at, np.int64).tobytes(), own) for (a, own), at in places.items()]
         return out
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,11 +238,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
                 out = located(zip(part["doc"], part["row"], part["text"], part["acts"], strict=True))
-                yield pd.DataFrame(out, columns=["doc", "row", "covered", "anchor", "first", "string"]).astype({"anchor": "Int64"})
+                yield pd.DataFrame(out, columns=["doc", "row", "covered", "anchor", "firsts", "string"]).astype({"anchor": "Int64"})
 
     grouped = acts.groupBy("row").agg(F.collect_list(F.struct("part", "acts")).alias("acts"))
-    found = tables.put(some.join(grouped, "row").mapInPandas(locate, "doc long, row long, covered binary, anchor long, first long, string binary"), "found")
-    open_ = found.where("string IS NOT NULL").select("doc", "row", "anchor", "first", "string")
+    found = tables.put(some.join(grouped, "row").mapInPandas(locate, "doc long, row long, covered binary, anchor long, firsts binary, string binary"), "found")
+    open_ = found.where("string IS NOT NULL").select("doc", "row", "anchor", "firsts", "string")
     hot = open_.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.octet_length("string") + 1).alias("b"))
     hot = tables.put(hot, "anchors")
     buckets = max(8, -(-(hot.where(F.col("n") <= HOT).agg(F.sum("b")).first()[0] or 0) // BUCKET_BYTES))
@@ -248,15 +250,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(group):
-            for row, f, places in zip(group["row"], group["first"], repeated(list(group["string"]), group["doc"].to_numpy()), strict=True):
-                out += [(row, f + lo, f + hi) for lo, hi in _runs(places)]
+            for row, firsts, places in zip(group["row"], group["firsts"], repeated(list(group["string"]), group["doc"].to_numpy()), strict=True):
+                out += [(row, f + lo, f + hi) for lo, hi in _runs(places) for f in np.frombuffer(firsts, np.int64).tolist()]
         return pd.DataFrame(out, columns=["row", "lo", "hi"], dtype="int64")
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for d, row, f, s in zip(batch["doc"], batch["row"], batch["first"], batch["string"], strict=True):
+            for d, row, firsts, s in zip(batch["doc"], batch["row"], batch["firsts"], batch["string"], strict=True):
                 n = len(s) - LENGTH + 1
-                yield pd.DataFrame({"doc": [d] * n, "row": [row] * n, "lo": range(f, f + n), "own": [s[i : i + LENGTH] for i in range(n)]})
+                for f in np.frombuffer(firsts, np.int64).tolist():
+                    yield pd.DataFrame({"doc": [d] * n, "row": [row] * n, "lo": range(f, f + n), "own": [s[i : i + LENGTH] for i in range(n)]})
 
     cold = open_.join(hot.where(F.col("n") <= HOT).select("anchor"), "anchor").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
     marks = cold.groupBy("bucket").applyInPandas(compare, "row long, lo long, hi long")
