@@ -113,3 +113,19 @@ def test_pipeline_on_small_tables(spark):
     for _, f in corpus_pipeline.STAGES:
         empty = f(spark, empty, d)
     assert empty.count() == 0
+
+
+def bare(i, kind="content"):
+    """A page without an article, from a host of two kinds of pages; links cut its blocks into pieces."""
+    body = "".join(f"<p>word{i}_{k} says <a href=/>link</a>, and <em>more {i}</em>.</p>" for k in range(8))
+    return f'<html><body><div class="top"><p>Welcome to the site</p><p>Menu of {i}</p></div><div class="{kind}"><h2>Introduction</h2>{body}<p>Printed by the host</p></div><div class="side"><p>seen {i} times</p></div></body></html>'
+
+
+def bare_text(i):
+    return " ".join(f"word{i}_{k} says link, and more {i}." for k in range(8))
+
+
+def test_slots_of_the_wrapper_decide(spark):
+    rows = [(i, f"https://two.example.org/{i}", bare(i, "content" if i % 2 else "story")) for i in range(10)]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(bare_text(i) in got[i] and "Welcome" not in got[i] and "seen" not in got[i] for i in range(10))
