@@ -129,3 +129,13 @@ def test_slots_of_the_wrapper_decide(spark):
     rows = [(i, f"https://two.example.org/{i}", bare(i, "content" if i % 2 else "story")) for i in range(10)]
     got = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(bare_text(i) in got[i] and "Welcome" not in got[i] and "seen" not in got[i] for i in range(10))
+
+
+def test_template_is_whole_blocks_of_all_pages(spark):
+    rows = [(i, f"https://one.example.org/{i}", bare(i)) for i in range(10)]
+    own = [(i, f"https://own.example.org/{i}", f"<body><article><h2>Introduction</h2><p>a{i} <a>b</a>, and <em>c{i}</em>.</p></article></body>") for i in range(20, 30)]
+    late = [(i, f"https://late.example.org/{i}", bare(i).replace("Printed by the host", f"Only {i}" if i >= 44 else "Printed by the host")) for i in range(40, 70)]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows + own + late, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == bare_text(i) for i in range(10))
+    assert all(got[i] == f"Introduction a{i} b, and c{i}." for i in range(20, 30))
+    assert all(bare_text(i) in got[i] and ("Printed" in got[i] or f"Only {i}" in got[i]) for i in range(40, 70))
