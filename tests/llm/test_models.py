@@ -139,3 +139,18 @@ def test_template_is_whole_blocks_of_all_pages(spark):
     assert all(got[i] == bare_text(i) for i in range(10))
     assert all(got[i] == f"Introduction a{i} b, and c{i}." for i in range(20, 30))
     assert all(bare_text(i) in got[i] and ("Printed" in got[i] or f"Only {i}" in got[i]) for i in range(40, 70))
+
+
+@pytest.mark.parametrize("page", [
+    '<body class="has-sidebar"><article><p>T x</p></article></body>',
+    '<body class="search no-sidebar"><main class="search-enabled"><p>T x</p></main></body>',
+    '<body><div class="entry-content share-on"><p>T x</p></div></body>',
+    '<body><article class="post hidden-title"><p>T x</p></article></body>',
+    '<body><article><div class="article-header"><h1>T</h1></div><p>x</p></article></body>',
+    '<body><article><header class="entry-header header"><h1>T</h1></header><p>x</p></article></body>',
+    '<body><div class="widget"><article><p>T x</p></article></div></body>',
+    '<body><form><article><p title="a hidden gem">T x</p></article></form></body>',
+    '<body><article><p>T x</p><p hidden>no</p><div class="share">no</div></article><div class="related"><article><p>no</p></article></div></body>',
+])
+def test_names_of_furniture_are_whole_tokens(page):
+    assert wrappers.extract(page, None) == "T x"
