@@ -24,8 +24,9 @@ from riskloom.llm.common import Tables, whole
 FIT_ROWS = 40_000
 #: Of the fitted rows, those with crc32 mod 16 in this range calibrate; the others fill the tree.
 CALIBRATE = (12, 16)
-DEPTH, DISCOUNT, LEAST, NODES = 12, 0.75, 3, 1 << 18
-SLOTS = 1 << 20
+DEPTH, DISCOUNT = 12, 0.75
+#: A prefix seen less often backs off: its words go by their longest prefix seen as often as this, whatever the number of nodes.
+LEAST = 3
 THRESHOLD = 0.3
 
 _U = np.uint64
@@ -82,9 +83,28 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _summed(found)
 
 
+def _slots(keys: np.ndarray, size: int) -> np.ndarray:
+    return (_mixed(keys) >> _U(65 - size.bit_length())).astype(np.int64)
+
+
+def _table(keys: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every key and its ratio in an open table of a power of two of places."""
+    size = 1 << max(10, (2 * len(keys)).bit_length())
+    held, values = np.zeros(size, np.uint64), np.zeros(size, np.float32)
+    left, slot = np.arange(len(keys)), _slots(keys, size)
+    while len(left):
+        free = np.flatnonzero(held[slot[left]] == 0)
+        _, first = np.unique(slot[left[free]], return_index=True)
+        put = left[free[first]]
+        held[slot[put]], values[slot[put]] = keys[put], ratios[put]
+        left = left[held[slot[left]] != keys[left]]
+        slot[left] = (slot[left] + 1) % size
+    return held, values
+
+
 @dataclass
 class Tree:
-    """Ratios of prefixes in an open table of SLOTS places, the size of the model whatever it was fitted on."""
+    """Ratios of all prefixes seen LEAST times in an open table that is at most half full; a taken place sends a key to the next."""
 
     keys: np.ndarray
     ratios: np.ndarray
@@ -95,9 +115,14 @@ class Tree:
         b, starts, ends = _words(text)
         n, ratio = len(starts), np.zeros(len(starts), np.float32)
         for _, at, _, child, _ in _prefixes(b, starts, ends):
-            slot = (_mixed(child) >> _U(64 - 20)).astype(np.int64)
-            known = self.keys[slot] == child
-            ratio[at[known]] = self.ratios[slot[known]]
+            slot = _slots(child, len(self.keys))
+            left = np.flatnonzero(self.keys[slot] != 0)
+            while len(left):
+                known = self.keys[slot[left]] == child[left]
+                ratio[at[left[known]]] = self.ratios[slot[left[known]]]
+                left = left[~known]
+                slot[left] = (slot[left] + 1) % len(self.keys)
+                left = left[self.keys[slot[left]] != 0]
         if not n:
             return np.zeros(4)
         strong = ratio > 2
@@ -110,26 +135,21 @@ def _tree(grown: DataFrame, tables: Tables) -> Tree:
     parents = nodes.groupBy("parent").agg(F.sum("tox").alias("all_tox"), F.sum("ord").alias("all_ord"), kinds("tox"), kinds("ord"))
     grams = nodes.groupBy("gram").agg(F.count("*").alias("places"))
     before = nodes.groupBy(F.shiftright("gram", 8).alias("before")).agg(F.count("*").alias("all_places"))
-    rich = nodes.where(F.col("tox") + F.col("ord") >= LEAST).orderBy((F.col("tox") + F.col("ord")).desc(), "node").limit(NODES)
-    t = rich.join(parents, "parent").join(grams, "gram").withColumn("before", F.shiftright("gram", 8)).join(before, "before").drop("gram", "before").toArrow().to_pandas()
-    shared = (t["places"] + 0.5) / (t["all_places"] + 128)
-    side = lambda c: (np.maximum(t[c] - DISCOUNT, 0) + DISCOUNT * t[f"kinds_{c}"] * shared) / np.maximum(t[f"all_{c}"], 1)
+    shared = grams.withColumn("before", F.shiftright("gram", 8)).join(before, "before").select("gram", ((F.col("places") + 0.5) / (F.col("all_places") + 128)).alias("shared"))
     # A class that never came to the parent has the backoff alone.
-    p = {c: np.where(t[f"all_{c}"] > 0, side(c), shared) for c in ("tox", "ord")}
-    step = np.log(p["tox"] / p["ord"])
-    keys, parent = t["node"].to_numpy(np.int64).view(np.uint64), t["parent"].to_numpy(np.int64).view(np.uint64)
+    side = lambda c: F.when(F.col(f"all_{c}") > 0, (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"kinds_{c}") * F.col("shared")) / F.col(f"all_{c}")).otherwise(F.col("shared"))
+    steps = nodes.where(F.col("tox") + F.col("ord") >= LEAST).join(parents, "parent").join(F.broadcast(shared), "gram")  # three bytes a gram
+    t = steps.select("node", "parent", F.log(side("tox") / side("ord")).cast("float").alias("step")).toArrow()
+    keys, parent, step = (t[c].to_numpy() for c in ("node", "parent", "step"))
+    keys, parent = keys.view(np.uint64), parent.view(np.uint64)
     order = np.argsort(keys)
-    keys, parent, step, size = keys[order], parent[order], step[order], (t["tox"] + t["ord"]).to_numpy()[order]
+    keys, parent, step = keys[order], parent[order], step[order]
     up = np.clip(np.searchsorted(keys, parent), 0, max(len(keys) - 1, 0))
     child = (keys[up] == parent) if len(keys) else np.zeros(0, bool)
     ratio = step.copy()
     for _ in range(DEPTH):
-        ratio = step + np.where(child, ratio[up], 0)
-    slot_keys, slot_ratios = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.float32)
-    slot = (_mixed(keys) >> _U(64 - 20)).astype(np.int64)
-    by = np.argsort(size, kind="stable")  # of two nodes in one place the more frequent stays
-    slot_keys[slot[by]], slot_ratios[slot[by]] = keys[by], ratio[by]
-    return Tree(slot_keys, slot_ratios)
+        ratio = step + np.where(child, ratio[up], np.float32(0))
+    return Tree(*_table(keys, ratio))
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 2) -> Tree:

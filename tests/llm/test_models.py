@@ -154,3 +154,17 @@ def test_template_is_whole_blocks_of_all_pages(spark):
 ])
 def test_names_of_furniture_are_whole_tokens(page):
     assert wrappers.extract(page, None) == "T x"
+
+
+def test_toxicity_keeps_every_prefix(spark):
+    """More nodes than any fixed table: each prefix that is seen three times has its own place."""
+    rng = np.random.default_rng(4)
+    words = ["".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (36_000, 11))]
+    texts = [" ".join(words[k % 40 :: 40]) for k in range(120)]
+    df = spark.createDataFrame([(t, k % 2) for k, t in enumerate(texts)], "text string, toxic int")
+    tree = toxicity._tree(df.mapInPandas(toxicity._counted, "node long, parent long, gram int, tox long, ord long"), toxicity.Tables(spark))
+    want = set()
+    for t in texts[:40]:
+        for _, _, _, child, _ in toxicity._prefixes(*toxicity._words(t)):
+            want |= set(child.tolist())
+    assert len(want) > 1 << 18 and set(tree.keys[tree.keys != 0].tolist()) == want
