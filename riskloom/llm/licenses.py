@@ -1,6 +1,6 @@
 """License scans by sentence rules: sentences become identifiers, sequences of identifiers become licences.
 
-Texts are cut into sentences, sentences are normalised to words, known ones get an identifier, and ordered rules are matched
+Lines of a paragraph are joined and cut into sentences, sentences are normalised to words, what is known in them gets identifiers, and ordered rules are matched
 against the sequence of identifiers; what a rule matches is taken out before the next one. DataFrame functions only.
 """
 
@@ -82,12 +82,28 @@ RULES = (
 )
 
 
+#: Paragraphs also end after a line with an SPDX identifier and before a line with a copyright and its year.
+PARAGRAPHS = ((r"\r\n?", "\n"), (r"(spdx-license-identifier[^\n]*)\n", "$1\n\n"), (r"\n(?=[^a-z0-9\n]*(c[^a-z0-9\n]+)?copyright[^a-z0-9\n]+(c[^a-z0-9\n]+)?[0-9]{4})", "\n\n"), (r"\n[^a-z0-9\n]*(?=\n)", "\x01"), (r"\n", " "), (r"([.!?])[ \t]+", "$1\x01"))
+#: A second licence of a sentence is read as if it repeated the words before the first.
+AGAIN = (
+    (r"under either( of)?( the)? ", "under the "),
+    (r"(?<=(licensed|released|available) under .{0,200}) (or|and|and or)( under)?(?= (the |a )?(terms of the )?(mit license|apache license|(3 clause |2 clause |new |modified )?bsd license|gnu (lesser |affero )?general public license|cc by|creative commons))", " licensed under"),
+    (r"(?<=licensed under) (?=(mit|apache|bsd|gnu) )", " the "),
+    (r"(?<=spdx license identifier .{0,200}) (or|and)(?! later)(?= )", " spdx license identifier"),
+)
+
+
+def _within(pattern: str) -> str:
+    """A sentence's pattern for a part of it, which ends before the next licence."""
+    return pattern.replace("^.*spdx", "spdx").replace("$", "(?= spdx|$)").replace(".*version", "((?!licensed under)[^<])*?version")
+
+
 def _identifiers(text: Column) -> Column:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    cut = F.split(F.regexp_replace(F.translate(text, upper, lower), r"([.!?;])[ \t\r]+", "$1\n"), r"\n+")
-    plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    known = lambda s: reduce(lambda c, p: c.when(s.rlike(p[1]), F.lit(f"<{p[0]}>")), SENTENCES, F).otherwise(F.lit(""))
-    return F.array_join(F.transform(plain, known), "")
+    replaced = lambda c, steps: reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), steps, c)
+    plain = F.transform(F.split(replaced(F.translate(text, upper, lower), PARAGRAPHS), "\x01"), lambda s: replaced(F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")), AGAIN))
+    known = F.transform(plain, lambda s: replaced(s, [(_within(p), f"<{n}>") for n, p in SENTENCES]))
+    return F.array_join(F.flatten(F.transform(known, lambda s: F.regexp_extract_all(s, F.lit("(<[a-z0-9_]+>)"), F.lit(1)))), "")
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -106,3 +106,21 @@ def test_licenses(spark, docs, nothing):
     assert [got[i]["licenses"] for i in range(8)] == ["MIT", "Apache-2.0", "MIT,CC-BY-NC", "GPL-3.0", "", "", "", "MIT"]
     assert got[0]["n_sentences"] == 3 and got[0]["identifiers"] == "<mit_grant><mit_notice><as_is>"
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(nothing).count() == 0
+
+
+def test_licenses_wrapped_and_dual(spark):
+    texts = {
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above\ncopyright notice.": "BSD-2-Clause",
+        "Copyright (c) 2020 A\n\nPermission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that": "ISC",
+        " * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or later.": "GPL-3.0",
+        "You can modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License.": "GPL-2.0",
+        "Licensed under the MIT License or the Apache License, Version 2.0.": "MIT,Apache-2.0",
+        "// SPDX-License-Identifier: MIT OR Apache-2.0\nint main;": "MIT,Apache-2.0",
+        "// SPDX-License-Identifier: GPL-2.0 or later\nint main;": "GPL-2.0",
+        "by A\nCopyright 2020 A\nAll rights reserved": "All-Rights-Reserved",
+        "Licensed under the GNU General Public License, version 2, or the MIT License.": "GPL-2.0,MIT",
+        "Licensed under the Apache License, Version 2.0. Distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND.": "Apache-2.0",
+    }
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {t: set(got[i]["licenses"].split(",")) for i, t in enumerate(texts)} == {t: set(w.split(",")) for t, w in texts.items()}
+    assert got[9]["identifiers"] == "<apache2><apache_basis>"
