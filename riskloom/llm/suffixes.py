@@ -1,299 +1,473 @@
 """Repeated passages by merging Burrows-Wheeler transforms.
 
 A 50-byte string belongs to the anchor with the least hash among its 24-byte pieces, so equal strings, wherever they stand,
-come to one place. Stretches of strings with one anchor are first folded: a stretch that a smaller document has as well is
-covered whole, and an anchor with one stretch is settled. What is left, stretches that differ but share an anchor, is put in
-buckets. There each shard of strings gets its transform, and the transforms are merged by refining their interleave 50
-times: a step reads the letters in the present order and sorts them stably, and a border appears where a letter or the group
-before differs. Groups without a border inside share their first 50 bytes; their least document keeps them. No suffix of one
-shard is ever compared with one of another.
+meet at one anchor. Anchors are only a filter: one that stands once in the corpus has no repeat. A run of strings with one
+anchor is a stretch. Texts lie in chunks, and every exchange is between chunks and parts of the anchors, so however many rows
+share a passage, it comes once from each chunk:
+
+1. each chunk sends its anchors, by part; a part tells which of them others have as well;
+2. the chunk sends the bytes of the stretches of those anchors, each distinct one once, with its least document;
+3. where an anchor has different stretches, each shard of them gets its transform, and the transforms are merged by refining
+   their interleave 50 times: a step reads the letters in the present order and sorts them stably, and a border appears
+   where a letter or the group before differs. Groups without a border inside are the repeated intervals: their suffixes
+   share their first 50 bytes, and their least document is known. No suffix of one shard is compared with one of another;
+4. the least documents go back to the chunks, which drop what a smaller document has.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import Tables, whole
-from riskloom.llm.neardup import _mixed, _power
+from riskloom.llm.neardup import _mixed
 
 LENGTH, PIECE = 50, 24
-#: Bytes of text that a bucket of the text table holds, stretches that a bucket of anchors holds, bytes a bucket of strings and a shard hold.
-TEXT_BYTES, STRETCHES, BUCKET_BYTES, SHARD_BYTES = 8 << 20, 1 << 18, 1 << 19, 1 << 17
-#: Stretches a task holds before it sends them on.
-HELD = 1 << 18
-#: Stretches with one anchor from which it no longer goes to one task; its strings are then spread by their own hashes.
-HOT = 20_000
+#: Bytes of text of a chunk (a longer text is a chunk of its own), and of the block that is hashed at a time.
+CHUNK, BLOCK = 4 << 20, 1 << 17
+#: Bytes of text for each part of the anchors, for each bucket of stretches, and for each bucket of the table of chunks.
+PART, BUCKET, LOT = 32 << 20, 4 << 20, 16 << 20
+#: Bytes of stretches with one anchor from which they no longer stay together: each of their strings is then its own anchor.
+HOT = 2 << 20
+#: Letters of a shard and of the shards that are merged at once; whole anchors, so one may be longer.
+SHARD, MERGED = 1 << 14, 1 << 16
 
 _U = np.uint64
+_A, _B, _C = (_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_UP = np.multiply.accumulate(np.full(BLOCK + LENGTH, _A, np.uint64))
 
 
-def stretches(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of 50-byte strings with one anchor: first string, number of strings, anchor, hash of the bytes they cover."""
-    none = np.empty(0, np.int64)
-    if len(b) < LENGTH:
-        return none, none, np.empty(0, np.uint64), np.empty(0, np.uint64)
-    up, down = _power(len(b) + 1)
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + _U(1)) * up[: len(b)], out=sums[1:])
-    least = _mixed((sums[PIECE:] - sums[:-PIECE]) * down[: len(b) - PIECE + 1])
-    wide, want = 1, LENGTH - PIECE + 1
-    while 2 * wide <= want:
-        least = np.minimum(least[:-wide], least[wide:])
-        wide *= 2
-    if want > wide:
-        least = np.minimum(least[: len(least) - (want - wide)], least[want - wide :])
-    turns = np.flatnonzero(least[1:] != least[:-1]) + 1
-    first = np.concatenate(([0], turns))
-    count = np.diff(np.concatenate((first, [len(least)])))
-    end = first + count + LENGTH - 1
-    return first, count, least[first], _mixed((sums[end] - sums[first]) * down[first] + end.astype(np.uint64) - first.astype(np.uint64))
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places starts[i], ..., starts[i] + counts[i] - 1 of all i, one after the other."""
+    out = np.arange(int(counts.sum()))
+    return out + np.repeat(starts - (np.cumsum(counts) - counts), counts)
 
 
-def _bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+def _eights(b: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number."""
+    return np.ndarray((len(b) - 7,), "<u8", b, strides=(1,)).astype(np.uint64)
 
 
-def _part(anchor: np.ndarray, parts: int) -> np.ndarray:
-    return (_mixed(anchor) % _U(parts)).astype(np.int64)
-
-
-def _sorted_suffixes(letters: np.ndarray, strings: np.ndarray) -> np.ndarray:
-    """Suffix array of one shard by doubling; the 0 that ends a string ranks by the string's number."""
-    ends = letters == 0
-    rank = letters.astype(np.int64) + int(ends.sum())
-    rank[ends] = strings[ends]
-    step, n = 1, len(letters)
+def _least(b: np.ndarray) -> np.ndarray:
+    """For each 50-byte string of ``b`` the least hash of its 24-byte pieces."""
+    w = _eights(b)
+    h = w[: len(w) - 16] * _A
+    h += w[8 : len(w) - 8] * _B
+    h += w[16:] * _C
+    h ^= h >> _U(29)
+    h *= _B
+    h ^= h >> _U(32)
+    wide, want = 1, LENGTH - PIECE + 1
+    while 2 * wide <= want:
+        h = np.minimum(h[:-wide], h[wide:])
+        wide *= 2
+    return np.minimum(h[: len(h) - (want - wide)], h[want - wide :]) if want > wide else h
+
+
+def _blocks(ends: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
+    """Neighbouring texts as (start, end, number), up to a block at a time; of a longer text parts that share 49 bytes."""
+    now, start = [], 0
+    for k, end in enumerate(ends.tolist()):
+        if end - start >= LENGTH:
+            if now and end - now[0][0] > BLOCK:
+                yield now
+                now = []
+            if end - start > BLOCK:
+                for at in range(start, end - LENGTH + 1, BLOCK - LENGTH + 1):
+                    yield [(at, min(end, at + BLOCK), k)]
+            else:
+                now.append((start, end, k))
+        start = end
+    if now:
+        yield now
+
+
+def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of 50-byte strings with one anchor in texts that end at ``ends``: first string, number of strings, anchor, text."""
+    out = []
+    for parts in _blocks(ends):
+        low, high = parts[0][0], parts[-1][1]
+        least = _least(data[low:high])
+        fits = np.zeros(len(least) + 2, bool)  # a string fits in its text; none does before and after the block
+        for start, end, _ in parts:
+            fits[start - low + 1 : end - low - LENGTH + 2] = True
+        change = least[1:] != least[:-1]
+        first = np.flatnonzero(fits[1:-1] & (~fits[:-2] | np.concatenate(([True], change))))
+        last = np.flatnonzero(fits[1:-1] & (~fits[2:] | np.concatenate((change, [True]))))
+        text = np.array([k for _, _, k in parts])[np.searchsorted(np.array([s for s, _, _ in parts]), first + low, side="right") - 1]
+        out.append((first + low, last - first + 1, _mixed(least[first]), text))
+    none = np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, np.empty(0, np.uint64), none)
+
+
+def _dealt(anchor: np.ndarray, parts: int) -> np.ndarray:
+    """Part and 32 further bits of an anchor in one number, so that sorting it sorts by part."""
+    return (anchor % _U(parts)) << _U(32) | anchor >> _U(32)
+
+
+class Chunk:
+    """Texts of a row of the table of chunks and their stretches."""
+
+    def __init__(self, row, parts: int):
+        self.doc, sizes = (np.frombuffer(row[c], np.int64) for c in ("docs", "sizes"))
+        self.ends = np.cumsum(sizes)
+        self.data = np.frombuffer(zlib.decompress(row["data"]), np.uint8)
+        self.first, self.count, self.anchor, self.text = stretches(self.data, self.ends)
+        self.key = _dealt(self.anchor, parts)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys in order, the number of bytes of their stretches, and for each stretch its key's place."""
+        keys, place = np.unique(self.key, return_inverse=True)
+        return keys, np.bincount(place, weights=self.count + LENGTH - 1, minlength=len(keys)).astype(np.int64), place
+
+    def strings(self, shared: np.ndarray, hot: np.ndarray, buckets: int) -> None:
+        """Keep the shared stretches, hot ones string by string, with ``bytes``, ``mark``, and ``which`` distinct one each is."""
+        cold = np.flatnonzero(shared & ~hot)
+        apart = np.flatnonzero(shared & hot)
+        n = self.count[apart]
+        self.first = np.concatenate((self.first[cold], _spread(self.first[apart], n)))
+        self.text = np.concatenate((self.text[cold], np.repeat(self.text[apart], n)))
+        self.anchor = np.concatenate((self.anchor[cold], np.zeros(n.sum(), np.uint64)))
+        self.count = np.concatenate((self.count[cold], np.ones(n.sum(), np.int64)))
+        mark = np.empty(len(self.first), np.uint64)
+        for at in range(0, len(mark), 8192):
+            first, size = self.first[at : at + 8192], self.count[at : at + 8192] + LENGTH - 1
+            weighed = (self.data[_spread(first, size)].astype(np.uint64) + _U(1)) * _UP[_spread(np.zeros(len(size), np.int64), size)]
+            mark[at : at + 8192] = _mixed(np.add.reduceat(weighed, np.cumsum(size) - size) + size.astype(np.uint64))
+        alone = slice(len(cold), None)
+        self.anchor[alone] = mark[alone]
+        bucket = (_mixed(self.anchor) % _U(buckets)).astype(np.int64)
+        order = np.lexsort((self.doc[self.text], mark, self.anchor, bucket))
+        new = np.ones(len(order), bool)
+        new[1:] = (self.anchor[order][1:] != self.anchor[order][:-1]) | (mark[order][1:] != mark[order][:-1])
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        self.own = order[new]  # of each distinct stretch the one with the least document
+        self.bucket, self.mark = bucket[self.own], mark[self.own]
+
+
+def transform(letters: np.ndarray, string: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array and transform of strings, each ended by a 0; ``left`` are the letters to that end, itself included.
+
+    Sorted by packs of letters, then by doubling; suffixes that are equal up to their end go by their string's number.
+    """
+    n, bits = len(letters), int(letters.max()).bit_length() or 1
+    step = min(62 // bits, 16)
+    key, wide = np.zeros(n, np.int64), np.concatenate((letters.astype(np.int64), np.zeros(step, np.int64)))
+    for j in range(step):
+        key = key << bits | np.where(left > j, wide[j : j + n], 0)
+    order = np.argsort(key)
     while True:
-        key = rank * (n + 300) + np.concatenate((rank[step:], np.zeros(min(step, n), np.int64)))[:n]
-        order = np.argsort(key, kind="stable")
         fresh = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
+        if fresh[-1] == n - 1:
+            break
         rank = np.empty(n, np.int64)
         rank[order] = fresh
-        if fresh[-1] == n - 1:
-            return order
+        after = rank[np.minimum(np.arange(n) + step, n - 1)]
+        key = rank * (n + 1) + np.where(left > step, after, string)
+        order = np.argsort(key)
         step *= 2
-
-
-def _transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and transform of strings, each ended by 0; bytes are letters 1 to 256."""
-    lengths = np.array([len(s) + 1 for s in strings])
-    letters = np.zeros(lengths.sum(), np.uint16)
-    inside = np.ones(len(letters), bool)
-    inside[np.cumsum(lengths) - 1] = False
-    letters[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
-    suffixes = _sorted_suffixes(letters, np.repeat(np.arange(len(strings)), lengths))
-    starts = np.cumsum(lengths) - lengths
-    before = np.roll(letters, 1)
-    before[starts] = 0
-    return suffixes, before[suffixes]
+    before = np.concatenate(([0], letters[:-1])).astype(letters.dtype)  # the letter before a string's first is the 0 of the one before it
+    return order, before[order]
 
 
 def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave of shards, and where a group of suffixes with ``depth`` common letters begins in it."""
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
+    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8 if len(transforms) < 256 else np.uint16), [len(t) for t in transforms])
     group = np.zeros(len(shard), np.int32)
-    letters = np.empty(len(shard), np.uint16)
+    every = np.concatenate(transforms)
+    letters = np.empty_like(every)
+    border = np.zeros(len(shard), bool)
     for _ in range(depth):
-        place = np.argsort(shard, kind="stable")  # the i-th place of a shard reads its i-th letter
-        letters[place] = np.concatenate(transforms)
+        letters[np.argsort(shard, kind="stable")] = every  # the i-th place of a shard reads its i-th letter
         order = np.argsort(letters, kind="stable")
         now, was = letters[order], group[order]
-        border = np.concatenate(([False], (now[1:] != now[:-1]) | (was[1:] != was[:-1])))
+        np.not_equal(was[1:], was[:-1], out=border[1:])
+        border[1:] |= now[1:] != now[:-1]
         shard, group = shard[order], np.cumsum(border, dtype=np.int32)
     return shard, group
 
 
-def repeated(strings: list[bytes], docs: np.ndarray, depth: int = LENGTH) -> list[np.ndarray]:
-    """For each string, the places where ``depth`` bytes start that a string of a smaller document holds as well."""
-    shards, now, size = [], [], 0
-    for i, s in enumerate(strings):
-        now.append(i)
-        size += len(s) + 1
-        if size >= SHARD_BYTES or i == len(strings) - 1:
-            shards.append(now)
-            now, size = [], 0
-    made = [_transform([strings[i] for i in part]) for part in shards]
+def least_documents(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+    """For each ``depth``-byte string of the strings in ``data``, in order, the least document of a string that holds it."""
+    used, codes = np.unique(data, return_inverse=True)
+    letters = np.zeros(len(data) + len(sizes), np.uint8 if len(used) < 256 else np.uint16)
+    ends = np.cumsum(sizes + 1) - 1
+    inside = np.ones(len(letters), bool)
+    inside[ends] = False
+    letters[inside] = codes + 1
+    string = np.repeat(np.arange(len(sizes)), sizes + 1)
+    left = ends[string] - np.arange(len(letters)) + 1
+    turn = (ends // SHARD)[string]  # shards are of whole strings
+    cuts = np.concatenate(([0], np.flatnonzero(turn[1:] != turn[:-1]) + 1, [len(letters)]))
+    made = [transform(letters[a:b], string[a:b] - string[a], left[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     shard, group = merge([t for _, t in made], depth)
-    owner, offset = np.empty(len(shard), np.int64), np.empty(len(shard), np.int64)
-    for j, (part, (suffixes, _)) in enumerate(zip(shards, made, strict=True)):
-        lengths = np.array([len(strings[i]) + 1 for i in part])
-        which = np.repeat(np.arange(len(part)), lengths)[suffixes]
-        at = shard == j
-        owner[at], offset[at] = np.array(part)[which], suffixes - (np.cumsum(lengths) - lengths)[which]
-    full = offset + depth <= np.array([len(s) for s in strings])[owner]
-    doc = np.where(full, docs[owner], np.iinfo(np.int64).max)
+    place = np.empty(len(letters), np.int64)  # where the suffix of each place of the interleave begins
+    place[np.argsort(shard, kind="stable")] = np.concatenate([a + suffixes for a, (suffixes, _) in zip(cuts, made, strict=False)])
+    full = left[place] > depth
+    doc = np.where(full, docs[string[place]], np.iinfo(np.int64).max)
     heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    least = np.repeat(np.minimum.reduceat(doc, heads), np.diff(np.concatenate((heads, [len(doc)]))))
-    hit = full & (doc > least)
-    out_owner, out_offset = owner[hit], offset[hit]
-    by = np.lexsort((out_offset, out_owner))
-    cuts = np.searchsorted(out_owner[by], np.arange(len(strings) + 1))
-    return [out_offset[by][cuts[i] : cuts[i + 1]] for i in range(len(strings))]
+    out = np.empty(len(letters), np.int64)
+    out[place] = np.repeat(np.minimum.reduceat(doc, heads), np.diff(np.concatenate((heads, [len(doc)]))))
+    return out[left > depth]
 
 
-def _runs(places: np.ndarray) -> list[tuple[int, int]]:
-    """Covered byte runs of strings that start at sorted places."""
-    if not len(places):
-        return []
-    breaks = np.flatnonzero(np.diff(places) > 1)
-    return list(zip(places[np.concatenate(([0], breaks + 1))].tolist(), (places[np.concatenate((breaks, [len(places) - 1]))] + LENGTH).tolist(), strict=True))
+def repeated(strings: list[bytes], docs: np.ndarray, depth: int = LENGTH) -> list[np.ndarray]:
+    """For each string, the places where ``depth`` bytes start that a string of a smaller document holds as well."""
+    sizes = np.array([len(s) for s in strings])
+    least = least_documents(np.frombuffer(b"".join(strings), np.uint8), sizes, np.asarray(docs), depth)
+    cuts = np.cumsum(np.maximum(sizes - depth + 1, 0))
+    return [np.flatnonzero(x < d) for x, d in zip(np.split(least, cuts[:-1]), docs, strict=True)]
+
+
+def _windows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all 50-byte strings of the strings in ``data``, and which string each is of."""
+    w = _eights(data)
+    h = np.zeros(max(0, len(data) - LENGTH + 1), np.uint64)
+    for k, at in enumerate((*range(0, LENGTH - 8, 8), LENGTH - 8)):
+        h += w[at : at + len(h)] * _UP[k]
+        h ^= h >> _U(31)
+        h *= _B
+    count = sizes - LENGTH + 1
+    return h[_spread(starts, count)], np.repeat(np.arange(len(sizes)), count)
+
+
+def _compared(anchor: np.ndarray, data: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings in the order of their anchors -> for those with a string that another one holds as well: which, and the
+    least documents of all their 50-byte strings, one after the other."""
+    starts = np.cumsum(sizes) - sizes
+    hashes, owner = _windows(data, starts, sizes)
+    _, place, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    at = np.flatnonzero(times[place] > 1)  # a filter: what stands once needs no merge
+    count = sizes - LENGTH + 1
+    base = np.cumsum(count) - count
+    least = np.repeat(docs, count)
+    if not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    heads = np.flatnonzero(np.concatenate(([True], owner[at][1:] != owner[at][:-1])))
+    who = owner[at][heads]
+    low = at[heads] - base[who]
+    high = at[np.concatenate((heads[1:] - 1, [len(at) - 1]))] - base[who]
+    cut, size = starts[who] + low, high - low + LENGTH
+    turn, begun, last = np.zeros(len(who), np.int64), 0, None
+    begin = np.flatnonzero(np.concatenate(([True], anchor[who][1:] != anchor[who][:-1])))
+    for a, b in zip(begin.tolist(), np.concatenate((begin[1:], [len(who)])).tolist(), strict=True):
+        n = int(size[a:b].sum()) + b - a
+        if last is None or begun + n > MERGED:
+            begun, last = 0, a
+        begun += n
+        turn[a:b] = last
+    for a in np.unique(turn):
+        part = np.flatnonzero(turn == a)
+        got = least_documents(data[_spread(cut[part], size[part])], size[part], docs[who[part]])
+        least[_spread(base[who[part]] + low[part], size[part] - LENGTH + 1)] = got
+    return who, least[_spread(base[who], count[who])]
+
+
+def compare(group: pd.DataFrame) -> pd.DataFrame:
+    """A row for each chunk of a bucket: for its stretches, in its order, runs of 50-byte strings and their least documents."""
+    of = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in group[c]])
+    anchor, mark, docs, sizes, data = of("anchors", np.uint64), of("marks", np.uint64), of("docs", np.int64), of("sizes", np.uint32).astype(np.int64), of("data", np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    order = np.lexsort((docs, mark, anchor))
+    a, m = anchor[order], mark[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (m[1:] != m[:-1])))
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    own = order[new]  # equal stretches are one with the least document
+    a, least, size = anchor[own], docs[own], sizes[own]
+    heads = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+    several = np.repeat(np.diff(np.concatenate((heads, [len(a)]))) > 1, np.diff(np.concatenate((heads, [len(a)]))))
+    runs, lengths, values = np.ones(len(own), np.int64), size - LENGTH + 1, least
+    if several.any():
+        s = np.flatnonzero(several)
+        who, found = _compared(a[s], data[_spread(starts[own[s]], size[s])], size[s], least[s])
+        if len(who):
+            who = s[who]
+            count = size[who] - LENGTH + 1
+            turn = np.ones(len(found), bool)
+            turn[1:] = found[1:] != found[:-1]
+            turn[np.cumsum(count) - count] = True
+            heads = np.flatnonzero(turn)
+            runs[who] = np.add.reduceat(turn.astype(np.int64), np.cumsum(count) - count)
+            base = np.cumsum(runs) - runs
+            long_, vals = np.repeat(lengths, runs), np.repeat(values, runs)
+            at = _spread(base[who], runs[who])
+            long_[at], vals[at] = np.diff(np.concatenate((heads, [len(found)]))), found[heads]
+            lengths, values = long_, vals
+    base = np.cumsum(runs) - runs
+    out, at = [], 0
+    for chunk, n in zip(group["chunk"], [len(x) // 8 for x in group["marks"]], strict=True):
+        mine = which[at : at + n]
+        at += n
+        all_ = _spread(base[mine], runs[mine])
+        out.append((chunk, 1, group["bucket"].iloc[0], runs[mine].astype(np.uint32).tobytes(), lengths[all_].astype(np.uint32).tobytes(), values[all_].tobytes()))
+    return pd.DataFrame(out, columns=["chunk", "kind", "number", "x", "y", "z"])
+
+
+def settle(group: pd.DataFrame) -> pd.DataFrame:
+    """A row for each chunk of a part: a bit for each of its anchors that stands elsewhere as well, and for each hot one."""
+    keys, sizes = (np.concatenate([np.frombuffer(x, np.uint32) for x in group[c]]) for c in ("keys", "sizes"))
+    order = np.argsort(keys, kind="stable")
+    heads = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+    size = np.add.reduceat(sizes[order].astype(np.int64), heads)
+    times = np.diff(np.concatenate((heads, [len(keys)])))
+    code = np.empty(len(keys), np.uint8)  # an even size: one stretch of one text; the last bit says more
+    more = np.bitwise_or.reduceat(sizes[order] & 1, heads) > 0
+    code[order] = np.repeat(np.where((times > 1) | more, np.where(size // 2 > HOT, 3, 1), 0), times)
+    out, at = [], 0
+    for chunk, n in zip(group["chunk"], [len(x) // 4 for x in group["keys"]], strict=True):
+        own = code[at : at + n]
+        at += n
+        if own.any():
+            out.append((chunk, 0, group["part"].iloc[0], np.packbits(own & 1).tobytes(), np.packbits(own >> 1).tobytes() if (own > 1).any() else None, None))
+    return pd.DataFrame(out, columns=["chunk", "kind", "number", "x", "y", "z"], dtype=object).astype({"chunk": "int64", "kind": "int32", "number": "int32"})
+
+
+ANSWER = "chunk long, kind int, number int, x binary, y binary, z binary"
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of ``docs``; other columns are ignored.
 
-    Null text: empty. Of equal texts one row with the smallest doc_id is looked at; the others go whole from 50 bytes
-    on, so of a row that is repeated one stays. Rows with one doc_id and several texts take nothing from each other. Rows
-    without a doc_id come after all others. Empty tables give no rows.
+    Null text: empty. Equal texts are looked at once, with their least doc_id; those of a greater doc_id go whole from 50
+    bytes on. Rows with one doc_id take nothing from each other, be their texts equal or not. Rows without a doc_id come
+    after all others. Empty tables give no rows.
     """
     spark = docs.sparkSession
     tables = Tables(spark)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc.alias("doc"), F.monotonically_increasing_id().alias("row"), whole().alias("text")).withColumn("mark", F.md5("text"))
-    total = base.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    texts, parts = max(4, -(-total // TEXT_BYTES)), max(8, -(-total // (14 * STRETCHES)))
-
-    name = f"riskloom_texts_{uuid.uuid4().hex}"  # bucketed by row, so that no later join moves a text
-    base.write.bucketBy(texts, "row").saveAsTable(name)
-    base = spark.table(name)
-    kept = tables.put(base.groupBy("mark").agg(F.min(F.struct("doc", "row"))["row"].alias("row")), "kept")
-    some = base.select("doc", "row", "text").join(kept.select("row"), "row")
-
-    def packed(found: list) -> pd.DataFrame:
-        """A row for each bucket of anchors: documents, rows, how many stretches of each, anchors, hashes."""
-        d, row, anchor, mark = (np.concatenate(x) for x in zip(*found, strict=True))
-        part = _part(anchor, parts)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        rows = []
-        for p in range(parts):
-            if cuts[p] < cuts[p + 1]:
-                at = order[cuts[p] : cuts[p + 1]]
-                heads = np.flatnonzero(np.concatenate(([True], row[at][1:] != row[at][:-1])))
-                rows.append((p, d[at][heads].tobytes(), row[at][heads].tobytes(), np.diff(np.concatenate((heads, [len(at)]))).astype(np.uint32).tobytes(), anchor[at].tobytes(), mark[at].tobytes()))
-        return pd.DataFrame(rows, columns=["part", "docs", "rows", "counts", "anchors", "marks"])
-
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc.alias("doc"), F.unhex(F.md5(whole())).alias("mark"), whole().alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    parts, buckets, lots = max(4, -(-total // PART)), max(8, -(-total // BUCKET)), max(8, -(-total // LOT))
+
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            text = batch["text"].cast(pa.large_binary())
+            cuts = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, 8 * text.offset)
+            data = memoryview(text.buffers()[2] or b"")
+            own, mark = batch["doc"].to_numpy(zero_copy_only=False), batch["mark"].to_pylist()
+            at = 0
+            while at < len(text):
+                to = min(len(text), max(at + 1, int(np.searchsorted(cuts, cuts[at] + CHUNK))))
+                name = int.from_bytes(mark[at][:8], "little", signed=True)  # a text is in one chunk, so its hash names it
+                yield pa.RecordBatch.from_pylist([{"chunk": name, "docs": own[at:to].tobytes(), "sizes": np.diff(cuts[at : to + 1]).tobytes(), "marks": b"".join(mark[at:to]), "data": zlib.compress(data[int(cuts[at]) : int(cuts[to])], 1)}], schema=chunk_schema)
+                at = to
+
+    chunk_schema = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("marks", pa.binary()), ("data", pa.binary())])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, held = [], 0
-            for d, row, text in zip(batch["doc"], batch["row"], batch["text"], strict=True):
-                _, _, anchor, mark = stretches(_bytes(text))
-                found.append((np.full(len(anchor), d), np.full(len(anchor), row), anchor, mark))
-                held += len(anchor)
-                if held >= HELD:
-                    yield packed(found)
-                    found, held = [], 0
-            if found:
-                yield packed(found)
-
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        """1 for a stretch that a smaller document has, 2 for one to compare, in the order of a row's stretches."""
-        ids, own, counts = (np.concatenate([np.frombuffer(x, t) for x in group[c]]).astype(np.int64) for c, t in (("docs", np.int64), ("rows", np.int64), ("counts", np.uint32)))
-        anchor, mark = (np.concatenate([np.frombuffer(x, np.uint64) for x in group[c]]) for c in ("anchors", "marks"))
-        d = np.repeat(ids, counts)
-        order = np.lexsort((d, mark, anchor))
-        a, m = anchor[order], mark[order]
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (m[1:] != m[:-1])))
-        least = d[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        heads = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-        kinds = np.repeat(np.add.reduceat(new.astype(np.int64), heads), np.diff(np.concatenate((heads, [len(a)]))))
-        act = np.empty(len(d), np.uint8)
-        act[order] = np.where(d[order] > least, 1, np.where(kinds > 1, 2, 0))
-        ends = np.cumsum(counts)
-        busy = np.flatnonzero(np.add.reduceat(act > 0, ends - counts) > 0) if len(ends) else ends
-        acts = [act[ends[i] - counts[i] : ends[i]].tobytes() for i in busy]
-        return pd.DataFrame({"row": own[busy], "part": np.repeat(group["part"].iloc[0], len(busy)), "acts": acts}) if len(busy) else pd.DataFrame({"row": np.empty(0, np.int64), "part": np.empty(0, np.int64), "acts": []}, copy=False).astype({"acts": object})
-
-    acts = tables.put(some.mapInPandas(gather, "part long, docs binary, rows binary, counts binary, anchors binary, marks binary").groupBy("part").applyInPandas(settle, "row long, part long, acts binary"), "acts")
-    spark._jvm.System.gc()  # lets Spark drop the files of the shuffle that is over
-
-    def located(rows: Iterator[tuple]) -> list[tuple]:
+            for row in batch.to_pylist():
+                chunk = Chunk(row, parts)
+                keys, sizes, place = chunk.anchors()
+                # twice the size, and 1 more where several stretches have the anchor
+                sizes = np.minimum(2 * sizes, 2**31).astype(np.uint32) + (np.bincount(place, minlength=len(keys)) > 1)
+                part, low = (keys >> _U(32)).astype(np.int64), keys.astype(np.uint32)
+                heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else part
+                cut = list(zip(heads, [*heads[1:], len(part)], strict=True)) if len(part) else []
+                yield pa.RecordBatch.from_pydict({"part": part[heads].astype(np.int32), "chunk": np.full(len(heads), row["chunk"], np.int64), "keys": [low[a:b].tobytes() for a, b in cut], "sizes": [sizes[a:b].astype(np.uint32).tobytes() for a, b in cut]}, schema=part_schema)
+
+    part_schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("sizes", pa.binary())])
+
+    def opened(row, answers: pd.DataFrame) -> Chunk | None:
+        """The chunk with its shared stretches, or nothing if it has none."""
+        bits = {r["number"]: (r["x"], r["y"]) for _, r in answers[answers["kind"] == 0].iterrows()}
+        if not bits:
+            return None
+        chunk = Chunk(row, parts)
+        keys, _, place = chunk.anchors()
+        part = (keys >> _U(32)).astype(np.int64)
+        flags = np.zeros((2, len(keys)), bool)
+        for number, both in bits.items():
+            a, b = np.searchsorted(part, [number, number + 1])
+            for k, packed in enumerate(both):
+                if packed is not None:
+                    flags[k, a:b] = np.unpackbits(np.frombuffer(packed, np.uint8), count=b - a).astype(bool)
+        chunk.strings(flags[0][place], flags[1][place], buckets)
+        return chunk
+
+    def located(chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for d, row, text, acts_ in rows:
-            b = _bytes(text)
-            first, count, anchor, _ = stretches(b)
-            part, act = _part(anchor, parts), np.zeros(len(anchor), np.uint8)
-            for x in acts_:
-                act[part == x["part"]] = np.frombuffer(x["acts"], np.uint8)
-            covered = np.flatnonzero(act == 1)
-            lo, hi = first[covered], first[covered] + count[covered] + LENGTH - 1
-            if len(lo):
-                joins = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1])))
-                out.append((d, row, np.stack([lo[joins], np.concatenate((hi[joins[1:] - 1], hi[-1:]))], 1).ravel().astype(np.int64).tobytes(), None, None, None))
-            places: dict[tuple[int, bytes], list[int]] = {}  # a stretch that a row repeats is compared once
-            for i in np.flatnonzero(act == 2):
-                places.setdefault((int(anchor[i].view(np.int64)), b[first[i] : first[i] + count[i] + LENGTH - 1].tobytes()), []).append(int(first[i]))
-            out += [(d, row, None, a, np.array(at, np.int64).tobytes(), own) for (a, own), at in places.items()]
-        return out
-
-    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                out = located(zip(part["doc"], part["row"], part["text"], part["acts"], strict=True))
-                yield pd.DataFrame(out, columns=["doc", "row", "covered", "anchor", "firsts", "string"]).astype({"anchor": "Int64"})
-
-    grouped = acts.groupBy("row").agg(F.collect_list(F.struct("part", "acts")).alias("acts"))
-    found = tables.put(some.join(grouped, "row").mapInPandas(locate, "doc long, row long, covered binary, anchor long, firsts binary, string binary"), "found")
-    open_ = found.where("string IS NOT NULL").select("doc", "row", "anchor", "firsts", "string")
-    hot = open_.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.octet_length("string") + 1).alias("b"))
-    hot = tables.put(hot, "anchors")
-    buckets = max(8, -(-(hot.where(F.col("n") <= HOT).agg(F.sum("b")).first()[0] or 0) // BUCKET_BYTES))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        for _, row in chunks.iterrows():
+            if (chunk := opened(row, answers)) is None:
+                continue
+            heads = np.flatnonzero(np.concatenate(([True], chunk.bucket[1:] != chunk.bucket[:-1])))
+            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(chunk.bucket)], strict=True):
+                own = chunk.own[a:b]
+                size = chunk.count[own] + LENGTH - 1
+                out.append((chunk.bucket[a], row["chunk"], chunk.anchor[own].tobytes(), chunk.mark[a:b].tobytes(), chunk.doc[chunk.text[own]].tobytes(), size.astype(np.uint32).tobytes(), chunk.data[_spread(chunk.first[own], size)].tobytes()))
+        return pd.DataFrame(out, columns=["bucket", "chunk", "anchors", "marks", "docs", "sizes", "data"], dtype=object).astype({"bucket": "int32", "chunk": "int64"})
+
+    def finished(chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(group):
-            for row, firsts, places in zip(group["row"], group["firsts"], repeated(list(group["string"]), group["doc"].to_numpy()), strict=True):
-                out += [(row, f + lo, f + hi) for lo, hi in _runs(places) for f in np.frombuffer(firsts, np.int64).tolist()]
-        return pd.DataFrame(out, columns=["row", "lo", "hi"], dtype="int64")
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for d, row, firsts, s in zip(batch["doc"], batch["row"], batch["firsts"], batch["string"], strict=True):
-                n = len(s) - LENGTH + 1
-                for f in np.frombuffer(firsts, np.int64).tolist():
-                    yield pd.DataFrame({"doc": [d] * n, "row": [row] * n, "lo": range(f, f + n), "own": [s[i : i + LENGTH] for i in range(n)]})
-
-    cold = open_.join(hot.where(F.col("n") <= HOT).select("anchor"), "anchor").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    marks = cold.groupBy("bucket").applyInPandas(compare, "row long, lo long, hi long")
-    busy = hot.where(F.col("n") > HOT).select("anchor")
-    if busy.limit(1).count():
-        alone = open_.join(busy, "anchor").mapInPandas(spread, "doc long, row long, lo long, own binary").select("doc", "row", "lo", F.md5("own").alias("own"))
-        firsts = alone.groupBy("own").agg(F.min("doc").alias("least"))
-        marks = marks.unionByName(alone.join(firsts, "own").where("doc > least").select("row", "lo", (F.col("lo") + LENGTH).alias("hi")))
-    marks = tables.put(marks.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")), "marks")
-    covered = found.where("covered IS NOT NULL").select("row", "covered")
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for d, text, copy, runs, extra in zip(batch["doc_id"], batch["text"], batch["copy"], batch["covered"], batch["marks"], strict=True):
-                b = _bytes(text)
-                turn = np.zeros(len(b) + 1, np.int64)
-                if copy and len(b) >= LENGTH:
-                    turn[0], turn[-1] = 1, -1
-                if runs is not None and not copy:
-                    np.add.at(turn, np.frombuffer(runs, np.int64)[0::2], 1)
-                    np.add.at(turn, np.frombuffer(runs, np.int64)[1::2], -1)
-                if extra is not None and not copy:
-                    np.add.at(turn, [x["lo"] for x in extra], 1)
-                    np.add.at(turn, [x["hi"] for x in extra], -1)
-                gone = np.cumsum(turn[:-1]) > 0
-                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0]) if len(b) else 0
-                out.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(b[~gone].tobytes()).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
-
-    owners = kept.select("row", F.lit(True).alias("own"))
-    done = base.select("doc_id", "row", "text").join(owners, "row", "left").join(covered, "row", "left").join(marks, "row", "left").select("doc_id", "text", F.col("own").isNull().alias("copy"), "covered", "marks")
-    out = tables.put(done.mapInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "out")
-    spark.sql(f"DROP TABLE {name}")
-    for table in ("kept", "acts", "found", "anchors", "marks"):
-        tables.drop(table)
-    return out
+        for _, row in chunks.iterrows():
+            chunk = opened(row, answers)
+            spans: dict[int, list[tuple[int, int]]] = {}
+            if chunk is not None:
+                for text, low, high in zip(*removed(chunk, answers), strict=True):
+                    spans.setdefault(text, []).append((low, high))
+                data, ends, own = chunk.data, chunk.ends, chunk.doc
+            else:
+                own, ends = np.frombuffer(row["docs"], np.int64), np.cumsum(np.frombuffer(row["sizes"], np.int64))
+                data = np.frombuffer(zlib.decompress(row["data"]), np.uint8)
+            data, start = data.tobytes(), 0
+            for k, (d, end) in enumerate(zip(own.tolist(), ends.tolist(), strict=True)):
+                kept, at, gone = hashlib.sha256(), start, 0
+                for low, high in spans.get(k, ()):
+                    kept.update(data[at:low])
+                    at, gone = high, gone + high - low
+                kept.update(data[at:end])
+                out.append((row["marks"][16 * k : 16 * k + 16], d, end - start, gone, len(spans.get(k, ())), kept.hexdigest()))
+                start = end
+        return pd.DataFrame(out, columns=["mark", "least", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    def removed(chunk: Chunk, answers: pd.DataFrame) -> tuple[list[int], list[int], list[int]]:
+        """Text, start and end of the maximal runs that go, in order."""
+        found = answers[answers["kind"] == 1].sort_values("number")
+        runs, lengths, least = (np.concatenate([np.frombuffer(x, t) for x in found[c]]).astype(np.int64) for c, t in (("x", np.uint32), ("y", np.uint32), ("z", np.int64)))
+        base = np.cumsum(runs) - runs
+        n = runs[chunk.which]
+        at = _spread(base[chunk.which], n)  # the runs of each stretch, one after the other
+        stretch = np.repeat(np.arange(len(n)), n)
+        length = lengths[at]
+        sums = np.cumsum(length) - length
+        low = chunk.first[stretch] + sums - np.repeat(sums[np.cumsum(n) - n], n)
+        hit = np.flatnonzero(least[at] < chunk.doc[chunk.text[stretch]])
+        hit = hit[np.argsort(low[hit])]
+        low, high, text = low[hit], low[hit] + length[hit] + LENGTH - 1, chunk.text[stretch[hit]]
+        if not len(low):
+            return [], [], []
+        top = np.maximum.accumulate(high)
+        heads = np.concatenate(([True], (low[1:] > top[:-1]) | (text[1:] != text[:-1])))
+        heads = np.flatnonzero(heads)
+        return text[heads].tolist(), low[heads].tolist(), top[np.concatenate((heads[1:] - 1, [len(low) - 1]))].tolist()
+
+    texts = rows.groupBy("mark").agg(F.min("doc").alias("doc"), F.first("text").alias("text"))
+    table = f"riskloom_chunks_{uuid.uuid4().hex}"  # bucketed, so that no later step moves a text
+    try:
+        made = texts.mapInArrow(chunked, "chunk long, docs binary, sizes binary, marks binary, data binary")
+        made.write.option("path", f"{tables.root}/chunks").bucketBy(lots, "chunk").saveAsTable(table)
+        chunks = spark.table(table)
+        anchors = chunks.mapInArrow(gathered, "part int, chunk long, keys binary, sizes binary")
+        shared = tables.put(anchors.groupBy("part").applyInPandas(settle, ANSWER), "shared")
+        strings = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(located, "bucket int, chunk long, anchors binary, marks binary, docs binary, sizes binary, data binary")
+        least = tables.put(strings.groupBy("bucket").applyInPandas(compare, ANSWER), "least")
+        done = chunks.groupBy("chunk").cogroup(shared.unionByName(least).groupBy("chunk")).applyInPandas(finished, "mark binary, least long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        done = tables.put(done, "done")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        for name in ("chunks", "shared", "least"):
+            tables.drop(name)
+    copy = (F.col("doc") > F.col("least")) & (F.col("n_bytes") >= LENGTH)
+    of = lambda gone, kept, name: F.when(copy, gone).otherwise(kept).alias(name)
+    found = rows.select("doc_id", "doc", "mark").join(done, "mark")
+    return found.select("doc_id", "n_bytes", of(F.col("n_bytes"), F.col("n_removed"), "n_removed"), of(F.lit(1).cast("long"), F.col("n_spans"), "n_spans"), of(F.lit(hashlib.sha256().hexdigest()), F.col("kept_sha256"), "kept_sha256"))
