@@ -8,6 +8,7 @@ ranks their sequences; pieces find theirs by their rank, so no task sees more th
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -17,6 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,50 +33,103 @@ RANKED = 50_000
 CACHE = 600_000
 
 _OTHER = re.compile("[^\x00-\u024f]")
-_STOP = re.compile(r"([.,])(?=[ ]|\Z)(?<=[^\W_][.,])")
+#: Marks that may end a word of letters; without the apostrophe, which can begin a piece of the tokenizer with the letters after it.
+_MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{}~\""
+#: Bytes of text whose words are looked up at once.
+_PART = 4 << 20
+#: What a tokenizer must do before its merges to be used word by word; texts of any other are encoded whole.
+_WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 class _Encoder:
-    """Text -> its ids as little-endian bytes.
+    """Texts -> their ids, one after the other, and where each text's end.
 
-    The tokenizer never joins over a blank, nor over a letter and the stop or comma that ends its word, so words are encoded
-    apart and kept, in two generations of at most CACHE each. It lower-cases; texts of Latin letters are put in lower case
-    before, which gives the same ids from fewer words.
+    A tokenizer that never joins over a blank, nor over a letter and a mark after it, encodes each distinct word once; words
+    are kept in two generations of at most CACHE each. It lower-cases; texts of Latin letters are put in lower case before,
+    which gives the same ids from fewer words. Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
         self.model, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.wordwise = all(told.get(k) == v for k, v in _WORDWISE.items()) and told["model"].get("end_of_word_suffix") == "</w>"
+        self.ends = np.zeros(max(self.model.get_vocab().values()) + 1, bool)
+        self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
         plain = [w for w in words if w.isalpha()]
-        for at in range(0, len(plain), 256):  # one text of letter words: a word each, so its ids part at its words
-            part = plain[at : at + 256]
-            x = self.model.encode(" ".join(part), add_special_tokens=False)
-            raw, cut = np.array(x.ids, "<u4").tobytes(), (4 * (np.flatnonzero(np.diff(np.array(x.word_ids))) + 1)).tolist()
-            if len(cut) == len(part) - 1:
-                self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *cut], [*cut, len(raw)], strict=True)], strict=True))
+        for at in range(0, len(plain), 512):  # one text of letter words: each is a piece of its own, so its last id ends a word
+            part = plain[at : at + 512]
+            ids = self._ids([" ".join(part)])[0]
+            cut, raw = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
+            if len(cut) == len(part):
+                self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *cut], cut, strict=False)], strict=True))
         rest = [w for w in words if w not in self.known]
-        for w, x in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(x.ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        cut = []
-        for text in texts:
-            if "<|" not in text and not _OTHER.search(text):
-                text = text.lower()
-            cut.append([w for w in _STOP.sub(r" \1", text.replace("\n", " ")).split(" ") if w])
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > CACHE:
+        self.known.update(zip(rest, [x.tobytes() for x in self._ids(rest)], strict=True))
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        if len(self.known) + len(words) > CACHE:
             self.known, self.older = {}, self.known
-            new = set().union(*cut)
-        for w in new & self.older.keys():
-            self.known[w] = self.older[w]
-        self._learn([w for w in new if w not in self.known])
-        for words in cut:
-            yield b"".join(map(self.known.__getitem__, words))
+        new = [w for w in words if w not in self.known]
+        self.known.update((w, self.older[w]) for w in new if w in self.older)
+        self._learn([w for w in new if w not in self.older])
+        return list(map(self.known.__getitem__, words))
+
+    def _parted(self, words: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Letters and the marks after them have their ids apart: distinct parts, and the two of each distinct word."""
+        bases = pc.utf8_rtrim(words, _MARKS)
+        marked = pc.not_equal(pc.binary_length(bases), pc.binary_length(words)).to_numpy(zero_copy_only=False)
+        coded = bases.dictionary_encode()
+        parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        which = np.zeros((len(words), 2), np.int64)
+        which[:, 0] = coded.indices.to_numpy()
+        place = {}
+        for i, w in zip(np.flatnonzero(marked).tolist(), words.filter(pa.array(marked)).to_numpy(zero_copy_only=False).tolist(), strict=True):
+            base = parts[which[i, 0]]
+            if base and base[-1].isalpha() and base[-1] < "\u0250":
+                which[i, 1] = place.setdefault(w[len(base) :], len(place) + 1)
+            else:
+                which[i, 0] = -place.setdefault(w, len(place) + 1)
+        which[:, 1] = np.where(which[:, 1] > 0, len(parts) + which[:, 1], len(parts))
+        which[:, 0] = np.where(which[:, 0] < 0, len(parts) - which[:, 0], which[:, 0])
+        return [*parts, "", *place], which
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.wordwise:
+            ids = self._ids(texts)
+            return np.concatenate(ids) if ids else np.zeros(0, "<u4"), np.cumsum([len(x) for x in ids])
+        texts = [t if "<|" in t or _OTHER.search(t) else t.lower() for t in texts]
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        words = cut.flatten().dictionary_encode()
+        parts, which = self._parted(words.dictionary)
+        ids = self._look_up(parts)
+        ids, ends = _taken(np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64), which.ravel())
+        ids, ends = _taken(ids, np.diff(ends[::2]), words.indices.to_numpy())
+        return ids, ends[cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()]
+
+
+def _taken(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pieces of ``values``, those named by ``which`` one after the other, and where each begins, and the end."""
+    counts = sizes[which]
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    starts = (np.cumsum(sizes) - sizes)[which]
+    return values[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], counts)], ends
 
 
 _encoders: dict[str, _Encoder] = {}
@@ -87,13 +143,17 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) ->
         _encoders[tokenizer] = encode  # a worker keeps its words from task to task
         for batch in batches:
             rows = []
-            for at in range(0, len(batch), 64):
-                part = batch.iloc[at : at + 64]
-                for doc, row, ids in zip(part["doc_id"], part["row"], encode([t or "" for t in part["text"]]), strict=True):
-                    ids += last
-                    for k, start in enumerate(range(0, len(ids), 4 * size)):
-                        piece = ids[start : start + 4 * size]
-                        rows.append((doc, row, k, start // 4, len(piece) // 4, zlib.crc32(piece)))
+            texts = [t or "" for t in batch["text"]]
+            turn = np.cumsum([len(t) for t in texts]) // _PART
+            for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(turn)) + 1):
+                ids, ends = encode([texts[i] for i in part])
+                raw, start = ids.tobytes(), 0
+                for doc, row, to in zip(batch["doc_id"].iloc[part], batch["row"].iloc[part], (4 * ends).tolist(), strict=True):
+                    own = raw[start:to] + last
+                    start = to
+                    for k, at in enumerate(range(0, len(own), 4 * size)):
+                        piece = own[at : at + 4 * size]
+                        rows.append((doc, row, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
             yield pd.DataFrame(rows, columns=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text")

@@ -136,8 +136,16 @@ def test_words_encode_as_whole_texts():
     path = P.path("word_bpe_49k.json")
     model, own = Tokenizer.from_file(path), packing._Encoder(path)
     texts = ["It's the dog's, we'll go. 3.5, x_. A.B., été, ΣΑΣ Straße İx", "<|endoftext|> a<|ENDOFTEXT|>b", "a b c\x1cd \t\r e", "don't 'still 's, ...wow,, .", "日本語 テスト 12345 ½", " ", "", "x" * 5000]
-    for t, raw in zip(texts, own(texts), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == model.encode(t, add_special_tokens=False).ids, t
+    texts += ["thear###", "a|b c| d", "dog's,", "l'été.", "x's'", "e\u0301, e\u0301", "(a) [b] {c} \"d\" e_ f-g h--", "ab" * 2000 + ",", "it'sing 'sing", "ŉ. ǰ, ß! İ."]
+    whole = packing._Encoder(path)
+    whole.wordwise = False
+    for encode in (own, whole):
+        assert encode.wordwise == (encode is own)
+        for part in (texts, texts[::-1], []):
+            ids, ends = encode(part)
+            for t, a, b in zip(part, [0, *ends], ends, strict=False):
+                assert ids[a:b].tolist() == model.encode(t, add_special_tokens=False).ids, t
+    assert not packing._Encoder(P.path("byte_bpe_50k.json")).wordwise
 
 
 @pytest.mark.parametrize("scheme", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
