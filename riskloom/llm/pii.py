@@ -85,16 +85,26 @@ def spans(text: Column, kind: Kind) -> Column:
     return F.when(text.rlike(kind.hint), F.when(text.rlike(kind.pattern.replace(r"(?:\G|(?<![A-Za-z0-9._%+-]))", r"(?<![A-Za-z0-9._%+-])")), found)).otherwise(None)
 
 
-def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """Adds ``pii``: all spans of the whole text, by kind, then start. Null text: empty. No other column is read."""
-    named = [f"_pii_{k.name}" for k in kinds]
-    found = docs.withColumns({n: spans(whole(), k) for n, k in zip(named, kinds, strict=True)})
+def _all_spans(kinds: tuple[Kind, ...]) -> Column:
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
-    return found.withColumn("pii", F.concat(*[F.coalesce(F.col(n), empty) for n in named])).drop(*named)
+    return F.concat(*[F.coalesce(spans(whole(), k), empty) for k in kinds])
+
+
+def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+    """Adds ``pii``: all spans of the whole text, by kind, then start. Null text: empty. No other column is read.
+
+    Repeated rows give repeated results; an empty table gives no rows. A column ``pii`` that is there is replaced.
+    """
+    return docs.withColumn("pii", _all_spans(kinds))
 
 
 def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, least: float = 0.5) -> DataFrame:
-    """The documents with every confirmed span of a score of ``least`` or more replaced by its kind in angle brackets."""
+    """The documents with every confirmed span of a score of ``least`` or more replaced by its kind in angle brackets.
+
+    Of overlapping spans the first counts. All columns stay as they are, whatever their names, but n_chars follows the
+    text. Null and empty texts stay; repeated rows are treated alike; an empty table gives no rows.
+    """
+    marked = docs.select("text", _all_spans(kinds).alias("pii"), F.struct("*").alias("_doc"))
     cut = F.array_sort(F.transform(F.filter("pii", lambda s: s["score"] >= least), lambda s: F.struct(s["start"], s["end"], s["kind"])))
     text = whole()
 
@@ -105,12 +115,16 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, least: float = 0.5)
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     new = F.aggregate(cut, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
-    out = find(docs, kinds).withColumn("text", F.when(F.size(cut) > 0, new).otherwise(F.col("text"))).drop("pii")
-    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+    done = marked.withColumn("text", F.when(F.size(cut) > 0, new).otherwise(F.col("text")))
+    own = lambda c: F.col("text") if c == "text" else F.char_length("text").cast("long") if c == "n_chars" else F.col("_doc")[c]
+    return done.select(*[own(c).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, the count of each base kind, and the hash and the text of the spans."""
+    """doc_id, the count of each base kind, the hash of the base spans, all spans as text, and the highest score.
+
+    One row per row; other columns are ignored. Null or empty text: no spans, score 0. Repeated rows give repeated results.
+    """
     line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     joined = lambda c: F.array_join(F.transform(c, line), ",")
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE))

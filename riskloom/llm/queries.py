@@ -24,7 +24,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.ordered(documents(spark, sf_dir))
 
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.llm import licenses, mixing, pii
 
@@ -84,6 +85,30 @@ def test_mixing_targets(docs, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_mixing_positions_follow_the_schedule(docs):
+    """Each source's words run through its schedule: the share of demand up to a copy's middle is the integral up to its position."""
+    got = mixing.ordered(docs).collect()
+    placed = [r for r in got if r["position"] is not None]
+    assert got == placed + [r for r in got if r["taken"] == 0] and [r["position"] for r in placed] == sorted(r["position"] for r in placed)
+    rows = mixing.mix(docs).collect()
+    names = sorted({r["source"] for r in rows}, key=lambda s: (s is None, s))
+    for k, source in enumerate(names):
+        a, b = mixing.SCHEDULES[k % 3 % len(mixing.SCHEDULES)]
+        copies = sorted((p, w) for r in rows if r["source"] == source for p, w in zip(r["positions"], r["copies"], strict=True))
+        goal, done = sum(w for _, w in copies), 0
+        for p, w in copies:
+            assert (a * p + (b - a) * p * p / 2) / ((a + b) / 2) == pytest.approx(min(1.0, (done + w / 2) / goal), abs=1e-9)
+            done += w
+
+
+def test_stages_keep_columns_of_any_name(spark, docs):
+    names = ["pii", "size", "source_size", "target", "taken", "copies", "positions", "position", "_doc", "_position", "_pii_email", "kind"]
+    odd = docs.select("doc_id", "text", "source", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    for stage in (pii.redact, mixing.curriculum):
+        out = stage(odd)
+        assert out.columns == odd.columns and {tuple(r[3:]) for r in out.collect()} == {tuple(range(len(names)))}
+
+
 def test_mixing_order_and_reruns(docs):
     first, again = mixing.curriculum(docs), mixing.curriculum(docs.repartition(7))
     key = lambda df: [(r["doc_id"], r["text"]) for r in df.collect()]
