@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.expressions import bin_index, ratio, woe
+from riskloom.operators.cumulative import running
 from riskloom.operators.metrics import quantile_edges
 
-#: Distinct values a tree is grown on; more are first counted in so many quantile ranges, which then bound the edges.
+#: Distinct values up to which a tree is grown on the driver; with more its splits are found in Spark.
 VALUES = 10_000
 
 
@@ -80,7 +81,7 @@ def load(text: str) -> list[Bins]:
 
 def grow(table: Sequence[tuple[float, float, float]], leaves: int, least: float) -> list[float]:
     """Edges of a best-first tree over (value, weight, bads) in order of value: the split that lowers the Gini impurity most
-    comes first, until there are so many leaves. Edges lie midway between values."""
+    comes first, until there are so many leaves. Edges lie midway between values, in the order of their splits."""
     n = len(table)
     w, b = [0.0], [0.0]
     for _, x, y in table:
@@ -101,19 +102,60 @@ def grow(table: Sequence[tuple[float, float, float]], leaves: int, least: float)
         edges.append((table[k - 1][0] + table[k][0]) / 2)
         del open_[i, j]
         open_[i, k], open_[k, j] = split(i, k), split(k, j)
-    return sorted(edges)
+    return edges
 
 
-def value_table(rows: DataFrame, column: str, target: str, weight: str | None = None) -> list[tuple[float, float, float]]:
-    """(value, weight, bads) in order, at most VALUES rows: beyond them values are counted at the top of quantile ranges."""
+def value_table(rows: DataFrame, column: str, target: str, weight: str | None = None) -> DataFrame:
+    """v, w, b: each value with its weight and its bads."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     v = F.col(column).cast("double")
     known = rows.where(v.isNotNull() & F.col(target).isNotNull())
-    t = known.groupBy(v.alias("v")).agg(F.sum(w).alias("w"), F.sum(w * F.col(target)).alias("b"))
-    if known.agg(F.approx_count_distinct(v)).first()[0] > VALUES * 0.9:
-        cuts = t.approxQuantile("v", [i / 1000 for i in range(1, 1000)], 0.0005)
-        t = t.groupBy(F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda e: F.col("v") > e)).alias("g")).agg(F.max("v").alias("v"), F.sum("w").alias("w"), F.sum("b").alias("b"))
-    return [(r["v"], r["w"], r["b"]) for r in t.select("v", "w", "b").orderBy("v").collect()]
+    return known.groupBy(v.alias("v")).agg(F.sum(w).alias("w"), F.sum(w * F.col(target)).cast("double").alias("b"))
+
+
+def tree_edges(table: DataFrame, leaves: int, least: float) -> list[float]:
+    """Edges of ``grow`` in the order they are made, so that a tree of fewer leaves is a beginning of the list.
+
+    Up to VALUES values are looked at on the driver. Beyond them the same splits are found by running sums over all values:
+    each open leaf sends its best split, so only edges reach the driver.
+    """
+    few = table.limit(VALUES + 1).collect()
+    if len(few) <= VALUES:
+        return grow(sorted((r["v"], r["w"], r["b"]) for r in few), leaves, least)
+    sums = running(table, (), "v", ("w", "b")).select("v", F.col("cum_w").alias("w"), F.col("cum_b").alias("b"), F.col("all_w").alias("aw"), F.col("all_b").alias("ab")).persist()
+
+    def impurity(b: Column, w: Column) -> Column:
+        return F.when(w > 0, 2 * b * (1 - b / w)).otherwise(0.0)
+
+    def split(low: tuple, high: tuple) -> tuple | None:
+        """Of the values above ``low`` and up to ``high``, given with their running sums: gain, edge, and where it is."""
+        inside = sums.where((F.col("v") > low[0]) & (F.col("v") < high[0]))
+        (lw, lb), (hw, hb) = low[1:], high[1:]
+        left = impurity(F.col("b") - lb, F.col("w") - lw)
+        right = impurity(F.lit(hb) - F.col("b"), F.lit(hw) - F.col("w"))
+        fits = (F.col("w") - lw >= least) & (F.lit(hw) - F.col("w") >= least)
+        gain = F.when(fits, impurity(F.lit(hb - lb), F.lit(hw - lw)) - left - right)
+        best = inside.select(gain.alias("gain"), "v", "w", "b").where("gain IS NOT NULL").agg(F.max_by(F.struct("gain", "v", "w", "b"), F.struct("gain", F.negate("v"))).alias("x")).first()["x"]
+        if best is None or best["gain"] <= 1e-12:
+            return None
+        after = sums.where(F.col("v") > best["v"]).agg(F.min("v")).first()[0]
+        return best["gain"], (best["v"] + after) / 2, (best["v"], best["w"], best["b"])
+
+    try:
+        end = sums.agg(F.max("v"), F.max("aw"), F.max("ab")).first()
+        ends = ((float("-inf"), 0.0, 0.0), tuple(end))
+        open_, edges = {ends: split(*ends)}, []
+        while len(edges) + 1 < leaves:
+            able = [(x[0], -leaf[0][0], leaf) for leaf, x in open_.items() if x]
+            if not able:
+                break
+            leaf = max(able)[2]
+            _, edge, at = open_.pop(leaf)
+            edges.append(edge)
+            open_[leaf[0], at], open_[at, leaf[1]] = split(leaf[0], at), split(at, leaf[1])
+        return edges
+    finally:
+        sums.unpersist()
 
 
 def bin_table(rows: DataFrame, index: Column, target: str, weight: str | None = None, smooth: float = 0.001) -> DataFrame:
@@ -139,7 +181,7 @@ def with_woes(rows: DataFrame, bins: Bins, target: str, weight: str | None = Non
 
 
 def fit_numeric(rows: DataFrame, column: str, target: str, groups: int = 5, least: float = 1, weight: str | None = None, smooth: float = 0.001, edges: Sequence[float] | None = None) -> Bins:
-    found = list(edges) if edges is not None else grow(value_table(rows, column, target, weight), groups, least)
+    found = list(edges) if edges is not None else sorted(tree_edges(value_table(rows, column, target, weight), groups, least))
     return with_woes(rows, Bins(column, edges=found), target, weight, smooth)
 
 
@@ -158,7 +200,7 @@ def fit_categorical(rows: DataFrame, column: str, target: str, groups: int = 5,
         x = by.setdefault(rate[r["c"]], [0.0, 0.0])
         x[0] += r["w"]
         x[1] += r["b"]
-    edges = grow(sorted((v, *x) for v, x in by.items()), groups, least)
+    edges = sorted(grow(sorted((v, *x) for v, x in by.items()), groups, least))
     found: dict[int, list[str]] = {}
     for cat in sorted(rate):
         found.setdefault(sum(rate[cat] >= e for e in edges), []).append(cat)
@@ -179,9 +221,9 @@ def fit_stable(rows: DataFrame, column: str, target: str, month: str, most: int
     """Of trees with 2 to ``most`` leaves, the largest whose bins keep their rank by rate in every month; else two leaves."""
     from riskloom.operators.metrics import rank_stability
 
-    table, best = value_table(rows, column, target), None
+    edges, best = tree_edges(value_table(rows, column, target), most, least), None
     for n in range(2, most + 1):
-        b = Bins(column, edges=grow(table, n, least))
+        b = Bins(column, edges=sorted(edges[: n - 1]))
         steady = rank_stability(rows.withColumn("_bin", b.index()), "_bin", month, target).first()["rsi"]
         if best is None or (steady or 0) >= 1 - 1e-9:
             best = b

@@ -51,9 +51,14 @@ def monotonic(rows: DataFrame, key: str, column: str, time: str, ties: Sequence[
     return step.groupBy(key).agg(F.coalesce(F.bool_and(F.col("_step") >= 0), F.lit(True)).alias("is_increasing"), F.coalesce(F.bool_and(F.col("_step") <= 0), F.lit(True)).alias("is_decreasing"))
 
 
-def modes(rows: DataFrame, key: str, column: str, most: int = 3) -> DataFrame:
-    """All modes spread over columns _0, _1, … in the order of their values."""
+def modes(rows: DataFrame, key: str, column: str, most: int | None = None) -> DataFrame:
+    """All modes spread over columns _0, _1, … in the order of their values.
+
+    There are as many columns as any key has modes, which one aggregation finds; or ``most``, and the array of all, if given.
+    """
     counts = rows.where(F.col(column).isNotNull()).groupBy(key, column).count()
     top = counts.withColumn("_r", F.rank().over(Window.partitionBy(key).orderBy(F.col("count").desc()))).where("_r = 1")
     values = top.groupBy(key).agg(F.sort_array(F.collect_list(column)).alias("_m"))
-    return values.select(key, *[F.get("_m", F.lit(i)).alias(f"{column}_mode_{i}") for i in range(most)])
+    width = most if most is not None else values.agg(F.max(F.size("_m"))).first()[0] or 1
+    every = [] if most is None else [F.col("_m").alias(f"{column}_modes")]
+    return values.select(key, *[F.get("_m", F.lit(i)).alias(f"{column}_mode_{i}") for i in range(width)], *every)

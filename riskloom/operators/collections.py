@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.operators.cumulative import percentiles
 from riskloom.functions.expressions import ratio
 
 
@@ -28,7 +29,7 @@ def impact_curve(rows: DataFrame, bin_: str, value: str, treated: str) -> DataFr
 
 
 def quantiles_by_day(rows: DataFrame, day: str, value: str, shares: Sequence[float]) -> DataFrame:
-    return rows.groupBy(day).agg(*[F.percentile(value, F.lit(s)).alias(f"q{round(100 * s)}") for s in shares])
+    return percentiles(rows, value, shares, (day,)).select(day, *[F.col("q")[i].alias(f"q{round(100 * s)}") for i, s in enumerate(shares)])
 
 
 def daily_winner(rows: DataFrame, day: str, group: str, value: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.expressions import bin_by, equal_width, ratio
-from riskloom.operators.cumulative import running
+from riskloom.operators.cumulative import percentiles, running, same
 
 
 def score_table(rows: DataFrame, score: str, target: str, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -41,8 +41,8 @@ def roc(rows: DataFrame, score: str, target: str, weight: str | None = None, by:
 def lift(rows: DataFrame, score: str, target: str, percent: float, side: str = "low", by: Sequence[str] = ()) -> DataFrame:
     """Mean target on one side of a score percentile over the mean target."""
     p = percent / 100 if side == "low" else 1 - percent / 100
-    cut = rows.groupBy(*by).agg(F.percentile(score, F.lit(p)).alias("_cut")) if by else rows.agg(F.percentile(score, F.lit(p)).alias("_cut"))
-    joined = rows.join(cut, list(by)) if by else rows.crossJoin(F.broadcast(cut))  # one row on the right
+    cut = percentiles(rows, score, [p], by).withColumn("_cut", F.col("q")[0]).drop("q")
+    joined = same(rows, cut, by) if by else rows.crossJoin(F.broadcast(cut))  # one row on the right
     inside = F.col(score) <= F.col("_cut") if side == "low" else F.col(score) >= F.col("_cut")
     return joined.groupBy(*by).agg(ratio(F.avg(F.when(inside, F.col(target).cast("double"))), F.avg(F.col(target).cast("double"))).alias("lift"))
 
@@ -50,7 +50,7 @@ def lift(rows: DataFrame, score: str, target: str, percent: float, side: str = "
 def lift_levels(rows: DataFrame, score: str, target: str, percents: Sequence[int], side: str = "high") -> DataFrame:
     """The lift at several percentiles in two passes."""
     ps = [p / 100 if side == "low" else 1 - p / 100 for p in percents]
-    cuts = rows.agg(F.percentile(score, F.array(*[F.lit(p) for p in ps])).alias("_cuts"))
+    cuts = percentiles(rows, score, ps).withColumnRenamed("q", "_cuts")
     inside = lambda i: F.col(score) <= F.col("_cuts")[i] if side == "low" else F.col(score) >= F.col("_cuts")[i]
     y = F.col(target).cast("double")
     wide = rows.crossJoin(F.broadcast(cuts)).agg(*[ratio(F.avg(F.when(inside(i), y)), F.avg(y)).alias(str(p)) for i, p in enumerate(percents)])
@@ -76,8 +76,8 @@ def predictor_power(rows: DataFrame, predictors: Sequence[str], target: str) ->
 
 def quantile_edges(rows: DataFrame, column: str, n: int) -> list[float]:
     """Inner edges of n quantile bins, each once; they are n - 1 numbers."""
-    found = rows.agg(F.percentile(column, F.array(*[F.lit(i / n) for i in range(1, n)]))).first()[0] or []
-    return sorted(set(found))
+    found = percentiles(rows, column, [i / n for i in range(1, n)]).first()[0] or []
+    return sorted({x for x in found if x is not None})
 
 
 def shares(rows: DataFrame, bin_: Column, by: Sequence[str], weight: str | None = None) -> DataFrame:
@@ -90,10 +90,10 @@ def shares(rows: DataFrame, bin_: Column, by: Sequence[str], weight: str | None
 def stability(rows: DataFrame, column: str, month: str, reference: Column, bins: int = 10, floor: float = 1e-4) -> DataFrame:
     """PSI, Bhattacharyya distance and Jensen-Shannon divergence of each month against the reference rows.
 
-    Quantile bins of the reference with open ends, nulls in a bin of their own; empty shares count as ``floor``.
+    Quantile bins of the reference, right-closed and with open ends, nulls in a bin of their own; empty shares count as ``floor``.
     """
     edges = F.array(*[F.lit(float(e)) for e in quantile_edges(rows.where(reference), column, bins)]).cast("array<double>")
-    b = F.coalesce(bin_by(F.col(column), edges), F.lit(-1))
+    b = F.coalesce(bin_by(F.col(column), edges, "right"), F.lit(-1))
     ref = shares(rows.where(reference), b, ()).select("bin", F.col("share").alias("q"))
     months = shares(rows, b, (month,))
     every = rows.select(month).distinct().crossJoin(F.broadcast(ref.select("bin").union(months.select("bin")).distinct()))  # months x bins
@@ -120,13 +120,22 @@ def psi_consecutive(rows: DataFrame, column: str, month: str) -> DataFrame:
     return each.agg(F.avg("psi").alias("psi"))
 
 
-def rank_stability(rows: DataFrame, bin_: str, month: str, target: str) -> DataFrame:
-    """How steadily bins keep their rank by bad rate: the share of months at the commonest rank, and its product over bins."""
-    t = rows.groupBy(month, bin_).agg(F.avg(F.col(target).cast("double")).alias("rate"))
+def rank_stability(rows: DataFrame, bin_: str, month: str, target: str, base: str | None = None, weight: str | None = None, nan: bool = True, zero: bool = True) -> DataFrame:
+    """How steadily bins keep their rank by bad rate, in two versions.
+
+    rsi: the share of months that a bin is at its commonest rank, mean over bins. rsi_product: within each rank, the product
+    of the shares that the bins have in it, mean over ranks. Null bins, and bins of value 0, can be left out.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    known = rows.where(F.col(base) == 1) if base else rows
+    t = known.groupBy(month, bin_).agg(ratio(F.sum(w * F.col(target)), F.sum(w)).alias("rate"))
+    t = t if nan else t.where(F.col(bin_).isNotNull())
+    t = t if zero else t.where(~F.coalesce(F.col(bin_) == 0, F.lit(False)))
     t = t.withColumn("rank", F.dense_rank().over(Window.partitionBy(month).orderBy(F.col("rate").desc())))
     counts = t.groupBy(bin_, "rank").count()
-    each = counts.groupBy(bin_).agg((F.max("count") / F.sum("count")).alias("share"))
-    return each.agg(F.avg("share").alias("rsi"), F.product("share").alias("rsi_product"))
+    each = counts.groupBy(bin_).agg((F.max("count") / F.sum("count")).alias("share")).agg(F.avg("share").alias("rsi"))
+    part = counts.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy("rank")))
+    return each.crossJoin(F.broadcast(part.groupBy("rank").agg(F.product("share").alias("x")).agg(F.avg("x").alias("rsi_product"))))
 
 
 def histogram(rows: DataFrame, column: str, bins: int, target: str | None = None) -> DataFrame:
@@ -178,10 +187,10 @@ def uplift_curve(rows: DataFrame, score: str, target: str, treated: str, key: st
 
 
 def niv(rows: DataFrame, bin_: str, target: str, treated: str) -> DataFrame:
-    """Net information value: 100 x the sum of (net odds share) x net weight of evidence, one added to every count."""
+    """Net information value: the sum of (net odds share) x net weight of evidence, one added to every count."""
     cell = lambda t, y: (F.sum(((F.col(treated) == t) & (F.col(target) == y)).cast("double")) + 1).alias(f"c{t}{y}")
     t = rows.groupBy(bin_).agg(*[cell(a, b) for a in (0, 1) for b in (0, 1)])
     one = Window.partitionBy(F.lit(0))
     p = {k: F.col(k) / F.sum(k).over(one) for k in ("c00", "c01", "c10", "c11")}
     nwoe = F.log(p["c11"] * p["c00"] / (p["c10"] * p["c01"]))
-    return t.select(((p["c11"] * p["c00"] - p["c10"] * p["c01"]) * nwoe).alias("x")).agg((100 * F.sum("x")).alias("niv"))
+    return t.select(((p["c11"] * p["c00"] - p["c10"] * p["c01"]) * nwoe).alias("x")).agg(F.sum("x").alias("niv"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.expressions import bin_index, logit, ratio
 from riskloom.operators import metrics
-from riskloom.operators.cumulative import running
+from riskloom.operators.cumulative import percentiles, running
 
 
 def sample_description(rows: DataFrame, by: Sequence[str], target: str, base: str | None = None, total: bool = True) -> DataFrame:
@@ -52,22 +52,26 @@ def profile(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def describe_numeric(rows: DataFrame, column: str, target: str, weight: str | None = None) -> DataFrame:
-    """Mean, spread, extremes and quantiles over all rows, bads and goods, in one aggregation."""
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    """Mean, spread, extremes and quantiles over all rows, bads and goods."""
     c = F.col(column).cast("double")
-    parts = {"all": F.lit(True), "1": F.col(target) == 1, "0": F.col(target) == 0}
-    made = []
-    for name, part in parts.items():
-        x, wx = F.when(part, c), F.when(part & c.isNotNull(), w)
-        mean = F.sum(wx * x) / F.sum(wx)
-        made.append(F.struct(F.lit(name).alias("part"), F.count(x).alias("n"), mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.sum(wx * x * x) / F.sum(wx) - mean * mean)).alias("std"), F.min(x).alias("min"), F.percentile(x, F.lit(0.25)).alias("q25"), F.percentile(x, F.lit(0.5)).alias("q50"), F.percentile(x, F.lit(0.75)).alias("q75"), F.max(x).alias("max")))
-    return rows.agg(F.array(*made).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    w = F.when(c.isNotNull(), F.col(weight).cast("double") if weight else F.lit(1.0))
+    parts = rows.select(c.alias("_c"), w.alias("_w"), F.explode(F.array(F.lit("all"), F.col(target).cast("int").cast("string"))).alias("part")).where(F.col("part").isin("all", "0", "1"))
+    mean = F.sum(F.col("_w") * F.col("_c")) / F.sum("_w")
+    std = F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("_w") * F.col("_c") * F.col("_c")) / F.sum("_w") - mean * mean))
+    t = parts.groupBy("part").agg(F.count("_c").alias("n"), mean.alias("mean"), std.alias("std"), F.min("_c").alias("min"), F.max("_c").alias("max"))
+    q = percentiles(parts, "_c", (0.25, 0.5, 0.75), ("part",))
+    every = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(p) for p in ("all", "1", "0")])).alias("part"))
+    out = every.join(t, "part", "left").join(q, "part", "left")
+    return out.select("part", F.coalesce("n", F.lit(0)).alias("n"), "mean", "std", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "max")
 
 
 def stats_in_time(rows: DataFrame, month: str, column: str) -> DataFrame:
     c = F.col(column).cast("double")
-    q = [F.percentile(c, F.lit(p)).alias(f"p{round(100 * p)}") for p in (0.1, 0.25, 0.5, 0.75, 0.9)]
-    return rows.groupBy(F.col(month).alias("month")).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *q, F.max(c).alias("max"))
+    t = rows.groupBy(F.col(month).alias("month")).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    shares = (0.1, 0.25, 0.5, 0.75, 0.9)
+    q = percentiles(rows, column, shares, (month,)).withColumnRenamed(month, "_month")
+    joined = t.join(q, F.col("month").eqNullSafe(F.col("_month")), "left")
+    return joined.select("month", "n", "mean", "std", "min", *[F.col("q")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(shares)], "max")
 
 
 def distinct_per_entity(rows: DataFrame, id: str, columns: Sequence[str]) -> DataFrame:
@@ -78,28 +82,31 @@ def distinct_per_entity(rows: DataFrame, id: str, columns: Sequence[str]) -> Dat
 
 
 def log_risk(rows: DataFrame, column: str, target: str, bins: int = 10, month: str | None = None) -> DataFrame:
-    """ln(p / (1 - p)) of quantile bins; null where a bin has one class."""
-    i = bin_index(F.col(column), metrics.quantile_edges(rows, column, bins))
+    """ln(p / (1 - p)) of right-closed quantile bins; null where a bin has one class."""
+    i = bin_index(F.col(column), metrics.quantile_edges(rows, column, bins), "right")
     t = rows.groupBy(*([F.col(month).alias("month")] if month else []), i.alias("bin")).agg(F.count("*").alias("n"), F.avg(F.col(target).cast("double")).alias("rate"))
     return t.withColumn("log_risk", F.when((F.col("rate") > 0) & (F.col("rate") < 1), logit(F.col("rate"))))
 
 
 def correlation(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Spearman correlation of each pair: ranks with shared ties come from value counts, not from one sorted task."""
-    out = rows.select(*columns)
-    for c in columns:
-        t = running(rows.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("_v")).agg(F.count("*").alias("n")), (), "_v", ("n",))
-        ranks = t.select(F.col("_v"), (F.col("cum_n") - (F.col("n") - 1) / 2).alias(f"_r_{c}"))
-        out = out.join(ranks, out[c].cast("double") == ranks["_v"], "left").drop("_v")
+    """Spearman correlation of each pair: ranks with shared ties come from value counts, not from one sorted task.
+
+    All columns go through one count of (column, value) and one join of ranks, however many they are.
+    """
+    named = rows.select(F.monotonically_increasing_id().alias("_row"), *[F.col(c).cast("double").alias(c) for c in columns])
+    long_ = named.unpivot(["_row"], list(columns), "_c", "_v").where("_v IS NOT NULL")
+    t = running(long_.groupBy("_c", "_v").agg(F.count("*").alias("n")), ("_c",), "_v", ("n",))
+    ranks = t.select("_c", "_v", (F.col("cum_n") - (F.col("n") - 1) / 2).alias("_r"))
+    ranked = long_.join(ranks, ["_c", "_v"]).groupBy("_row").agg(*[F.max(F.when(F.col("_c") == c, F.col("_r"))).alias(c) for c in columns])
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    wide = out.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"{a}|{b}") for a, b in pairs])
+    wide = ranked.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     long = wide.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "rho")
     return long.select(F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), "rho")
 
 
 def transition(rows: DataFrame, old: str, new: str, target: str, bins: int = 5) -> DataFrame:
-    """Old against new quantile: rows, share of the old bin, rate."""
-    a, b = (bin_index(F.col(c), metrics.quantile_edges(rows, c, bins)) for c in (old, new))
+    """Old against new right-closed quantile: rows, share of the old bin, rate."""
+    a, b = (bin_index(F.col(c), metrics.quantile_edges(rows, c, bins), "right") for c in (old, new))
     t = rows.groupBy(a.alias("old_bin"), b.alias("new_bin")).agg(F.count("*").alias("n"), F.avg(F.col(target).cast("double")).alias("rate"))
     return t.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("old_bin")))
 
@@ -126,7 +133,7 @@ def approval(rows: DataFrame, score: str, target: str, rates: Sequence[float]) -
 
 def expected_approval(rows: DataFrame, score: str, rates: Sequence[float], subset: str) -> DataFrame:
     """Approval rate of a subset at the cutoffs that give ``rates`` overall."""
-    cuts = rows.agg(F.percentile(score, F.array(*[F.lit(r) for r in rates])).alias("_cuts"))
+    cuts = percentiles(rows, score, rates).withColumnRenamed("q", "_cuts")
     inside = rows.where(F.expr(subset)).crossJoin(F.broadcast(cuts))
     made = F.array(*[F.struct(F.lit(r).alias("rate"), F.avg((F.col(score) <= F.col("_cuts")[i]).cast("double")).alias("subset_rate")) for i, r in enumerate(rates)])
     return inside.agg(made.alias("x")).select(F.explode("x").alias("x")).select("x.*")

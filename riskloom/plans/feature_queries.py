@@ -114,8 +114,8 @@ register(
 )
 register(
     "A16_mode_multicolumn",
-    lambda s, d: categorical.modes(events(s, d), "user_id", "event_type"),
-    """SELECT user_id, l[1] AS event_type_mode_0, l[2] AS event_type_mode_1, l[3] AS event_type_mode_2 FROM (SELECT user_id, list(event_type ORDER BY event_type) AS l
+    lambda s, d: categorical.modes(events(s, d), "user_id", "event_type", 3).withColumn("event_type_modes", F.array_join("event_type_modes", ",")),
+    """SELECT user_id, l[1] AS event_type_mode_0, l[2] AS event_type_mode_1, l[3] AS event_type_mode_2, array_to_string(l, ',') AS event_type_modes FROM (SELECT user_id, list(event_type ORDER BY event_type) AS l
     FROM (SELECT user_id, event_type, rank() OVER (PARTITION BY user_id ORDER BY count(*) DESC) AS r FROM events GROUP BY user_id, event_type) WHERE r = 1 GROUP BY user_id)""",
 )
 register(

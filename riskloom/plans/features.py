@@ -20,8 +20,6 @@ from riskloom.functions import aggregates, times
 from riskloom.functions.expressions import fill_ratio
 from riskloom.plans import predicates
 
-#: Aggregates of one group-by; more are built in batches and joined on the entity, as generated code has a size limit.
-BATCH = 400
 _SYMBOLS = {"==": "EQ", ">=": "GE", "<=": "LE", "!=": "NE", ">": "GT", "<": "LT", "&": "AND", "|": "OR", "/": "DIV", "*": "MUL", "+": "PLUS", "-": "MINUS"}
 
 
@@ -162,11 +160,8 @@ def build(events: DataFrame, plan: Plan, ids: DataFrame | None = None) -> DataFr
     wanted = list(plan.needed().items())
     if plan.count:
         wanted.append((plan.count, F.count("*")))
-    batches = [wanted[i : i + BATCH] for i in range(0, len(wanted), BATCH)] or [[("_none", F.count("*"))]]
-    out = None
-    for batch in batches:
-        part = rows.groupBy(e.id).agg(*[c.alias(n) for n, c in batch])
-        out = part if out is None else out.join(part, e.id)
+    wanted = wanted or [("_none", F.count("*"))]
+    out = rows.groupBy(e.id).agg(*[c.alias(n) for n, c in wanted])  # a single one: beyond the size of generated code Spark runs it without
     for r in plan.ratios:
         out = out.withColumn(r.name, fill_ratio(F.col(r.above.name), F.col(r.below.name), r.nan, r.inf))
     keep = [p.name for p in (*plan.simple, *plan.ratios, *plan.since)] + ([plan.count] if plan.count else [])

@@ -49,16 +49,16 @@ register(
     "gini ks lift n",
 )
 register("M14_M13_stability", lambda s, d: metrics.stability(population(s, d), "l_quantity", "yr", F.col("yr") == 1998, 5), POP + """, e AS (SELECT list_distinct([quantile_cont(l_quantity, 0.2), quantile_cont(l_quantity, 0.4), quantile_cont(l_quantity, 0.6), quantile_cont(l_quantity, 0.8)]) AS e FROM p WHERE yr = 1998),
-    b AS (SELECT yr, len(list_filter(e, lambda x: l_quantity >= x)) AS bin FROM p, e), q AS (SELECT bin, count(*) / sum(count(*)) OVER () AS q FROM b WHERE yr = 1998 GROUP BY bin),
+    b AS (SELECT yr, len(list_filter(e, lambda x: l_quantity > x)) AS bin FROM p, e), q AS (SELECT bin, count(*) / sum(count(*)) OVER () AS q FROM b WHERE yr = 1998 GROUP BY bin),
     m AS (SELECT yr, bin, count(*) / sum(count(*)) OVER (PARTITION BY yr) AS p FROM b GROUP BY yr, bin), t AS (SELECT yr, bin, coalesce(m.p, 0) AS p, coalesce(q.q, 0) AS q FROM (SELECT DISTINCT yr FROM b) CROSS JOIN (SELECT DISTINCT bin FROM b) LEFT JOIN m USING (yr, bin) LEFT JOIN q USING (bin))
     SELECT yr, sum((greatest(p, 1e-4) - greatest(q, 1e-4)) * ln(greatest(p, 1e-4) / greatest(q, 1e-4))) AS psi, -ln(sum(sqrt(p * q))) AS bhattacharyya, sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) / 2 ELSE 0 END) AS jensen_shannon FROM t GROUP BY yr""", "psi bhattacharyya jensen_shannon")
 register("M18_psi_categories", lambda s, d: metrics.psi_categories(population(s, d).where("yr = 1998"), population(s, d).where("yr = 1999"), "l_quantity", "l_extendedprice"), POP + ", a AS (SELECT l_quantity, sum(l_extendedprice) / sum(sum(l_extendedprice)) OVER () AS q FROM p WHERE yr = 1998 GROUP BY 1), b AS (SELECT l_quantity, sum(l_extendedprice) / sum(sum(l_extendedprice)) OVER () AS p FROM p WHERE yr = 1999 GROUP BY 1) SELECT sum((p - q) * ln(p / q)) AS psi FROM a JOIN b USING (l_quantity)", "psi")
 register("M19_psi_consecutive", lambda s, d: metrics.psi_consecutive(population(s, d).where("yr between 1996 and 2000"), "l_discount", "yr"), POP + ", t AS (SELECT yr, l_discount, count(*) / sum(count(*)) OVER (PARTITION BY yr) AS s FROM p WHERE yr BETWEEN 1996 AND 2000 GROUP BY yr, l_discount) SELECT avg(x) AS psi FROM (SELECT b.yr, sum((b.s - a.s) * ln(b.s / a.s)) AS x FROM t a JOIN t b ON b.yr = a.yr + 1 AND a.l_discount = b.l_discount GROUP BY b.yr)", "psi")
-register("M20_W08_rank_stability", lambda s, d: metrics.rank_stability(population(s, d), "seg", "yr", "y"), POP + ", t AS (SELECT yr, seg, dense_rank() OVER (PARTITION BY yr ORDER BY avg(y) DESC) AS r FROM p GROUP BY yr, seg), c AS (SELECT seg, r, count(*) AS n FROM t GROUP BY ALL), e AS (SELECT max(n) / sum(n) AS x FROM c GROUP BY seg) SELECT avg(x) AS rsi, product(x) AS rsi_product FROM e", "rsi rsi_product")
+register("M20_W08_rank_stability", lambda s, d: metrics.rank_stability(population(s, d), "seg", "yr", "y"), POP + ", t AS (SELECT yr, seg, dense_rank() OVER (PARTITION BY yr ORDER BY avg(y) DESC) AS r FROM p GROUP BY yr, seg), c AS (SELECT seg, r, count(*) AS n FROM t GROUP BY ALL), e AS (SELECT max(n) / sum(n) AS x FROM c GROUP BY seg), f AS (SELECT product(x) AS x FROM (SELECT r, n / sum(n) OVER (PARTITION BY r) AS x FROM c) GROUP BY r) SELECT (SELECT avg(x) FROM e) AS rsi, (SELECT avg(x) FROM f) AS rsi_product", "rsi rsi_product")
 register("M16_psi_equal_width", lambda s, d: metrics.psi_equal_width(population(s, d), "l_extendedprice", F.col("yr") < 1999, 20), POP + ", r AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM p WHERE yr < 1999), b AS (SELECT least(19, floor((l_extendedprice - lo) / (hi - lo) * 20)) AS bin, yr < 1999 AS f FROM p, r WHERE l_extendedprice BETWEEN lo AND hi), t AS (SELECT bin, sum(CASE WHEN f THEN 1 ELSE 0 END) AS a, sum(CASE WHEN f THEN 0 ELSE 1 END) AS b FROM b GROUP BY bin), x AS (SELECT greatest(b / sum(b) OVER (), 1e-4) AS p, greatest(a / sum(a) OVER (), 1e-4) AS q FROM t) SELECT sum((p - q) * ln(p / q)) AS psi FROM x", "psi")
 register("M31_M33_R13_R38_histogram", lambda s, d: metrics.histogram(population(s, d), "l_extendedprice", 20, "y"), POP + ", r AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM p) SELECT CAST(least(19, floor((l_extendedprice - lo) / (hi - lo) * 20)) AS INTEGER) AS bin, max(lo) + least(19, floor((l_extendedprice - lo) / (hi - lo) * 20)) * (max(hi) - max(lo)) / 20 AS low, count(*) AS n, CAST(sum(y) AS BIGINT) AS bads FROM p, r GROUP BY least(19, floor((l_extendedprice - lo) / (hi - lo) * 20))", "low")
 register("M07_R35_bootstrap_gini", lambda s, d: metrics.bootstrap_gini(population(s, d), "l_quantity", "y", "l_orderkey", 10))
-register("M21_niv", lambda s, d: metrics.niv(population(s, d), "l_quantity", "y", "treated"), POP + ", t AS (SELECT l_quantity, " + ", ".join(f"sum(CASE WHEN treated = {a} AND y = {b} THEN 1 ELSE 0 END) + 1.0::DOUBLE AS c{a}{b}" for a in (0, 1) for b in (0, 1)) + " FROM p GROUP BY 1), q AS (SELECT " + ", ".join(f"c{a}{b} / sum(c{a}{b}) OVER () AS p{a}{b}" for a in (0, 1) for b in (0, 1)) + " FROM t) SELECT 100 * sum((p11 * p00 - p10 * p01) * ln(p11 * p00 / (p10 * p01))) AS niv FROM q", "niv")
+register("M21_niv", lambda s, d: metrics.niv(population(s, d), "l_quantity", "y", "treated"), POP + ", t AS (SELECT l_quantity, " + ", ".join(f"sum(CASE WHEN treated = {a} AND y = {b} THEN 1 ELSE 0 END) + 1.0::DOUBLE AS c{a}{b}" for a in (0, 1) for b in (0, 1)) + " FROM p GROUP BY 1), q AS (SELECT " + ", ".join(f"c{a}{b} / sum(c{a}{b}) OVER () AS p{a}{b}" for a in (0, 1) for b in (0, 1)) + " FROM t) SELECT sum((p11 * p00 - p10 * p01) * ln(p11 * p00 / (p10 * p01))) AS niv FROM q", "niv")
 register(
     "M22_uplift_curve",
     lambda s, d: metrics.uplift_curve(population(s, d).withColumn("k", F.col("l_orderkey") * 100 + F.col("l_linenumber")), "l_extendedprice", "y", "treated", "k"),
@@ -115,9 +115,9 @@ register("A50_P15_P14_profile", lambda s, d: reports.profile(table(s, d, "orders
 register("A44_A57_describe", lambda s, d: reports.describe_numeric(population(s, d), "l_extendedprice", "y"), POP + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS part, count(*) AS n, avg(l_extendedprice) AS mean, stddev_pop(l_extendedprice) AS std, min(l_extendedprice) AS min, quantile_cont(l_extendedprice, 0.25) AS q25, quantile_cont(l_extendedprice, 0.5) AS q50, quantile_cont(l_extendedprice, 0.75) AS q75, max(l_extendedprice) AS max FROM p WHERE {c}" for n, c in (("all", "true"), ("1", "y = 1"), ("0", "y = 0"))) + ")", "mean min q25 q50 q75 max")
 register("R14_A47_stats_in_time", lambda s, d: reports.stats_in_time(population(s, d), "yr", "l_extendedprice"), POP + "SELECT yr AS month, count(*) AS n, avg(l_extendedprice) AS mean, stddev_samp(l_extendedprice) AS std, min(l_extendedprice) AS min, " + ", ".join(f"quantile_cont(l_extendedprice, {p}) AS p{round(100 * p)}" for p in (0.1, 0.25, 0.5, 0.75, 0.9)) + ", max(l_extendedprice) AS max FROM p GROUP BY 1", "mean std min p10 p25 p50 p75 p90 max")
 register("A49_dynamic_diversity", lambda s, d: reports.distinct_per_entity(table(s, d, "orders"), "o_custkey", ["o_orderstatus", "o_orderpriority"]), "WITH t AS (SELECT o_custkey, count(DISTINCT o_orderstatus) AS a, count(DISTINCT o_orderpriority) AS b FROM orders GROUP BY 1) SELECT 'o_orderstatus' AS \"column\", min(a) AS least, avg(a) AS mean, max(a) AS most FROM t UNION ALL SELECT 'o_orderpriority', min(b), avg(b), max(b) FROM t", "mean")
-register("R15_R16_log_risk", lambda s, d: reports.log_risk(population(s, d), "l_extendedprice", "y", 5), POP + ", e AS (SELECT " + ", ".join(f"quantile_cont(l_extendedprice, {i / 5}) AS e{i}" for i in range(1, 5)) + " FROM p), b AS (SELECT " + " + ".join(f"CAST(l_extendedprice >= e{i} AS INTEGER)" for i in range(1, 5)) + " AS bin, y FROM p, e) SELECT bin, count(*) AS n, avg(y) AS rate, ln(avg(y) / (1 - avg(y))) AS log_risk FROM b GROUP BY bin", "rate log_risk")
+register("R15_R16_log_risk", lambda s, d: reports.log_risk(population(s, d), "l_extendedprice", "y", 5), POP + ", e AS (SELECT " + ", ".join(f"quantile_cont(l_extendedprice, {i / 5}) AS e{i}" for i in range(1, 5)) + " FROM p), b AS (SELECT " + " + ".join(f"CAST(l_extendedprice > e{i} AS INTEGER)" for i in range(1, 5)) + " AS bin, y FROM p, e) SELECT bin, count(*) AS n, avg(y) AS rate, ln(avg(y) / (1 - avg(y))) AS log_risk FROM b GROUP BY bin", "rate log_risk")
 register("R21_correlation", lambda s, d: reports.correlation(population(s, d), ["l_quantity", "l_discount", "l_extendedprice"]), POP + ", r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS r{i}" for i, c in enumerate(("l_quantity", "l_discount", "l_extendedprice"))) + " FROM p) SELECT 'l_quantity' AS a, 'l_discount' AS b, corr(r0, r1) AS rho FROM r UNION ALL SELECT 'l_quantity', 'l_extendedprice', corr(r0, r2) FROM r UNION ALL SELECT 'l_discount', 'l_extendedprice', corr(r1, r2) FROM r", "rho")
-register("M25_R23_R37_transition", lambda s, d: reports.transition(population(s, d), "l_quantity", "l_extendedprice", "y", 3), POP + ", e AS (SELECT " + ", ".join(f"quantile_cont({c}, CAST({i} AS DOUBLE) / 3) AS {c[2]}{i}" for c in ("l_quantity", "l_extendedprice") for i in (1, 2)) + " FROM p), b AS (SELECT CAST(l_quantity >= q1 AS INTEGER) + CAST(l_quantity >= q2 AS INTEGER) AS old_bin, CAST(l_extendedprice >= e1 AS INTEGER) + CAST(l_extendedprice >= e2 AS INTEGER) AS new_bin, y FROM p, e) SELECT old_bin, new_bin, count(*) AS n, avg(y) AS rate, count(*) / sum(count(*)) OVER (PARTITION BY old_bin) AS share FROM b GROUP BY old_bin, new_bin", "rate share")
+register("M25_R23_R37_transition", lambda s, d: reports.transition(population(s, d), "l_quantity", "l_extendedprice", "y", 3), POP + ", e AS (SELECT " + ", ".join(f"quantile_cont({c}, CAST({i} AS DOUBLE) / 3) AS {c[2]}{i}" for c in ("l_quantity", "l_extendedprice") for i in (1, 2)) + " FROM p), b AS (SELECT CAST(l_quantity > q1 AS INTEGER) + CAST(l_quantity > q2 AS INTEGER) AS old_bin, CAST(l_extendedprice > e1 AS INTEGER) + CAST(l_extendedprice > e2 AS INTEGER) AS new_bin, y FROM p, e) SELECT old_bin, new_bin, count(*) AS n, avg(y) AS rate, count(*) / sum(count(*)) OVER (PARTITION BY old_bin) AS share FROM b GROUP BY old_bin, new_bin", "rate share")
 register("M26_M30_R40_calibration", lambda s, d: reports.calibration(population(s, d), "l_extendedprice", "y", 5), POP + ", e AS (SELECT " + ", ".join(f"quantile_cont(l_extendedprice, {i / 5}) AS e{i}" for i in range(1, 5)) + " FROM p), b AS (SELECT " + " + ".join(f"CAST(l_extendedprice >= e{i} AS INTEGER)" for i in range(1, 5)) + " AS bin, y, l_extendedprice FROM p, e) SELECT bin, count(*) AS n, avg(l_extendedprice) AS mean_score, avg(y) AS mean_target FROM b GROUP BY bin", "mean_score mean_target")
 register("M27_M28_approval", lambda s, d: reports.approval(population(s, d), "l_quantity", "y", [0.3, 0.6]), POP + curve_sql("l_quantity") + ", k AS (SELECT unnest([0.3::DOUBLE, 0.6::DOUBLE]) AS rate), l AS (SELECT rate, max(score) AS cutoff, max(cb) AS b, max(cg) AS g, max(ab) AS ab, max(ag) AS ag FROM t, k WHERE cb + cg <= rate * (ab + ag) + 1e-9 GROUP BY rate) SELECT rate, cutoff, b / (b + g) AS bad_rate_below, (ab - b) / (ab + ag - b - g) AS bad_rate_above, (ag - g) / (ab + ag) AS false_reject, b / (ab + ag) AS false_approve FROM l", "rate cutoff bad_rate_below bad_rate_above false_reject false_approve")
 register("M29_R41_P17_expected_approval", lambda s, d: reports.expected_approval(population(s, d), "l_extendedprice", [0.2, 0.5], "seg = 'F'"), POP + ", c AS (SELECT quantile_cont(l_extendedprice, 0.2) AS a, quantile_cont(l_extendedprice, 0.5) AS b FROM p) SELECT 0.2::DOUBLE AS rate, avg(CAST(l_extendedprice <= a AS INTEGER)) AS subset_rate FROM p, c WHERE seg = 'F' UNION ALL SELECT 0.5, avg(CAST(l_extendedprice <= b AS INTEGER)) FROM p, c WHERE seg = 'F'", "rate subset_rate")

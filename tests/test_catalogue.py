@@ -39,7 +39,7 @@ def db():
 @pytest.mark.parametrize("name", list(catalogue.QUERIES))
 def test_query(spark, db, name):
     got = catalogue.QUERIES[name](spark, D).toPandas()
-    assert len(got)
+    assert len(got) or name in catalogue.ORACLES  # a difference may be empty, as its SQL then is
     if name in catalogue.ORACLES:
         want = db.execute(catalogue.ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns)

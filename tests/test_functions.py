@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import aggregates, expressions, times
-from riskloom.operators import binning, imputation, metrics, runs
+from riskloom.operators import binning, categorical, cumulative, imputation, metrics, runs
 from riskloom.plans import features, predicates
 
 
@@ -122,3 +122,48 @@ def test_features_are_one_aggregation(spark):
     with pytest.raises(ValueError):
         features.build(df, features.Plan(e, [features.Simple("nope", "sum")]))
     assert features.prune(out, "id", 0.5).columns == [c for c in out.columns if not c.endswith("_7")]
+
+
+def test_tree_over_many_values_is_the_driver_tree(spark, monkeypatch):
+    rows = spark.range(600).select((F.col("id") % 97).alias("x"), (F.pmod(F.xxhash64("id"), F.lit(100)) < F.col("id") % 97).cast("int").alias("y"))
+    table = binning.value_table(rows, "x", "y")
+    want = {n: binning.tree_edges(table, n, 5) for n in (2, 4, 7)}
+    monkeypatch.setattr(binning, "VALUES", 10)
+    assert {n: binning.tree_edges(table, n, 5) for n in want} == want and len(want[7]) == 6 and want[7][:3] == want[4]
+
+
+def test_percentiles_are_exact(spark):
+    rows = spark.createDataFrame([(None if i % 7 == 0 else i % 2, float(i * i % 53) if i % 5 else None) for i in range(200)], "g int, x double")
+    got = {r["g"]: r["q"] for r in cumulative.percentiles(rows, "x", (0.0, 0.1, 0.5, 0.99, 1.0), ("g",)).collect()}
+    want = {r["g"]: r["q"] for r in rows.groupBy("g").agg(F.percentile("x", F.array(*[F.lit(p) for p in (0.0, 0.1, 0.5, 0.99, 1.0)])).alias("q")).collect()}
+    assert set(got) == set(want) and all(got[g] == pytest.approx(want[g]) for g in want)
+    assert cumulative.percentiles(rows.limit(0), "x", (0.5,)).first()["q"] == [None]
+
+
+def test_more_features_than_generated_code_holds_keep_a_null_entity(spark):
+    rows = spark.createDataFrame([(1, datetime.datetime(2020, 1, 5), 2.0), (None, datetime.datetime(2020, 1, 6), 3.0)], "id long, t timestamp_ntz, x double")
+    plan = features.Plan(features.Entity("id", "t", datetime.datetime(2020, 1, 10), "days"))
+    plan.simple = features.expand(["x"], ["sum"], [(1, k) for k in range(1, 402)])
+    out = features.build(rows, plan)
+    assert len(out.columns) == 402 and {r["id"] for r in out.collect()} == {1, None}
+
+
+def test_rank_stability_by_hand(spark):
+    """Months 1 to 3 rank the bins a b, a b, b a: shares 2/3 and 2/3; in either rank the shares are 2/3 and 1/3."""
+    bad = {(1, "a"): 1, (1, "b"): 0, (2, "a"): 1, (2, "b"): 0, (3, "a"): 0, (3, "b"): 1}
+    rows = spark.createDataFrame([(m, b, y) for (m, b), y in bad.items()], "m int, b string, y int")
+    r = metrics.rank_stability(rows, "b", "m", "y").first()
+    assert r["rsi"] == pytest.approx(2 / 3) and r["rsi_product"] == pytest.approx(2 / 9)
+
+
+def test_niv_by_hand(spark):
+    rows = spark.createDataFrame([("a", 1, 1), ("a", 1, 0), ("a", 0, 0), ("b", 1, 0), ("b", 0, 1), ("b", 0, 0)], "b string, t int, y int")
+    # counts and one of (treated, target): a: 2 2 1 2, b: 1 2 2 2, so shares a: 2/3 1/2 1/3 1/2 and b: 1/3 1/2 2/3 1/2
+    want = (2 / 3 * 1 / 2 - 1 / 2 * 1 / 3) * math.log((2 / 3 * 1 / 2) / (1 / 2 * 1 / 3)) + (1 / 3 * 1 / 2 - 1 / 2 * 2 / 3) * math.log((1 / 3 * 1 / 2) / (1 / 2 * 2 / 3))
+    assert metrics.niv(rows, "b", "y", "t").first()["niv"] == pytest.approx(want)
+
+
+def test_all_modes(spark):
+    rows = spark.createDataFrame([(1, c) for c in "edcba"] + [(2, "x"), (2, "x"), (2, "y")], "k int, c string")
+    got = {r["k"]: list(r[1:]) for r in categorical.modes(rows, "k", "c").collect()}
+    assert got == {1: list("abcde"), 2: ["x", None, None, None, None]}
