@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: a forest of random-projection trees searched through one shared priority queue.
 
 The forest is fitted on a bounded sample and sent to every task; every row is routed to one leaf of each tree. A query keeps
-one queue over all trees, ordered by the least margin on the way, and takes leaves until it has enough candidates. Leaves
-and the queries that reach them are cogrouped, so candidates are reranked by their exact cosine where their vectors are.
+one queue over all trees, ordered by the least margin on the way, and takes leaves until it has enough candidates. How many
+are enough is measured on the sample: so many as give the wanted recall there. Leaves lie in cells, small subtrees; a cell and
+the queries that reach a leaf of it are cogrouped, so candidates are reranked by their exact cosine where their vectors are.
 """
 
 from __future__ import annotations
@@ -18,12 +19,11 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import Tables
 
-#: Rows the forest is fitted on (least md5 of the id), trees, and sampled rows a leaf holds at most.
-SAMPLE, TREES, LEAF = 20_000, 10, 80
-#: A query takes leaves until they hold so many rows, counted in each tree: a number, and a share of all rows. Vectors
-#: without structure, as those of the synthetic table, need the share for a recall of 0.9; others do with less.
-SEARCH, SHARE = 6_000, 1.0
-#: Rows of a leaf that one task holds; larger leaves are cut into blocks that every query of the leaf visits.
+#: Rows the forest is fitted on (least md5 of the id), trees, and sampled rows that a leaf and a cell hold at most.
+SAMPLE, TREES, LEAF, CELL = 20_000, 20, 40, 800
+#: The recall that the sample is to reach, the sampled queries that measure it, and the rows a query looks at in any case.
+RECALL, MEASURED, SEARCH = 0.95, 100, 1_000
+#: Rows of a cell that one task holds; larger cells are cut into blocks that every query of the cell visits.
 BLOCK = 8_192
 
 
@@ -35,7 +35,7 @@ class Forest:
     offsets: np.ndarray
     children: np.ndarray  # nodes x 2: left where the margin is below 0
     roots: list[int]
-    leaves: int
+    cells: np.ndarray  # of each leaf
 
     def route(self, x: np.ndarray) -> np.ndarray:
         """Leaf numbers, rows x trees."""
@@ -49,29 +49,28 @@ class Forest:
             out[:, t] = -1 - at
         return out
 
-    def search(self, q: np.ndarray, counts: np.ndarray, enough: int) -> list[int]:
-        """Leaves by the least margin that leads to them, over all trees, until they hold ``enough`` rows."""
-        queue, out, held = [(-np.inf, root) for root in self.roots], [], 0
+    def search(self, q: np.ndarray) -> Iterator[int]:
+        """All leaves by the least margin that leads to them, over all trees."""
+        queue = [(-np.inf, root) for root in self.roots]
         heapq.heapify(queue)
-        while queue and held < enough:
+        margins, children = (self.normals @ q + self.offsets).tolist(), self.children.tolist()
+        while queue:
             worst, node = heapq.heappop(queue)
             while node >= 0:
-                margin = float(self.normals[node] @ q + self.offsets[node])
-                near = int(margin >= 0)
-                heapq.heappush(queue, (max(worst, abs(margin)), int(self.children[node, 1 - near])))
-                node = int(self.children[node, near])
-            out.append(-1 - node)
-            held += int(counts[-1 - node])
-        return out
+                margin = margins[node]
+                near = margin >= 0
+                heapq.heappush(queue, (max(worst, abs(margin)), children[node][not near]))
+                node = children[node][near]
+            yield -1 - node
 
 
-def grow(x: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 7) -> Forest:
+def grow(x: np.ndarray, trees: int = TREES, leaf: int = LEAF, cell: int = CELL, seed: int = 7) -> Forest:
     """Split by the plane between two random rows, of unit length, until at most ``leaf`` rows or equal rows are left."""
     rng = np.random.default_rng(seed)
-    normals, offsets, children, leaves = [], [], [], 0
+    normals, offsets, children, cells, begun = [], [], [], [], 0
 
-    def split(rows: np.ndarray) -> int:
-        nonlocal leaves
+    def split(rows: np.ndarray, own: int | None) -> int:
+        nonlocal begun
         if len(rows) > leaf:
             for _ in range(5):
                 a, b = x[rng.choice(rows, 2, replace=False)]
@@ -82,18 +81,49 @@ def grow(x: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 7) ->
                 offset = -float(normal @ (a + b) / 2)
                 right = x[rows] @ normal + offset >= 0
                 if 0.02 < right.mean() < 0.98:
+                    if own is None and len(rows) <= cell:
+                        own, begun = begun, begun + 1
                     node = len(normals)
                     normals.append(normal)
                     offsets.append(offset)
                     children.append([0, 0])
-                    children[node] = [split(rows[~right]), split(rows[right])]
+                    children[node] = [split(rows[~right], own), split(rows[right], own)]
                     return node
-        leaves += 1
-        return -leaves
+        if own is None:
+            own, begun = begun, begun + 1
+        cells.append(own)
+        return -len(cells)
 
-    roots = [split(np.arange(len(x))) for _ in range(trees)]
+    roots = [split(np.arange(len(x)), None) for _ in range(trees)]
     dim = x.shape[1]
-    return Forest(np.array(normals, np.float64).reshape(-1, dim), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), roots, leaves)
+    return Forest(np.array(normals, np.float64).reshape(-1, dim), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), roots, np.array(cells))
+
+
+def needed(forest: Forest, x: np.ndarray, k: int, recall: float = RECALL, queries: int = MEASURED) -> float:
+    """Rows that a query must hold, counted in each tree, as a share of all rows, for ``recall`` among the sample itself.
+
+    In all rows neighbours are nearer than in the sample, so they are found no later.
+    """
+    leaves = forest.route(x)
+    counts = np.bincount(leaves.ravel(), minlength=len(forest.cells))
+    held = []
+    for q in range(0, len(x), -(-len(x) // queries)):
+        near = x @ x[q]
+        near[q] = -np.inf
+        left = set(np.argpartition(-near, min(k, len(x) - 1) - 1)[:k].tolist()) - {q}
+        homes: dict[int, set[int]] = {}
+        for i in left:
+            for leaf in leaves[i].tolist():
+                homes.setdefault(leaf, set()).add(i)
+        total = 0
+        for leaf in forest.search(x[q]):
+            total += int(counts[leaf])
+            found = homes.get(leaf, set()) & left
+            held += [total] * len(found)
+            left -= found
+            if not left:
+                break
+    return float(np.quantile(held, recall)) / len(x) if held else 1.0
 
 
 def _usable(vector: str) -> Column:
@@ -108,7 +138,7 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", search: int = SEARCH, share: float = SHARE) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", recall: float = RECALL, search: int = SEARCH) -> DataFrame:
     """query_id, rank, vec_id, score: for each query its ``k`` nearest rows found, other than itself; ties to the smaller id.
 
     Rows and queries with a null id or an unusable vector take no part, nor do those with another number of components
@@ -117,7 +147,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id"
     """
     spark = rows.sparkSession
     tables = Tables(spark)
-    known = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & _usable("v"))
+    kind = rows.schema[vector].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    known = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).where(F.col("id").isNotNull() & _usable("v"))
     copies = Window.partitionBy(F.md5(F.concat_ws(",", F.transform("v", lambda c: (c + 0.0).cast("string"))))).orderBy("id")
     index = tables.put(known(rows).withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1).drop("_n"), "index")
     sample = index.orderBy(F.md5(F.col("id").cast("string"))).limit(SAMPLE).select("v").toArrow().to_pandas()["v"]
@@ -126,53 +158,68 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id"
         return spark.createDataFrame([], found)
     lengths = np.array([len(v) for v in sample])
     dim = int(np.bincount(lengths).argmax())
-    forest = grow(_unit(sample[lengths == dim]))
+    units = _unit(sample[lengths == dim])
+    forest = grow(units)
     shared = spark.sparkContext.broadcast(forest)
 
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                leaves = shared.value.route(_unit(batch["v"]))
-                n = leaves.shape[1]
-                yield pd.DataFrame({"leaf": leaves.ravel(), "id": np.repeat(batch["id"].to_numpy(), n), "v": [v for v in batch["v"] for _ in range(n)]})
+        for batch in filter(len, batches):
+            leaves = shared.value.route(_unit(batch["v"]))
+            n = leaves.shape[1]
+            yield pd.DataFrame({"cell": shared.value.cells[leaves.ravel()], "leaf": leaves.ravel(), "id": np.repeat(batch["id"].to_numpy(), n), "v": [v for v in batch["v"] for _ in range(n)]})
 
     fits = F.size("v") == dim
-    posts = tables.put(index.where(fits).mapInPandas(posted, "leaf long, id long, v array<double>"), "posts")
-    counts = np.zeros(forest.leaves + 1, np.int64)
+    posts = tables.put(index.where(fits).mapInPandas(posted, f"cell long, leaf long, id long, v {kind}"), "posts")
+    counts = np.zeros(len(forest.cells), np.int64)
     for r in posts.groupBy("leaf").count().collect():  # one row a leaf: bounded by the forest
         counts[r["leaf"]] = r["count"]
-    sizes = spark.sparkContext.broadcast(counts)
-    enough = max(search, int(share * counts.sum() / len(forest.roots)))
+    blocks = -(-np.bincount(forest.cells, weights=counts).astype(np.int64) // BLOCK)
+    enough = max(search, needed(forest, units, k, recall) * counts.sum() / len(forest.roots))
+    sizes = spark.sparkContext.broadcast((counts, blocks))
 
     def probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
+        held, blocks = sizes.value
+        for batch in filter(len, batches):
             for q, v, u in zip(batch["id"], batch["v"], _unit(batch["v"]), strict=True):
-                for leaf in shared.value.search(u, sizes.value, enough):
-                    out += [(leaf, block, q, v) for block in range(-(-int(sizes.value[leaf]) // BLOCK))]
-            yield pd.DataFrame(out, columns=["leaf", "block", "query_id", "q"])
-
-    def rerank(probes: pd.DataFrame, leaf: pd.DataFrame) -> pd.DataFrame:
+                leaves, total = [], 0
+                for leaf in shared.value.search(u):
+                    if held[leaf]:
+                        leaves.append(leaf)
+                        total += int(held[leaf])
+                    if total >= enough:
+                        break
+                by = np.array(leaves, np.int64)
+                by = by[np.argsort(shared.value.cells[by], kind="stable")]
+                cells, at = np.unique(shared.value.cells[by], return_index=True)
+                out = [(c, block, q, v, part) for c, part in zip(cells.tolist(), np.split(by, at[1:]), strict=True) for block in range(int(blocks[c]))]
+                yield pd.DataFrame(out, columns=["cell", "block", "query_id", "q", "leaves"])
+
+    def rerank(probes: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(probes) and len(leaf):
-            x, ids = np.stack(leaf["v"]), leaf["id"].to_numpy()
+        if len(probes) and len(cell):
+            cell = cell.sort_values("leaf")
+            x, ids, leaf = np.stack(cell["v"]).astype(np.float64), cell["id"].to_numpy(), cell["leaf"].to_numpy()
             norms = np.sqrt((x * x).sum(1))
-            for at in range(0, len(probes), 256):
-                part = probes.iloc[at : at + 256]
-                rough = np.stack(part["q"]) @ (x / norms[:, None]).T
-                least = np.partition(rough, max(0, len(ids) - k - 1), axis=1)[:, max(0, len(ids) - k - 1)]
-                for i, (q, v) in enumerate(zip(part["query_id"], part["q"], strict=True)):
-                    near = np.flatnonzero(rough[i] >= least[i] - 1e-9 * (1 + abs(least[i])))  # the product orders them but for its last digits
-                    near = near[ids[near] != q]
-                    v = np.asarray(v)
-                    score = (x[near] * v).sum(1) / (norms[near] * np.sqrt((v * v).sum()))
-                    for j in np.lexsort((ids[near], -score))[:k]:
-                        out.append((q, int(ids[near[j]]), float(score[j])))
+            unit = x / norms[:, None]
+            for q, v, leaves in zip(probes["query_id"], probes["q"], probes["leaves"], strict=True):
+                low, high = np.searchsorted(leaf, leaves), np.searchsorted(leaf, leaves, side="right")
+                at = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])
+                at = at[ids[at] != q]
+                if not len(at):
+                    continue
+                v = np.asarray(v, np.float64)
+                rough = unit[at] @ v
+                least = np.partition(rough, max(0, len(at) - k))[max(0, len(at) - k)]
+                near = at[rough >= least - 1e-9 * np.sqrt((v * v).sum())]  # the product orders them but for its last digits
+                score = (x[near] * v).sum(1) / (norms[near] * np.sqrt((v * v).sum()))
+                for j in np.lexsort((ids[near], -score))[:k]:
+                    out.append((q, int(ids[near[j]]), float(score[j])))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    block = F.coalesce(F.create_map(*[F.lit(int(x)) for leaf in np.flatnonzero(counts > BLOCK) for x in (leaf, -(-counts[leaf] // BLOCK))])[F.col("leaf")], F.lit(1)) if (counts > BLOCK).any() else F.lit(1)
+    several = [F.lit(int(x)) for c in np.flatnonzero(blocks > 1) for x in (c, blocks[c])]  # bounded by the forest
+    block = F.coalesce(F.create_map(*several)[F.col("cell")], F.lit(1)) if several else F.lit(1)
     held = posts.withColumn("block", F.pmod(F.xxhash64("id"), block).cast("long"))
-    probes = known(queries).where(fits).mapInPandas(probing, "leaf long, block long, query_id long, q array<double>")
-    pairs = probes.groupBy("leaf", "block").cogroup(held.groupBy("leaf", "block")).applyInPandas(rerank, "query_id long, vec_id long, score double").distinct()
+    probes = known(queries).where(fits).mapInPandas(probing, f"cell long, block long, query_id long, q {kind}, leaves array<long>")
+    pairs = probes.groupBy("cell", "block").cogroup(held.groupBy("cell", "block")).applyInPandas(rerank, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
