@@ -8,7 +8,7 @@ normalised by its length and calibrated to a probability on labelled rows that t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,14 +24,16 @@ from riskloom.llm.common import Tables, whole
 FIT_ROWS = 40_000
 #: Of the fitted rows, those with crc32 mod 16 in this range calibrate; the others fill the tree.
 CALIBRATE = (12, 16)
-DEPTH, DISCOUNT = 12, 0.75
+DISCOUNT = 0.75
 #: A prefix seen less often backs off: its words go by their longest prefix seen as often as this, whatever the number of nodes.
 LEAST = 3
 THRESHOLD = 0.3
 
+#: Rows of the table of grams up to which it is sent to every task; beyond it, it is joined.
+GRAMS = 2_000_000
+
 _U = np.uint64
-_STEP = 0x9E3779B97F4A7C15
-_UP = np.array([pow(_STEP, i, 2**64) for i in range(DEPTH + 2)], np.uint64)
+_STEP = _U(0x9E3779B97F4A7C15)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -44,19 +46,24 @@ def _words(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     b = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
     letter = np.r_[False, ((b >= 97) & (b <= 122)) | (b >= 128), False]
     turns = np.flatnonzero(letter[1:] != letter[:-1])
-    return np.r_[b, np.zeros(DEPTH + 1, np.uint8)], turns[::2], turns[1::2]
+    return np.r_[b, np.uint8(0)], turns[::2], turns[1::2]
+
 
+def _prefixes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Generator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray | None, None]:
+    """For each depth: the words that reach it, their parent's hash, their own, and the byte; the end of a word is byte 0.
 
-def _prefixes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each depth: the words that reach it, their parent's hash, their own, and the byte; the end of a word is byte 0."""
-    at, node = np.arange(len(starts)), np.zeros(len(starts), np.uint64)
-    for depth in range(DEPTH):
+    Words are read to their end; what is sent back are those to read on.
+    """
+    at, node, up, depth = np.arange(len(starts)), np.zeros(len(starts), np.uint64), _STEP, 0
+    while len(at):
         place = starts[at] + depth
         byte = np.where(place < ends[at], b[place], 0)
-        child = node[at] + (byte.astype(np.uint64) + _U(1)) * _UP[depth + 1]
-        yield depth, at, node[at].copy(), child, byte
+        child = node[at] + (byte.astype(np.uint64) + _U(1)) * up
+        on = yield depth, at, node[at].copy(), child, byte
         node[at] = child
-        at = at[byte > 0]
+        at = at[(byte > 0) if on is None else (byte > 0) & on]
+        depth += 1
+        up = _U(int(up) * int(_STEP) % 2**64)
 
 
 def _summed(found: list[np.ndarray]) -> pd.DataFrame:
@@ -114,15 +121,23 @@ class Tree:
     def features(self, text: str | None) -> np.ndarray:
         b, starts, ends = _words(text)
         n, ratio = len(starts), np.zeros(len(starts), np.float32)
-        for _, at, _, child, _ in _prefixes(b, starts, ends):
-            slot = _slots(child, len(self.keys))
+        walk = _prefixes(b, starts, ends)
+        step = next(walk, None)
+        while step is not None:
+            _, at, _, child, _ = step
+            slot, found = _slots(child, len(self.keys)), np.zeros(len(at), bool)
             left = np.flatnonzero(self.keys[slot] != 0)
             while len(left):
                 known = self.keys[slot[left]] == child[left]
-                ratio[at[left[known]]] = self.ratios[slot[left[known]]]
+                hit = left[known]
+                ratio[at[hit]], found[hit] = self.ratios[slot[hit]], True
                 left = left[~known]
                 slot[left] = (slot[left] + 1) % len(self.keys)
                 left = left[self.keys[slot[left]] != 0]
+            try:
+                step = walk.send(found)  # no prefix is known whose own prefix is not
+            except StopIteration:
+                step = None
         if not n:
             return np.zeros(4)
         strong = ratio > 2
@@ -134,21 +149,24 @@ def _tree(grown: DataFrame, tables: Tables) -> Tree:
     kinds = lambda c: F.sum((F.col(c) > 0).cast("long")).alias(f"kinds_{c}")
     parents = nodes.groupBy("parent").agg(F.sum("tox").alias("all_tox"), F.sum("ord").alias("all_ord"), kinds("tox"), kinds("ord"))
     grams = nodes.groupBy("gram").agg(F.count("*").alias("places"))
-    before = nodes.groupBy(F.shiftright("gram", 8).alias("before")).agg(F.count("*").alias("all_places"))
-    shared = grams.withColumn("before", F.shiftright("gram", 8)).join(before, "before").select("gram", ((F.col("places") + 0.5) / (F.col("all_places") + 128)).alias("shared"))
+    before = nodes.groupBy(F.shiftright("gram", 8).alias("before")).agg(F.count("*").alias("all_places"))  # at most 65,536 rows
+    shared = grams.withColumn("before", F.shiftright("gram", 8)).join(F.broadcast(before), "before").select("gram", ((F.col("places") + 0.5) / (F.col("all_places") + 128)).alias("shared"))
     # A class that never came to the parent has the backoff alone.
     side = lambda c: F.when(F.col(f"all_{c}") > 0, (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"kinds_{c}") * F.col("shared")) / F.col(f"all_{c}")).otherwise(F.col("shared"))
-    steps = nodes.where(F.col("tox") + F.col("ord") >= LEAST).join(parents, "parent").join(F.broadcast(shared), "gram")  # three bytes a gram
+    few = grams.count() <= GRAMS
+    steps = nodes.where(F.col("tox") + F.col("ord") >= LEAST).join(parents, "parent").join(F.broadcast(shared) if few else shared, "gram")
     t = steps.select("node", "parent", F.log(side("tox") / side("ord")).cast("float").alias("step")).toArrow()
     keys, parent, step = (t[c].to_numpy() for c in ("node", "parent", "step"))
     keys, parent = keys.view(np.uint64), parent.view(np.uint64)
     order = np.argsort(keys)
     keys, parent, step = keys[order], parent[order], step[order]
-    up = np.clip(np.searchsorted(keys, parent), 0, max(len(keys) - 1, 0))
-    child = (keys[up] == parent) if len(keys) else np.zeros(0, bool)
-    ratio = step.copy()
-    for _ in range(DEPTH):
-        ratio = step + np.where(child, ratio[up], np.float32(0))
+    n = len(keys)  # the root's place: every node adds up what its parent has, then what that one's has, twice as far each time
+    up = np.minimum(np.searchsorted(keys, parent), max(n - 1, 0))
+    up = np.append(np.where(keys[up] == parent, up, n) if n else up, n)
+    ratio = np.append(step.astype(np.float64), 0.0)
+    while (up != n).any():
+        ratio, up = ratio + ratio[up], up[up]
+    ratio = ratio[:n].astype(np.float32)
     return Tree(*_table(keys, ratio))
 
 
@@ -200,11 +218,20 @@ def score(docs: DataFrame, tree: Tree, name: str = "score") -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+    """doc_id, held_out, score, predicted: one row per row; other columns are ignored.
+
+    Null and empty texts have the score of a text without evidence. Equal texts have equal scores, repeated rows too; a null
+    doc_id is not held out. An empty table gives no rows; without labels of both classes every score is 0.5.
+    """
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     return score(docs.select("doc_id", "text"), fit(docs, labels)).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic."""
-    return score(docs, fit(docs, labels), "_toxic_score").where(F.col("_toxic_score") < THRESHOLD).select(*docs.columns)
+    """The documents that are not predicted toxic, with all their columns whatever their names.
+
+    Null and empty texts stay unless a text without evidence is toxic; repeated rows stay or go together; an empty table
+    gives no rows. Without labels of both classes every score is 0.5, so none is left.
+    """
+    marked = score(docs.select("text", F.struct("*").alias("_doc")), fit(docs, labels))
+    return marked.where(F.col("score") < THRESHOLD).select("_doc.*")

@@ -182,4 +182,7 @@ def test_toxicity_keeps_every_prefix(spark):
     for t in texts[:40]:
         for _, _, _, child, _ in toxicity._prefixes(*toxicity._words(t)):
             want |= set(child.tolist())
+    long_ = ["internationalised", "internationalbbb"] * 2
+    grown = toxicity._tree(spark.createDataFrame([(" ".join(long_ * 2), 1)], "text string, toxic int").mapInPandas(toxicity._counted, "node long, parent long, gram int, tox long, ord long"), toxicity.Tables(spark))
+    assert np.count_nonzero(grown.keys) == len({w[: k + 1] for w in long_ for k in range(len(w))}) + 2  # to the end of both
     assert len(want) > 1 << 18 and set(tree.keys[tree.keys != 0].tolist()) == want
