@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import whole
 
-#: A text without one of these stems has no licence sentence; cheap to test.
-HINT = "(?i)licen[cs]e|copyright|permission|redistribution|public domain|warranty|all rights reserved|unencumbered"
+#: Every pattern of SENTENCES needs one of these words, so a text without them has no licence sentence; cheap to test.
+HINT = r"(?i)licen[cs]e|copyright|permission|redistribut|domain|warrant|reserved|unencumbered|endorse|creative|\bcc"
 
 #: Identifier and what the normalised sentence holds; the first that fits counts. Letters are a-z, all else is one blank.
 SENTENCES = (
@@ -28,8 +28,11 @@ SENTENCES = (
     ("ccbync", r"(licensed|released|available) under (the |a )?(cc|creative commons) (by nc|attribution non ?commercial)"),
     ("ccbysa", r"(licensed|released|available) under (the |a )?(cc|creative commons) (by sa|attribution share ?alike)"),
     ("ccby", r"(licensed|released|available) under (the |a )?(cc|creative commons) (by|attribution)"),
-    ("cc0", r"(cc0|creative commons zero)"),
+    ("cc0", r"\b(cc0|creative commons zero)\b"),
+    ("lgpl3", r"(licensed under|released under|under the terms of) the gnu lesser general public license .*version 3"),
+    ("lgpl21", r"(licensed under|released under|under the terms of) the gnu lesser general public license .*version 2 1"),
     ("lgpl", r"(licensed under|released under|under the terms of) the gnu lesser general public license"),
+    ("agpl3", r"(licensed under|released under|under the terms of) the gnu affero general public license .*version 3"),
     ("agpl", r"(licensed under|released under|under the terms of) the gnu affero general public license"),
     ("gpl3", r"(licensed under|released under|under the terms of) the gnu general public license .*version 3"),
     ("gpl2", r"(licensed under|released under|under the terms of) the gnu general public license .*version 2"),
@@ -38,6 +41,14 @@ SENTENCES = (
     ("apache_copy", r"you may obtain a copy of the license at http www apache org licenses license 2 0"),
     ("apache_basis", r"distributed on an as is basis without warranties or conditions of any kind"),
     ("mpl2", r"subject to the terms of the mozilla public license v(ersion)? ?2 0"),
+    ("mpl2_copy", r"if a copy of the mpl was not distributed with this file you can obtain one at https? (www )?mozilla org mpl 2 0"),
+    ("epl2", r"(licensed|released|available) under the terms of the eclipse public license v? ?2 0"),
+    ("boost_grant", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("boost_short", r"distributed under the boost software license version 1 0"),
+    ("zlib_grant", r"permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("zlib_origin", r"the origin of this software must not be misrepresented"),
+    ("gpl_hope", r"distributed in the hope that it will be useful but without any warranty"),
+    ("gpl_copy", r"you should have received a copy of the gnu (lesser |affero )?general public license"),
     ("mit_short", r"(licensed|released|available) under the (terms of the )?mit license"),
     ("mit_grant", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit_notice", r"the above copyright notice and this permission notice shall be included"),
@@ -49,7 +60,7 @@ SENTENCES = (
     ("bsd_short", r"(licensed|released|available) under the (3 clause |2 clause |new |modified )?bsd license"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
     ("public", r"(placed in|dedicated to|released into) the public domain"),
-    ("as_is", r"software is provided as is without (express or implied )?warrant"),
+    ("as_is", r"software is provided (by .* )?as is (and|without) (any )?(express or implied )?warrant"),
     ("reserved", r"all rights reserved"),
     ("copyright", r"^(c )?copyright (c )?[0-9]{4}"),
 )
@@ -59,17 +70,23 @@ RULES = (
     ("BSD-3-Clause", "<bsd_grant>(<bsd_source>)?(<bsd_binary>)?<bsd_endorse>(<as_is>)?"),
     ("BSD-2-Clause", "<bsd_grant>(<bsd_source>)?(<bsd_binary>)?(<as_is>)?"),
     ("BSD", "<bsd_short>"),
+    ("BSL-1.0", "(<boost_grant>|<boost_short>)(<as_is>)?"),
+    ("Zlib", "(<as_is>)?<zlib_grant>(<zlib_origin>)?"),
     ("MIT", "<mit_grant>(<mit_notice>)?(<as_is>)?"),
     ("MIT", "(<mit_short>|<spdx_mit>)+"),
     ("ISC", "<isc_grant>(<as_is>)?"),
     ("Apache-2.0", "(<apache2>|<spdx_apache2>)(<apache_copy>)?(<apache_basis>)?"),
     ("BSD-3-Clause", "<spdx_bsd3>"),
-    ("GPL-3.0", "(<gpl3>|<spdx_gpl3>)+"),
-    ("GPL-2.0", "(<gpl2>|<spdx_gpl2>)+"),
-    ("AGPL", "<agpl>"),
-    ("LGPL", "<lgpl>"),
-    ("GPL", "<gpl>"),
-    ("MPL-2.0", "<mpl2>"),
+    ("GPL-3.0", "(<gpl3>|<spdx_gpl3>)+(<gpl_hope>)?(<gpl_copy>)?"),
+    ("GPL-2.0", "(<gpl2>|<spdx_gpl2>)+(<gpl_hope>)?(<gpl_copy>)?"),
+    ("AGPL-3.0", "<agpl3>(<gpl_hope>)?(<gpl_copy>)?"),
+    ("AGPL", "<agpl>(<gpl_hope>)?(<gpl_copy>)?"),
+    ("LGPL-3.0", "<lgpl3>(<gpl_hope>)?(<gpl_copy>)?"),
+    ("LGPL-2.1", "<lgpl21>(<gpl_hope>)?(<gpl_copy>)?"),
+    ("LGPL", "<lgpl>(<gpl_hope>)?(<gpl_copy>)?"),
+    ("GPL", "<gpl>(<gpl_hope>)?(<gpl_copy>)?"),
+    ("MPL-2.0", "<mpl2>(<mpl2_copy>)?"),
+    ("EPL-2.0", "<epl2>"),
     ("CC-BY-NC-ND", "<ccbyncnd>"),
     ("CC-BY-NC-SA", "<ccbyncsa>"),
     ("CC-BY-NC", "<ccbync>"),
@@ -83,7 +100,7 @@ RULES = (
 
 
 #: Paragraphs also end after a line with an SPDX identifier and before a line with a copyright and its year.
-PARAGRAPHS = ((r"\r\n?", "\n"), (r"(spdx-license-identifier[^\n]*)\n", "$1\n\n"), (r"\n(?=[^a-z0-9\n]*(c[^a-z0-9\n]+)?copyright[^a-z0-9\n]+(c[^a-z0-9\n]+)?[0-9]{4})", "\n\n"), (r"\n[^a-z0-9\n]*(?=\n)", "\x01"), (r"\n", " "), (r"([.!?])[ \t]+", "$1\x01"))
+PARAGRAPHS = ((r"\r\n?", "\n"), (r"(spdx-license-identifier[^\n]*)\n", "$1\n\n"), (r"\n(?=[^a-z0-9\n]*(c[^a-z0-9\n]+)?copyright[^a-z0-9\n]+(c[^a-z0-9\n]+)?[0-9]{4})", "\n\n"), (r"\n[^a-z0-9\n]*(?=\n)", "\x01"), (r"\n", " "), (r"\bv\. +([0-9])", "v $1"), (r"([.!?])[ \t]+", "$1\x01"))
 #: A second licence of a sentence is read as if it repeated the words before the first.
 AGAIN = (
     (r"under either( of)?( the)? ", "under the "),
@@ -114,11 +131,15 @@ def scan(docs: DataFrame) -> DataFrame:
     out = docs.select("doc_id", whole().alias("_text"))
     out = out.select("doc_id", F.when(F.col("_text").rlike(HINT), _identifiers(F.col("_text"))).otherwise("").alias("identifiers"))
     out = out.withColumn("n_sentences", F.regexp_count("identifiers", F.lit("<")).cast("long"))
-    hits, rest = {}, F.col("identifiers")
-    for name, rule in RULES:
-        hits[name] = hits[name] | rest.rlike(rule) if name in hits else rest.rlike(rule)
-        rest = F.regexp_replace(rest, rule, " ")
-    licenses = F.concat_ws(",", *[F.when(hit, F.lit(name)) for name, hit in hits.items()])
+    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(r).alias("rule")) for n, r in RULES])
+    begin = F.struct(F.col("identifiers").alias("rest"), F.array().cast("array<string>").alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        hit = F.when(F.regexp(acc["rest"], x["rule"]), F.concat(acc["found"], F.array(x["name"]))).otherwise(acc["found"])
+        return F.struct(F.regexp_replace(acc["rest"], x["rule"], F.lit(" ")).alias("rest"), hit.alias("found"))
+
+    names = F.array(*[F.lit(n) for n in dict.fromkeys(n for n, _ in RULES)])
+    licenses = F.aggregate(rules, begin, step, lambda acc: F.array_join(F.filter(names, lambda n: F.array_contains(acc["found"], n)), ","))
     return out.withColumn("licenses", F.when(F.col("n_sentences") > 0, licenses).otherwise("")).select("doc_id", "n_sentences", "identifiers", "licenses")
 
 

@@ -146,6 +146,18 @@ def test_licenses_wrapped_and_dual(spark):
         "Licensed under the GNU General Public License, version 2, or the MIT License.": "GPL-2.0,MIT",
         "Licensed under the Apache License, Version 2.0. Distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND.": "Apache-2.0",
     }
+    more = {
+        "Released under CC0 1.0.": "CC0",
+        "Available under CC BY-SA 4.0 from us.": "CC-BY-SA",
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.": "MPL-2.0",
+        "under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either\n# version 2.1 of the License": "LGPL-2.1",
+        "Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by\nthis license": "BSL-1.0",
+        "This software is provided 'as-is', without any express or implied\nwarranty.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications": "Zlib",
+        "Redistribution and use in source and binary forms, with or without modification,\nare permitted.\n\n1. Redistributions of source code must retain the above copyright notice.\n2. Redistributions in binary form must reproduce the above\n   copyright notice.\n3. Neither the name of the holder nor the names of its\n   contributors may be used to endorse or promote products.\n\nTHIS SOFTWARE IS PROVIDED BY THE HOLDERS \"AS IS\" AND\nANY EXPRESS OR IMPLIED WARRANTIES": "BSD-3-Clause",
+        "under the terms of the GNU Affero General Public License as published by us,\neither version 3 of the License.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY.\n\nYou should have received a copy of the GNU Affero General Public License": "AGPL-3.0",
+        "dedicated to the public\n * domain": "Public-Domain",
+    }
+    texts |= more
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert {t: set(got[i]["licenses"].split(",")) for i, t in enumerate(texts)} == {t: set(w.split(",")) for t, w in texts.items()}
     assert got[9]["identifiers"] == "<apache2><apache_basis>"
