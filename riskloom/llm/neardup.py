@@ -87,19 +87,25 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32).view(np.int32)
 
 
+def _marks(s: np.ndarray) -> list[int]:
+    """Two numbers that, with the size of a set, tell it from any other."""
+    return [int(_mixed(s + add).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for add in (_U(1), _U(77))]
+
+
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+        for doc, row, text_mark, text in zip(batch["doc_id"], batch["row"], batch["text_mark"], batch["text"], strict=True):
             s = shingles(text)
-            mark = [int(_mixed(s + add).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for add in (_U(1), _U(77))]
-            rows.append((doc, len(s), *mark, signature(s) if len(s) else None))
-        yield pd.DataFrame(rows, columns=["doc_id", "n", "mark1", "mark2", "sig"])
+            rows.append((doc, row, text_mark, len(s), *_marks(s), signature(s) if len(s) else None))
+        yield pd.DataFrame(rows, columns=["doc_id", "row", "text_mark", "n", "mark1", "mark2", "sig"])
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"id": batch["doc_id"], "hashes": [shingles(t).tobytes() for t in batch["text"]]})
+        found = [shingles(t) for t in batch["text"]]
+        marks = [(len(s), *_marks(s), s.tobytes()) for s in found]
+        yield pd.DataFrame(marks, columns=["n", "mark1", "mark2", "hashes"]).assign(doc=batch["doc_id"].to_numpy())
 
 
 def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,18 +157,20 @@ def _across(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame, tables: Tables, name: str) -> DataFrame:
-    """id, hashes: the full sets of the documents in ``ids`` (id)."""
-    ids = tables.put(ids.select(F.col("id").alias("doc_id")).distinct(), f"{name}-ids")
-    few = ids.count() <= IDS  # else the texts have to move
-    some = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    some = some.dropDuplicates(["doc_id"])
-    return tables.put(some.mapInPandas(_sets, "id long, hashes binary"), name)
+def _sets_of(ids: DataFrame, reps: DataFrame, docs: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """id, hashes: the full sets of the classes in ``ids`` (id), each from a text of its least document."""
+    wanted = tables.put(reps.join(ids.select(F.col("id").alias("rep")).distinct(), "rep").select("rep", "doc", "n", "mark1", "mark2"), f"{name}-ids")
+    few = wanted.count() <= IDS  # else the texts have to move
+    own = wanted.select(F.col("doc").alias("doc_id")).distinct()
+    some = docs.join(F.broadcast(own) if few else own, "doc_id", "left_semi").select("doc_id", "text")
+    found = some.mapInPandas(_sets, "n long, mark1 long, mark2 long, hashes binary, doc long")
+    out = found.join(wanted, ["doc", "n", "mark1", "mark2"]).groupBy(F.col("rep").alias("id")).agg(F.first("hashes").alias("hashes"))
+    return tables.put(out, name)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
+def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
     """The pairs whose full sets are near enough; sets are computed for documents in a pair only."""
-    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, tables, "sets")
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), reps, docs, tables, "sets")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("hashes").alias(f"hashes_{c}"))
     links = tables.put(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_linked, "a long, b long"), "confirmed")
     tables.drop("sets")
@@ -174,14 +182,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null or empty texts and texts without words have no shingles and are linked with nothing. Rows without a doc_id are
     returned with a null component and kept. Equal sets are one class with its smallest doc_id as representative, so
-    copies cost one row each. An empty table gives no rows.
+    copies cost one row each. Rows that share a doc_id count each with its own text. An empty table gives no rows.
     """
+    return _labelled(docs).drop("text_mark")
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    """The same with ``text_mark``, the md5 of the text."""
     spark = docs.sparkSession
     tables = Tables(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = tables.put(docs.mapInPandas(_signed, "doc_id long, n long, mark1 long, mark2 long, sig array<int>"), "signed")
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.md5("text").alias("text_mark"), "text")
+    signed = tables.put(numbered.mapInPandas(_signed, "doc_id long, row long, text_mark string, n long, mark1 long, mark2 long, sig array<int>"), "signed")
     some = signed.where("n > 0 AND doc_id IS NOT NULL")
-    reps = tables.put(some.groupBy("n", "mark1", "mark2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
+    # A class goes by the row of its least document, as one document may stand for two texts.
+    least = some.groupBy("n", "mark1", "mark2").agg(F.min(F.struct("doc_id", "row")).alias("own"), F.first("sig").alias("sig"))
+    reps = tables.put(least.select("n", "mark1", "mark2", F.col("own.row").alias("rep"), F.col("own.doc_id").alias("doc"), "sig"), "reps")
 
     elements = reps.select("rep", F.posexplode("sig").alias("place", "value")).select("rep", (F.shiftleft(F.col("place").cast("long"), 32) + F.col("value")).alias("element"))
     shared = elements.groupBy("element").agg(F.count("*").alias("size")).where("size > 1")
@@ -197,14 +213,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     near = "rep <> hub.rep AND 100 * least(n, hub.n) >= %d * greatest(n, hub.n)" % PERCENT
     stars = posted.drop("prefix").join(hubs, "element").where(near).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("hub.sig").alias("sig_a"))
     stars = tables.put(stars.mapInPandas(_agreeing, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
-    links = _confirmed(stars, docs, tables)
+    links = _confirmed(stars, reps, docs, tables)
     first = tables.put(components(links, tables, "first"), "first")
 
     named = heads.join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("rep", "component", "central", "prefix")
     lists = named.withColumn("element", F.explode("prefix")).groupBy("element").agg(F.max_by("component", F.struct("central", F.negate("rep"))).alias("top"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high AND size > 2")
     lists = lists.select("element", "top", F.ceil(F.col("size") / BLOCK).alias("blocks"))
     open_ = tables.put(named.withColumn("element", F.explode("prefix")).join(lists, "element").select("element", "rep", "component", (F.col("component") == F.col("top")).alias("dominant"), "blocks"), "open")
-    sets = _sets_of(open_.select(F.col("rep").alias("id")), docs, tables, "open-sets")
+    sets = _sets_of(open_.select(F.col("rep").alias("id")), reps, docs, tables, "open-sets")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     rows = F.when(F.col("dominant"), F.array().cast("array<struct<row:bigint,col:bigint>>")).otherwise(F.transform(every, lambda i: F.struct(F.col("block").alias("row"), i.alias("col"))))
@@ -217,13 +233,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for name in ("heads", "stars", "confirmed", "first", "open", "across"):
         tables.drop(name)
 
-    labels = reps.drop("sig").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("n", "mark1", "mark2", F.coalesce("component", "rep").alias("component_id"))
-    alone = signed.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    out = some.join(labels, ["n", "mark1", "mark2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    named = reps.join(final.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("n", "mark1", "mark2", "doc", "component")
+    lowest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
+    labels = named.join(lowest, "component").select("n", "mark1", "mark2", "component_id")
+    alone = signed.where("n = 0 OR doc_id IS NULL").select("doc_id", "text_mark", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = some.join(labels, ["n", "mark1", "mark2"]).select("doc_id", "text_mark", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without all but the smallest doc_id of each component; rows without a doc_id stay."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents without all but the smallest doc_id of each component, with all their columns whatever their names.
+
+    Rows without a doc_id or without words stay; so do all rows of a document with the text that is kept. An empty table
+    gives no rows.
+    """
+    gone = _labelled(docs).where("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_mark").alias("_gone_text")).distinct()
+    marked = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.md5("text").alias("_text"))
+    return marked.join(gone, (F.col("_id") == F.col("_gone_id")) & (F.col("_text") == F.col("_gone_text")), "left_anti").select("_doc.*")

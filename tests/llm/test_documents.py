@@ -59,6 +59,16 @@ def test_neardup_large_group(spark, monkeypatch):
     test_neardup_components(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([], "doc_id long, text string"))
 
 
+def test_neardup_two_texts_of_one_id(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+    base, other = " ".join(words), " ".join(f"{w}x" for w in words)
+    rows = [(1, base), (1, other), (3, other + " more"), (4, base + " more"), (2, "quite a different text of its own"), (2, base)]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, component_id int")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (2, 2, True), (3, 1, False), (4, 1, False)]
+    assert sorted(r["text"] for r in neardup.keep_one(df).collect()) == sorted([base, other, "quite a different text of its own"])
+
+
 def test_repeated_passages(docs, nothing, monkeypatch):
     for hot in (suffixes.HOT, 1):  # with 1, every shared anchor is spread by its strings
         monkeypatch.setattr(suffixes, "HOT", hot)
