@@ -29,13 +29,18 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the mix and their places in sequences of at most 4,096 tokens."""
-    return packing.pack_documents(docs, queries.TOKENIZER)
+    """The pieces of the mix and their places in sequences of at most 4,096 tokens, with their places in training time."""
+    return packing.pack_documents(*_placed(docs))
+
+
+def _placed(docs: DataFrame) -> tuple:
+    placed, position = packing.training_order(docs)
+    return placed, queries.TOKENIZER, packing.SIZE, position
 
 
 STAGES = [("toxicity", clean), ("near duplicates", distinct), ("personal data", private), ("mixing", mixed), ("packing", packed)]
 
-#: Neither the fitted model nor components and packing can be put in SQL; tests/llm holds run() against brute force.
+#: Neither the fitted model nor components and packing can be put in SQL; tests/llm holds every stage against plain Python.
 ORACLE_SQL = None
 
 

@@ -20,7 +20,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import Tables
@@ -135,8 +136,11 @@ def _taken(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np
 _encoders: dict[str, _Encoder] = {}
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> DataFrame:
-    """doc_id, row, piece, start, length, ids_crc32. ``row`` tells repeated rows apart. Null text: only the end id."""
+def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, position: Column | None = None) -> DataFrame:
+    """doc_id, row, piece, start, length, ids_crc32, and the document's ``position`` if given.
+
+    ``row`` tells repeated rows apart. Null text: only the end id.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, last = _encoders.setdefault(tokenizer, None) or _Encoder(tokenizer), np.array([end], "<u4").tobytes()
@@ -148,16 +152,18 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) ->
             for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(turn)) + 1):
                 ids, ends = encode([texts[i] for i in part])
                 raw, start = ids.tobytes(), 0
-                for doc, row, to in zip(batch["doc_id"].iloc[part], batch["row"].iloc[part], (4 * ends).tolist(), strict=True):
+                for doc, row, at_, to in zip(batch["doc_id"].iloc[part], batch["row"].iloc[part], batch["position"].iloc[part], (4 * ends).tolist(), strict=True):
                     own = raw[start:to] + last
                     start = to
                     for k, at in enumerate(range(0, len(own), 4 * size)):
                         piece = own[at : at + 4 * size]
-                        rows.append((doc, row, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
-            yield pd.DataFrame(rows, columns=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
+                        rows.append((doc, row, k, at // 4, len(piece) // 4, zlib.crc32(piece), at_))
+            yield pd.DataFrame(rows, columns=["doc_id", "row", "piece", "start", "length", "ids_crc32", "position"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text")
-    return rows.mapInPandas(cut, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
+    place = F.lit(None).cast("double") if position is None else position
+    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text", place.alias("position"))
+    out = rows.mapInPandas(cut, "doc_id long, row long, piece int, start long, length long, ids_crc32 long, position double")
+    return out if position is not None else out.drop("position")
 
 
 @dataclass
@@ -300,17 +306,23 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> Plan:
 
 
 def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
-    """Adds sequence_id and offset to pieces with a ``length`` of 1 to ``size``; within a sequence they leave no gap."""
+    """Adds sequence_id and offset to pieces with a ``length`` of 1 to ``size``; within a sequence they leave no gap.
+
+    With a column ``position`` in [0, 1], pieces of one length take their places in its order, so that those of a sequence
+    lie near each other in training time.
+    """
     spark = cut.sparkSession
     lengths = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``size`` rows
     shared = spark.sparkContext.broadcast(plan(lengths, size))
     # A length that many pieces share is ranked in several ranges of the hash; before each stand the counts of those before it.
     parts = {s: -(-n // RANKED) for s, n in lengths.items() if n > RANKED}
     number = F.coalesce(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])[F.col("length")], F.lit(1)) if parts else F.lit(1)
-    ranged = cut.withColumn("_hash", F.xxhash64("doc_id", "row", "piece")).withColumn("_part", F.pmod("_hash", number))
+    placed_ = "position" in cut.columns
+    part = F.least(F.floor(F.coalesce("position", F.lit(0.0)) * number), number - 1) if placed_ else F.pmod("_hash", number)
+    ranged = cut.withColumn("_hash", F.xxhash64("doc_id", "row", "piece")).withColumn("_part", part.cast("long"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranged.groupBy("length", "_part").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    inside = Window.partitionBy("length", "_part").orderBy("_hash", "doc_id", "row", "piece")
+    inside = Window.partitionBy("length", "_part").orderBy(*["position"] * placed_, "_hash", "doc_id", "row", "piece")
     ranked = ranged.withColumn("_rank", F.row_number().over(inside) - 1).join(sums, ["length", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -326,10 +338,30 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
     return kept.mapInPandas(placed, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def training_order(docs: DataFrame) -> tuple[DataFrame, Column | None]:
+    """The documents with the place of each row in its files, in [0, 1], if they are read from files in training order."""
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    except AnalysisException:  # not files: no order is known
+        return docs, None
+    files = placed.groupBy("_file").agg(F.count("*").alias("_rows"))
+    everything = Window.orderBy("_file")
+    before = F.coalesce(F.sum("_rows").over(everything.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.select("_file", before.alias("_before"), F.sum("_rows").over(Window.partitionBy(F.lit(0))).alias("_all"))  # one row a file
+    return placed.join(files, "_file"), (F.col("_before") + F.col("_index")) / F.col("_all")
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, position: Column | None = None) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and position and sequence_position,
+    the mean of its pieces by length, if a position is given.
 
-    The pieces are written once, so each text is tokenized once. Extra columns are ignored; an empty table gives no rows.
+    The pieces are written once, so each text is tokenized once. Null and empty texts are one piece of the end id; equal
+    texts and repeated rows are packed each; pieces of one length and position go by a hash. Extra columns are ignored; an
+    empty table gives no rows.
     """
-    cut = Tables(docs.sparkSession).put(pieces(docs, tokenizer, size), "pieces")
-    return pack(cut, size).drop("row")
+    cut = Tables(docs.sparkSession).put(pieces(docs, tokenizer, size, position=position), "pieces")
+    out = pack(cut, size).drop("row")
+    if position is None:
+        return out
+    means = Window.partitionBy("sequence_id")
+    return out.withColumn("sequence_position", F.sum(F.col("position") * F.col("length")).over(means) / F.sum("length").over(means))

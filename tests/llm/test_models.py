@@ -1,11 +1,13 @@
 """Nearest neighbours, toxicity, wrappers and the pipeline."""
 
+import itertools
+import re
 import zlib
 
 import numpy as np
 import pytest
 
-from riskloom.llm import ann, toxicity, wrappers
+from riskloom.llm import ann, mixing, pii, toxicity, wrappers
 
 
 def brute(rows, k=5):
@@ -111,19 +113,69 @@ def test_inference_folds_and_aligns():
     assert wrappers.infer(same)["template"] == [] and wrappers.extract(page(1), wrappers.infer(same)).startswith("Title 1 para 1 0")
 
 
-def test_pipeline_on_small_tables(spark):
+def sets(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """run() on the smallest tables: every stage's result from its input, by plain Python but for the fitted scores."""
     import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
     d = "/root/testdata/sf0.001"
-    out = corpus_pipeline.run(spark, d).toPandas()
     table = spark.read.parquet(f"{d}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near duplicates", "personal data", "mixing", "packing"]
-    assert set(out["doc_id"]) <= {r["doc_id"] for r in table.select("doc_id").collect()}
-    assert out.groupby("sequence_id")["length"].sum().max() <= 4096
-    stage = table
-    for _, f in corpus_pipeline.STAGES[:-1]:
-        stage = f(spark, stage, d)
-        assert stage.columns == table.columns
+    stages = [table]
+    for k, (_, f) in enumerate(corpus_pipeline.STAGES):
+        f(spark, stages[-1], d).write.parquet(str(tmp_path / str(k)))
+        stages.append(spark.read.parquet(str(tmp_path / str(k))))
+    assert all(s.columns == table.columns for s in stages[:-1])
+    texts = [{r["doc_id"]: r["text"] for r in s.collect()} for s in stages[:4]]
+
+    scores = {r["doc_id"]: r["predicted"] for r in toxicity.judge(table, spark.read.parquet(f"{d}/labels.parquet")).collect()}
+    assert texts[1] == {i: t for i, t in texts[0].items() if not scores[i]}
+
+    own, up = {i: sets(t) for i, t in texts[1].items()}, {i: i for i in texts[1]}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(own), 2):
+        if own[a] and own[b] and 100 * len(own[a] & own[b]) >= 75 * len(own[a] | own[b]):
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    assert texts[2] == {i: t for i, t in texts[1].items() if root(i) == i}
+
+    found = {r["doc_id"]: r["pii"] for r in pii.find(stages[2]).collect()}
+    for i, t in texts[2].items():
+        want, at = "", 0
+        for s in sorted(found[i], key=lambda s: (s["start"], s["end"], s["kind"])):
+            if s["start"] >= at:
+                want, at = want + (t or "")[at : s["start"]] + f"<{s['kind']}>", s["end"]
+        assert texts[3][i] == (want + t[at:] if t is not None else None)
+
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(stages[3]).collect()}
+    order = [r for f in sorted((tmp_path / "3").glob("part-*")) for r in spark.read.parquet(str(f)).collect()]  # the training order
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    for i in texts[3]:
+        copies = [r["text"] for r in order if r["doc_id"] == i]
+        assert sum(map(count, copies)) == taken[i] and all(texts[3][i].startswith(c) for c in copies)
+
+    model, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
+    for k, r in enumerate(order):
+        ids = [*model.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        want += [(r["doc_id"], n, a, len(ids[a : a + 4096]), zlib.crc32(np.array(ids[a : a + 4096], "<u4").tobytes()), round(k / len(order), 9)) for n, a in enumerate(range(0, len(ids), 4096))]
+    out = stages[5].toPandas()
+    assert sorted(zip(out["doc_id"], out["piece"], out["start"], out["length"], out["ids_crc32"], out["position"].round(9), strict=True)) == sorted(want)
+    out = out.sort_values(["sequence_id", "offset"])
+    assert (out.groupby("sequence_id")["length"].cumsum() - out["length"] == out["offset"]).all() and out.groupby("sequence_id")["length"].sum().max() <= 4096
+    mean = out.assign(m=out["position"] * out["length"]).groupby("sequence_id")[["m", "length"]].sum()
+    assert (out.drop_duplicates("sequence_id").set_index("sequence_id")["sequence_position"] - mean["m"] / mean["length"]).abs().max() < 1e-9
+    assert corpus_pipeline.run(spark, d).count() == len(want)
     empty = table.limit(0)
     for _, f in corpus_pipeline.STAGES:
         empty = f(spark, empty, d)
