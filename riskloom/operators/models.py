@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -93,6 +94,56 @@ def marginal_contributions(train: DataFrame, valid: DataFrame, columns: Sequence
     return [(c, whole - gini_of(valid, fit_logit(train, [x for x in columns if x != c], target), target)) for c in columns]
 
 
+def marginal_additions(train: DataFrame, valid: DataFrame, columns: Sequence[str], extra: Sequence[str], target: str) -> list[tuple[str, float]]:
+    """What the Gini gains with each further column."""
+    base = gini_of(valid, fit_logit(train, columns, target), target)
+    return [(c, gini_of(valid, fit_logit(train, [*columns, c], target), target) - base) for c in extra]
+
+
+def lift_of(rows: DataFrame, model: Logit, target: str, percent: float = 10) -> float:
+    return metrics.lift(rows.withColumn("_score", model.score()), "_score", target, percent, "high").first()["lift"] or 0.0
+
+
+def marginal_lifts(train: DataFrame, valid: DataFrame, columns: Sequence[str], target: str, percent: float = 10) -> list[tuple[str, float]]:
+    """What the lift loses without each column."""
+    base = lift_of(valid, fit_logit(train, columns, target), target, percent)
+    return [(c, base - lift_of(valid, fit_logit(train, [x for x in columns if x != c], target), target, percent)) for c in columns]
+
+
+def best_model(valid: DataFrame, models: Sequence[Logit], target: str, most: int | None = None) -> tuple[int, float]:
+    """The model of the highest Gini among those of at most ``most`` columns, ties to the first: its place and Gini."""
+    found = [(gini_of(valid, m, target), -i) for i, m in enumerate(models) if most is None or len(m.columns) <= most]
+    gini, place = max(found)
+    return -place, gini
+
+
+def log_likelihood(rows: DataFrame, model: Logit, target: str) -> float:
+    p, y = model.score(), F.col(target)
+    return float(rows.agg(F.sum(y * F.log(p) + (1 - y) * F.log(1 - p))).first()[0] or 0.0)
+
+
+def chi_square_tail(x: float, df: int) -> float:
+    """P(chi-square of ``df`` degrees > x), by the recurrence over the degrees."""
+    half = x / 2
+    total, term, k = (math.erfc(math.sqrt(half)), math.sqrt(half / math.pi) * 2 * math.exp(-half), 3) if df % 2 else (math.exp(-half), half * math.exp(-half), 4)
+    while k <= df:
+        total += term
+        term *= half / (k / 2)
+        k += 2
+    return total
+
+
+def likelihood_ratio_test(rows: DataFrame, small: Sequence[str], large: Sequence[str], target: str) -> tuple[float, float]:
+    """Statistic and p-value of the further columns of the larger model; ``small`` is part of ``large``."""
+    a, b = (log_likelihood(rows, fit_logit(rows, c, target), target) for c in (small, large))
+    x = max(0.0, 2 * (b - a))
+    return x, chi_square_tail(x, len(large) - len(small))
+
+
+def gini_gain(train: DataFrame, valid: DataFrame, small: Sequence[str], large: Sequence[str], target: str) -> float:
+    return gini_of(valid, fit_logit(train, large, target), target) - gini_of(valid, fit_logit(train, small, target), target)
+
+
 def correlation_matrix(rows: DataFrame, columns: Sequence[str], method: str = "pearson") -> np.ndarray:
     """p x p, whatever the number of rows."""
     data = VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="skip").transform(rows)
@@ -111,6 +162,40 @@ def cluster_variables(rows: DataFrame, columns: Sequence[str], least: float = 0.
     return {columns[i]: k for k, g in enumerate(sorted(groups)) for i in g}
 
 
+def cluster_means(rows: DataFrame, clusters: dict[str, int]) -> DataFrame:
+    """Adds cluster_<k>, the mean of the filled columns of each cluster: one projection."""
+    made = {}
+    for k in sorted(set(clusters.values())):
+        own = F.filter(F.array(*[F.col(c).cast("double") for c, n in clusters.items() if n == k]), lambda x: x.isNotNull())
+        made[f"cluster_{k}"] = F.when(F.size(own) > 0, F.aggregate(own, F.lit(0.0), lambda a, x: a + x) / F.size(own))
+    return rows.withColumns(made)
+
+
+def surrogates(train: DataFrame, valid: DataFrame, columns: Sequence[str], clusters: dict[str, int], target: str) -> list[tuple[str, str, float]]:
+    """(column, the one of its cluster in its place, Gini): for each column of a model every other of its cluster."""
+    out = []
+    for c in columns:
+        for other in sorted(x for x, k in clusters.items() if k == clusters[c] and x not in columns):
+            out.append((c, other, gini_of(valid, fit_logit(train, [other if x == c else x for x in columns], target), target)))
+    return out
+
+
+def k_means_variables(rows: DataFrame, columns: Sequence[str], k: int, rounds: int = 50) -> dict[str, int]:
+    """k-means of the columns as points, by their rows of the p x p correlation matrix; far columns start the clusters."""
+    points = correlation_matrix(rows, columns)
+    centres = [points[0]]
+    while len(centres) < k:
+        centres.append(points[int(np.argmax(np.min([((points - c) ** 2).sum(1) for c in centres], 0)))])
+    own = None
+    for _ in range(rounds):
+        near = np.argmin([((points - c) ** 2).sum(1) for c in centres], 0)
+        if own is not None and (near == own).all():
+            break
+        own = near
+        centres = [points[own == i].mean(0) if (own == i).any() else centres[i] for i in range(k)]
+    return {c: int(i) for c, i in zip(columns, own, strict=True)}
+
+
 def fit_boosted(rows: DataFrame, columns: Sequence[str], target: str, trees: int = 20, depth: int = 3):
     data = VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="keep").transform(rows)
     return GBTClassifier(featuresCol="_x", labelCol=target, maxIter=trees, maxDepth=depth, seed=1).fit(data)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import aggregates, expressions, times
-from riskloom.operators import binning, categorical, cumulative, imputation, metrics, runs
+from riskloom.operators import binning, categorical, cumulative, imputation, metrics, models, runs
 from riskloom.plans import features, predicates
 
 
@@ -167,3 +167,19 @@ def test_all_modes(spark):
     rows = spark.createDataFrame([(1, c) for c in "edcba"] + [(2, "x"), (2, "x"), (2, "y")], "k int, c string")
     got = {r["k"]: list(r[1:]) for r in categorical.modes(rows, "k", "c").collect()}
     assert got == {1: list("abcde"), 2: ["x", None, None, None, None]}
+
+
+@pytest.mark.parametrize(("x", "df", "p"), [(3.841458820694124, 1, 0.05), (5.991464547107979, 2, 0.05), (7.814727903251179, 3, 0.05), (9.487729036781154, 4, 0.05), (11.070497693516351, 5, 0.05), (0.0, 3, 1.0)])
+def test_chi_square_tail(x, df, p):
+    assert models.chi_square_tail(x, df) == pytest.approx(p, abs=1e-9)
+
+
+def test_k_means_of_variables(spark):
+    rows = spark.range(200).select(F.rand(1).alias("a"), F.rand(2).alias("b")).select("a", (F.col("a") * 2 + F.rand(3) / 50).alias("a2"), "b", (1 - F.col("b")).alias("nb"), (F.col("b") * 3).alias("b3"))
+    got = models.k_means_variables(rows, ["a", "a2", "b", "b3", "nb"], 3)
+    assert got["a"] == got["a2"] and got["b"] == got["b3"] and len({got["a"], got["b"], got["nb"]}) == 3
+
+
+def test_likelihood_ratio_sees_what_matters(spark):
+    rows = spark.range(2000).select(F.rand(1).alias("x"), F.rand(2).alias("z"), F.rand(3).alias("u")).select("x", "z", (F.col("u") < F.col("x")).cast("int").alias("y"))
+    assert models.likelihood_ratio_test(rows, ["z"], ["z", "x"], "y")[1] < 1e-6 < models.likelihood_ratio_test(rows, ["x"], ["x", "z"], "y")[1]
