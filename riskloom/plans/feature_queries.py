@@ -228,3 +228,19 @@ register(
     "SELECT event_id, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mean_so_far FROM events",
     "mean_so_far",
 )
+
+
+def wide_plan() -> features.Plan:
+    """450 features of one grain."""
+    ranges = [(1, k) for k in (1, 2, 3, 4, 6, 9, 12, 18, 24, 30, 36, 48, 60, 72)] + [(1, None)]
+    segments = [None, *(("o_orderpriority", p) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))]
+    return features.Plan(ENTITY, features.expand(["o_totalprice"], ["mean", "sum", "max", "min", "count"], ranges, segments))
+
+
+_WIDE = wide_plan()
+register(
+    "A01_A03_features_450",
+    lambda s, d: features.build(orders(s, d), _WIDE),
+    f"WITH e AS (SELECT *, {AGE} AS _age FROM orders WHERE o_orderdate <= {SQL_END}) {features.sql_text(_WIDE, 'e')}",
+    " ".join(p.name for p in _WIDE.simple if p.func != "count"),
+)

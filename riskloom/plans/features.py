@@ -20,6 +20,8 @@ from riskloom.functions import aggregates, times
 from riskloom.functions.expressions import fill_ratio
 from riskloom.plans import predicates
 
+#: Features from which a plan goes by condition: as so many conditional aggregates are more code than is compiled.
+WIDE = 100
 _SYMBOLS = {"==": "EQ", ">=": "GE", "<=": "LE", "!=": "NE", ">": "GT", "<": "LT", "&": "AND", "|": "OR", "/": "DIV", "*": "MUL", "+": "PLUS", "-": "MINUS"}
 
 
@@ -68,7 +70,7 @@ class Simple:
         parts = [self.func, self.column, str(self.low), to, *(map(str, self.segment) if self.segment else ()), self.query or "", self.suffix]
         return clean_name("_".join(p for p in parts if p))
 
-    def column_of(self, entity: Entity) -> Column:
+    def inside(self) -> Column:
         inside = F.col("_age") >= self.low
         if self.high is not None:
             inside = inside & (F.col("_age") <= self.high)
@@ -76,7 +78,10 @@ class Simple:
             inside = inside & predicates.segment(*self.segment)
         if self.query:
             inside = inside & predicates.condition(self.query)
-        return aggregates.aggregate(self.func, F.when(inside, F.col(self.column)), F.struct(F.col(entity.time), F.col(self.column)))
+        return inside
+
+    def column_of(self, entity: Entity) -> Column:
+        return aggregates.aggregate(self.func, F.when(self.inside(), F.col(self.column)), F.struct(F.col(entity.time), F.col(self.column)))
 
 
 @dataclass(frozen=True)
@@ -157,11 +162,11 @@ def build(events: DataFrame, plan: Plan, ids: DataFrame | None = None) -> DataFr
     rows = events.where(F.col(e.time) <= e.end()).withColumn("_age", e.age())
     if plan.history is not None:
         rows = rows.where(F.col("_age") <= plan.history)
-    wanted = list(plan.needed().items())
-    if plan.count:
-        wanted.append((plan.count, F.count("*")))
-    wanted = wanted or [("_none", F.count("*"))]
-    out = rows.groupBy(e.id).agg(*[c.alias(n) for n, c in wanted])  # a single one: beyond the size of generated code Spark runs it without
+    if len(plan.simple) + 2 * len(plan.ratios) > WIDE:
+        out = _by_condition(rows, plan)
+    else:
+        wanted = list(plan.needed().items()) + ([(plan.count, F.count("*"))] if plan.count else [])
+        out = rows.groupBy(e.id).agg(*[c.alias(n) for n, c in wanted or [("_none", F.count("*"))]])
     for r in plan.ratios:
         out = out.withColumn(r.name, fill_ratio(F.col(r.above.name), F.col(r.below.name), r.nan, r.inf))
     keep = [p.name for p in (*plan.simple, *plan.ratios, *plan.since)] + ([plan.count] if plan.count else [])
@@ -169,6 +174,30 @@ def build(events: DataFrame, plan: Plan, ids: DataFrame | None = None) -> DataFr
     return ids.select(e.id).distinct().join(out, e.id, "left") if ids is not None else out
 
 
+def _by_condition(rows: DataFrame, plan: Plan) -> DataFrame:
+    """The same features of many parts: each event goes to the conditions it meets, and an entity's few aggregates of each
+    condition are then laid out as columns. One scan; partial sums of (entity, condition) come before the shuffle."""
+    e = plan.entity
+    parts = list({p.name: p for p in (*plan.simple, *(s for r in plan.ratios for s in (r.above, r.below)))}.values())
+    condition = lambda p: (p.low, p.high, p.segment, p.query)
+    conditions = {condition(p): p for p in parts}
+    place = {c: i for i, c in enumerate(conditions)}
+    values = list(dict.fromkeys((p.column, p.func) for p in parts))
+    others = [(p.name, p.column_of(e)) for p in plan.since] + ([(plan.count, F.count("*"))] if plan.count else [])
+    met = F.filter(F.array(F.lit(-1), *[F.when(p.inside(), F.lit(i)) for i, p in enumerate(conditions.values())]), lambda k: k.isNotNull())
+    made = [aggregates.aggregate(func, F.col(c), F.struct(F.col(e.time), F.col(c))).alias(f"_v{j}") for j, (c, func) in enumerate(values)]
+    each = rows.withColumn("_k", F.explode(met)).groupBy(e.id, "_k").agg(*made, *[c.alias(f"_o{j}") for j, (_, c) in enumerate(others)])
+    held = F.map_from_entries(F.collect_list(F.struct("_k", F.struct(*[f"_v{j}" for j in range(len(values))]))))
+    out = each.groupBy(e.id).agg(held.alias("_m"), *[F.max(F.when(F.col("_k") == -1, F.col(f"_o{j}"))).alias(n) for j, (n, _) in enumerate(others)])
+    out = out.withColumn("_m", F.transform(F.sequence(F.lit(0), F.lit(len(conditions) - 1)), lambda k: F.try_element_at("_m", k)))
+
+    def one(p: Simple) -> str:
+        found = f"_m[{place[condition(p)]}]._v{values.index((p.column, p.func))}"
+        return f"coalesce({found}, 0L) AS `{p.name}`" if p.func in ("count", "nunique") else f"{found} AS `{p.name}`"
+
+    return out.selectExpr(f"`{e.id}`", *map(one, parts), *[f"`{n}`" for n, _ in others])
+
+
 def prune(features: DataFrame, key: str, least_fill: float) -> DataFrame:
     """Without the features that are filled for less than this share of entities; one aggregation decides."""
     names = [c for c in features.columns if c != key]

@@ -183,3 +183,17 @@ def test_k_means_of_variables(spark):
 def test_likelihood_ratio_sees_what_matters(spark):
     rows = spark.range(2000).select(F.rand(1).alias("x"), F.rand(2).alias("z"), F.rand(3).alias("u")).select("x", "z", (F.col("u") < F.col("x")).cast("int").alias("y"))
     assert models.likelihood_ratio_test(rows, ["z"], ["z", "x"], "y")[1] < 1e-6 < models.likelihood_ratio_test(rows, ["x"], ["x", "z"], "y")[1]
+
+
+def test_plans_by_condition_give_what_one_aggregation_gives(spark, monkeypatch):
+    rows = spark.range(400).select((F.col("id") % 7).alias("id_"), F.expr("timestamp_ntz'2020-01-01' + make_dt_interval(cast(id % 97 as int))").alias("t"), F.when(F.col("id") % 5 > 0, (F.col("id") * 37 % 101).cast("double")).alias("x"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 2)).alias("seg"))
+    rows = rows.withColumn("id_", F.when(F.col("id_") > 0, F.col("id_")))
+    plan = features.Plan(features.Entity("id_", "t", datetime.datetime(2020, 4, 1), "days"), count="N")
+    plan.simple = features.expand(["x"], ["sum", "mean", "count", "nunique", "last", "max"], [(1, 10), (5, None)], [None, ("seg", "s0"), ("seg", None), ("seg", "none")], [None, "x > 50"])
+    plan.ratios = [features.Ratio(features.Simple("x", "sum", 1, 3), plan.simple[0], -1.0, 9.0)]
+    plan.since = [features.TimeSince("last"), features.TimeSince("first", "days", "x > 90")]
+    wanted = features.build(rows, plan).toPandas().sort_values("id_").reset_index(drop=True)
+    monkeypatch.setattr(features, "WIDE", 1)
+    import pandas as pd
+
+    pd.testing.assert_frame_equal(features.build(rows, plan).toPandas().sort_values("id_").reset_index(drop=True), wanted)
