@@ -30,6 +30,3 @@ def register(name: str, query: Callable[[SparkSession, str], DataFrame], sql: st
     QUERIES[name] = run
     if sql:
         ORACLES[name] = f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE) + 1.23e-8, 6) + 0.0 AS {c}' for c in columns)}) FROM ({sql}) AS q" if columns else sql
-
-
-from riskloom.plans import api_queries, basic_queries, feature_queries, model_queries, scoring_queries  # noqa: E402, F401  they register themselves
