@@ -42,6 +42,12 @@ ORDERED: dict[str, Callable[[Column, Column], Column]] = {
     "last": lambda c, order: F.max_by(c, F.when(c.isNotNull(), order)),
 }
 NUMERIC = frozenset(BY_NAME) - {"mode", "nunique"}
+#: Aggregates that make sense for each kind of column.
+OFFERED: dict[str, frozenset[str]] = {
+    "numeric": frozenset(BY_NAME) | frozenset(ORDERED),
+    "categorical": frozenset({"count", "mode", "nunique", *ORDERED}),
+    "time": frozenset({"count", "min", "max", "nunique", *ORDERED}),
+}
 
 
 def aggregate(name: str, c: Column, order: Column | None = None) -> Column:

@@ -55,3 +55,9 @@ def percentiles(rows: DataFrame, column: str, shares: Sequence[float], by: Seque
         return F.when(a == b, a).otherwise((hi - p) * a + (p - lo) * b)
 
     return t.groupBy(*by).agg(F.array(*[at(s) for s in shares]).alias("q"))
+
+
+def pages(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Adds ``page``, from 0: ``size`` rows each in the order of a numeric key that no two rows share."""
+    t = running(rows.withColumn("_one", F.lit(1)), (), key, ("_one",))
+    return t.select(*rows.columns, F.floor((F.col("cum__one") - 1) / size).cast("int").alias("page"))

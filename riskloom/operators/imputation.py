@@ -66,11 +66,13 @@ def impute_target(rows: DataFrame, target: str, probability: str, mode: str = "w
 
 
 def quantile_imputer(rows: DataFrame, score: str, target: str, bins: int = 20) -> float | None:
-    """Mean score of the quantile bin whose rate, made to rise with the score, is nearest to that of rows without a score."""
+    """Mean score of the quantile bin whose rate, made to rise (or fall, as the score's correlation with the target does)
+    with the score, is nearest to that of rows without a score."""
     i = bin_index(F.col(score), quantile_edges(rows, score, bins))
     t = rows.where(F.col(target).isNotNull()).groupBy(i.alias("bin")).agg(F.count("*").alias("n"), F.avg(F.col(target).cast("double")).alias("rate"), F.avg(F.col(score).cast("double")).alias("mean")).collect()  # one row a bin
     missing = next((r["rate"] for r in t if r["bin"] is None), None)
-    known = sorted((r for r in t if r["bin"] is not None), key=lambda r: r["bin"])
+    falls = (rows.agg(F.corr(F.col(score).cast("double"), F.col(target).cast("double"))).first()[0] or 0.0) < 0
+    known = sorted((r for r in t if r["bin"] is not None), key=lambda r: r["bin"], reverse=falls)
     if missing is None or not known:
         return None
     rising = isotonic([(r["rate"], r["n"]) for r in known])

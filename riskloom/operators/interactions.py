@@ -55,3 +55,33 @@ def largest_leap(rows: DataFrame, bin_: str, month: str, target: str) -> DataFra
     w = Window.partitionBy(bin_).orderBy(month)
     leap = F.when(F.col("rank") != F.lead("rank").over(w), F.abs(F.col("rate") - F.lead("rate").over(w)))
     return t.withColumn("_leap", leap).groupBy(F.col(bin_).alias("bin")).agg(F.max("_leap").alias("leap"))
+
+
+def steady_ranks(rows: DataFrame, bin_: str, month: str, target: str, threshold: float) -> DataFrame:
+    """bin, month, rate, rank: bins whose largest leap is within ``threshold`` of the span of all rates keep their
+    commonest rank (of ties the least) in all months.
+
+    Ranks, leaps and modes are of one row a bin and month.
+    """
+    t = rows.groupBy(F.col(month).alias("month"), F.col(bin_).alias("bin")).agg(F.avg(F.col(target).cast("double")).alias("rate"))
+    t = t.withColumn("rank", F.dense_rank().over(Window.partitionBy("month").orderBy(F.col("rate").desc())))
+    leaps = largest_leap(rows, bin_, month, target).select(F.col("bin").alias("_bin"), F.coalesce("leap", F.lit(0.0)).alias("_leap"))
+    span = t.agg((F.max("rate") - F.min("rate")).alias("_span"))
+    modes = t.groupBy("bin").agg(F.mode("rank", True).alias("_mode")).select(F.col("bin").alias("_own"), "_mode")
+    joined = t.join(leaps, F.col("bin").eqNullSafe(F.col("_bin"))).join(modes, F.col("bin").eqNullSafe(F.col("_own"))).crossJoin(F.broadcast(span))  # one row
+    steady = F.col("_leap") <= F.lit(threshold) * F.col("_span")
+    return joined.select("bin", "month", "rate", F.when(steady, F.col("_mode")).otherwise(F.col("rank")).alias("rank"))
+
+
+def stability_by_bins(rows: DataFrame, column: str, edges: Sequence[float], month: str, target: str) -> DataFrame:
+    """n_bins, rsi for the first 1, 2, ... edges; a full rsi after a lower one at fewer bins is taken back to that one.
+
+    All numbers of bins go through one aggregation by (number, month, bin).
+    """
+    each = [F.struct(F.lit(k + 1).alias("n_bins"), bin_index(F.col(column), sorted(edges[:k])).alias("bin")) for k in range(1, len(edges) + 1)]
+    t = rows.select(F.col(month).alias("m"), F.col(target).cast("double").alias("y"), F.explode(F.array(*each)).alias("x")).groupBy("x.n_bins", "m", "x.bin").agg(F.avg("y").alias("rate"))
+    t = t.withColumn("rank", F.dense_rank().over(Window.partitionBy("n_bins", "m").orderBy(F.col("rate").desc())))
+    share = t.groupBy("n_bins", "bin", "rank").count().groupBy("n_bins", "bin").agg((F.max("count") / F.sum("count")).alias("share"))
+    rsi = share.groupBy("n_bins").agg(F.avg("share").alias("rsi"))
+    before = F.lag("rsi").over(Window.orderBy("n_bins"))  # one row a number of bins
+    return rsi.withColumn("rsi", F.when((F.col("rsi") == 1) & (before < 1), before).otherwise(F.col("rsi")))

@@ -21,7 +21,12 @@ def score_table(rows: DataFrame, score: str, target: str, weight: str | None = N
 
 def discrimination(rows: DataFrame, score: str, target: str, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """AUC, Gini and Kolmogorov-Smirnov by groups; ties share, a higher score stands for the target. Null for one class."""
-    t = running(score_table(rows, score, target, weight, by), by, "score", ("bad", "good"))
+    return curve(score_table(rows, score, target, weight, by), by)
+
+
+def curve(levels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The same from a table of ``score_table``."""
+    t = running(levels, by, "score", ("bad", "good"))
     pairs = F.col("bad") * (F.col("cum_good") - F.col("good") / 2)
     gap = F.abs(F.col("cum_bad") / F.col("all_bad") - F.col("cum_good") / F.col("all_good"))
     two = (F.max("all_bad") > 0) & (F.max("all_good") > 0)
@@ -66,12 +71,15 @@ def information_value(rows: DataFrame, predictor: str, target: str) -> DataFrame
 
 
 def predictor_power(rows: DataFrame, predictors: Sequence[str], target: str) -> DataFrame:
-    """IV and Gini of -x for each predictor."""
-    parts = []
-    for p in predictors:
-        power = discrimination(rows.withColumn("_x", -F.col(p)), "_x", target).select("gini")
-        parts.append(information_value(rows, p, target).crossJoin(power).select(F.lit(p).alias("predictor"), "iv", "gini"))
-    return reduce(DataFrame.unionByName, parts)
+    """IV and Gini of -x for each numeric predictor, all of them in one unpivoted pass."""
+    values = F.array(*[F.struct(F.lit(p).alias("predictor"), F.col(p).cast("double").alias("_v")) for p in predictors])
+    cells = rows.select(F.explode(values).alias("x"), F.col(target).alias("_y")).select("x.predictor", "x._v", "_y")
+    cells = cells.where("_y IS NOT NULL").groupBy("predictor", "_v").agg(F.sum("_y").cast("double").alias("b"), F.sum(1 - F.col("_y")).cast("double").alias("g"))
+    total = cells.groupBy("predictor").agg(F.sum(F.col("b") + 1).alias("all_b"), F.sum(F.col("g") + 1).alias("all_g"))
+    pg, pb = ((F.col(c) + 1) / F.col(f"all_{c}") for c in ("g", "b"))
+    iv = cells.join(F.broadcast(total), "predictor").groupBy("predictor").agg(F.sum((pg - pb) * F.log(pg / pb)).alias("iv"))
+    known = cells.where("_v IS NOT NULL").select("predictor", (-F.col("_v")).alias("score"), F.col("b").alias("bad"), F.col("g").alias("good"))
+    return iv.join(curve(known, ("predictor",)), "predictor", "left").select("predictor", "iv", "gini")
 
 
 def quantile_edges(rows: DataFrame, column: str, n: int) -> list[float]:

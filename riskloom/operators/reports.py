@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.expressions import bin_index, logit, ratio
 from riskloom.operators import metrics
-from riskloom.operators.cumulative import percentiles, running
+from riskloom.operators.cumulative import percentiles, running, same
 
 
 def sample_description(rows: DataFrame, by: Sequence[str], target: str, base: str | None = None, total: bool = True) -> DataFrame:
@@ -140,13 +139,15 @@ def expected_approval(rows: DataFrame, score: str, rates: Sequence[float], subse
 
 
 def performance(rows: DataFrame, scores: Sequence[str], target: str, by: Sequence[str] = (), percent: float = 10) -> DataFrame:
-    """Gini, KS and lift of several scores by groups, in long form."""
-    parts = []
-    for s in scores:
-        d = metrics.discrimination(rows, s, target, None, by)
-        top = metrics.lift(rows, s, target, percent, "high", by)
-        parts.append((d.join(top, list(by)) if by else d.crossJoin(F.broadcast(top))).select(*by, F.lit(s).alias("score"), "gini", "ks", "lift", "n"))
-    return reduce(DataFrame.unionByName, parts)
+    """Gini, KS and lift of several scores by groups, in long form; all scores go through one unpivoted pass.
+
+    A score without values in a group has no row there.
+    """
+    values = F.array(*[F.struct(F.lit(s).alias("n"), F.col(s).cast("double").alias("v")) for s in scores])
+    long_ = rows.select(*by, F.col(target).alias("_y"), F.explode(values).alias("_s")).select(*by, "_y", F.col("_s.n").alias("_name"), F.col("_s.v").alias("_v"))
+    each = (*by, "_name")
+    found = same(metrics.discrimination(long_, "_v", "_y", None, each), metrics.lift(long_, "_v", "_y", percent, "high", each), each)
+    return found.select(*by, F.col("_name").alias("score"), "gini", "ks", "lift", "n")
 
 
 def hit_rate(rows: DataFrame, scores: Sequence[str], month: str) -> DataFrame:

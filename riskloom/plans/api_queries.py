@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions import expressions, times
-from riskloom.operators import binning, cumulative, metrics, models, profile, reports
+from riskloom.functions import aggregates, expressions, times
+from riskloom.operators import binning, cumulative, interactions, metrics, models, profile, reports, score_models
 from riskloom.plans import features, predicates
 from riskloom.plans.catalogue import register, table
 from riskloom.plans.feature_queries import AGE, ENTITY, SQL_END, orders
-from riskloom.plans.scoring_queries import POP, population
+from riskloom.plans.scoring_queries import POP, gini_sql, population
 from riskloom.sources import tables
 
 COLUMNS = ["l_quantity", "l_discount", "l_extendedprice"]
@@ -156,3 +156,72 @@ def boosted(s: SparkSession, d: str) -> DataFrame:
 
 
 register("L10_L13_boosted_as_sql", boosted)
+
+
+def general(s: SparkSession, d: str) -> DataFrame:
+    """A cross-validated model over two scores, one a probability with gaps."""
+    rows = population(s, d).withColumn("pd", F.when(F.col("l_quantity") > 10, F.col("l_discount") + 0.01))
+    fill = score_models.Imputation("pd", "pd IS NOT NULL", "pd IS NULL")
+    model, gini = score_models.fit_general(rows, ["pd", "l_quantity"], "y", "l_orderkey", [fill], ["pd"], 2)
+    return rows.select(F.lit(gini).alias("gini"), model.score().alias("score")).groupBy("gini").agg(F.avg("score").alias("mean_score"), F.count("score").alias("n"))
+
+
+register("L16_L17_X04_general_model", general)
+
+
+def searched(s: SparkSession, d: str) -> DataFrame:
+    found, c, _ = score_models.search(population(s, d), COLUMNS[:2], "y", "l_orderkey", (0.01, 1.0), 2)
+    return _listed(s, [(c, g, x) for g, x in found], "c double, gini double, lift double")
+
+
+register("L14_L15_model_search", searched)
+
+
+def calibrated(s: SparkSession, d: str) -> DataFrame:
+    rows = population(s, d).withColumn("base", F.lit(1)).withColumn("part", F.when(F.col("l_orderkey") % 3 > 0, "train").otherwise("test"))
+    model = score_models.fit_calibrated(rows, COLUMNS[:2], "y", "base", 1.0, "part")
+    return rows.groupBy("part").agg(F.avg(model.good_score()).alias("good_score"), F.avg("y").alias("rate"))
+
+
+register("L23_calibrated_scores", calibrated)
+_ICE = models.Logit(["l_quantity", "l_discount"], [0.02, -3.0], -0.5)
+register(
+    "R26_conditional_expectations",
+    lambda s, d: score_models.conditional_expectations(population(s, d), _ICE, "l_quantity", ["l_orderkey", "l_linenumber"], 50, 5),
+    POP + ", few AS (SELECT * FROM p ORDER BY md5(concat_ws('-', l_orderkey, l_linenumber)), l_orderkey, l_linenumber LIMIT 50), g AS (SELECT DISTINCT unnest(quantile_cont(CAST(l_quantity AS DOUBLE), [0, 0.25, 0.5, 0.75, 1])) AS point FROM few) SELECT l_orderkey, l_linenumber, point, 1 / (1 + exp(0.5::DOUBLE - 0.02::DOUBLE * point + 3 * l_discount)) AS score FROM few, g",
+    "point score",
+)
+_CLUSTERED = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {k} AS cluster, (SELECT gini FROM (WITH z AS (SELECT 1){gini_sql('-' + c)})) AS gini" for c, k in CLUSTERS.items())
+register("W12_cluster_order", lambda s, d: score_models.cluster_table(population(s, d), CLUSTERS, "y"), POP + f"SELECT *, CAST(row_number() OVER (PARTITION BY cluster ORDER BY gini DESC, \"column\") AS INTEGER) AS \"order\" FROM ({_CLUSTERED})", "gini")
+_RANKED = ", t AS (SELECT yr AS month, seg AS bin, avg(y) AS rate, dense_rank() OVER (PARTITION BY yr ORDER BY avg(y) DESC) AS rank FROM p GROUP BY yr, seg)"
+register(
+    "J15_steady_ranks",
+    lambda s, d: interactions.steady_ranks(population(s, d), "seg", "yr", "y", 0.3).withColumn("rank", F.col("rank").cast("int")),
+    POP + _RANKED + ", l AS (SELECT bin, CASE WHEN rank <> lead(rank) OVER v THEN abs(rate - lead(rate) OVER v) ELSE 0 END AS leap FROM t WINDOW v AS (PARTITION BY bin ORDER BY month)), m AS (SELECT bin, max(leap) AS leap FROM l GROUP BY bin), c AS (SELECT bin, rank, row_number() OVER (PARTITION BY bin ORDER BY count(*) DESC, rank) AS k FROM t GROUP BY bin, rank) SELECT t.bin, month, rate, CAST(CASE WHEN leap <= 0.3 * (SELECT max(rate) - min(rate) FROM t) THEN c.rank ELSE t.rank END AS INTEGER) AS rank FROM t JOIN m ON t.bin = m.bin JOIN c ON t.bin = c.bin AND k = 1",
+    "rate",
+)
+_EDGES = (25.0, 10.0, 40.0)
+register(
+    "W18_stability_by_bins",
+    lambda s, d: interactions.stability_by_bins(population(s, d), "l_quantity", _EDGES, "yr", "y"),
+    POP + ", b AS (" + " UNION ALL ".join(f"SELECT {k + 1} AS n_bins, yr, y, " + " + ".join(f"CAST(l_quantity >= {e} AS INTEGER)" for e in _EDGES[:k]) + " AS bin FROM p" for k in (1, 2, 3)) + "), t AS (SELECT n_bins, bin, dense_rank() OVER (PARTITION BY n_bins, yr ORDER BY avg(y) DESC) AS rank FROM b GROUP BY n_bins, yr, bin), c AS (SELECT n_bins, bin, rank, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT n_bins, avg(share) AS rsi FROM (SELECT n_bins, bin, max(n) / sum(n) AS share FROM c GROUP BY n_bins, bin) GROUP BY n_bins) SELECT n_bins, CASE WHEN rsi = 1 AND lag(rsi) OVER w < 1 THEN lag(rsi) OVER w ELSE rsi END AS rsi FROM r WINDOW w AS (ORDER BY n_bins)",
+    "rsi",
+)
+register("W16_pages", lambda s, d: cumulative.pages(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 1000), "SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS INTEGER) AS page FROM orders")
+register("A43_cost_of_features", lambda s, d: features.cost(*_config(s, d)), "SELECT 'o_totalprice' AS \"column\", 4 AS n_features, 8.0 * 4 * count(DISTINCT o_custkey) AS bytes FROM orders", "bytes")
+_DESCRIBED = ("o_totalprice", "o_orderstatus", "o_orderdate")
+register(
+    "X10_column_descriptors",
+    lambda s, d: profile.descriptors(table(s, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date")), _DESCRIBED),
+    "WITH o AS (SELECT CAST(o_totalprice AS DOUBLE) AS v, o_orderstatus AS c, CAST(o_orderdate AS DATE) AS t FROM orders) SELECT 'o_totalprice' AS \"column\", 'numeric' AS kind, count(DISTINCT v) AS n_unique, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS minimum, max(v) AS maximum, NULL::VARCHAR AS mode, NULL::VARCHAR AS first_time, NULL::VARCHAR AS last_time FROM o UNION ALL SELECT 'o_orderstatus', 'categorical', count(DISTINCT c), NULL, NULL, NULL, NULL, (SELECT c FROM o WHERE c IS NOT NULL GROUP BY c ORDER BY count(*) DESC, c LIMIT 1), NULL, NULL FROM o UNION ALL SELECT 'o_orderdate', 'time', count(DISTINCT t), NULL, NULL, NULL, NULL, NULL, CAST(min(t) AS VARCHAR), CAST(max(t) AS VARCHAR) FROM o",
+    "mean std minimum maximum",
+)
+
+
+def offered(s: SparkSession, d: str) -> DataFrame:
+    """What is offered for each column of a table by its kind."""
+    kinds = [(c, profile.kind_of(t)) for c, t in table(s, d, "nation").dtypes]
+    return _listed(s, [(c, k, f) for c, k in kinds for f in sorted(aggregates.OFFERED[k])], "column string, kind string, function string")
+
+
+register("X09_functions_by_kind", offered)

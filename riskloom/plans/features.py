@@ -137,6 +137,22 @@ def validate(plan: Plan, events: DataFrame) -> list[str]:
     return bad
 
 
+#: Bytes of a feature's value by its type; others are counted as text of their own length.
+WIDTHS = {"tinyint": 1, "smallint": 2, "int": 4, "date": 4, "float": 4, "bigint": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
+
+
+def cost(plan: Plan, events: DataFrame) -> DataFrame:
+    """column, n_features, bytes: a rough upper estimate of what the plan's features take, one value an entity each."""
+    made: dict[str, int] = {}
+    for p in plan.simple:
+        made[p.column] = made.get(p.column, 0) + 1
+    kinds = dict(events.dtypes)
+    width = lambda c: F.lit(float(WIDTHS[kinds[c]])) if kinds[c] in WIDTHS else F.avg(F.octet_length(F.col(c).cast("string")))
+    stats = events.agg(F.count_distinct(plan.entity.id).alias("_n"), *[F.coalesce(width(c), F.lit(0.0)).alias(c) for c in made])
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(n).alias("n_features"), (F.col(c) * n * F.col("_n")).alias("bytes")) for c, n in made.items()]
+    return stats.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
 def expand(columns: Sequence[str], funcs: Sequence[str], ranges: Sequence[tuple[int, int | None]], segments: Iterable[tuple[str, object] | None] = (None,), queries: Iterable[str | None] = (None,)) -> list[Simple]:
     """All combinations, each once."""
     every = [Simple(c, f, lo, hi, s, q) for c, f, (lo, hi), s, q in itertools.product(columns, funcs, ranges, list(segments), list(queries))]
