@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import ann, licenses, mixing, neardup, packing, pii, suffixes, tiff, toxicity, wrappers
+from riskloom.llm import ann, lexical, licenses, merkle, mixing, neardup, packing, pii, suffixes, tiff, topk, toxicity, wrappers
 from riskloom.llm.common import documents
 
 #: Where the vocabulary of the packing query lies; a parameter of the operator.
@@ -55,5 +55,19 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ann, op2_pii, op3_mixing, op4_suffixes, op5_html, op6_packing, op7_neardup, op8_media, op9_toxicity, op10_licenses)}
-ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op10_licenses": licenses.ORACLE}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(documents(spark, sf_dir))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir, "embeddings")
+    return topk.search(rows, rows.where("vec_id % 50 = 0"))
+
+
+_ALL = (op1_ann, op2_pii, op3_mixing, op4_suffixes, op5_html, op6_packing, op7_neardup, op8_media, op9_toxicity, op10_licenses, op11_merkle, op12_lexical, op13_topk)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op10_licenses": licenses.ORACLE, "op11_merkle": merkle.ORACLE, "op12_lexical": lexical.ORACLE, "op13_topk": topk.ORACLE}
