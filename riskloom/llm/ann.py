@@ -142,8 +142,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id"
     """query_id, rank, vec_id, score: for each query its ``k`` nearest rows found, other than itself; ties to the smaller id.
 
     Rows and queries with a null id or an unusable vector take no part, nor do those with another number of components
-    than most rows of the sample. Of rows with one vector only the k + 1 of smallest ids can be among a query's nearest,
-    as they tie on the score; the others are left to them, so copies never fill a leaf. Empty tables give no rows.
+    than most rows of the sample. Repeated rows count once. An id with several vectors counts once, with the best of its
+    scores; a query of that kind takes the best over its vectors. Of rows with one vector only the k + 1 of smallest ids can
+    be among a query's nearest, as they tie on the score; the others are left to them, so copies never fill a leaf. Empty
+    tables give no rows.
     """
     spark = rows.sparkSession
     tables = Tables(spark)
@@ -151,11 +153,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id"
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
     known = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).where(F.col("id").isNotNull() & _usable("v"))
     copies = Window.partitionBy(F.md5(F.concat_ws(",", F.transform("v", lambda c: (c + 0.0).cast("string"))))).orderBy("id")
-    index = tables.put(known(rows).withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1).drop("_n"), "index")
+    index = tables.put(known(rows).dropDuplicates(["id", "v"]).withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1).drop("_n"), "index")
     sample = index.orderBy(F.md5(F.col("id").cast("string"))).limit(SAMPLE).select("v").toArrow().to_pandas()["v"]
-    found = "query_id long, rank int, vec_id long, score double"
     if not len(sample):
-        return spark.createDataFrame([], found)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = np.array([len(v) for v in sample])
     dim = int(np.bincount(lengths).argmax())
     units = _unit(sample[lengths == dim])
@@ -169,10 +170,18 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id"
             yield pd.DataFrame({"cell": shared.value.cells[leaves.ravel()], "leaf": leaves.ravel(), "id": np.repeat(batch["id"].to_numpy(), n), "v": [v for v in batch["v"] for _ in range(n)]})
 
     fits = F.size("v") == dim
-    posts = tables.put(index.where(fits).mapInPandas(posted, f"cell long, leaf long, id long, v {kind}"), "posts")
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(shared.value.cells), np.int64)
+        for batch in filter(len, batches):
+            total += np.bincount(shared.value.route(_unit(batch["v"])).ravel(), minlength=len(total))
+        leaf = np.flatnonzero(total)
+        yield pd.DataFrame({"leaf": leaf, "n": total[leaf]})
+
+    # Rows are routed again where they are compared: that costs less than a table of them for each tree.
+    posts = index.where(fits).mapInPandas(posted, f"cell long, leaf long, id long, v {kind}")
     counts = np.zeros(len(forest.cells), np.int64)
-    for r in posts.groupBy("leaf").count().collect():  # one row a leaf: bounded by the forest
-        counts[r["leaf"]] = r["count"]
+    for r in index.where(fits).select("v").mapInPandas(counted, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():  # one row a leaf: bounded by the forest
+        counts[r["leaf"]] = r["n"]
     blocks = -(-np.bincount(forest.cells, weights=counts).astype(np.int64) // BLOCK)
     enough = max(search, needed(forest, units, k, recall) * counts.sum() / len(forest.roots))
     sizes = spark.sparkContext.broadcast((counts, blocks))
@@ -201,6 +210,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id"
             x, ids, leaf = np.stack(cell["v"]).astype(np.float64), cell["id"].to_numpy(), cell["leaf"].to_numpy()
             norms = np.sqrt((x * x).sum(1))
             unit = x / norms[:, None]
+            alone = len(np.unique(ids)) == len(ids)
             for q, v, leaves in zip(probes["query_id"], probes["q"], probes["leaves"], strict=True):
                 low, high = np.searchsorted(leaf, leaves), np.searchsorted(leaf, leaves, side="right")
                 at = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])
@@ -209,17 +219,27 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id"
                     continue
                 v = np.asarray(v, np.float64)
                 rough = unit[at] @ v
-                least = np.partition(rough, max(0, len(at) - k))[max(0, len(at) - k)]
+                each = rough
+                if not alone:  # an id with several vectors counts with its best
+                    of = np.unique(ids[at], return_inverse=True)[1]
+                    each = np.full(of.max() + 1, -np.inf)
+                    np.maximum.at(each, of, rough)
+                least = np.partition(each, max(0, len(each) - k))[max(0, len(each) - k)]
                 near = at[rough >= least - 1e-9 * np.sqrt((v * v).sum())]  # the product orders them but for its last digits
                 score = (x[near] * v).sum(1) / (norms[near] * np.sqrt((v * v).sum()))
-                for j in np.lexsort((ids[near], -score))[:k]:
+                order = np.lexsort((ids[near], -score))
+                if not alone:
+                    order = order[np.sort(np.unique(ids[near[order]], return_index=True)[1])]
+                for j in order[:k]:
                     out.append((q, int(ids[near[j]]), float(score[j])))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     several = [F.lit(int(x)) for c in np.flatnonzero(blocks > 1) for x in (c, blocks[c])]  # bounded by the forest
     block = F.coalesce(F.create_map(*several)[F.col("cell")], F.lit(1)) if several else F.lit(1)
     held = posts.withColumn("block", F.pmod(F.xxhash64("id"), block).cast("long"))
-    probes = known(queries).where(fits).mapInPandas(probing, f"cell long, block long, query_id long, q {kind}, leaves array<long>")
-    pairs = probes.groupBy("cell", "block").cogroup(held.groupBy("cell", "block")).applyInPandas(rerank, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+    probes = known(queries).dropDuplicates(["id", "v"]).where(fits).mapInPandas(probing, f"cell long, block long, query_id long, q {kind}, leaves array<long>")
+    pairs = probes.groupBy("cell", "block").cogroup(held.groupBy("cell", "block")).applyInPandas(rerank, "query_id long, vec_id long, score double")
+    found = tables.put(pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
+    tables.drop("index")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

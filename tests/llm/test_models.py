@@ -13,10 +13,13 @@ from riskloom.llm import ann, mixing, pii, toxicity, wrappers
 def brute(rows, k=5):
     use = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}
-    for q, v in use:
-        if q % 5 == 0:
-            scored = sorted((-float((x * v).sum() / (np.sqrt((x * x).sum()) * np.sqrt((v * v).sum()))), i) for i, x in use if i != q)
-            out[q] = [(i, -s) for s, i in scored[:k]]
+    for q in {i for i, _ in use if i % 5 == 0}:
+        best = {}  # an id counts once, with the best score over its vectors and the query's
+        for v in [v for i, v in use if i == q]:
+            for i, x in use:
+                if i != q:
+                    best[i] = max(best.get(i, -2.0), float((x * v).sum() / (np.sqrt((x * x).sum()) * np.sqrt((v * v).sum()))))
+        out[q] = sorted(best.items(), key=lambda p: (-p[1], p[0]))[:k]
     return out
 
 
@@ -24,6 +27,7 @@ def test_ann_small_tables_are_exact(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(120)]
     rows += [(i, rows[3][1]) for i in range(120, 160)] + [(160, None), (161, [0.0] * 8), (162, [float("nan")] * 8), (163, [1.0, None] + [1.0] * 6), (164, [1.0]), (None, rows[0][1]), (165, [float("inf")] * 8)]
+    rows += [(7, rows[7][1])] * 6 + [(8, rows[9][1]), (50, rows[11][1]), (50, rows[50][1])]  # repeated rows, ids with two vectors
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, rank int, id int")
     got = ann.nearest(df, df.where("vec_id % 5 = 0")).orderBy("query_id", "rank").collect()
     want = brute(rows)
@@ -37,6 +41,16 @@ def test_ann_small_tables_are_exact(spark):
     assert ann.nearest(few, few).count() == 6
 
 
+def test_ann_repeated_ids_leave_room(spark):
+    """Copies of one row are one candidate: the query still gets its k nearest ids."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=8)
+    near = [(7, base + 0.01)] * 6 + [(i, base + 0.02 * i) for i in (8, 9)] + [(i, base + rng.normal(size=8)) for i in range(100, 105)] + [(50, base)]
+    df = spark.createDataFrame([(i, np.asarray(v, np.float32).tolist()) for i, v in near], "vec_id long, embedding array<float>")
+    got = ann.nearest(df, df.where("vec_id = 50")).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == [1, 2, 3, 4, 5] and len({r["vec_id"] for r in got}) == 5 and got[0]["vec_id"] == 7
+
+
 def recall_of(spark, df):
     got = ann.nearest(df, df.where("vec_id % 50 = 0")).collect()
     rows = df.where("embedding IS NOT NULL").collect()
