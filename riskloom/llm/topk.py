@@ -68,7 +68,8 @@ class Lists:
         """What each list gives a row at most: its value where it was read, else the last value read."""
         return np.where(self.seen, self.value, self.last[:, None])
 
-    def lowest(self, rows: np.ndarray) -> np.ndarray:
+    def lowest(self, rows: np.ndarray | slice) -> np.ndarray:
+        """What each list gives these rows at least: the value read, else the end of the list."""
         return np.where(self.seen[:, rows], self.value[:, rows], self.worst[:, None])
 
 
@@ -98,6 +99,12 @@ def aggregate(q: np.ndarray, own: np.ndarray, least: np.ndarray, x: np.ndarray,
         if depth == lists.depth and share < 1:
             continue
         lists.read(lists.n if share == 1 else depth)
+        unknown = open_[np.array(least[open_] == -np.inf, bool)]  # no k-th score yet: lower bounds give one
+        low = lists.lowest(slice(None)) if len(unknown) and share < 1 and lists.n > k else None
+        for at in range(0, len(unknown) if low is not None else 0, SLICE):
+            part = unknown[at : at + SLICE]
+            for number, bound in zip(part.tolist(), weights[part] @ low, strict=True):
+                least[number] = _kth(bound[ids != own[number]], ids[ids != own[number]], k)
         out = weights[open_] @ lists.last < least[open_]  # rows that were not met cannot qualify
         ready, rest = (open_, open_[:0]) if share == 1 else (open_[out], open_[~out])
         high, left = None, []
