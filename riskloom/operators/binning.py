@@ -34,16 +34,16 @@ class Bins:
         c = F.col(self.column)
         if self.edges is not None:
             return F.coalesce(bin_index(c, self.edges), F.lit(len(self.edges) + 1))
-        out = F
+        out = F.when(c.isNull(), F.lit(len(self.groups)))
         for i, g in enumerate(self.groups):
             out = out.when(c.cast("string").isin(*g), F.lit(i))
         return out.otherwise(F.lit(len(self.groups)))
 
     def woe(self) -> Column:
-        i, c, out = self.index(), F.col(self.column), F
+        i, out = self.index(), F.when(F.col(self.column).isNull(), F.lit(float(self.nan_woe)))
         for k, w in enumerate(self.woes):
             out = out.when(i == k, F.lit(float(w)))
-        return out.when(c.isNull(), F.lit(float(self.nan_woe))).otherwise(F.lit(float(self.unknown_woe)))
+        return out.otherwise(F.lit(float(self.unknown_woe)))
 
     def names(self) -> list[str]:
         if self.groups is not None:
@@ -70,6 +70,16 @@ class Bins:
             arms = [f"WHEN {c} < {n(e)} THEN {n(w)}" for e, w in zip(self.edges, self.woes, strict=False)] + [f"WHEN {c} IS NOT NULL THEN {n(self.woes[-1])}"]
         return f"CASE WHEN {c} IS NULL THEN {n(self.nan_woe)} {' '.join(arms)} ELSE {n(self.unknown_woe)} END AS {c}_WOE"
 
+    def group_sql(self) -> str:
+        """The bin's name as a CASE expression: ``short_name`` as text."""
+        c, n, quoted = self.column, "{:.17e}".format, lambda x: "'" + x.replace("'", "''") + "'"
+        names = [quoted(x) for x in self.names()]
+        if self.groups is not None:
+            arms = [f"WHEN {c} IN ({', '.join(map(quoted, g))}) THEN {x}" for g, x in zip(self.groups, names, strict=True)]
+        else:
+            arms = [f"WHEN {c} < {n(e)} THEN {x}" for e, x in zip(self.edges, names, strict=False)] + [f"WHEN {c} IS NOT NULL THEN {names[-1]}"]
+        return f"CASE WHEN {c} IS NULL THEN 'NaN' {' '.join(arms)} ELSE 'NaN' END AS {c}_GROUP"
+
 
 def save(bins: Sequence[Bins]) -> str:
     return json.dumps([asdict(b) for b in bins])

@@ -62,3 +62,45 @@ def modes(rows: DataFrame, key: str, column: str, most: int | None = None) -> Da
     width = most if most is not None else values.agg(F.max(F.size("_m"))).first()[0] or 1
     every = [] if most is None else [F.col("_m").alias(f"{column}_modes")]
     return values.select(key, *[F.get("_m", F.lit(i)).alias(f"{column}_mode_{i}") for i in range(width)], *every)
+
+
+def sql_text(table: str, key: str, column: str, funcs: Sequence[str], metric: str = "", time: str = "", low: int = 1, high: int | None = None, ties: Sequence[str] = ()) -> str:
+    """The features as one SQL statement over a table with a column ``_age``, for engines with windows.
+
+    A nested select for each feature, of which ordered picks number their rows; all are joined to the table's entities, so
+    those without a row in the range get nulls. Of tied categories the smallest, as in the plan. TSCHANGE counts in the units
+    of ``_age``.
+    """
+    inside = f"{column} IS NOT NULL AND _age >= {low}" + (f" AND _age <= {high}" if high is not None else "")
+    span = f"{low}_{'INF' if high is None else high}"
+    in_time = ", ".join([time, *ties])
+
+    def picked(order: str, grouped: bool, more: str = "") -> str:
+        ends = f" GROUP BY {key}, {column}" if grouped else ""
+        return f"SELECT {key}, val FROM (SELECT {key}, {column} AS val, row_number() OVER (PARTITION BY {key} ORDER BY {order}, {column}) AS place FROM {table} WHERE {inside}{more}{ends}) AS q WHERE place = 1"
+
+    def one(func: str) -> str:
+        moved = f"SELECT {key}, {column} AS val, lag({column}) OVER (PARTITION BY {key} ORDER BY {in_time}) AS before, _age FROM {table} WHERE {inside}"
+        known = f" AND {metric} IS NOT NULL"
+        made = {
+            "mode": lambda: picked("count(*) DESC", True),
+            "nunique": lambda: f"SELECT {key}, count(DISTINCT {column}) AS val FROM {table} WHERE {inside} GROUP BY {key}",
+            "first": lambda: picked(time, False),
+            "last": lambda: picked(f"{time} DESC", False),
+            "argmax": lambda: picked(f"{metric} DESC", False, known),
+            "argmin": lambda: picked(metric, False, known),
+            "argmaxsum": lambda: picked(f"sum({metric}) DESC", True, known),
+            "argminsum": lambda: picked(f"sum({metric})", True, known),
+            "argmaxmean": lambda: picked(f"avg({metric}) DESC", True, known),
+            "argminmean": lambda: picked(f"avg({metric})", True, known),
+            "nchanges": lambda: f"SELECT {key}, sum(CASE WHEN val <> before THEN 1 ELSE 0 END) AS val FROM ({moved}) AS q GROUP BY {key}",
+            "tschange": lambda: f"SELECT {key}, min(_age) - 1 AS val FROM ({moved}) AS q WHERE val <> before GROUP BY {key}",
+        }
+        if func not in made:
+            raise ValueError(f"unknown feature {func!r}; known: {sorted(made)}")
+        return made[func]()
+
+    names = [f"{column}_{f}_{metric + '_' if f.startswith('arg') else ''}{span}".upper() for f in funcs]
+    picks = ", ".join(f"t{i}.val AS {n}" for i, n in enumerate(names))
+    joins = " ".join(f"LEFT JOIN ({one(f)}) AS t{i} ON k.{key} IS NOT DISTINCT FROM t{i}.{key}" for i, f in enumerate(funcs))
+    return f"SELECT k.{key}, {picks} FROM (SELECT DISTINCT {key} FROM {table}) AS k {joins}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -202,3 +203,46 @@ def niv(rows: DataFrame, bin_: str, target: str, treated: str) -> DataFrame:
     p = {k: F.col(k) / F.sum(k).over(one) for k in ("c00", "c01", "c10", "c11")}
     nwoe = F.log(p["c11"] * p["c00"] / (p["c10"] * p["c01"]))
     return t.select(((p["c11"] * p["c00"] - p["c10"] * p["c01"]) * nwoe).alias("x")).agg(F.sum("x").alias("niv"))
+
+
+def same_distribution(one: DataFrame, other: DataFrame, column: str, bins: int = 10, least: float = 0.0, ddof: int = 0) -> DataFrame:
+    """statistic, df, p_value of the chi-square test that two samples have one distribution.
+
+    Cells are equal-width over the first sample's range, the top edge in the last; values of the second outside it are in its
+    size only. Empty cells do not count; neighbours of fewer than ``least`` values together are pooled upwards. Nulls and NaN
+    play no part. Null where a sample is empty or fewer than two cells are left.
+    """
+    v = F.col(column).cast("double")
+    known = lambda df, k: df.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("v"), F.lit(k).alias("k"))
+    both = known(one, 0).unionByName(known(other, 1))
+    low, high, n, m = both.agg(F.min(F.when(F.col("k") == 0, F.col("v"))), F.max(F.when(F.col("k") == 0, F.col("v"))), F.sum(1 - F.col("k")), F.sum("k")).first()
+    shape = "statistic double, df int, p_value double"
+    if not n or not m:
+        return one.sparkSession.createDataFrame([(None, None, None)], shape)
+    if low == high:
+        low, high = low - 0.5, high + 0.5
+    cell = F.least(F.floor((F.col("v") - low) / ((high - low) / bins)), F.lit(bins - 1))
+    counts = both.where(F.col("v").between(low, high)).groupBy(cell.alias("cell")).agg(F.sum(1 - F.col("k")).alias("a"), F.sum("k").alias("b")).collect()  # one row a cell
+    pools: list[list[int]] = []
+    for r in sorted(counts):
+        if pools and sum(pools[-1]) < least:
+            pools[-1] = [pools[-1][0] + r["a"], pools[-1][1] + r["b"]]
+        else:
+            pools.append([r["a"], r["b"]])
+    if len(pools) > 1 and sum(pools[-1]) < least:
+        a, b = pools.pop()
+        pools[-1] = [pools[-1][0] + a, pools[-1][1] + b]
+    df = len(pools) - 1 - ddof
+    statistic = sum(((n / m) ** 0.5 * b - (m / n) ** 0.5 * a) ** 2 / (a + b) for a, b in pools)
+    return one.sparkSession.createDataFrame([(float(statistic), df, chi_square_tail(statistic, df)) if df > 0 else (None, None, None)], shape)
+
+
+def chi_square_tail(x: float, df: int) -> float:
+    """P(chi-square of ``df`` degrees > x), by the recurrence over the degrees."""
+    half = x / 2
+    total, term, k = (math.erfc(math.sqrt(half)), math.sqrt(half / math.pi) * 2 * math.exp(-half), 3) if df % 2 else (math.exp(-half), half * math.exp(-half), 4)
+    while k <= df:
+        total += term
+        term *= half / (k / 2)
+        k += 2
+    return total

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.expressions import expit
 from riskloom.operators import metrics
 from riskloom.operators.binning import Bins
+from riskloom.operators.metrics import chi_square_tail
 
 
 @dataclass
@@ -31,7 +31,7 @@ class Logit:
         return out
 
     def score(self) -> Column:
-        """The probability as one expression, so scoring is a projection."""
+        """The probability as one expression: to score is a projection."""
         return expit(self.linear())
 
 
@@ -122,17 +122,6 @@ def log_likelihood(rows: DataFrame, model: Logit, target: str) -> float:
     return float(rows.agg(F.sum(y * F.log(p) + (1 - y) * F.log(1 - p))).first()[0] or 0.0)
 
 
-def chi_square_tail(x: float, df: int) -> float:
-    """P(chi-square of ``df`` degrees > x), by the recurrence over the degrees."""
-    half = x / 2
-    total, term, k = (math.erfc(math.sqrt(half)), math.sqrt(half / math.pi) * 2 * math.exp(-half), 3) if df % 2 else (math.exp(-half), half * math.exp(-half), 4)
-    while k <= df:
-        total += term
-        term *= half / (k / 2)
-        k += 2
-    return total
-
-
 def likelihood_ratio_test(rows: DataFrame, small: Sequence[str], large: Sequence[str], target: str) -> tuple[float, float]:
     """Statistic and p-value of the further columns of the larger model; ``small`` is part of ``large``."""
     a, b = (log_likelihood(rows, fit_logit(rows, c, target), target) for c in (small, large))
@@ -233,8 +222,9 @@ class ScoreCard:
             linear = linear + F.lit(beta) * b.woe()
         return expit(linear)
 
-    def sql(self, table: str) -> str:
-        inner = ", ".join(b.sql() for b in self.bins)
+    def sql(self, table: str, groups: bool = False) -> str:
+        """The score as one statement over a table; with ``groups`` the name of each predictor's bin as well."""
+        inner = ", ".join([*(b.sql() for b in self.bins), *(b.group_sql() for b in self.bins if groups)])
         linear = " + ".join([f"{self.model.intercept:.17e}", *(f"{beta:.17e} * {b.column}_WOE" for b, beta in zip(self.bins, self.model.coefficients, strict=True))])
         return f"SELECT *, 1 / (1 + exp(-({linear}))) AS score FROM (SELECT *, {inner} FROM {table})"
 

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Parts that draws are divided among at once, and rows of a last part.
+FAN, PART = 1_024, 65_536
+
 
 def order_of(key: str, seed: int = 0) -> Column:
     return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
@@ -47,3 +52,49 @@ def balance(rows: DataFrame, column: str) -> DataFrame:
     """Adds weight: the largest class over the row's class."""
     w = rows.groupBy(column).count().withColumn("weight", F.max("count").over(Window.partitionBy(F.lit(0))) / F.col("count")).drop("count")
     return rows.join(w, column)
+
+
+def resample(rows: DataFrame, seed: int = 0, size: int | None = None) -> DataFrame:
+    """The different rows with draws: how often each comes in a bootstrap sample of exactly ``size`` rows (as many as there
+    are, if not given).
+
+    Equal rows fold first, so one that is repeated without end is one row with a weight. Draws are divided down ranges of a
+    hash of the row, by multinomial draws among at most FAN parts at a time, then among the rows of a range: together the
+    multinomial of all rows, though nothing lists them. It depends on the rows and the seed only. An empty table stays empty.
+    """
+    spark = rows.sparkSession
+    n = rows.count()
+    size = n if size is None else size
+    folded = rows.groupBy(*rows.columns).agg(F.count("*").alias("_m"))
+    if not n:
+        return folded.withColumn("draws", F.lit(0).cast("long")).drop("_m")
+    hashed = folded.withColumn("_h", F.pmod(F.xxhash64(*rows.columns, F.lit(seed)), F.lit(2**40)))
+    fine = min(FAN, max(1, -(-n // PART)))  # ranges of a coarse one
+    coarse = min(FAN, max(1, -(-n // (PART * fine))))
+    spread = F.col("_h").cast("decimal(38,0)") * coarse
+    at = hashed.withColumns({"_c": F.floor(spread / 2**40).cast("long"), "_f": F.floor(F.pmod(spread, F.lit(2**40)) * fine / 2**40).cast("long")})
+
+    def generator(*place: int) -> np.random.Generator:
+        return np.random.default_rng([seed, *place])
+
+    counts = sorted((r["_c"], r["n"]) for r in at.groupBy("_c").agg(F.sum("_m").alias("n")).collect())  # at most FAN rows
+    given = generator(0).multinomial(size, [c / n for _, c in counts])
+    first = spark.createDataFrame([(c, int(d)) for (c, _), d in zip(counts, given, strict=True)], "_c long, _given long")
+
+    def divided(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("_f")
+        drawn = generator(1, int(own["_c"].iloc[0])).multinomial(int(own["_given"].iloc[0]), own["n"] / own["n"].sum())
+        return pd.DataFrame({"_c": own["_c"], "_f": own["_f"], "_given": drawn})
+
+    parts = at.groupBy("_c", "_f").agg(F.sum("_m").alias("n")).join(F.broadcast(first), "_c").groupBy("_c").applyInPandas(divided, "_c long, _f long, _given long")
+
+    def drawn(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["_h", "_i"])
+        own["draws"] = generator(2, int(own["_c"].iloc[0]), int(own["_f"].iloc[0])).multinomial(int(own["_given"].iloc[0]), own["_m"] / own["_m"].sum())
+        return own[["_h", "_i", "draws"]]
+
+    # Only hashes, weights and places go to Python; different rows of one hash are told apart by their number.
+    inside = Window.partitionBy("_c", "_f", "_h").orderBy(F.xxhash64(*rows.columns, F.lit(seed + 1)))
+    numbered = at.withColumn("_i", F.row_number().over(inside))
+    found = numbered.select("_c", "_f", "_h", "_i", "_m").join(parts, ["_c", "_f"]).groupBy("_c", "_f").applyInPandas(drawn, "_h long, _i int, draws long")
+    return numbered.join(found, ["_h", "_i"]).drop("_h", "_i", "_m", "_c", "_f")

@@ -30,7 +30,7 @@ class Imputation:
 
 @dataclass
 class ScoreModel:
-    """A logit over prepared columns: scoring is one projection."""
+    """A logit over prepared columns: to score is one projection."""
 
     inputs: dict[str, Column]
     model: Logit

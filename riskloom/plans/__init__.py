@@ -1,3 +1,3 @@
 """Specifications expanded into plans."""
 
-from riskloom.plans import scoring_queries, feature_queries, basic_queries, model_queries, api_queries  # noqa: F401, I001  they register themselves
+from riskloom.plans import measure_queries, feature_queries, basic_queries, model_queries, api_queries, selection_queries  # noqa: F401, I001  they register themselves

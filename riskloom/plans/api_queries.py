@@ -12,7 +12,7 @@ from riskloom.operators import binning, cumulative, interactions, metrics, model
 from riskloom.plans import features, predicates
 from riskloom.plans.catalogue import register, table
 from riskloom.plans.feature_queries import AGE, ENTITY, SQL_END, orders
-from riskloom.plans.scoring_queries import POP, gini_sql, population
+from riskloom.plans.measure_queries import POP, gini_sql, population
 from riskloom.sources import tables
 
 COLUMNS = ["l_quantity", "l_discount", "l_extendedprice"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.times import yyyymm
 from riskloom.operators import binning, interactions, metrics
 from riskloom.plans.catalogue import register, table
-from riskloom.plans.scoring_queries import POP, gini_sql, population
+from riskloom.plans.measure_queries import POP, gini_sql, population
 
 
 def orders(s: SparkSession, d: str) -> DataFrame:
@@ -39,8 +39,14 @@ _CAT = ", t AS (SELECT yr AS bin, count(*) AS n, sum(y) AS bads FROM p GROUP BY
 register("A45_B28_categorical_table", lambda s, d: binning.bin_table(population(s, d), F.col("yr"), "y").select("bin", "n", "bads", "rate", "iv"), POP + _CAT + "SELECT bin, n, bads, bads / n AS rate, ((n - bads) / (an - ab) - bads / ab) * ln(((n - bads) / (an - ab)) / (bads / ab)) AS iv FROM x", "n bads rate iv")
 register("A46_B25_quantile_table", lambda s, d: binning.bin_table(population(s, d), binning.bin_index(F.col("l_extendedprice"), metrics.quantile_edges(population(s, d), "l_extendedprice", 4)), "y").select("bin", "n", "bads", "rate"), POP + ", e AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.5) AS b, quantile_cont(l_extendedprice, 0.75) AS c FROM p) SELECT CAST(l_extendedprice >= a AS INTEGER) + CAST(l_extendedprice >= b AS INTEGER) + CAST(l_extendedprice >= c AS INTEGER) AS bin, count(*) AS n, sum(y) AS bads, avg(y) AS rate FROM p, e GROUP BY 1", "n bads rate")
 register("B34_B36_group_of_pairs", lambda s, d: population(s, d).select(interactions.group_of([[(F.col("l_quantity") > 10, F.col("l_discount") <= 0.05)], [(F.col("l_quantity") > 30, F.col("l_discount") > 0.02)]]).alias("g")).groupBy("g").agg(F.count("*").alias("n")), POP + ", x AS (SELECT " + interactions.group_sql("g", [[("l_quantity > 10", "l_discount <= 0.05")], [("l_quantity > 30", "l_discount > 0.02")]]) + " FROM p) SELECT g, count(*) AS n FROM x GROUP BY g")
-register("B35_interaction_potential", lambda s, d: interactions.potential(population(s, d), "l_quantity", "l_discount", "y", 2), POP + ", e AS (SELECT quantile_cont(l_quantity, 0.5) AS a, avg(l_discount) AS m FROM p), b AS (SELECT CAST(l_quantity >= a AS INTEGER) AS bin, avg(CASE WHEN l_discount <= m THEN CAST(y AS DOUBLE) END) AS rate_below, avg(CASE WHEN l_discount > m THEN CAST(y AS DOUBLE) END) AS rate_above FROM p, e GROUP BY 1) SELECT *, rate_above - rate_below AS difference FROM b", "rate_below rate_above difference")
-register("B37_pair_power", lambda s, d: interactions.pair_power(population(s, d), ["l_quantity", "l_discount"], "y", 2), POP + ", e AS (SELECT quantile_cont(l_quantity, 0.5) AS a, quantile_cont(l_discount, 0.5) AS b FROM p), z AS (SELECT avg(y) OVER (PARTITION BY l_quantity >= a, l_discount >= b) AS rate, y FROM p, e)" + gini_sql("rate", "", "z").replace("SELECT auc, 2 * auc - 1 AS gini, ks, n", "SELECT 'l_quantity' AS a, 'l_discount' AS b, 2 * auc - 1 AS gini"), "gini")
+register(
+    "B35_interaction_potential",
+    lambda s, d: interactions.potential(population(s, d), "l_quantity", "l_discount", "y", 2),
+    POP + ", e AS (SELECT min(l_quantity) AS low, quantile_cont(l_quantity, 0.5) AS a, avg(l_discount) AS m FROM p), b AS (SELECT CAST(l_quantity > a AS INTEGER) AS bin, avg(CASE WHEN l_discount <= m THEN CAST(y AS DOUBLE) END) AS rate_below, avg(CASE WHEN l_discount > m THEN CAST(y AS DOUBLE) END) AS rate_above FROM p, e WHERE l_quantity > low GROUP BY 1) SELECT *, rate_above - rate_below AS difference FROM b",
+    "rate_below rate_above difference",
+)
+register("B35_interaction_p_values", lambda s, d: interactions.interaction_potential(population(s, d), ["l_quantity", "l_discount", "l_extendedprice"], "y"))
+register("B37_pair_power", lambda s, d: interactions.pair_power(population(s, d), ["l_quantity", "l_discount"], "y", 2), POP + ", e AS (SELECT quantile_cont(l_quantity, 0.5) AS a, quantile_cont(l_discount, 0.5) AS b FROM p), z AS (SELECT avg(y) OVER (PARTITION BY l_quantity > a, l_discount > b) AS rate, y FROM p, e)" + gini_sql("rate", "", "z").replace("SELECT auc, 2 * auc - 1 AS gini, ks, n", "SELECT 'l_quantity' AS a, 'l_discount' AS b, 2 * auc - 1 AS gini"), "gini")
 register("W19_largest_leap", lambda s, d: interactions.largest_leap(population(s, d), "seg", "yr", "y"), POP + ", t AS (SELECT yr, seg, avg(y) AS rate, dense_rank() OVER (PARTITION BY yr ORDER BY avg(y) DESC) AS r FROM p GROUP BY yr, seg), w AS (SELECT seg, CASE WHEN r <> lead(r) OVER v THEN abs(rate - lead(rate) OVER v) END AS leap FROM t WINDOW v AS (PARTITION BY seg ORDER BY yr)) SELECT seg AS bin, max(leap) AS leap FROM w GROUP BY seg", "leap")
 register(
     "M23_W10_uplift_area",

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import aggregates, times
 from riskloom.functions.expressions import fill_ratio
+from riskloom.operators.cumulative import same
 from riskloom.plans import predicates
+from riskloom.sources.shared import Batches, fingerprint
 
 #: Features from which a plan goes by condition: as so many conditional aggregates are more code than is compiled.
 WIDE = 100
@@ -214,6 +216,28 @@ def _by_condition(rows: DataFrame, plan: Plan) -> DataFrame:
     return out.selectExpr(f"`{e.id}`", *map(one, parts), *[f"`{n}`" for n, _ in others])
 
 
+def build_in_batches(events: DataFrame, plan: Plan, at: str, version: str, ids: DataFrame | None = None, size: int = WIDE) -> DataFrame:
+    """``build`` in batches of ``size`` parts, each written under the folder ``at``, which all executors share.
+
+    A batch is known by its parts and by ``version``, the caller's name for the state of the events. A run that was cut off
+    goes on after the last whole batch; batches that a changed plan has in common with an earlier one are not made again, and
+    another version makes all of them. The result is the batches' join by entity, null entities too.
+    """
+    if bad := validate(plan, events):
+        raise ValueError(f"parts that do not fit the table: {bad}")
+    e, made = plan.entity, Batches(events.sparkSession, at)
+    parts = [*plan.simple, *plan.ratios, *plan.since]
+    out = None
+    for i in range(0, max(1, len(parts)), size):
+        own = parts[i : i + size]
+        kind = lambda t: [p for p in own if isinstance(p, t)]  # noqa: B023, E731
+        batch = Plan(e, kind(Simple), kind(Ratio), kind(TimeSince), plan.history, plan.count if i == 0 else None)
+        name = f"batch-{fingerprint(e.id, e.time, e.end(), e.unit, plan.history, batch.count, *own)}"
+        done = made.do(name, version, lambda batch=batch: build(events, batch))
+        out = done if out is None else same(out, done, [e.id])
+    return ids.select(e.id).distinct().join(out, e.id, "left") if ids is not None else out
+
+
 def prune(features: DataFrame, key: str, least_fill: float) -> DataFrame:
     """Without the features that are filled for less than this share of entities; one aggregation decides."""
     names = [c for c in features.columns if c != key]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import binning, collections, imputation, models
 from riskloom.plans.catalogue import register, table
-from riskloom.plans.scoring_queries import POP, population
+from riskloom.plans.measure_queries import POP, population
 from riskloom.sources import tables
 from riskloom.streaming import events as streams
 
