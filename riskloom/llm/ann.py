@@ -164,7 +164,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id"
     shared = spark.sparkContext.broadcast(forest)
 
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in filter(len, batches):
+        for batch in (b.iloc[at : at + 1_000] for b in batches for at in range(0, len(b), 1_000)):
             leaves = shared.value.route(_unit(batch["v"]))
             n = leaves.shape[1]
             yield pd.DataFrame({"cell": shared.value.cells[leaves.ravel()], "leaf": leaves.ravel(), "id": np.repeat(batch["id"].to_numpy(), n), "v": [v for v in batch["v"] for _ in range(n)]})
@@ -237,7 +237,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id"
     several = [F.lit(int(x)) for c in np.flatnonzero(blocks > 1) for x in (c, blocks[c])]  # bounded by the forest
     block = F.coalesce(F.create_map(*several)[F.col("cell")], F.lit(1)) if several else F.lit(1)
     held = posts.withColumn("block", F.pmod(F.xxhash64("id"), block).cast("long"))
-    probes = known(queries).dropDuplicates(["id", "v"]).where(fits).mapInPandas(probing, f"cell long, block long, query_id long, q {kind}, leaves array<long>")
+    # Few bytes, much work: as many tasks as partitions are set, however small the queries are.
+    lots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    probes = known(queries).dropDuplicates(["id", "v"]).where(fits).repartition(lots, F.xxhash64("id", "v")).mapInPandas(probing, f"cell long, block long, query_id long, q {kind}, leaves array<long>")
     pairs = probes.groupBy("cell", "block").cogroup(held.groupBy("cell", "block")).applyInPandas(rerank, "query_id long, vec_id long, score double")
     found = tables.put(pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
     tables.drop("index")
