@@ -161,3 +161,50 @@ def test_licenses_wrapped_and_dual(spark):
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert {t: set(got[i]["licenses"].split(",")) for i, t in enumerate(texts)} == {t: set(w.split(",")) for t, w in texts.items()}
     assert got[9]["identifiers"] == "<apache2><apache_basis>"
+
+
+def _texts(pattern, last):
+    """A text that a pattern fits: its first or last alternatives, without or with its options."""
+    p = pattern.replace("^", "").replace("$", "").replace(r"\b", "").replace(".*", "some words ").replace("[0-9]{4}", "2020").replace("http ", "http ")
+    while (g := re.search(r"\(([^()]*)\)(\?|\+)?", p)) is not None:
+        inner = g[1].split("|")[-1 if last else 0]
+        p = p[: g.start()] + ("" if g[2] == "?" and not last else inner) + p[g.end() :]
+    return re.sub(r"(.)\?", r"\1" if last else "", p)
+
+
+def test_hint_is_in_every_sentence(spark):
+    """The gate passes whatever a pattern fits, in any case of letters, and such a text is found."""
+    made = [(n, _texts(p, last)) for n, p in licenses.SENTENCES for last in (False, True)]
+    for (n, p), (_, text) in zip([x for x in licenses.SENTENCES for _ in (0, 1)], made, strict=True):
+        assert re.search(p, text), (n, text)
+        assert re.search(licenses.HINT, text) and re.search(licenses.HINT, text.upper()), (n, text)
+    rows = spark.createDataFrame([(i, t.replace("spdx license identifier ", "SPDX-License-Identifier: ")) for i, (_, t) in enumerate(made)], "doc_id long, text string")
+    got = {r["doc_id"]: r["identifiers"] for r in licenses.scan(rows).collect()}
+    assert [made[i] for i, found in got.items() if not found] == []
+
+
+def test_licenses_denied_short_and_far(spark):
+    far = "and words of no weight " * 40
+    header = "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# distributed on an \"AS IS\" BASIS,\n# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"
+    texts = {
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.": "MPL-2.0",
+        "The origin of this software must not be misrepresented": "Zlib",
+        "Distributed under the MIT license.": "MIT",
+        "This project is under the MIT License.": "MIT",
+        "SPDX-License-Identifier: LGPL-3.0-or-later": "LGPL-3.0",
+        "SPDX-License-Identifier: MPL-2.0": "MPL-2.0",
+        "SPDX-License-Identifier: ISC": "ISC",
+        "SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause",
+        "// SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause": "GPL-2.0,BSD-3-Clause",
+        "SPDX-License-Identifier: MIT AND Zlib AND Unlicense": "MIT,Zlib,Unlicense",
+        "This software is not licensed under the MIT License.": "",
+        "It is no longer distributed under the GNU General Public License, version 2, it is licensed under the MIT License.": "MIT",
+        header: "Apache-2.0",
+        f"Licensed under the MIT License, {far} or the Apache License, Version 2.0.": "MIT,Apache-2.0",
+        "read this under the mit license plate": "",
+        "word " * 200_000 + "\nReleased under the MIT License.": "MIT",
+    }
+    rows = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, identifiers string, licenses string")
+    got = {r["doc_id"]: r for r in licenses.scan(rows).collect()}
+    assert {t[:80]: set(got[i]["licenses"].split(",")) for i, t in enumerate(texts)} == {t[:80]: set(w.split(",")) for t, w in texts.items()}
+    assert got[12]["identifiers"] == "<apache2><apache_copy><apache_basis>"
