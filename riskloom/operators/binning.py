@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.expressions import bin_index, ratio, woe
 from riskloom.operators.cumulative import running
-from riskloom.operators.metrics import quantile_edges
+from riskloom.operators.metrics import curve, quantile_edges
 
 #: Distinct values up to which a tree is grown on the driver; with more its splits are found in Spark.
 VALUES = 10_000
@@ -249,6 +249,16 @@ def net_woe(rows: DataFrame, index: Column, target: str, treated: str) -> DataFr
     return t.select("bin", (side(1) - side(0)).alias("nwoe"))
 
 
+def gini_of_groups(groups: DataFrame, woe_: str = "woe", share: str = "share", rate: str = "rate") -> DataFrame:
+    """The Gini that a grouped predictor has as a score: groups in the order of falling weight of evidence, the best first.
+
+    One row a group comes in, so the window over all of them is small. Groups of one weight of evidence are one.
+    """
+    bad, good = F.col(share) * F.col(rate), F.col(share) * (1 - F.col(rate))
+    levels = groups.groupBy((-F.col(woe_)).alias("score")).agg(F.sum(bad).alias("bad"), F.sum(good).alias("good"))
+    return curve(levels).select("gini")
+
+
 def woe_encoder(rows: DataFrame, column: str, target: str, smooth: float = 0.001, cap: float = 5.0) -> DataFrame:
     """value, woe capped to +-cap."""
     return bin_table(rows, F.col(column), target, smooth=smooth).select(F.col("bin").alias("value"), F.greatest(F.lit(-cap), F.least(F.lit(cap), F.col("woe"))).alias("woe"))

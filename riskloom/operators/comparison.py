@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.expressions import ratio
-from riskloom.operators.cumulative import running
+from riskloom.operators.cumulative import running, same
 from riskloom.sources.shared import Scratch
 
 #: How the row over all segments, or over all samples, is named.
@@ -17,48 +17,63 @@ ALL = "All"
 KEYS = ("sample", "segment", "score")
 
 
-@dataclass
-class Comparison:
-    """``levels``: by sample, segment and score, each value with its rows, and its bads and goods among rows with a target,
-    all with their running sums from the lowest value up. ``sizes``: rows, targets and bads by sample and segment."""
+def levels_of(spread: DataFrame, keys: Sequence[str], scratch: Scratch, name: str = "levels") -> DataFrame:
+    """keys, value, n, bad, good, all with their running sums from the lowest value up: rows of (keys, value, _y), folded before
+    they are shuffled, and written, as every measure reads them."""
+    y = F.col("_y").cast("double")
+    sums = [F.count("*").alias("n"), F.coalesce(F.sum(y), F.lit(0.0)).alias("bad"), F.coalesce(F.sum(1 - y), F.lit(0.0)).alias("good")]
+    fine = scratch.put(spread.groupBy(*keys, "value").agg(*sums), f"{name}-folded")
+    return scratch.put(running(fine, keys, "value", ("n", "bad", "good")), name)
 
-    levels: DataFrame
-    sizes: DataFrame
 
-    def table(self, percents: Sequence[int] = (10,)) -> DataFrame:
-        """sample, segment, n, measurable, bads, rate, and for each score its hits, mean on measurable rows, Gini, KS and
-        lift_<p>: the rate among the top p percent over the rate. Null where a measure is not defined."""
-        two = (F.max("all_bad") > 0) & (F.max("all_good") > 0)
-        pairs = ratio(F.sum(F.col("bad") * (F.col("cum_good") - F.col("good") / 2)), F.max("all_bad") * F.max("all_good"))
-        gap = F.max(F.abs(ratio(F.col("cum_bad"), F.col("all_bad")) - ratio(F.col("cum_good"), F.col("all_good"))))
-        known = F.col("bad") + F.col("good")
-        cuts = self.levels.groupBy(*KEYS).agg(
-            F.max("all_n").alias("hits"),
-            ratio(F.sum(F.col("value") * known), F.sum(known)).alias("mean_score"),
-            F.when(two, 2 * pairs - 1).alias("gini"),
-            F.when(two, gap).alias("ks"),
-            *[self._percentile(1 - p / 100).alias(f"_cut_{p}") for p in percents],
-        )
-        return self._lifted(cuts, percents).join(self.sizes, ["sample", "segment"]).select("sample", "segment", "n", "measurable", "bads", "rate", "score", "hits", "mean_score", "gini", "ks", *[f"lift_{p}" for p in percents])
-
-    @staticmethod
-    def _percentile(share: float) -> Column:
-        """The exact percentile of the rows that have the score, linear between neighbours."""
+def measures(levels: DataFrame, keys: Sequence[str], percents: Sequence[float] = (10,)) -> DataFrame:
+    """keys, hits, mean_score, gini, ks, n_known and lift_<p>: two passes over the levels, the second for the lifts.
+
+    lift_<p> is the rate of the rows from the exact percentile up over the rate of all. Null where a measure is not defined.
+    """
+    two = (F.max("all_bad") > 0) & (F.max("all_good") > 0)
+    pairs = ratio(F.sum(F.col("bad") * (F.col("cum_good") - F.col("good") / 2)), F.max("all_bad") * F.max("all_good"))
+    gap = F.max(F.abs(ratio(F.col("cum_bad"), F.col("all_bad")) - ratio(F.col("cum_good"), F.col("all_good"))))
+    known = F.col("bad") + F.col("good")
+
+    def percentile(share: float) -> Column:
+        """Of the rows that have the score, linear between neighbours."""
         place = F.lit(float(share)) * (F.col("all_n") - 1)
         low, high = F.floor(place), F.ceil(place)
         held = lambda k: F.max(F.when((F.col("cum_n") - F.col("n") <= k) & (k < F.col("cum_n")), F.col("value")))
         a, b, p, lo, hi = held(low), held(high), F.max(place), F.max(low), F.max(high)
         return F.when(a == b, a).otherwise((hi - p) * a + (p - lo) * b)
 
-    def _lifted(self, cuts: DataFrame, percents: Sequence[int]) -> DataFrame:
-        """The levels meet their group's cuts; one row a group on the right."""
-        at = self.levels.join(cuts.select(*KEYS, *[f"_cut_{p}" for p in percents]), list(KEYS))
-        known = F.col("bad") + F.col("good")
-        top = lambda c, p: F.sum(F.when(F.col("value") >= F.col(f"_cut_{p}"), c))
-        lifts = at.groupBy(*KEYS).agg(*[ratio(ratio(top(F.col("bad"), p), top(known, p)), ratio(F.sum("bad"), F.sum(known))).alias(f"lift_{p}") for p in percents])
-        return cuts.join(lifts, list(KEYS))
+    found = levels.groupBy(*keys).agg(
+        F.max("all_n").alias("hits"),
+        (F.max("all_bad") + F.max("all_good")).alias("n_known"),
+        ratio(F.sum(F.col("value") * known), F.sum(known)).alias("mean_score"),
+        F.when(two, 2 * pairs - 1).alias("gini"),
+        F.when(two, gap).alias("ks"),
+        *[percentile(1 - p / 100).alias(f"_cut_{p}") for p in percents],
+    )
+    cuts = found.select(*keys, *[f"_cut_{p}" for p in percents])
+    at = same(levels, cuts, keys) if keys else levels.crossJoin(F.broadcast(cuts))  # one row a group on the right
+    top = lambda c, p: F.sum(F.when(F.col("value") >= F.col(f"_cut_{p}"), c))
+    lifts = at.groupBy(*keys).agg(*[ratio(ratio(top(F.col("bad"), p), top(known, p)), ratio(F.sum("bad"), F.sum(known))).alias(f"lift_{p}") for p in percents])
+    both = same(found, lifts, keys) if keys else found.crossJoin(F.broadcast(lifts))  # one row on each side
+    return both.drop(*[f"_cut_{p}" for p in percents])
+
+
+@dataclass
+class Comparison:
+    """``levels`` by sample, segment and score, as ``levels_of`` gives them. ``sizes``: rows, targets and bads by sample and
+    segment."""
+
+    levels: DataFrame
+    sizes: DataFrame
+
+    def table(self, percents: Sequence[float] = (10,)) -> DataFrame:
+        """sample, segment, n, measurable, bads, rate, and for each score its hits, mean on measurable rows, Gini, KS and lifts."""
+        found = measures(self.levels, KEYS, percents).join(self.sizes, ["sample", "segment"])
+        return found.select("sample", "segment", "n", "measurable", "bads", "rate", "score", "hits", "mean_score", "gini", "ks", *[f"lift_{p}" for p in percents])
 
-    def lifts(self, percents: Sequence[int] = tuple(range(5, 95, 5))) -> DataFrame:
+    def lifts(self, percents: Sequence[float] = tuple(range(5, 95, 5))) -> DataFrame:
         """sample, segment, score, percent, lift."""
         wide = self.table(percents)
         return wide.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(p).alias("percent"), F.col(f"lift_{p}").alias("lift")) for p in percents])).alias("x")).select(*KEYS, "x.*")

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges a global order is cut into.
-RANGES = 64
+#: Ranges a global order is cut into: as many as shuffle partitions are set, within these bounds, found in two steps.
+RANGES, MOST, STEP = 64, 4_096, 64
 
 
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -18,16 +18,23 @@ def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(named, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys])).drop(*[f"_same_{k}" for k in keys])
 
 
-def running(rows: DataFrame, by: Sequence[str], order: str, columns: Sequence[str], ranges: int = RANGES) -> DataFrame:
+def running(rows: DataFrame, by: Sequence[str], order: str, columns: Sequence[str], ranges: int | None = None) -> DataFrame:
     """Adds cum_<c> (this row included) and all_<c> for each column, by groups, in ascending ``order``.
 
     The order is cut at approximate quantiles; ranges are summed, their few sums run, and rows run inside their range. Rows
     are to be unique in (by, order), as the result of a group-by: its exchange is then shared by all three uses. Nothing runs
     before the result is asked for. Null groups stay.
     """
-    cuts = rows.agg(F.percentile_approx(F.col(order).cast("double"), F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(1000)).alias("_cuts"))
-    part = F.coalesce(F.size(F.filter("_cuts", lambda e: F.col(order) >= e)), F.lit(0))
-    marked = rows.crossJoin(F.broadcast(cuts)).withColumn("_part", part).drop("_cuts")  # one row on the right
+    ranges = ranges or min(MOST, max(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = rows.agg(F.percentile_approx(F.col(order).cast("double"), F.expr(f"array({', '.join(f'{i / ranges!r}D' for i in range(1, ranges))})"), F.lit(max(1000, 10 * ranges))).alias("_cuts"))
+    above = lambda edges: F.size(F.filter(edges, lambda e: F.col(order) >= e))
+    if ranges <= STEP:
+        part = above(F.col("_cuts"))
+    else:
+        cuts = cuts.withColumn("_heads", F.expr(f"filter(_cuts, (e, i) -> i % {STEP} = {STEP - 1})"))
+        steps = above(F.col("_heads")) * STEP
+        part = steps + above(F.slice("_cuts", steps + 1, F.lit(STEP)))
+    marked = rows.crossJoin(F.broadcast(cuts)).withColumn("_part", F.coalesce(part, F.lit(0))).drop("_cuts", "_heads")  # one row on the right
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     sums = marked.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])

@@ -165,6 +165,25 @@ def psi_equal_width(rows: DataFrame, column: str, reference: Column, bins: int =
     return t.select(((p - q) * F.log(p / q)).alias("x")).agg(F.sum("x").alias("psi"))
 
 
+def psi_in_time(rows: DataFrame, column: str, month: str, pivot: object, bins: int = 50, floor: float = 1e-4) -> DataFrame:
+    """month, psi: ``psi_equal_width`` of every month against the month ``pivot``, in one pass over the rows.
+
+    Bins are equal-width over the pivot month's range; rows beyond it, and nulls, take no part. A month without rows in the
+    range has none here.
+    """
+    ref = F.col(month) == F.lit(pivot)
+    ends = rows.where(ref).agg(F.min(column).cast("double").alias("_lo"), F.max(column).cast("double").alias("_hi"))
+    inside = rows.crossJoin(F.broadcast(ends)).where(F.col(column).between(F.col("_lo"), F.col("_hi")))  # one row on the right
+    t = inside.groupBy(month, equal_width(F.col(column).cast("double"), F.col("_lo"), F.col("_hi"), bins).alias("bin")).agg(F.count("*").cast("double").alias("n"))
+    months = t.groupBy(month).agg(F.sum("n").alias("all"))
+    own = t.where(ref).select("bin", F.col("n").alias("q"))
+    every = t.select("bin").distinct()
+    grid = months.crossJoin(F.broadcast(every)).join(t.select(F.col(month).alias("_m"), F.col("bin").alias("_b"), "n"), F.col(month).eqNullSafe(F.col("_m")) & (F.col("bin") == F.col("_b")), "left").join(F.broadcast(own.withColumnRenamed("bin", "_q")), F.col("bin") == F.col("_q"), "left")  # months x bins
+    total = own.agg(F.sum("q").alias("all_q"))
+    p, q = F.greatest(F.coalesce("n", F.lit(0.0)) / F.col("all"), F.lit(floor)), F.greatest(F.coalesce("q", F.lit(0.0)) / F.col("all_q"), F.lit(floor))
+    return grid.crossJoin(F.broadcast(total)).groupBy(month).agg(F.sum((p - q) * F.log(p / q)).alias("psi"))
+
+
 def bootstrap_gini(rows: DataFrame, score: str, target: str, key: str, replicates: int = 20, seed: int = 1) -> DataFrame:
     """Mean, spread and 5th and 95th percentile of the Gini over Poisson-weighted replicates, all in one aggregation.
 
@@ -183,12 +202,13 @@ def bootstrap_gini(rows: DataFrame, score: str, target: str, key: str, replicate
 
 
 def uplift_curve(rows: DataFrame, score: str, target: str, treated: str, key: str, bins: int = 10) -> DataFrame:
-    """Equal-count bins from the top: rates of both groups and the running gain."""
+    """Equal-count bins from the top, equal scores by a numeric key that no two rows share: rates of both groups and the
+    running gain. A score that most rows share is cut into ranges of the key."""
     # Scores are counted first: a place in the order is the rows above a score and the rank among its equals.
     levels = running(rows.groupBy((-F.col(score).cast("double")).alias("_down")).agg(F.count("*").alias("n")), (), "_down", ("n",))
     places = levels.select("_down", (F.col("cum_n") - F.col("n")).alias("_above"), F.col("all_n").alias("_n"))
-    same = Window.partitionBy("_down").orderBy(key)
-    ranked = rows.withColumn("_down", -F.col(score).cast("double")).withColumn("_k", F.row_number().over(same)).join(places, "_down").withColumn("_k", F.col("_k") + F.col("_above"))
+    marked = rows.select(F.col(key).alias("_key"), F.col(target).alias(target), F.col(treated).alias(treated), (-F.col(score).cast("double")).alias("_down"), F.lit(1).alias("_one"))
+    ranked = running(marked, ("_down",), "_key", ("_one",)).join(places, "_down").withColumn("_k", F.col("cum__one") + F.col("_above"))
     b = ranked.withColumn("bin", F.floor((F.col("_k") - 1) * bins / F.col("_n")).cast("int")).groupBy("bin").agg(*[F.sum(F.when(F.col(treated) == v, F.col(target)).otherwise(0)).alias(f"y{v}") for v in (0, 1)], *[F.sum((F.col(treated) == v).cast("long")).alias(f"n{v}") for v in (0, 1)])
     w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     cum = {c: F.sum(c).over(w) for c in ("y0", "y1", "n0", "n1")}

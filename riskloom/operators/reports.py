@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.expressions import bin_index, logit, ratio
-from riskloom.operators import metrics
-from riskloom.operators.cumulative import percentiles, running, same
+from riskloom.operators import comparison, metrics
+from riskloom.operators.cumulative import percentiles, running
+from riskloom.sources.shared import Scratch
 
 
 def sample_description(rows: DataFrame, by: Sequence[str], target: str, base: str | None = None, total: bool = True) -> DataFrame:
@@ -87,20 +88,29 @@ def log_risk(rows: DataFrame, column: str, target: str, bins: int = 10, month: s
     return t.withColumn("log_risk", F.when((F.col("rate") > 0) & (F.col("rate") < 1), logit(F.col("rate"))))
 
 
+#: Different values of a column whose ranks are sent to every task; beyond it the ranks are joined.
+RANKS = 200_000
+
+
 def correlation(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Spearman correlation of each pair: ranks with shared ties come from value counts, not from one sorted task.
 
-    All columns go through one count of (column, value) and one join of ranks, however many they are.
+    All columns go through one count of (column, value). Its ranks are a written table of values, of which each column joins
+    its own; rows stay where they are as long as a column has at most RANKS different values, which are counted.
     """
-    named = rows.select(F.monotonically_increasing_id().alias("_row"), *[F.col(c).cast("double").alias(c) for c in columns])
-    long_ = named.unpivot(["_row"], list(columns), "_c", "_v").where("_v IS NOT NULL")
-    t = running(long_.groupBy("_c", "_v").agg(F.count("*").alias("n")), ("_c",), "_v", ("n",))
-    ranks = t.select("_c", "_v", (F.col("cum_n") - (F.col("n") - 1) / 2).alias("_r"))
-    ranked = long_.join(ranks, ["_c", "_v"]).groupBy("_row").agg(*[F.max(F.when(F.col("_c") == c, F.col("_r"))).alias(c) for c in columns])
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    wide = ranked.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    long = wide.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "rho")
-    return long.select(F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), "rho")
+    scratch = Scratch(rows.sparkSession)
+    named = rows.select(*[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    values = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(f"_v{i}").alias("_v")) for i in range(len(columns))])
+    counts = named.select(F.explode(values).alias("x")).select("x.*").where("_v IS NOT NULL").groupBy("_c", "_v").agg(F.count("*").alias("n"))
+    t = running(scratch.put(counts, "counts"), ("_c",), "_v", ("n",))
+    ranks = scratch.put(t.select("_c", "_v", (F.col("cum_n") - (F.col("n") - 1) / 2).alias("_r")), "ranks")
+    sizes = {r["_c"]: r["count"] for r in ranks.groupBy("_c").count().collect()}  # one row a column
+    for i in range(len(columns)):
+        own = ranks.where(F.col("_c") == i).select(F.col("_v").alias(f"_v{i}"), F.col("_r").alias(f"_r{i}"))
+        named = named.join(F.broadcast(own) if sizes.get(i, 0) <= RANKS else own, f"_v{i}", "left")
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    wide = named.agg(F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.corr(f"_r{i}", f"_r{j}").alias("rho")) for i, j in pairs]).alias("x"))
+    return wide.select(F.explode("x").alias("x")).select("x.*")
 
 
 def transition(rows: DataFrame, old: str, new: str, target: str, bins: int = 5) -> DataFrame:
@@ -139,15 +149,17 @@ def expected_approval(rows: DataFrame, score: str, rates: Sequence[float], subse
 
 
 def performance(rows: DataFrame, scores: Sequence[str], target: str, by: Sequence[str] = (), percent: float = 10) -> DataFrame:
-    """Gini, KS and lift of several scores by groups, in long form; all scores go through one unpivoted pass.
+    """Gini, KS and lift of several scores by groups, in long form; rows are read once, and one written table of score levels
+    serves all measures.
 
-    A score without values in a group has no row there.
+    A score without values in a group has no row there. ``n`` counts the rows with the score and the target.
     """
-    values = F.array(*[F.struct(F.lit(s).alias("n"), F.col(s).cast("double").alias("v")) for s in scores])
-    long_ = rows.select(*by, F.col(target).alias("_y"), F.explode(values).alias("_s")).select(*by, "_y", F.col("_s.n").alias("_name"), F.col("_s.v").alias("_v"))
-    each = (*by, "_name")
-    found = same(metrics.discrimination(long_, "_v", "_y", None, each), metrics.lift(long_, "_v", "_y", percent, "high", each), each)
-    return found.select(*by, F.col("_name").alias("score"), "gini", "ks", "lift", "n")
+    values = F.array(*[F.struct(F.lit(s).alias("_score"), F.col(s).cast("double").alias("value")) for s in scores])
+    spread = rows.select(*by, F.col(target).alias("_y"), F.explode(values).alias("_s")).select(*by, "_y", "_s.*").where("value IS NOT NULL")
+    keys = (*by, "_score")
+    levels = comparison.levels_of(spread, keys, Scratch(rows.sparkSession))
+    found = comparison.measures(levels, keys, (percent,))
+    return found.select(*by, F.col("_score").alias("score"), "gini", "ks", F.col(f"`lift_{percent}`").alias("lift"), F.col("n_known").alias("n"))
 
 
 def hit_rate(rows: DataFrame, scores: Sequence[str], month: str) -> DataFrame:

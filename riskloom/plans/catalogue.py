@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,11 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def register(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None, floats: str = "") -> None:
     """``floats``: the columns to round, on both sides."""
-    columns = floats.split()
+    columns = set(floats.lower().split())
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return query(spark, sf_dir).withColumns({c: F.round(F.col(c).cast("double") + F.lit(1.23e-8), 6) + F.lit(0.0) for c in columns})
+        out = query(spark, sf_dir)
+        return out.selectExpr(*[f"round(CAST(`{c}` AS DOUBLE) + 1.23e-8D, 6) + 0.0D AS `{c}`" if c.lower() in columns else f"`{c}`" for c in out.columns]) if columns else out
 
     QUERIES[name] = run
     if sql:
-        ORACLES[name] = f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE) + 1.23e-8, 6) + 0.0 AS {c}' for c in columns)}) FROM ({sql}) AS q" if columns else sql
+        ORACLES[name] = f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE) + 1.23e-8, 6) + 0.0 AS {c}' for c in floats.split())}) FROM ({sql}) AS q" if columns else sql

@@ -172,8 +172,8 @@ register(
 )
 register(
     "F06_T01_slice_bounds",
-    lambda s, d: slices.grid(s.range(1).select(F.col("id").alias("e")), "e", at(LAST), "months", 14),
-    f"SELECT CAST(0 AS BIGINT) AS e, CAST(k AS INTEGER) AS TIME_ORDER, {SQL_END} - to_months(CAST(k AS INTEGER)) AS TIME_FROM, {SQL_END} - to_months(CAST(k - 1 AS INTEGER)) AS TIME_TO FROM range(1, 15) AS r(k)",
+    lambda s, d: slices.grid(table(s, d, "customer").select(F.col("c_custkey").alias("e")), "e", at(LAST), "months", 14),
+    f"SELECT c_custkey AS e, CAST(k AS INTEGER) AS TIME_ORDER, {SQL_END} - to_months(CAST(k AS INTEGER)) AS TIME_FROM, {SQL_END} - to_months(CAST(k - 1 AS INTEGER)) AS TIME_TO FROM customer, range(1, 15) AS r(k)",
 )
 register(
     "W01_W03_time_order",

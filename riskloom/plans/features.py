@@ -72,15 +72,18 @@ class Simple:
         parts = [self.func, self.column, str(self.low), to, *(map(str, self.segment) if self.segment else ()), self.query or "", self.suffix]
         return clean_name("_".join(p for p in parts if p))
 
+    def within(self) -> Column:
+        """The ages."""
+        ages = F.col("_age") >= self.low
+        return ages if self.high is None else ages & (F.col("_age") <= self.high)
+
+    def among(self) -> Column:
+        """The segment and the predicate."""
+        out = predicates.segment(*self.segment) if self.segment else F.lit(True)
+        return out & predicates.condition(self.query) if self.query else out
+
     def inside(self) -> Column:
-        inside = F.col("_age") >= self.low
-        if self.high is not None:
-            inside = inside & (F.col("_age") <= self.high)
-        if self.segment:
-            inside = inside & predicates.segment(*self.segment)
-        if self.query:
-            inside = inside & predicates.condition(self.query)
-        return inside
+        return self.within() & self.among() if self.segment or self.query else self.within()
 
     def column_of(self, entity: Entity) -> Column:
         return aggregates.aggregate(self.func, F.when(self.inside(), F.col(self.column)), F.struct(F.col(entity.time), F.col(self.column)))
@@ -194,23 +197,36 @@ def build(events: DataFrame, plan: Plan, ids: DataFrame | None = None) -> DataFr
 
 def _by_condition(rows: DataFrame, plan: Plan) -> DataFrame:
     """The same features of many parts: each event goes to the conditions it meets, and an entity's few aggregates of each
-    condition are then laid out as columns. One scan; partial sums of (entity, condition) come before the shuffle."""
+    condition are then laid out as columns. One scan; partial aggregates of (entity, condition) come before the shuffle.
+
+    A condition is a segment and a predicate, so an event goes to few of them, and the aggregates are those of the ranges. Where
+    these are too many to be compiled, the range is a part of the condition.
+    """
     e = plan.entity
     parts = list({p.name: p for p in (*plan.simple, *(s for r in plan.ratios for s in (r.above, r.below)))}.values())
-    condition = lambda p: (p.low, p.high, p.segment, p.query)
-    conditions = {condition(p): p for p in parts}
-    place = {c: i for i, c in enumerate(conditions)}
-    values = list(dict.fromkeys((p.column, p.func) for p in parts))
+    if len({(p.low, p.high, p.column, p.func) for p in parts}) <= WIDE:
+        condition, value = (lambda p: (p.segment, p.query)), (lambda p: (p.column, p.func, p.low, p.high))
+        fits, seen = Simple.among, (lambda p: F.when(p.within(), F.col(p.column)))
+    else:
+        condition, value = (lambda p: (p.segment, p.query, p.low, p.high)), (lambda p: (p.column, p.func))
+        fits, seen = Simple.inside, (lambda p: F.col(p.column))
+    conditions, values = {}, {}
+    for p in parts:
+        conditions.setdefault(condition(p), p)
+        values.setdefault(value(p), p)
+    place, number = ({k: i for i, k in enumerate(d)} for d in (conditions, values))
     others = [(p.name, p.column_of(e)) for p in plan.since] + ([(plan.count, F.count("*"))] if plan.count else [])
-    met = F.filter(F.array(F.lit(-1), *[F.when(p.inside(), F.lit(i)) for i, p in enumerate(conditions.values())]), lambda k: k.isNotNull())
-    made = [aggregates.aggregate(func, F.col(c), F.struct(F.col(e.time), F.col(c))).alias(f"_v{j}") for j, (c, func) in enumerate(values)]
+    # One condition that every event meets: if no part has it, it is added, so that no entity is lost.
+    every = place.get((None, None), -1)
+    met = F.filter(F.array(F.lit(every), *[F.when(fits(p), F.lit(i)) for i, p in enumerate(conditions.values()) if i != every]), lambda k: k.isNotNull())
+    made = [aggregates.aggregate(p.func, seen(p), F.struct(F.col(e.time), F.col(p.column))).alias(f"_v{j}") for j, p in enumerate(values.values())]
     each = rows.withColumn("_k", F.explode(met)).groupBy(e.id, "_k").agg(*made, *[c.alias(f"_o{j}") for j, (_, c) in enumerate(others)])
     held = F.map_from_entries(F.collect_list(F.struct("_k", F.struct(*[f"_v{j}" for j in range(len(values))]))))
-    out = each.groupBy(e.id).agg(held.alias("_m"), *[F.max(F.when(F.col("_k") == -1, F.col(f"_o{j}"))).alias(n) for j, (n, _) in enumerate(others)])
+    out = each.groupBy(e.id).agg(held.alias("_m"), *[F.max(F.when(F.col("_k") == every, F.col(f"_o{j}"))).alias(n) for j, (n, _) in enumerate(others)])
     out = out.withColumn("_m", F.transform(F.sequence(F.lit(0), F.lit(len(conditions) - 1)), lambda k: F.try_element_at("_m", k)))
 
     def one(p: Simple) -> str:
-        found = f"_m[{place[condition(p)]}]._v{values.index((p.column, p.func))}"
+        found = f"_m[{place[condition(p)]}]._v{number[value(p)]}"
         return f"coalesce({found}, 0L) AS `{p.name}`" if p.func in ("count", "nunique") else f"{found} AS `{p.name}`"
 
     return out.selectExpr(f"`{e.id}`", *map(one, parts), *[f"`{n}`" for n, _ in others])

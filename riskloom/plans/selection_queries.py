@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import aggregates
-from riskloom.operators import binning, boosting, categorical, comparison, metrics, models, neighbours, sampling
+from riskloom.operators import binning, boosting, categorical, comparison, metrics, models, neighbours, reports, sampling
 from riskloom.plans import features
 from riskloom.plans.catalogue import register, table
 from riskloom.plans.feature_queries import AGE, ENTITY, SQL_END, orders
@@ -184,3 +184,35 @@ register(
     _Z + ", t AS (SELECT sample, segment, v AS value, sum(y) AS b, sum(1 - y) AS g FROM z WHERE score = 'l_quantity' GROUP BY sample, segment, v) SELECT sample, segment, 'l_quantity' AS score, value, sum(g) OVER w / sum(g) OVER (PARTITION BY sample, segment) AS fpr, sum(b) OVER w / sum(b) OVER (PARTITION BY sample, segment) AS tpr FROM t WINDOW w AS (PARTITION BY sample, segment ORDER BY value DESC)",
     "value fpr tpr",
 )
+register(
+    "A51_month_by_sample",
+    lambda s, d: reports.sample_description(population(s, d).withColumn("data_type", F.when(F.col("l_orderkey") % 3 > 0, "train").otherwise("test")), ["yr", "data_type"], "y", "treated"),
+    POP + "SELECT yr, CASE WHEN l_orderkey % 3 > 0 THEN 'train' ELSE 'test' END AS data_type, count(*) AS n, CAST(sum(treated) AS BIGINT) AS measurable, CAST(sum(treated * y) AS BIGINT) AS bads, sum(treated * y) / sum(treated) AS rate FROM p GROUP BY ROLLUP (yr, data_type)",
+    "rate",
+)
+register(
+    "B04_gini_of_groups",
+    lambda s, d: binning.gini_of_groups(binning.bin_table(population(s, d), F.col("yr"), "y")),
+    POP + ", z AS (SELECT avg(y) OVER (PARTITION BY yr) AS rate, y FROM p)" + gini_sql("rate", "", "z").replace("SELECT auc, 2 * auc - 1 AS gini, ks, n", "SELECT 2 * auc - 1 AS gini"),
+    "gini",
+)
+_CELLS = "least(9, CAST(floor((l_extendedprice - lo) / (hi - lo) * 10) AS INTEGER))"
+register(
+    "M15_psi_in_time",
+    lambda s, d: metrics.psi_in_time(population(s, d), "l_extendedprice", "yr", 1995, 10),
+    POP + f""", e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM p WHERE yr = 1995), t AS (SELECT yr, {_CELLS} AS bin, count(*) AS n FROM p, e WHERE l_extendedprice BETWEEN lo AND hi GROUP BY ALL),
+    g AS (SELECT yr, bin, coalesce(n, 0) AS n, sum(n) OVER (PARTITION BY yr) AS a FROM (SELECT DISTINCT yr FROM t) JOIN (SELECT DISTINCT bin FROM t) ON true LEFT JOIN t USING (yr, bin)),
+    x AS (SELECT g.yr, greatest(g.n / g.a, 1e-4) AS p, greatest(q.n / q.a, 1e-4) AS q FROM g JOIN g AS q ON q.yr = 1995 AND q.bin = g.bin) SELECT yr, sum((p - q) * ln(p / q)) AS psi FROM x GROUP BY yr""",
+    "psi",
+)
+
+
+def named(s: SparkSession, d: str) -> DataFrame:
+    """Names of the features that an expansion over a column's values makes."""
+    segs = features.segments_of(orders(s, d), "o_orderpriority")
+    parts = features.expand(["o_totalprice"], ["sum"], [(1, 6)], segs)
+    return s.createDataFrame([(str(p.segment[1]), p.name) for p in parts], "value string, name string")
+
+
+register("P16_feature_names", named, "SELECT o_orderpriority AS value, 'SUM_O_TOTALPRICE_1_6_O_ORDERPRIORITY_' || trim(regexp_replace(upper(replace(o_orderpriority, '-', '_MINUS_')), '[^A-Z0-9]+', '_', 'g'), '_') AS name FROM (SELECT DISTINCT o_orderpriority FROM orders)")
+register("O01_U02_sorted_power", lambda s, d: metrics.predictor_power(population(s, d).where("yr < 1996").unionByName(population(s, d).where("yr >= 1996")), COLUMNS, "y").orderBy(F.col("gini").desc(), "predictor").select("predictor", "gini"), " UNION ALL ".join(f"SELECT '{c}' AS predictor, gini FROM (WITH q AS (SELECT 1){gini_sql('-' + c)})" for c in COLUMNS).join((POP + "SELECT * FROM (", ")")), "gini")
