@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,10 @@ KINDS = (
 BASE = ("email", "ip", "card", "phone")
 #: Characters before a span in which context words count.
 NEAR = 48
+#: Matches of a text whose places are summed up at once.
+BLOCK = 256
+#: Characters of a part of a text that is redacted.
+PART = 4_096
 
 
 def luhn(digits: Column) -> Column:
@@ -64,6 +68,22 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with a value that is worked out once, as a lambda's variable is."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _before(values: Column, plus: Callable[[Column, Column], Column]) -> Column:
+    """For each element what all before it come to, from 0. Blocks, then blocks of blocks, so the cost is near linear."""
+    zero, block = F.lit(0), F.lit(BLOCK)
+    over = lambda x, start, n: F.aggregate(F.slice(x, start + 1, n), zero, plus)
+    numbers = lambda x: F.sequence(zero, F.greatest(zero, F.floor((F.size(x) - 1) / block).cast("int")))
+    sums = lambda x: F.transform(numbers(x), lambda k: over(x, k * block, block))
+    heads = lambda s: F.transform(s, lambda _, k: over(s, zero, k))
+    inside = lambda x, h: F.transform(x, lambda _, i: plus(F.get(h, F.floor(i / block).cast("int")), over(x, i - i % block, i % block)))
+    return _let(values, lambda x: _let(sums(x), lambda s: _let(heads(s), lambda h: inside(x, h))))
+
+
 def spans(text: Column, kind: Kind) -> Column:
     """Array of struct(kind, start, end, score), leftmost first; code points, end exclusive.
 
@@ -72,16 +92,15 @@ def spans(text: Column, kind: Kind) -> Column:
     """
     gaps = rf"(?s)\G(.*?)({kind.pattern})"
     both = F.arrays_zip(F.regexp_extract_all(text, F.lit(gaps), F.lit(1)).alias("gap"), F.regexp_extract_all(text, F.lit(gaps), F.lit(2)).alias("match"))
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["match"])
+    def span(x: Column, before: Column) -> Column:
+        start = before + F.char_length(x["gap"])
         near = F.lower(F.right(x["gap"], F.lit(NEAR))).rlike(kind.context)
-        span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), (F.lit(kind.score) + F.when(near, 0.2).otherwise(0.0)).alias("score"))
-        return F.struct(end.alias("at"), F.when(_valid(kind.name, x["match"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.char_length(x["match"])).alias("end"), (F.lit(kind.score) + F.when(near, 0.2).otherwise(0.0)).alias("score"), x["match"].alias("match"))
 
-    found = F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+    lengths = lambda x: F.transform(x, lambda m: F.char_length(m["gap"]) + F.char_length(m["match"]))
+    every = _let(both, lambda x: _let(_before(lengths(x), lambda a, b: a + b), lambda p: F.transform(x, lambda m, i: span(m, F.get(p, i)))))
+    found = F.transform(F.filter(every, lambda s: _valid(kind.name, s["match"])), lambda s: F.struct(s["kind"], s["start"], s["end"], s["score"]))
     return F.when(text.rlike(kind.hint), F.when(text.rlike(kind.pattern.replace(r"(?:\G|(?<![A-Za-z0-9._%+-]))", r"(?<![A-Za-z0-9._%+-])")), found)).otherwise(None)
 
 
@@ -108,13 +127,19 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, least: float = 0.5)
     cut = F.array_sort(F.transform(F.filter("pii", lambda s: s["score"] >= least), lambda s: F.struct(s["start"], s["end"], s["kind"])))
     text = whole()
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(piece))).alias("out"))
+    # A span counts if it begins where all before it have ended.
+    placed = _let(cut, lambda c: _let(_before(F.transform(c, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), lambda p: F.transform(c, lambda s, i: F.struct(s["start"], s["kind"], F.get(p, i).alias("at")))))
+    # Places are counted from the start of a string, so pieces come from parts of the text: else many spans cost its square.
+    part = lambda x: F.floor(x / PART).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), part(F.char_length(text))), lambda k: F.substring(text, k * PART + 1, F.lit(PART)))
+
+    def piece(c: Column, s: Column) -> Column:
+        near = F.array_join(F.slice(c, part(s["at"]) + 1, part(s["start"]) - part(s["at"]) + 1), "")
+        return F.concat(F.substring(near, s["at"] % PART + 1, s["start"] - s["at"]), F.lit("<"), s["kind"], F.lit(">"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    new = F.aggregate(cut, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
+    kept = F.filter(placed, lambda s: s["start"] >= s["at"])
+    tail = F.substring(text, F.array_max(F.transform(cut, lambda s: s["end"])) + 1, F.char_length(text))
+    new = F.concat(F.array_join(_let(parts, lambda c: F.transform(kept, lambda s: piece(c, s))), ""), tail)
     done = marked.withColumn("text", F.when(F.size(cut) > 0, new).otherwise(F.col("text")))
     own = lambda c: F.col("text") if c == "text" else F.char_length("text").cast("long") if c == "n_chars" else F.col("_doc")[c]
     return done.select(*[own(c).alias(c) for c in docs.columns])

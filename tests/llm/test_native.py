@@ -208,3 +208,16 @@ def test_licenses_denied_short_and_far(spark):
     got = {r["doc_id"]: r for r in licenses.scan(rows).collect()}
     assert {t[:80]: set(got[i]["licenses"].split(",")) for i, t in enumerate(texts)} == {t[:80]: set(w.split(",")) for t, w in texts.items()}
     assert got[12]["identifiers"] == "<apache2><apache_copy><apache_basis>"
+
+
+def test_pii_of_very_many_matches(spark):
+    """More matches than a block of blocks: places and redaction are those of plain Python."""
+    text = " ".join(f"é{i} u{i}@ex{i % 7}.org 10.0.{i % 256}.{i // 256} x" for i in range(3000))
+    df = spark.createDataFrame([(1, text, len(text), "a"), (2, None, 0, "b")], "doc_id long, text string, n_chars long, pii string")
+    found = {r["doc_id"]: r["pii"] for r in pii.find(df).collect()}
+    for kind in ("email", "ip"):
+        want = [(m.start(), m.end()) for m in re.finditer(PATTERNS[kind], text)]
+        assert [(s["start"], s["end"]) for s in found[1] if s["kind"] == kind] == want and len(want) == 3000
+    assert found[2] == []
+    kept = {r["doc_id"]: r for r in pii.redact(df).collect()}
+    assert kept[1]["text"] == " ".join(f"é{i} <email> <ip> x" for i in range(3000)) and kept[1]["n_chars"] == len(kept[1]["text"]) and kept[2]["text"] is None
