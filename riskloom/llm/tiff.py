@@ -147,6 +147,10 @@ def _unpacked(data: bytes, scheme: int, size: int) -> bytes:
     raise ValueError(f"compression {scheme} is not known")
 
 
+#: No scheme makes more bytes of one: a header that asks for more is broken, and nothing is set aside for it.
+EXPANDS = 4096
+
+
 def _packed(data: bytes, scheme: int) -> bytes:
     return {NONE: lambda: data, DEFLATE: lambda: zlib.compress(data, 1), PACKBITS: lambda: pack_bits(data), LZW: lambda: encode_lzw(data)}[scheme]()
 
@@ -188,6 +192,8 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]]) -> Page:
     if min(w, h, samples) < 1:
         raise ValueError("empty strips or tiles")
     starts, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
+    if width * height * samples > EXPANDS * sum(min(c, len(data)) for c in counts):
+        raise ValueError("more samples than the strips or tiles can hold")
     pixels, k = np.zeros((height, width, samples), np.uint8), 0
     for plane in range(samples if apart else 1):
         depth = 1 if apart else samples

@@ -191,3 +191,18 @@ def test_broken_files_give_errors(spark):
     out = tiff.pages(spark.createDataFrame(rows, "k int, media binary"), "k").collect()
     assert sorted((r["k"], r["error"] is None) for r in out if r["k"] != 6) == [(1, True), (2, False), (3, False), (4, False), (5, False), (7, False)]
     assert [r["error"] is None for r in out if r["k"] == 6] == [True, False]
+
+
+def test_tiff_header_that_asks_for_more_than_it_holds(spark):
+    """A broken size gives an error row, not memory."""
+    import struct
+
+    whole = tiff.write([np.zeros((4, 8, 1), np.uint8)])
+    at = struct.unpack_from("<I", whole, 4)[0]
+    broken = bytearray(whole)
+    for k in range(struct.unpack_from("<H", whole, at)[0]):
+        if struct.unpack_from("<H", whole, at + 2 + 12 * k)[0] in (tiff.WIDTH, tiff.HEIGHT):
+            struct.pack_into("<I", broken, at + 10 + 12 * k, 2**31 - 1)
+    df = spark.createDataFrame([(1, bytes(broken)), (2, whole), (3, None)], "id int, media binary")
+    got = {r["id"]: r for r in tiff.pages(df, "id").collect()}
+    assert "more samples" in got[1]["error"] and got[2]["error"] is None and got[2]["pixels"] == bytes(32) and got[3]["error"]
