@@ -191,15 +191,16 @@ def fit_boosted(rows: DataFrame, columns: Sequence[str], target: str, trees: int
 
 
 def tree_sql(model, columns: Sequence[str]) -> str:
-    """A boosted model as one SQL expression of nested CASE, the sum over its trees."""
+    """A boosted model as one SQL expression of nested CASE, the sum over its trees; numbers in scientific form are doubles."""
+    number = "{:.17e}".format
 
     def walk(node) -> str:
         if node.numDescendants() == 0:
-            return repr(float(node.prediction()))
+            return number(float(node.prediction()))
         split = node.split()
-        return f"CASE WHEN {columns[split.featureIndex()]} <= {split.threshold()!r} THEN {walk(node.leftChild())} ELSE {walk(node.rightChild())} END"
+        return f"CASE WHEN {columns[split.featureIndex()]} <= {number(float(split.threshold()))} THEN {walk(node.leftChild())} ELSE {walk(node.rightChild())} END"
 
-    return " + ".join(f"{float(w)!r} * ({walk(t._call_java('rootNode'))})" for t, w in zip(model.trees, model.treeWeights, strict=True))
+    return " + ".join(f"{number(float(w))} * ({walk(t._call_java('rootNode'))})" for t, w in zip(model.trees, model.treeWeights, strict=True))
 
 
 @dataclass

@@ -74,8 +74,7 @@ class Simple:
 
     def within(self) -> Column:
         """The ages."""
-        ages = F.col("_age") >= self.low
-        return ages if self.high is None else ages & (F.col("_age") <= self.high)
+        return F.expr(f"_age >= {self.low:d}" + ("" if self.high is None else f" AND _age <= {self.high:d}"))
 
     def among(self) -> Column:
         """The segment and the predicate."""
@@ -191,7 +190,8 @@ def build(events: DataFrame, plan: Plan, ids: DataFrame | None = None) -> DataFr
     for r in plan.ratios:
         out = out.withColumn(r.name, fill_ratio(F.col(r.above.name), F.col(r.below.name), r.nan, r.inf))
     keep = [p.name for p in (*plan.simple, *plan.ratios, *plan.since)] + ([plan.count] if plan.count else [])
-    out = out.select(e.id, *dict.fromkeys(keep))
+    wanted = [e.id, *dict.fromkeys(keep)]
+    out = out if out.columns == wanted else out.select(*wanted)
     return ids.select(e.id).distinct().join(out, e.id, "left") if ids is not None else out
 
 
@@ -206,7 +206,9 @@ def _by_condition(rows: DataFrame, plan: Plan) -> DataFrame:
     parts = list({p.name: p for p in (*plan.simple, *(s for r in plan.ratios for s in (r.above, r.below)))}.values())
     if len({(p.low, p.high, p.column, p.func) for p in parts}) <= WIDE:
         condition, value = (lambda p: (p.segment, p.query)), (lambda p: (p.column, p.func, p.low, p.high))
-        fits, seen = Simple.among, (lambda p: F.when(p.within(), F.col(p.column)))
+        fits = Simple.among
+        inside = {k: F.when(p.within(), F.col(p.column)) for k, p in {(p.low, p.high, p.column): p for p in parts}.items()}
+        seen = lambda p: inside[p.low, p.high, p.column]
     else:
         condition, value = (lambda p: (p.segment, p.query, p.low, p.high)), (lambda p: (p.column, p.func))
         fits, seen = Simple.inside, (lambda p: F.col(p.column))
@@ -219,7 +221,8 @@ def _by_condition(rows: DataFrame, plan: Plan) -> DataFrame:
     # One condition that every event meets: if no part has it, it is added, so that no entity is lost.
     every = place.get((None, None), -1)
     met = F.filter(F.array(F.lit(every), *[F.when(fits(p), F.lit(i)) for i, p in enumerate(conditions.values()) if i != every]), lambda k: k.isNotNull())
-    made = [aggregates.aggregate(p.func, seen(p), F.struct(F.col(e.time), F.col(p.column))).alias(f"_v{j}") for j, p in enumerate(values.values())]
+    order = lambda p: F.struct(F.col(e.time), F.col(p.column)) if p.func in aggregates.ORDERED else None
+    made = [aggregates.aggregate(p.func, seen(p), order(p)).alias(f"_v{j}") for j, p in enumerate(values.values())]
     each = rows.withColumn("_k", F.explode(met)).groupBy(e.id, "_k").agg(*made, *[c.alias(f"_o{j}") for j, (_, c) in enumerate(others)])
     held = F.map_from_entries(F.collect_list(F.struct("_k", F.struct(*[f"_v{j}" for j in range(len(values))]))))
     out = each.groupBy(e.id).agg(held.alias("_m"), *[F.max(F.when(F.col("_k") == every, F.col(f"_o{j}"))).alias(n) for j, (n, _) in enumerate(others)])

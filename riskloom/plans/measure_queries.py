@@ -131,6 +131,25 @@ register("O05_time_split", lambda s, d: sampling.time_split(population(s, d), "y
 register("J13_balance", lambda s, d: sampling.balance(table(s, d, "customer"), "c_mktsegment").select("c_custkey", "weight"), "SELECT c_custkey, max(n) OVER () / n AS weight FROM (SELECT *, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer)", "weight")
 _GAP = lambda s, d: population(s, d).withColumn("score", F.when(F.col("l_quantity") > 10, F.col("l_extendedprice")))
 register("I02_proportional", lambda s, d: imputation.proportional(_GAP(s, d), "score", "y"), POP + "SELECT avg(CASE WHEN l_quantity > 10 THEN l_extendedprice END) * avg(CASE WHEN l_quantity <= 10 THEN CAST(y AS DOUBLE) END) / avg(CASE WHEN l_quantity > 10 THEN CAST(y AS DOUBLE) END) AS imputed FROM p", "imputed")
-register("I01_I04_O03_discrete", lambda s, d: imputation.impute_score(_GAP(s, d), "score", "y").groupBy((F.col("l_quantity") > 10).alias("had")).agg(F.avg("score").alias("mean")))
-register("I06_regression", lambda s, d: imputation.regression(_GAP(s, d), "score", "y", 5))
+_GAPS = POP + ", g AS (SELECT CASE WHEN l_quantity > 10 THEN l_extendedprice END AS score, CAST(y AS DOUBLE) AS y, l_quantity > 10 AS had FROM p)"
+
+
+def _binned_sql(n: int) -> str:
+    """Rates and means of n left-closed quantile bins of the score, as a table b."""
+    edges = ", ".join(f"quantile_cont(score, {i / n}) AS e{i}" for i in range(1, n))
+    return f"{_GAPS}, e AS (SELECT {edges} FROM g), b AS (SELECT {' + '.join(f'CAST(score >= e{i} AS INTEGER)' for i in range(1, n))} AS bin, avg(y) AS rate, avg(score) AS mean, CAST(count(*) AS DOUBLE) AS n FROM g, e WHERE score IS NOT NULL GROUP BY 1)"
+
+
+register(
+    "I01_I04_O03_discrete",
+    lambda s, d: imputation.impute_score(_GAP(s, d), "score", "y").groupBy((F.col("l_quantity") > 10).alias("had")).agg(F.avg("score").alias("mean")),
+    _binned_sql(10) + ", v AS (SELECT arg_min(mean, (abs(rate - m), bin)) AS value FROM b, (SELECT avg(y) AS m FROM g WHERE score IS NULL)) SELECT had, avg(coalesce(score, value)) AS mean FROM g, v GROUP BY had",
+    "mean",
+)
+register(
+    "I06_regression",
+    lambda s, d: imputation.regression(_GAP(s, d), "score", "y", 5),
+    _binned_sql(5) + ", t AS (SELECT sum(n) AS n, sum(n * mean) AS sx, sum(n * rate) AS sy, sum(n * mean * mean) AS sxx, sum(n * mean * rate) AS sxy FROM b) SELECT (n * sxy - sx * sy) / (n * sxx - sx * sx) AS slope, (sy - (n * sxy - sx * sy) / (n * sxx - sx * sx) * sx) / n AS intercept FROM t",
+    "slope intercept",
+)
 register("I07_J11_target_weighted", lambda s, d: imputation.impute_target(population(s, d).withColumn("t", F.when(F.col("l_quantity") > 10, F.col("y"))).withColumn("pd", F.col("l_discount") * 5), "t", "pd").groupBy("t").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")), POP + ", x AS (SELECT y AS t, 1.0::DOUBLE AS w FROM p WHERE l_quantity > 10 UNION ALL SELECT 1, l_discount * 5 FROM p WHERE l_quantity <= 10 UNION ALL SELECT 0, 1 - l_discount * 5 FROM p WHERE l_quantity <= 10) SELECT t, count(*) AS n, sum(w) AS weight FROM x GROUP BY t", "weight")

@@ -88,7 +88,12 @@ register("R25_R27_partial_dependence", lambda s, d: models.partial_dependence(po
 register("L07_variable_clusters", lambda s, d: s.createDataFrame(sorted(models.cluster_variables(population(s, d), ["l_quantity", "l_discount", "l_extendedprice"], 0.5).items()), "column string, cluster int"))
 register("C02_bootstrap_impact", lambda s, d: collections.bootstrap_impact(population(s, d), "yr", "l_quantity", "treated", "l_orderkey", 10))
 register("C04_W13_trajectories", lambda s, d: collections.trajectories(population(s, d), "yr", "seg", "l_extendedprice", 5))
-register("I05_by_correlation", lambda s, d: imputation.by_correlation(population(s, d).withColumn("x", F.when(F.col("l_quantity") > 10, F.col("l_discount"))), "x", "y"))
+register(
+    "I05_by_correlation",
+    lambda s, d: imputation.by_correlation(population(s, d).withColumn("x", F.when(F.col("l_quantity") > 10, F.col("l_discount"))), "x", "y"),
+    POP + ", g AS (SELECT CASE WHEN l_quantity > 10 THEN l_discount END AS x, CAST(y AS DOUBLE) AS y FROM p), r AS (SELECT avg(x) AS m, corr(x, y) AS c, avg(CASE WHEN x IS NULL THEN y END) / avg(y) AS r FROM g) SELECT m * CASE WHEN c >= 0 THEN r ELSE 1 / r END AS imputed FROM r",
+    "imputed",
+)
 register("I03_quantile_imputer", lambda s, d: s.createDataFrame([(imputation.quantile_imputer(population(s, d).withColumn("x", F.when(F.col("l_quantity") > 10, F.col("l_extendedprice"))), "x", "y"),)], "imputed double"))
 register("L05_bootstrap_logit", lambda s, d: population(s, d).select("l_orderkey", "l_linenumber", models.bootstrap_logit(population(s, d), ["l_quantity", "l_discount"], "y", "l_orderkey", 2).score().alias("score")))
 register("B06_uplift_binning", lambda s, d: binning.net_woe(population(s, d), binning.bin_index(F.col("l_quantity"), binning.fit_uplift(population(s, d), "l_quantity", "y", "treated", 3, 50)), "y", "treated"))
