@@ -195,8 +195,11 @@ def fit_numeric(rows: DataFrame, column: str, target: str, groups: int = 5, leas
     return with_woes(rows, Bins(column, edges=found), target, weight, smooth)
 
 
-def fit_categorical(rows: DataFrame, column: str, target: str, groups: int = 5, least: float = 1, weight: str | None = None, smooth: float = 0.001, most: int = 100) -> Bins:
-    """Categories by their event rate; those below ``least`` rows are pooled and share a rate; then a tree over the rates."""
+def fit_categorical(rows: DataFrame, column: str, target: str, groups: int = 5, least: float = 1, weight: str | None = None, smooth: float = 0.001, most: int = VALUES) -> Bins:
+    """Categories by their event rate; those below ``least`` rows are pooled and share a rate; then a tree over the rates.
+
+    Bins name their categories, so more than ``most`` of them are refused: ``merge_rare`` makes them fewer.
+    """
     c = F.col(column).cast("string")
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     t = rows.where(c.isNotNull() & F.col(target).isNotNull()).groupBy(c.alias("c")).agg(F.sum(w).alias("w"), F.sum(w * F.col(target)).alias("b")).limit(most + 1).collect()
@@ -336,12 +339,51 @@ def grow_uplift(table: Sequence[tuple[float, float, float, float, float]], leave
     return sorted(edges)
 
 
+def _uplift_edges(table: DataFrame, leaves: int, least: float) -> list[float]:
+    """The edges of ``grow_uplift`` from running sums over all values: each open leaf sends its best split only."""
+    names = ("n1", "y1", "n0", "y0")
+    sums = running(table, (), "v", names).persist()
+
+    def split(low: tuple, high: tuple) -> tuple | None:
+        """Of the values above ``low`` and up to ``high``, given with their running sums: gain, edge, and where it is."""
+        inside = sums.where((F.col("v") > low[0]) & (F.col("v") < high[0]))
+        left = [F.col(f"cum_{c}") - x for c, x in zip(names, low[1:], strict=True)]
+        right = [F.lit(x) - F.col(f"cum_{c}") for c, x in zip(names, high[1:], strict=True)]
+        up = [s[1] / s[0] - s[3] / s[2] for s in (left, right)]
+        size = [s[0] + s[2] for s in (left, right)]
+        fits = (left[0] >= least) & (left[2] >= least) & (right[0] >= least) & (right[2] >= least)
+        gain = F.when(fits, (up[0] - up[1]) * (up[0] - up[1]) * size[0] * size[1] / (size[0] + size[1]))
+        best = inside.select(gain.alias("gain"), "v", *[f"cum_{c}" for c in names]).where("gain IS NOT NULL").agg(F.max_by(F.struct("*"), F.struct("gain", F.negate("v"))).alias("x")).first()["x"]
+        if best is None or best["gain"] <= 1e-12:
+            return None
+        after = sums.where(F.col("v") > best["v"]).agg(F.min("v")).first()[0]
+        return best["gain"], (best["v"] + after) / 2, tuple(best)[1:]
+
+    try:
+        end = sums.agg(F.max("v"), *[F.max(f"all_{c}") for c in names]).first()
+        ends = ((float("-inf"), 0.0, 0.0, 0.0, 0.0), tuple(end))
+        open_, edges = {ends: split(*ends)}, []
+        while len(edges) + 1 < leaves:
+            able = [(x[0], -leaf[0][0], leaf) for leaf, x in open_.items() if x]
+            if not able:
+                break
+            leaf = max(able)[2]
+            _, edge, at = open_.pop(leaf)
+            edges.append(edge)
+            open_[leaf[0], at], open_[at, leaf[1]] = split(leaf[0], at), split(at, leaf[1])
+        return sorted(edges)
+    finally:
+        sums.unpersist()
+
+
 def fit_uplift(rows: DataFrame, column: str, target: str, treated: str, groups: int = 4, least: float = 1) -> list[float]:
-    """Edges for uplift from the values' counts; at most VALUES distinct values."""
+    """Edges for uplift from the values' counts, each side of a split with ``least`` rows of either kind. Up to VALUES values
+    are looked at on the driver; beyond them the same splits are found in Spark."""
+    least = max(1, least)
     cell = lambda t: [F.sum((F.col(treated) == t).cast("double")), F.sum(F.when(F.col(treated) == t, F.col(target)).otherwise(0).cast("double"))]
     names = ("n1", "y1", "n0", "y0")
     t = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(*[c.alias(n) for n, c in zip(names, [*cell(1), *cell(0)], strict=True)])
-    found = t.orderBy("v").limit(VALUES + 1).collect()
+    found = t.limit(VALUES + 1).collect()
     if len(found) > VALUES:
-        raise ValueError(f"{column} has more than {VALUES} values; bin it first")
-    return grow_uplift([(r["v"], r["n1"], r["y1"], r["n0"], r["y0"]) for r in found], groups, least)
+        return _uplift_edges(t, groups, least)
+    return grow_uplift(sorted((r["v"], r["n1"], r["y1"], r["n0"], r["y0"]) for r in found), groups, least)

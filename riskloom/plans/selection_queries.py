@@ -14,8 +14,9 @@ from riskloom.plans.catalogue import register, table
 from riskloom.plans.feature_queries import AGE, ENTITY, SQL_END, orders
 from riskloom.plans.measure_queries import POP, gini_sql, population
 from riskloom.plans.model_queries import facts
-from riskloom.sources import imports
+from riskloom.sources import imports, tables
 from riskloom.sources.shared import folder
+from riskloom.streaming import events as streams
 
 COLUMNS = ["l_quantity", "l_discount", "l_extendedprice"]
 
@@ -216,3 +217,29 @@ def named(s: SparkSession, d: str) -> DataFrame:
 
 register("P16_feature_names", named, "SELECT o_orderpriority AS value, 'SUM_O_TOTALPRICE_1_6_O_ORDERPRIORITY_' || trim(regexp_replace(upper(replace(o_orderpriority, '-', '_MINUS_')), '[^A-Z0-9]+', '_', 'g'), '_') AS name FROM (SELECT DISTINCT o_orderpriority FROM orders)")
 register("O01_U02_sorted_power", lambda s, d: metrics.predictor_power(population(s, d).where("yr < 1996").unionByName(population(s, d).where("yr >= 1996")), COLUMNS, "y").orderBy(F.col("gini").desc(), "predictor").select("predictor", "gini"), " UNION ALL ".join(f"SELECT '{c}' AS predictor, gini FROM (WITH q AS (SELECT 1){gini_sql('-' + c)})" for c in COLUMNS).join((POP + "SELECT * FROM (", ")")), "gini")
+
+
+def flagged(s: SparkSession, d: str) -> DataFrame:
+    """The catalogue of a table's attributes through its file and back."""
+    at = f"{folder(s)}/catalogue-{uuid.uuid4().hex}"
+    made = tables.import_catalogue(table(s, d, "nation").select(F.concat(F.lit("data.nations[]."), F.lower(F.regexp_replace("n_name", " ", "_"))).alias("path")), "path", [("united", lambda c: c.contains("united"))])
+    tables.save_catalogue(made, at)
+    return tables.load_catalogue(s, at, made.schema).select("path", F.size("parts").alias("n_parts"), "depth", "family", "block")
+
+
+register("S11_catalogue_file", flagged, "SELECT 'data.nations[].' || lower(replace(n_name, ' ', '_')) AS path, 3 AS n_parts, 1 AS depth, CASE WHEN contains(n_name, 'UNITED') THEN 'united' END AS family, CASE WHEN contains(n_name, 'UNITED') THEN 'united_1' ELSE 'other_1' END AS block FROM nation")
+register(
+    "T04_sessions",
+    lambda s, d: streams.sessions(table(s, d, "events"), "user_id", "ts", "1 hour", "2 days").groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n_events")),
+    "WITH a AS (SELECT user_id, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events) SELECT user_id, CAST(sum(fresh) AS BIGINT) AS n_sessions, count(*) AS n_events FROM a GROUP BY user_id",
+)
+
+
+def grouped(s: SparkSession, d: str) -> DataFrame:
+    """Bins of all predictors, saved, loaded and applied."""
+    rows = population(s, d)
+    bins = binning.load(binning.save(binning.fit(rows, ["l_quantity", "l_discount"], ["seg"], "y", groups=3)))
+    return binning.transform(rows, bins, "group_number").groupBy("l_quantity_GRP", "l_discount_GRP", "seg_GRP").count()
+
+
+register("B21_grouping", grouped)

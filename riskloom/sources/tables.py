@@ -92,6 +92,20 @@ def import_catalogue(attributes: DataFrame, path: str, families: Sequence[tuple[
     return attributes.select("*", F.split(c, r"\.").alias("parts"), depth.alias("depth"), family.alias("family"), label.alias("name")).withColumn("block", F.concat_ws("_", F.coalesce("family", F.lit("other")), F.col("depth").cast("string")))
 
 
+def save_catalogue(catalogue: DataFrame, path: str) -> None:
+    """A catalogue as CSV with a header, for flagging by hand; lists are JSON text, nulls stand apart from empty text."""
+    kinds = dict(catalogue.dtypes)
+    flat = [F.to_json(c).alias(c) if kinds[c].startswith(("array", "map", "struct")) else F.col(c) for c in catalogue.columns]
+    catalogue.select(*flat).write.mode("overwrite").option("header", True).option("nullValue", "\\N").option("emptyValue", "").csv(path)
+
+
+def load_catalogue(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What ``save_catalogue`` wrote, with the schema it had and in the order of its columns."""
+    flat = ", ".join(f"`{f.name}` {'string' if f.dataType.typeName() in ('array', 'map', 'struct') else f.dataType.simpleString()}" for f in schema)
+    rows = spark.read.schema(flat).option("header", True).option("nullValue", "\\N").option("emptyValue", "").csv(path)
+    return rows.select(*[F.from_json(f.name, f.dataType.simpleString()).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name) for f in schema])
+
+
 def attribute_profile(facts: DataFrame, key: str, attribute: str, values: Sequence[str]) -> DataFrame:
     """Per attribute: distinct entities and filled values of each kind, in one aggregation."""
     return facts.groupBy(attribute).agg(F.countDistinct(key).alias("n_entities"), *[F.count(v).alias(f"n_{v}") for v in values])

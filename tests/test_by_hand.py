@@ -180,7 +180,7 @@ def test_scorecard(rows, data):
     assert table["a", "[-0.500, 0.700)"] == (pytest.approx(woes[1]), pytest.approx(woes[1] * card.model.coefficients[0])) and ("g", "NaN") in table
 
 
-def test_uplift_tree(rows, data):
+def test_uplift_tree(rows, data, monkeypatch):
     """Best first over all splits, by brute force."""
     least = 15
 
@@ -201,6 +201,8 @@ def test_uplift_tree(rows, data):
         edges.append(-best[2])
         leaves += [p[p.few < -best[2]], p[p.few > -best[2]]]
     assert binning.fit_uplift(rows, "few", "y", "treated", 4, least) == pytest.approx(sorted(edges))
+    monkeypatch.setattr(binning, "VALUES", 3)  # the same splits in Spark
+    assert binning.fit_uplift(rows, "few", "y", "treated", 4, least) == pytest.approx(sorted(edges))
 
 
 def test_stable_grouping(rows, data):
@@ -264,3 +266,13 @@ def test_quantile_imputer_and_discrete(rows, data):
     rising = imputation.isotonic([(rates[k], int((index == k).sum())) for k in range(5)])
     nearest = min(range(5), key=lambda k: (abs(rising[k] - missing), k))
     assert imputation.quantile_imputer(gap, "s", "y", 5) == pytest.approx(known.a[index == nearest].mean())
+
+
+def test_grouping_of_all_predictors(rows):
+    """One fit of several is the fits of each, through its saved form; groups are what edges and lists say."""
+    every = binning.load(binning.save(binning.fit(rows, ["a", "few"], ["g"], "y", groups=3)))
+    assert every == [binning.fit_numeric(rows, "a", "y", 3), binning.fit_numeric(rows, "few", "y", 3), binning.fit_categorical(rows, "g", "y", 3)]
+    for r in binning.transform(rows, every, "group_number").collect():
+        assert r["a_GRP"] == np.digitize(r["a"], every[0].edges) and r["few_GRP"] == np.digitize(r["few"], every[1].edges) and r["g"] in every[2].groups[r["g_GRP"]]
+    empty = binning.Bins("g", groups=[], nan_woe=0.5, unknown_woe=0.25)
+    assert {r[0] for r in rows.select(empty.woe()).collect()} == {0.25} and {r[0] for r in rows.select(empty.index()).collect()} == {0}
