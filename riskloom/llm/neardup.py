@@ -247,6 +247,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without a doc_id or without words stay; so do all rows of a document with the text that is kept. An empty table
     gives no rows.
     """
-    gone = _labelled(docs).where("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_mark").alias("_gone_text")).distinct()
-    marked = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.md5("text").alias("_text"))
-    return marked.join(gone, (F.col("_id") == F.col("_gone_id")) & (F.col("_text") == F.col("_gone_text")), "left_anti").select("_doc.*")
+    tables = Tables(docs.sparkSession)
+    gone = _labelled(docs).where("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.unhex("text_mark").alias("_gone_text")).distinct()
+    gone = tables.put(gone, "gone")
+    few = gone.count() <= IDS  # else the texts have to move
+    marked = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.unhex(F.md5("text")).alias("_text"))
+    return marked.join(F.broadcast(gone) if few else gone, (F.col("_id") == F.col("_gone_id")) & (F.col("_text") == F.col("_gone_text")), "left_anti").select("_doc.*")
