@@ -88,6 +88,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), volume: float = 1
 def ordered(docs: DataFrame, **settings) -> DataFrame:
     """What the mix takes of each document, range-sorted by training position: doc_id, size, source_size, target, taken,
     copies and position, the place of its first copy in [0, 1]. Documents of which nothing is taken stand last, without one.
+
+    Null and empty texts have size 0 and are not taken; a null source is a source, the last. Repeated rows are documents of
+    their own, of which ties in place go to the smaller doc_id; an empty table gives no rows; other columns are ignored.
     """
     out = mix(docs, **settings).withColumn("position", F.try_element_at("positions", F.lit(1))).withColumn("copies", F.size("copies").cast("long"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")

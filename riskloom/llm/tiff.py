@@ -304,7 +304,11 @@ def _feature(found: list[Page]) -> str:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload and media sizes and hashes, feature; all from the stored bytes as read back."""
+    """doc_id, n_bytes, payload and media sizes and hashes, feature; all from the stored bytes as read back.
+
+    A null or empty text is one row of padding. Equal texts, repeated rows too, have equal values; a text of any length is
+    stored whole, in pages; an empty table gives no rows; other columns are ignored.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
