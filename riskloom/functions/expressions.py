@@ -55,7 +55,8 @@ def text_length(c: Column) -> Column:
 
 
 def logit(p: Column) -> Column:
-    return F.log(p / (1 - p))
+    """Null at 0 and 1, where it has no value, and beyond."""
+    return F.log(F.try_divide(p, 1 - p))
 
 
 def expit(x: Column) -> Column:

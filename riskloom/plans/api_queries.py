@@ -14,6 +14,7 @@ from riskloom.plans.catalogue import register, table
 from riskloom.plans.feature_queries import AGE, ENTITY, SQL_END, orders
 from riskloom.plans.measure_queries import POP, gini_sql, population
 from riskloom.sources import tables
+from riskloom.sources.shared import folder
 
 COLUMNS = ["l_quantity", "l_discount", "l_extendedprice"]
 
@@ -107,9 +108,8 @@ register("F25_cost_benefit", lambda s, d: population(s, d).select("l_orderkey",
 
 
 def cached(s: SparkSession, d: str) -> DataFrame:
-    """A statement's result, kept in the warehouse's folder."""
-    at = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
-    return tables.read_sql(s, f"SELECT n_regionkey, count(*) AS n FROM parquet.`{d}/nation.parquet` GROUP BY n_regionkey", f"{at}/statements-{uuid.uuid4().hex}")
+    """A statement's result, kept in the shared folder."""
+    return tables.read_sql(s, f"SELECT n_regionkey, count(*) AS n FROM parquet.`{d}/nation.parquet` GROUP BY n_regionkey", f"{folder(s)}/statements-{uuid.uuid4().hex}")
 
 
 register("S02_cached_statement", cached, "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
@@ -117,7 +117,7 @@ register("S02_cached_statement", cached, "SELECT n_regionkey, count(*) AS n FROM
 
 def parts(s: SparkSession, d: str) -> DataFrame:
     """Part files as CSV, read as one table."""
-    at = f"{s.conf.get('spark.checkpoint.dir', None) or s.conf.get('spark.sql.warehouse.dir')}/parts-{uuid.uuid4().hex}"
+    at = f"{folder(s)}/parts-{uuid.uuid4().hex}"
     nation = table(s, d, "nation").select("n_nationkey", "n_name")
     for k in (0, 1):
         nation.where(F.col("n_nationkey") % 2 == k).write.option("header", True).csv(f"{at}/{k}")

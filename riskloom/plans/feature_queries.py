@@ -207,9 +207,9 @@ register(
 )
 register(
     "F16_F17_F20_F21_scalars",
-    lambda s, d: table(s, d, "lineitem").where("l_discount > 0").select("l_orderkey", "l_linenumber", expressions.logit(F.col("l_discount")).alias("logit"), expressions.expit(F.col("l_tax")).alias("expit"), expressions.text_length(F.nullif(F.col("l_returnflag"), F.lit("N"))).alias("length"), expressions.bin_index(F.col("l_quantity"), [10, 20, 40], "right").alias("bin")),
-    """SELECT l_orderkey, l_linenumber, ln(l_discount / (1 - l_discount)) AS logit, 1 / (1 + exp(-l_tax)) AS expit, CAST(length(coalesce(nullif(l_returnflag, 'N'), '')) AS BIGINT) AS length,
-    CAST(l_quantity > 10 AS INTEGER) + CAST(l_quantity > 20 AS INTEGER) + CAST(l_quantity > 40 AS INTEGER) AS bin FROM lineitem WHERE l_discount > 0""",
+    lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", expressions.logit(F.col("l_discount")).alias("logit"), expressions.expit(F.col("l_tax")).alias("expit"), expressions.text_length(F.nullif(F.col("l_returnflag"), F.lit("N"))).alias("length"), expressions.bin_index(F.col("l_quantity"), [10, 20, 40], "right").alias("bin")),
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0 THEN ln(l_discount / (1 - l_discount)) END AS logit, 1 / (1 + exp(-l_tax)) AS expit, CAST(length(coalesce(nullif(l_returnflag, 'N'), '')) AS BIGINT) AS length,
+    CAST(l_quantity > 10 AS INTEGER) + CAST(l_quantity > 20 AS INTEGER) + CAST(l_quantity > 40 AS INTEGER) AS bin FROM lineitem""",
     "logit expit",
 )
 register(

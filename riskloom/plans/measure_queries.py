@@ -53,7 +53,7 @@ register("M14_M13_stability", lambda s, d: metrics.stability(population(s, d), "
     m AS (SELECT yr, bin, count(*) / sum(count(*)) OVER (PARTITION BY yr) AS p FROM b GROUP BY yr, bin), t AS (SELECT yr, bin, coalesce(m.p, 0) AS p, coalesce(q.q, 0) AS q FROM (SELECT DISTINCT yr FROM b) CROSS JOIN (SELECT DISTINCT bin FROM b) LEFT JOIN m USING (yr, bin) LEFT JOIN q USING (bin))
     SELECT yr, sum((greatest(p, 1e-4) - greatest(q, 1e-4)) * ln(greatest(p, 1e-4) / greatest(q, 1e-4))) AS psi, -ln(sum(sqrt(p * q))) AS bhattacharyya, sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) / 2 ELSE 0 END) AS jensen_shannon FROM t GROUP BY yr""", "psi bhattacharyya jensen_shannon")
 register("M18_psi_categories", lambda s, d: metrics.psi_categories(population(s, d).where("yr = 1998"), population(s, d).where("yr = 1999"), "l_quantity", "l_extendedprice"), POP + ", a AS (SELECT l_quantity, sum(l_extendedprice) / sum(sum(l_extendedprice)) OVER () AS q FROM p WHERE yr = 1998 GROUP BY 1), b AS (SELECT l_quantity, sum(l_extendedprice) / sum(sum(l_extendedprice)) OVER () AS p FROM p WHERE yr = 1999 GROUP BY 1) SELECT sum((p - q) * ln(p / q)) AS psi FROM a JOIN b USING (l_quantity)", "psi")
-register("M19_psi_consecutive", lambda s, d: metrics.psi_consecutive(population(s, d).where("yr between 1996 and 2000"), "l_discount", "yr"), POP + ", t AS (SELECT yr, l_discount, count(*) / sum(count(*)) OVER (PARTITION BY yr) AS s FROM p WHERE yr BETWEEN 1996 AND 2000 GROUP BY yr, l_discount) SELECT avg(x) AS psi FROM (SELECT b.yr, sum((b.s - a.s) * ln(b.s / a.s)) AS x FROM t a JOIN t b ON b.yr = a.yr + 1 AND a.l_discount = b.l_discount GROUP BY b.yr)", "psi")
+register("M19_psi_consecutive", lambda s, d: metrics.psi_consecutive(population(s, d), "l_discount", "yr"), POP + ", t AS (SELECT yr, l_discount, count(*) / sum(count(*)) OVER (PARTITION BY yr) AS s FROM p GROUP BY yr, l_discount) SELECT avg(x) AS psi FROM (SELECT b.yr, sum((b.s - a.s) * ln(b.s / a.s)) AS x FROM t a JOIN t b ON b.yr = a.yr + 1 AND a.l_discount = b.l_discount GROUP BY b.yr)", "psi")
 register("M20_W08_rank_stability", lambda s, d: metrics.rank_stability(population(s, d), "seg", "yr", "y"), POP + ", t AS (SELECT yr, seg, dense_rank() OVER (PARTITION BY yr ORDER BY avg(y) DESC) AS r FROM p GROUP BY yr, seg), c AS (SELECT seg, r, count(*) AS n FROM t GROUP BY ALL), e AS (SELECT max(n) / sum(n) AS x FROM c GROUP BY seg), f AS (SELECT product(x) AS x FROM (SELECT r, n / sum(n) OVER (PARTITION BY r) AS x FROM c) GROUP BY r) SELECT (SELECT avg(x) FROM e) AS rsi, (SELECT avg(x) FROM f) AS rsi_product", "rsi rsi_product")
 register("M16_psi_equal_width", lambda s, d: metrics.psi_equal_width(population(s, d), "l_extendedprice", F.col("yr") < 1999, 20), POP + ", r AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM p WHERE yr < 1999), b AS (SELECT least(19, floor((l_extendedprice - lo) / (hi - lo) * 20)) AS bin, yr < 1999 AS f FROM p, r WHERE l_extendedprice BETWEEN lo AND hi), t AS (SELECT bin, sum(CASE WHEN f THEN 1 ELSE 0 END) AS a, sum(CASE WHEN f THEN 0 ELSE 1 END) AS b FROM b GROUP BY bin), x AS (SELECT greatest(b / sum(b) OVER (), 1e-4) AS p, greatest(a / sum(a) OVER (), 1e-4) AS q FROM t) SELECT sum((p - q) * ln(p / q)) AS psi FROM x", "psi")
 register("M31_M33_R13_R38_histogram", lambda s, d: metrics.histogram(population(s, d), "l_extendedprice", 20, "y"), POP + ", r AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM p) SELECT CAST(least(19, floor((l_extendedprice - lo) / (hi - lo) * 20)) AS INTEGER) AS bin, max(lo) + least(19, floor((l_extendedprice - lo) / (hi - lo) * 20)) * (max(hi) - max(lo)) / 20 AS low, count(*) AS n, CAST(sum(y) AS BIGINT) AS bads FROM p, r GROUP BY least(19, floor((l_extendedprice - lo) / (hi - lo) * 20))", "low")
