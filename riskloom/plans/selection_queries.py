@@ -243,3 +243,16 @@ def grouped(s: SparkSession, d: str) -> DataFrame:
 
 
 register("B21_grouping", grouped)
+
+
+def written(s: SparkSession, d: str) -> DataFrame:
+    """A table by partitions, its columns under shortened names; the catalogue forgets it, its files stay to be read."""
+    name, at = f"written_{uuid.uuid4().hex}", f"{folder(s)}/written-{uuid.uuid4().hex}"
+    rows = table(s, d, "customer").select("c_custkey", "c_mktsegment", F.col("c_acctbal").alias("THE_BALANCE_OF_THE_CUSTOMERS_ACCOUNT"), F.col("c_nationkey").alias("the_balance_of_the_customers_accountants"))
+    tables.write_table(rows, name, ["c_mktsegment"], path=at)
+    out = s.table(name)
+    s.sql(f"DROP TABLE {name}")
+    return s.read.schema(out.schema).parquet(at)
+
+
+register("S03_written_table", written, "SELECT c_custkey, c_mktsegment, c_acctbal AS the_balance_of_the_customers_a, c_nationkey AS the_balance_of_the_customers_1 FROM customer", "the_balance_of_the_customers_a")

@@ -54,9 +54,10 @@ def table_names(columns: Sequence[str], limit: int = 30) -> list[str]:
     return out
 
 
-def write_table(df: DataFrame, name: str, by: Sequence[str] = (), mode: str = "errorifexists") -> None:
-    """A managed table, partitioned by columns of few values."""
+def write_table(df: DataFrame, name: str, by: Sequence[str] = (), mode: str = "errorifexists", path: str | None = None) -> None:
+    """A table, partitioned by columns of few values; managed, or with its files at ``path``."""
     out = df.toDF(*table_names(df.columns)).write.mode(mode)
+    out = out.option("path", path) if path else out
     (out.partitionBy(*[b.lower() for b in by]) if by else out).saveAsTable(name)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import binning, boosting, collections, imputation, metrics, models
+from riskloom.operators import binning, boosting, collections, cumulative, imputation, metrics, models, reports
 
 COLUMNS = ["a", "b", "c"]
 
@@ -276,3 +276,56 @@ def test_grouping_of_all_predictors(rows):
         assert r["a_GRP"] == np.digitize(r["a"], every[0].edges) and r["few_GRP"] == np.digitize(r["few"], every[1].edges) and r["g"] in every[2].groups[r["g_GRP"]]
     empty = binning.Bins("g", groups=[], nan_woe=0.5, unknown_woe=0.25)
     assert {r[0] for r in rows.select(empty.woe()).collect()} == {0.25} and {r[0] for r in rows.select(empty.index()).collect()} == {0}
+
+
+@pytest.mark.parametrize("ranges", [2, 64, 65, 300])
+def test_running_sums_over_any_number_of_ranges(rows, data, ranges):
+    """Ranges are found in one step or two; sums by group and over all are the plain ones."""
+    t = rows.select("month", "a", "value")
+    got = {r["a"]: r for r in cumulative.running(t, (), "a", ("value",), ranges).collect()}
+    want = data.sort_values("a").value.cumsum()
+    assert {a: r["cum_value"] for a, r in got.items()} == pytest.approx(dict(zip(data.a[want.index], want, strict=True)))
+    by = {r["a"]: r["cum_value"] for r in cumulative.running(t, ("month",), "a", ("value",), ranges).collect()}
+    want = data.sort_values("a").groupby("month").value.cumsum()
+    assert by == pytest.approx(dict(zip(data.a[want.index], want, strict=True)))
+
+
+def test_uplift_curve_of_tied_scores(rows, data):
+    """Nearly all rows share one score: places inside it follow the key."""
+    tied = rows.withColumn("s", F.when(F.col("i") % 50 == 0, F.col("few")).otherwise(5.0))
+    order = data.assign(s=np.where(data.i % 50 == 0, data.few, 5.0)).sort_values(["s", "i"], ascending=[False, True]).reset_index(drop=True)
+    bins = (np.arange(len(order)) * 10 // len(order)).astype(int)
+    for r in metrics.uplift_curve(tied, "s", "y", "treated", "i").collect():
+        own, seen = order[bins == r["bin"]], order[bins <= r["bin"]]
+        assert r["uplift"] == pytest.approx(own.y[own.treated == 1].mean() - own.y[own.treated == 0].mean())
+        assert r["cum_uplift"] == pytest.approx(seen.y[seen.treated == 1].mean() - seen.y[seen.treated == 0].mean())
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_rank_correlation(rows, data, monkeypatch, most):
+    """Ranks sent to every task or joined; ties share; a null leaves its pair out."""
+    monkeypatch.setattr(reports, "RANKS", most)
+    gap = rows.withColumn("b", F.when(F.col("i") % 7 > 0, F.col("b")))
+    pandas = data.assign(b=data.b.where(data.i % 7 > 0))
+    ranks = pandas[["a", "b", "few"]].rank()
+    for r in reports.correlation(gap, ["a", "b", "few"]).collect():
+        both = ranks[[r["a"], r["b"]]].dropna()
+        assert r["rho"] == pytest.approx(np.corrcoef(both.T)[0, 1])
+
+
+def test_performance_by_groups_with_nulls(rows, data):
+    """One level table for all measures; a null group and a score with gaps."""
+    marked = rows.withColumns({"m": F.when(F.col("month") > 0, F.col("month")), "s": F.when(F.col("i") % 4 > 0, F.col("few"))})
+    got = {(r["m"], r["score"]): r for r in reports.performance(marked, ["a", "s"], "y", ("m",), 20).collect()}
+    assert set(got) == {(m, s) for m in (None, 1, 2) for s in ("a", "s")}
+    for (m, s), r in got.items():
+        own = data[data.month == (m or 0)]
+        own = own[own.i % 4 > 0].assign(s=own.few) if s == "s" else own
+        assert r["gini"] == pytest.approx(gini(own[s], own.y)) and r["lift"] == pytest.approx(lift(own[s].to_numpy(), own.y.to_numpy(), 20)) and r["n"] == len(own)
+
+
+def test_psi_in_time(rows, data):
+    got = {r["month"]: r["psi"] for r in metrics.psi_in_time(rows, "value", "month", 1, 5).collect()}
+    _, edges = np.histogram(data.value[data.month == 1], 5)
+    share = lambda m: np.maximum(np.histogram(data.value[data.month == m], edges)[0] / np.histogram(data.value[data.month == m], edges)[0].sum(), 1e-4)
+    assert got == pytest.approx({m: ((share(m) - share(1)) * np.log(share(m) / share(1))).sum() for m in (0, 1, 2)})
