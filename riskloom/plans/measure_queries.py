@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions.times import yyyymm
 from riskloom.operators import binning, imputation, metrics, reports, sampling
 from riskloom.plans.catalogue import register, table
 
