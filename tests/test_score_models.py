@@ -68,6 +68,15 @@ def test_conditional_expectations(scored):
     assert empty.count() == 0
 
 
+def test_conditional_expectations_of_tied_keys(spark):
+    """The limit falls among rows of one key: the same of them in any order, and points are of those that are kept."""
+    model = Logit(["x"], [1.0], 0.0)
+    for order in ([5.0, 4.0, 3.0, 1.0, 2.0], [1.0, 2.0, 3.0, 4.0, 5.0], [3.0, 5.0, 1.0, 2.0, 4.0]):
+        rows = spark.createDataFrame([(7, x) for x in order], "id int, x double").repartition(3)
+        got = score_models.conditional_expectations(rows, model, "x", ["id"], 2, 3).collect()
+        assert sorted(r["point"] for r in got) == [1.0, 1.0, 1.5, 1.5, 2.0, 2.0]
+
+
 def test_descriptors_of_nulls_and_nothing(spark):
     rows = spark.createDataFrame([(1, "b", None), (1, "a", None), (None, "a", None), (3, "b", None)], "n int, c string, t date")
     got = {r["column"]: r for r in profile.descriptors(rows, ["n", "c", "t"]).collect()}
