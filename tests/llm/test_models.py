@@ -1,11 +1,13 @@
 """Nearest neighbours, toxicity, wrappers and the pipeline."""
 
 import itertools
+import json
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.llm import ann, mixing, pii, toxicity, wrappers
 
@@ -127,6 +129,18 @@ def test_inference_folds_and_aligns():
     assert wrappers.infer(same)["template"] == [] and wrappers.extract(page(1), wrappers.infer(same)).startswith("Title 1 para 1 0")
 
 
+def test_wrapper_of_all_pages_of_a_host(spark):
+    """Each page keeps its article in an element of its own name: all of them are found, whatever the order of the pages."""
+    names = ["x" + a + b for a in "abcdef" for b in "uvwxyz"]
+    rows = [(i, "https://h.example.org/", "h.example.org", page(i).replace(f"content-{i}", f"content-{n}")) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, html string")
+    one, two = (wrappers.infer_wrappers(x).collect() for x in (df, df.orderBy(F.desc("page_id")).repartition(5)))
+    assert one == two and len(one) == 1
+    found = json.loads(one[0]["wrapper"])
+    assert found["articles"] == [f"/html/body/div.content.{n}" for n in names]
+    assert {f"div.content.{n}" for n in names} <= set(wrappers._frozen(found["tokens"]))
+
+
 def sets(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
