@@ -245,6 +245,16 @@ def test_bootstrap_gini_and_impact(rows, data):
         assert (r["mean"], r["p5"], r["p95"]) == pytest.approx((np.mean(gains), np.percentile(gains, 5), np.percentile(gains, 95)))
 
 
+def test_bootstrap_gini_hashes_a_row_once_a_replicate(rows, data, monkeypatch):
+    plan = metrics.bootstrap_gini(rows, "few", "y", "i", 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("xxhash64(") <= 4 * plan.count("Scan ")
+    whole = metrics.bootstrap_gini(rows, "few", "y", "i", 7).first()
+    monkeypatch.setattr(metrics, "REPLICATES", 3)  # some rows of sums are not full
+    assert tuple(metrics.bootstrap_gini(rows, "few", "y", "i", 7).first()) == pytest.approx(tuple(whole))
+    ginis = [gini(data.few[w > 0], data.y[w > 0], w[w > 0]) for w in poisson(rows, "i", 7, 1)]
+    assert whole["mean"] == pytest.approx(np.mean(ginis))
+
+
 def test_trajectories(rows, data):
     """Each path takes one group a month by the least hash; the mean of the means so far."""
     means = data.groupby(["month", "g"]).value.mean()
