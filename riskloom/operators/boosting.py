@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators import binning, metrics
-from riskloom.operators.models import fold
+from riskloom.operators.models import fold, in_parts
 
 #: Stands for a missing number in a fit.
 MOST = 1.7976931348623157e308
@@ -115,7 +115,7 @@ def fit(rows: DataFrame, columns: Sequence[str], target: str, trees: int = 20, d
     c = {f"_in{i}": F.col(c).cast("double") for i, c in enumerate(columns)}
     filled = {n: F.when(x.isNull() | F.isnan(x), F.lit(MOST)).otherwise(F.greatest(F.lit(-MOST), F.least(F.lit(MOST), x))) for n, x in c.items()}
     own = [F.col(n).alias(m) for n, m in ((target, "_label"), (weight, "_weight"), (valid, "_valid")) if n]
-    data = VectorAssembler(inputCols=list(filled), outputCol="_x").transform(rows.select(*own, *[x.alias(n) for n, x in filled.items()]))
+    data = VectorAssembler(inputCols=list(filled), outputCol="_x").transform(in_parts(rows.select(*own, *[x.alias(n) for n, x in filled.items()])))
     tool = GBTClassifier(featuresCol="_x", labelCol="_label", maxIter=trees, maxDepth=depth, seed=seed, subsamplingRate=subsample)
     tool = tool.setWeightCol("_weight") if weight else tool
     return (tool.setValidationIndicatorCol("_valid") if valid else tool).fit(data)

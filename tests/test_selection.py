@@ -279,3 +279,17 @@ def test_interaction_test(spark):
     assert interactions.interaction_test(df.where("x > 2.5"), "x", "m", "y", 2)[0] is None and interactions.interaction_test(df.limit(0), "x", "m", "y") == (None, None)
     tied = spark.createDataFrame([(float(k % 3), 1.0 * (k % 2), k % 2) for k in range(60)], "x double, m double, y int")
     assert sorted(r["bin"] for r in interactions.potential(tied, "x", "m", "y", 2).collect()) == [0, 1]
+
+
+def test_boosted_fits_read_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(models, "PART", 100)
+    rows = spark.range(1000).coalesce(1).select("id", (F.col("id") % 7).alias("a"), (F.col("id") % 7 > 2).cast("int").alias("y"))
+    sizes = [r["n"] for r in models.in_parts(rows).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 110
+    assert models.in_parts(rows.limit(100)).rdd.getNumPartitions() == 1
+    seen = []
+    monkeypatch.setattr(models, "in_parts", lambda df: seen.append(df) or df)
+    monkeypatch.setattr(boosting, "in_parts", lambda df: seen.append(df) or df)
+    models.fit_boosted(rows, ["a"], "y", 1, 1)
+    boosting.fit(rows, ["a"], "y", 1, 1)
+    assert len(seen) == 2
