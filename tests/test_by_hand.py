@@ -255,6 +255,21 @@ def test_bootstrap_gini_hashes_a_row_once_a_replicate(rows, data, monkeypatch):
     assert whole["mean"] == pytest.approx(np.mean(ginis))
 
 
+def test_steps_fit_each_set_once_on_folded_rows(rows, monkeypatch):
+    """Weighted rows give the fits, Ginis and correlations of the rows they stand for; all Ginis of a step are one pass."""
+    twice = rows.unionByName(rows).unionByName(rows.where("i % 3 = 0"))
+    fine = models.folded(twice, COLUMNS, "y")
+    assert fine.count() < twice.count() and fine.agg(F.sum("_n")).first()[0] == twice.count()
+    assert models.correlation_matrix(fine, COLUMNS, weight="_n") == pytest.approx(models.correlation_matrix(twice, COLUMNS), abs=1e-12)
+    plain = models.fit_logit(twice, COLUMNS, "y")
+    assert models.fit_logit(fine, COLUMNS, "y", "_n").coefficients == pytest.approx(plain.coefficients, abs=1e-4)
+    assert models.ginis_of(fine, [plain, models.Logit(["a"], [1.0], 0.0)], "y", "_n") == pytest.approx([models.gini_of(twice, plain, "y"), models.gini_of(twice, models.Logit(["a"], [1.0], 0.0), "y")])
+    fits, real = [], models.fit_logit
+    monkeypatch.setattr(models, "fit_logit", lambda *a, **k: fits.append(tuple(a[1])) or real(*a, **k))
+    models.stepwise(twice, twice, COLUMNS[:2], "y", least_gain=-1.0)
+    assert len(fits) == len(set(fits)) == 3
+
+
 def test_trajectories(rows, data):
     """Each path takes one group a month by the least hash; the mean of the means so far."""
     means = data.groupby(["month", "g"]).value.mean()
