@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import cumulative, imputation, interactions, profile, reports, score_models
+from riskloom.operators import cumulative, imputation, interactions, metrics, profile, reports, score_models
 from riskloom.operators.models import Logit
 from riskloom.operators.score_models import Imputation
 
@@ -54,6 +54,20 @@ def test_search_and_codes(scored):
     assert coded.where(model.score().isNull()).count() == 0
 
 
+def test_search_shares_what_no_penalty_changes(scored, monkeypatch):
+    """Measures of each split as by separate passes; imputations are found once a split and once at the end."""
+    calls, real = [], score_models.missing_kinds
+    monkeypatch.setattr(score_models, "missing_kinds", lambda *a: calls.append(1) or real(*a))
+    found, c, _ = score_models.search(scored, ["pd", "x"], "y", "id", (0.001, 1.0, 10.0), 2, logits=["pd"])
+    assert len(calls) == 3
+    for i, (gini, lift) in enumerate(found):
+        out = F.pmod(F.xxhash64(F.col("id"), F.lit(i)), F.lit(10**6)) < 330_000
+        model = score_models.fit_scores(scored.where(~out), ["pd", "x"], "y", c, ["pd"])
+        held = scored.where(out).select("y", model.score().alias("s"))
+        assert gini == pytest.approx(metrics.discrimination(held, "s", "y").first()["gini"])
+        assert lift == pytest.approx(metrics.lift(held, "s", "y", 10, "high").first()["lift"])
+
+
 def test_calibrated_scores_meet_the_rate(scored):
     rows = scored.withColumn("base", (F.col("id") % 5 > 0).cast("int"))
     model = score_models.fit_calibrated(rows, ["pd", "x"], "y", "base", 0.01, logits=["pd"])
