@@ -293,3 +293,19 @@ def test_boosted_fits_read_parts_of_bounded_size(spark, monkeypatch):
     models.fit_boosted(rows, ["a"], "y", 1, 1)
     boosting.fit(rows, ["a"], "y", 1, 1)
     assert len(seen) == 2
+
+
+def test_comparison_folds_rows_before_they_go_to_samples(spark, monkeypatch):
+    df = spark.range(200).select((F.col("id") % 5).cast("double").alias("s"), (F.col("id") % 2).cast("int").alias("y"), "id")
+    plans, real = [], comparison.Scratch.put
+    monkeypatch.setattr(comparison.Scratch, "put", lambda self, d, n: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or real(self, d, n))
+    got = comparison.compare(df, ["s"], "y", None, {"all": "true", "low": "id < 100"})
+    assert plans[0].split("Aggregate")[-1].count("Generate") == 1  # scores only
+    assert {r["sample"]: r["n"] for r in got.sizes.collect()} == {"all": 200, "low": 100}
+
+
+def test_resample_folds_once(spark):
+    df = spark.range(500).select((F.col("id") % 400).alias("i"))
+    plan = sampling.resample(df, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (" not in plan and "folded" not in sampling.resample(df, 5).columns
+    assert sampling.resample(df, 5).columns == ["i", "draws"]
