@@ -24,14 +24,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Tables
+from riskloom.llm.common import Tables, small_batches
 
 SIZE, END = 4096, 1
 #: Lengths above size / LARGE are grouped; GROUPS groups of equal cardinality.
 LARGE, GROUPS = 8, 20
 #: Pieces of one length that one task ranks.
 RANKED = 50_000
-CACHE = 600_000
+#: Words that one generation of a worker's encoder holds, about 160 bytes each.
+CACHE = 250_000
 
 _OTHER = re.compile("[^\x00-\u024f]")
 #: Marks that may end a word of letters; without the apostrophe, which can begin a piece of the tokenizer with the letters after it.
@@ -348,7 +349,8 @@ def training_order(docs: DataFrame) -> tuple[DataFrame, Column | None]:
     everything = Window.orderBy("_file")
     before = F.coalesce(F.sum("_rows").over(everything.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = files.select("_file", before.alias("_before"), F.sum("_rows").over(Window.partitionBy(F.lit(0))).alias("_all"))  # one row a file
-    return placed.join(files, "_file"), (F.col("_before") + F.col("_index")) / F.col("_all")
+    # Without the hint all texts are shuffled before Spark sees that the other side is one row a file.
+    return placed.join(F.broadcast(files), "_file"), (F.col("_before") + F.col("_index")) / F.col("_all")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, position: Column | None = None) -> DataFrame:
@@ -359,7 +361,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, position:
     texts and repeated rows are packed each; pieces of one length and position go by a hash. Extra columns are ignored; an
     empty table gives no rows.
     """
-    cut = Tables(docs.sparkSession).put(pieces(docs, tokenizer, size, position=position), "pieces")
+    with small_batches(docs.sparkSession):
+        cut = Tables(docs.sparkSession).put(pieces(docs, tokenizer, size, position=position), "pieces")
     out = pack(cut, size).drop("row")
     if position is None:
         return out

@@ -2,12 +2,15 @@
 
 import hashlib
 import re
+import sys
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.llm import neardup, packing, suffixes, tiff
+from riskloom.llm.common import Tables, small_batches
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -140,6 +143,46 @@ def test_plan_places_every_length():
         assert used.max() <= 4096 and used.min() > 0 and plan.count <= 1.15 * lengths.sum() / 4096 + 1
 
 
+def test_training_order_does_not_move_texts(spark, docs):
+    """One row a file is sent to the documents, whatever Spark takes its size for."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        placed, position = packing.training_order(docs)
+        plan = placed.select("text", position)._jdf.queryExecution().executedPlan().toString()
+        got = sorted(r[0] for r in placed.select(position).collect())
+    finally:
+        spark.conf.set(key, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert got == pytest.approx([k / len(got) for k in range(len(got))])
+
+
+def test_words_kept_by_a_worker_are_bounded():
+    """A worker lives on through other stages with the words it keeps."""
+    own = packing._Encoder(P.path("word_bpe_49k.json"))
+    for at in range(0, 900_000, 50_000):
+        own._look_up([f"{k:x}q" for k in range(at, at + 50_000)])
+    held = [*own.known.items(), *own.older.items()]
+    assert sum(sys.getsizeof(w) + sys.getsizeof(ids) for w, ids in held) < 60e6
+    again = [f"{k:x}q" for k in range(100)]
+    assert own._look_up(again) == [x.tobytes() for x in own._ids(again)]  # what went is learnt again
+
+
+def test_long_texts_go_to_python_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield batch.text.str.len().agg(["sum"]).to_frame("n")
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    rows = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), F.lit(100_000)).alias("text"))
+    with small_batches(spark):
+        got = [r.n for r in Tables(spark).put(rows.mapInPandas(sizes, "n long"), "sizes").collect()]
+    assert sum(got) == 30_000_000 and max(got) < 6_000_000
+    assert spark.conf.get(key) == before
+
+
 def test_words_encode_as_whole_texts():
     from tokenizers import Tokenizer
 
