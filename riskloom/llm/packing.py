@@ -32,7 +32,7 @@ LARGE, GROUPS = 8, 20
 #: Pieces of one length that one task ranks.
 RANKED = 50_000
 #: Words that one generation of a worker's encoder holds, about 160 bytes each.
-CACHE = 250_000
+CACHE = 290_000
 
 _OTHER = re.compile("[^\x00-\u024f]")
 #: Marks that may end a word of letters; without the apostrophe, which can begin a piece of the tokenizer with the letters after it.
@@ -86,10 +86,11 @@ class _Encoder:
         self.known.update(zip(rest, [x.tobytes() for x in self._ids(rest)], strict=True))
 
     def _look_up(self, words: list[str]) -> list[bytes]:
-        if len(self.known) + len(words) > CACHE:
-            self.known, self.older = {}, self.known
         new = [w for w in words if w not in self.known]
-        self.known.update((w, self.older[w]) for w in new if w in self.older)
+        if len(self.known) + len(new) > CACHE:
+            self.known, self.older, new = {}, self.known, words
+        old = [w for w in new if w in self.older]
+        self.known.update(zip(old, map(self.older.__getitem__, old), strict=True))
         self._learn([w for w in new if w not in self.older])
         return list(map(self.known.__getitem__, words))
 
